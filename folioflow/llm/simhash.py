@@ -166,10 +166,10 @@ SEGMENTS, SEGMENT_BITS = 10, 25
 
 
 def farthest(similarity: float = SIMILARITY, longs: int = SHINGLE_LONGS) -> int:
-    """Bits in which the fingerprints of two sets of this Jaccard similarity differ, and half a deviation more."""
+    """Bits in which the fingerprints of two sets of this Jaccard similarity differ, and a deviation more."""
     angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     bits = 64 * longs
-    return int(bits * angle + 0.5 * np.sqrt(bits * angle * (1 - angle)))
+    return int(bits * angle + np.sqrt(bits * angle * (1 - angle)))
 
 
 def signatures(docs: DataFrame, text_col: str) -> DataFrame:

@@ -63,7 +63,7 @@ class LexiconTrie:
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = w
-        self.stem_sizes = sorted({len(s) for s in stems})
+        self.stem_sizes = sorted({len(s) for s in stems}, reverse=True)
         # A word within one edit of a term has its first or its second half unchanged.
         self.heads, self.tails = {w[: len(w) // 2] for w in words if len(w) >= 5}, {w[len(w) // 2 :] for w in words if len(w) >= 5}
         self.head_sizes, self.tail_sizes = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
@@ -120,10 +120,15 @@ class Scorer:
         self.weights = model["weights"]
         self.curve = model["curve"]
         self.trie = LexiconTrie({t for t in self.weights if not t.endswith("*")}, {t[:-1] for t in self.weights if t.endswith("*")})
+        self.exact_only = frozenset(model.get("exact_only", ()))
         self.memo: dict[str, tuple[str, bool] | None] = {}
 
+    def match(self, word: str) -> tuple[str, bool] | None:
+        found = self.trie.find(word)
+        return None if found and not found[1] and found[0] in self.exact_only else found
+
     def evidence(self, text: str | None) -> tuple[float, list[str]]:
-        words, memo, find, hit = tokens(text), self.memo, self.trie.find, {}
+        words, memo, find, hit = tokens(text), self.memo, self.match, {}
         for w in set(words):
             if w not in memo:
                 if len(memo) >= _MEMO_MOST:
@@ -133,14 +138,14 @@ class Scorer:
                 hit[w] = memo[w]
         if not hit:
             return 0.0, []
-        best: dict[str, float] = {}
+        worth: dict[str, list[float]] = {}
         low = text.lower()
         for i, m in enumerate(_TOKEN.finditer(low)):
             if m[0] in hit:
                 term, exact = hit[m[0]]
-                worth = self.weights[term] * (1 if exact else FUZZY) * _context(words, i, low, m.start())
-                best[term] = max(best.get(term, 0.0), worth)
-        return sum(best.values()), sorted(best)
+                worth.setdefault(m[0], []).append(self.weights[term] * (1 if exact else FUZZY) * _context(words, i, low, m.start()))
+        # Each form counts by its best context, and repeats add less and less.
+        return sum(max(w) * (1 + math.log(len(w))) for w in worth.values()), sorted({hit[w][0] for w in worth})
 
     def score(self, evidence: float) -> float:
         if self.curve is None:
@@ -168,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
-        return {"weights": {}, "curve": None}
+        return {"weights": {}, "curve": None, "exact_only": []}
 
     def units(batches):
         counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -196,20 +201,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     good = good.filter((F.col("toxic") + 0.5) / (n_toxic + 1) > 9 * (F.col("clean") + 0.5) / (n_clean + 1))
     rows = good.orderBy(F.desc("ratio"), "unit").limit(MOST_TERMS).collect()
     weights: dict[str, float] = {}
+    words = [(r["unit"], r["toxic"]) for r in rows if not r["unit"].endswith("*")]
     for r in sorted(rows, key=lambda r: (-r["ratio"], not r["unit"].endswith("*"), len(r["unit"]), r["unit"])):
         u = r["unit"]
-        # A word or longer stem that adds nothing to a stem that is in already is left out, as is a stem of one word alone.
-        if any(u[:k] + "*" in weights for k in STEMS if len(u.rstrip("*")) > k):
+        weight = min(6.0, math.log((r["toxic"] + 0.5) / (n_toxic + 1)) - math.log((r["clean"] + 0.5) / (n_clean + 1)))
+        # A word or longer stem is left out if it tells little more than a stem that is in, as is a stem of one word alone.
+        if any(weight < weights.get(u[:k] + "*", -9.0) + 0.7 for k in STEMS if len(u.rstrip("*")) > k and u[:k] + "*" in weights):
             continue
-        if u.endswith("*") and any(w.startswith(u[:-1]) and abs(q["toxic"] - r["toxic"]) <= 0.02 * r["toxic"] for w, q in ((x["unit"], x) for x in rows) if not w.endswith("*")):
+        if u.endswith("*") and any(w.startswith(u[:-1]) and abs(n - r["toxic"]) <= 0.02 * r["toxic"] for w, n in words):
             continue
-        weights[u] = min(6.0, math.log((r["toxic"] + 0.5) / (n_toxic + 1)) - math.log((r["clean"] + 0.5) / (n_clean + 1)))
-    plain = {"weights": weights, "curve": (0.0, 1.0)}
+        weights[u] = weight
+    plain = {"weights": weights, "curve": (0.0, 1.0), "exact_only": []}
+
+    def fuzzy(batches):
+        scorer, counts = Scorer(plain), (Counter(), Counter())
+        for b in batches:
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                counts[y].update({m[0] for m in map(scorer.match, set(tokens(t))) if m and not m[1]})
+        yield _counted(counts)
+
+    # Terms whose neighbours within one edit are words of clean texts are matched exactly alone.
+    beside = sample.mapInArrow(fuzzy, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    plain["exact_only"] = sorted(r["unit"] for r in beside.filter((F.col("clean") > 1) & (F.col("clean") / n_clean > 0.1 * F.col("toxic") / n_toxic)).collect())
 
     def evidence(batches):
         scorer = Scorer(plain)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([round(min(20.0, scorer.evidence(t)[0]), 1) for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], names=["x", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([round(min(60.0, scorer.evidence(t)[0]), 1) for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], names=["x", "toxic"])
 
     seen = sample.mapInArrow(evidence, "x double, toxic int").groupBy("x", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
     return plain | {"curve": _logistic([(r["x"], r["toxic"], r["n"]) for r in sorted(seen, key=lambda r: (r["x"], r["toxic"]))])}
