@@ -128,7 +128,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key, gone = fresh("id", docs.columns), fresh("doomed", docs.columns)
     n_lines, n_dropped = fresh("n_lines", docs.columns), fresh("n_dropped", docs.columns)
     doomed = doomed.select(F.col("id").alias(key), F.col("doomed").alias(gone))
-    out = docs.join(sized(doomed, F.size(gone) * 8 + 16), F.col(id_col).eqNullSafe(F.col(key)), "left")
+    # The small side is hashed within each partition, so the texts are dealt once and not sorted.
+    out = docs.join(doomed.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(key)), "left")
     lines = lines_of(F.col(text_col))
 
     def stays(line: Column) -> Column:

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_runs, mixing, piece_transducer, simhash, toxicity
-from .common import cut, fold
+from . import cross_polytope, interpolated_lm, license_scan, line_runs, mixing, piece_transducer, secret_forest, simhash, toxicity, weighted_sampling
+from .common import fold
 
 #: A model file of merges; a parameter of the deployment, read by the driver.
 PIECE_MODEL = os.environ.get("FOLIOFLOW_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -34,6 +34,25 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(docs).select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
+def op3_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return interpolated_lm.score_texts(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op4_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return cross_polytope.nearest_neighbours(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_transducer.encode(docs, piece_model(), keep_text=False).select("doc_id", "n_pieces", "ids", "round_trip")
@@ -45,6 +64,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_forest.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = F.transform("findings", lambda f: F.struct(f["word"].alias("word"), F.sha2(f["value"], 256).alias("value_sha256"), f["probability"].alias("probability")))
+    return out.select("doc_id", "n_candidates", F.size("findings").cast("long").alias("n_findings"), found.alias("findings"), "score")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -53,7 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_simhash, op7_pieces, op8_line_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_interpolated_lm, op4_weighted_sampling, op5_license_scan, op6_nearest, op7_pieces, op8_line_dedup, op9_secrets, op10_toxicity)}
 
 
 _OP1 = r"""
