@@ -20,12 +20,14 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, fold, fresh, small_batches
+from .simhash import shingle_hashes, words_of
 
 #: Labelled documents of each class that a model is fitted to, at most.
 PER_CLASS = 6000
@@ -46,6 +48,8 @@ QUOTES = "\"“”„«»"
 
 _TOKEN = re.compile(r"[^\W_](?:[\w@$*!]*[^\W_])?")
 _MEMO_MOST = 300_000
+#: Odd factors that order word runs anew.
+_ODD = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD1B54A32D192ED03]
 
 
 def tokens(text: str | None) -> list[str]:
@@ -64,11 +68,15 @@ class LexiconTrie:
                 node = node.setdefault(c, {})
             node[""] = w
         self.stem_sizes = sorted({len(s) for s in stems}, reverse=True)
-        # A word within one edit of a term has its first or its second half unchanged.
-        self.heads, self.tails = {w[: len(w) // 2] for w in words if len(w) >= 5}, {w[len(w) // 2 :] for w in words if len(w) >= 5}
-        self.head_sizes, self.tail_sizes = sorted({len(h) for h in self.heads}), sorted({len(t) for t in self.tails})
+        # A word within one edit of a term shares with it itself or what is left of one of them, or of both, without one letter.
+        self.cores = {c for w in words if len(w) >= 5 for c in self._cores(w)}
+        self.shortest = min((len(w) for w in words if len(w) >= 5), default=0)
         self.longest = max((len(w) for w in words), default=0)
 
+    @staticmethod
+    def _cores(word: str) -> list[str]:
+        return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
+
     def near(self, word: str) -> str | None:
         """The least term of five letters or more within one edit of word.
 
@@ -96,7 +104,7 @@ class LexiconTrie:
         for n in self.stem_sizes:
             if len(word) > n and word[:n] in self.stems:
                 return word[:n] + "*", True
-        if 4 <= len(word) <= self.longest + 1 and (any(word[:n] in self.heads for n in self.head_sizes) or any(word[-n:] in self.tails for n in self.tail_sizes)):
+        if self.shortest - 1 <= len(word) <= self.longest + 1 and not self.cores.isdisjoint(self._cores(word)):
             term = self.near(word)
             if term:
                 return term, False
@@ -161,15 +169,34 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, held
     if held_out:
         own = own.filter(fold(F.col("label_id"), held_out) != 0)
     order = [F.xxhash64("label_id"), F.col("label_id")]
+    own = cut(own)
     own = own.filter("toxic = 1").orderBy(*order).limit(per_class).unionByName(own.filter("toxic = 0").orderBy(*order).limit(per_class))
     # At most 2 * per_class rows of two numbers are broadcast.
     return docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(cut(own)), "label_id").select("text", "toxic")
 
 
+def _one_of_copies(sample: DataFrame) -> DataFrame:
+    """sample without copies and most near copies, whose words would seem typical of their class: one row stays of those that agree in a minimum of hashed word runs."""
+
+    def keyed(batches):
+        for b in batches:
+            texts = b.column(0).to_pylist()
+            runs = [shingle_hashes(words_of(t), 5) for t in texts]
+            least = [[int((h * np.uint64(k) if len(h) else np.zeros(1, np.uint64)).min() >> np.uint64(1)) for h in runs] for k in _ODD]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int64()) for x in least)], names=["text", "toxic", *(f"h{i}" for i in range(len(_ODD)))])
+
+    rows = sample.select("text", "toxic").mapInArrow(keyed, "text string, toxic int, " + ", ".join(f"h{i} long" for i in range(len(_ODD)))).withColumn("t", F.xxhash64("text"))
+    for i in range(len(_ODD)):
+        rows = rows.groupBy("toxic", f"h{i}").agg(F.min_by(F.struct("text", "t", *(f"h{j}" for j in range(i + 1, len(_ODD)))), "t").alias("r")).select("toxic", "r.*")
+    return rows.select("text", "toxic")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 5, per_class: int = PER_CLASS) -> dict:
     """The model: weights of terms and the curve. Its size is bounded by MOST_TERMS."""
     small_batches(docs.sparkSession)
     sample = cut(_sample(docs, labels, id_col, text_col, held_out, per_class))
+    share = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = cut(_one_of_copies(sample))
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
@@ -230,14 +257,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array([round(min(60.0, scorer.evidence(t)[0]), 1) for t in b.column(0).to_pylist()], pa.float64()), b.column(1)], names=["x", "toxic"])
 
     seen = sample.mapInArrow(evidence, "x double, toxic int").groupBy("x", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
-    return plain | {"curve": _logistic([(r["x"], r["toxic"], r["n"]) for r in sorted(seen, key=lambda r: (r["x"], r["toxic"]))])}
+    # Copies count again for the curve, as far as the classes' sizes go.
+    return plain | {"curve": _logistic([(r["x"], r["toxic"], r["n"] * share[r["toxic"]] / n[r["toxic"]]) for r in sorted(seen, key=lambda r: (r["x"], r["toxic"]))])}
 
 
-def _logistic(rows: list[tuple[float, int, int]], ridge: float = 0.05) -> tuple[float, float]:
-    """Newton's method for a + b * x; ridge keeps separable data finite."""
-    a, b = 0.0, 0.5
+def _logistic(rows: list[tuple[float, int, float]], centre: tuple[float, float] = (-4.0, 1.0), pull: float = 0.007) -> tuple[float, float]:
+    """Newton's method for a + b * x, pulled to a centre: labels that any curve separates would put its middle
+    far from clean texts, and a text with one plain term would pass as clean."""
+    r = 1 + pull * sum(n for _, _, n in rows)
+    a, b = centre
     for _ in range(50):
-        ga, gb, haa, hab, hbb = ridge * -a * 0.1, -ridge * (b - 1), ridge * 0.1, 0.0, ridge
+        ga, gb, haa, hab, hbb = r * (centre[0] - a), r * (centre[1] - b), r, 0.0, r
         for x, y, n in rows:
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x))))
             v = n * p * (1 - p)
