@@ -242,6 +242,20 @@ def test_op6_different_norms_and_odd_vectors(spark):
     assert hits >= 0.9 * 20 * len(got)
 
 
+def test_op6_small_blocks_with_ties_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cross_polytope, "QUERIES", 7)
+    monkeypatch.setattr(cross_polytope, "BLOCK", 16)
+    x = np.random.default_rng(2).integers(-1, 2, (900, 8)).astype(float)
+    x[~x.any(1), 0] = 1.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in cross_polytope.nearest_neighbours(df, df.filter("vec_id % 20 = 0"), probed=1.0).collect():
+        got[r.query_id].append((r["rank"], r.score, r.vec_id))
+    for q in range(0, 900, 20):
+        best = sorted((-(x[q] @ x[i]), i) for i in range(900) if i != q)[:20]
+        assert sorted(got[q]) == [(k, -s, i) for k, (s, i) in enumerate(best, 1)]
+
+
 def test_op7_equals_the_library_and_round_trips(spark, docs):
     import sentencepiece
 
