@@ -15,7 +15,7 @@ all rows of the doc_id that stays); an empty table gives no rows; extra columns
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import accumulate, combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -163,6 +163,8 @@ SHINGLE_LONGS, WORD_LONGS = 8, 4
 #: Segments of the words' fingerprint. A pair of similarity 0.8 differs in about one word of 45, so that a segment
 #: of 25 bits differs in at most one bit at about even odds: all ten miss in a pair of a thousand.
 SEGMENTS, SEGMENT_BITS = 10, 25
+#: Rows of a crowded bucket that are held against one another's heads in one task.
+SHARE = 512
 
 
 def farthest(similarity: float = SIMILARITY, longs: int = SHINGLE_LONGS) -> int:
@@ -195,8 +197,50 @@ def _apart(x: str, y: str) -> F.Column:
     return sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(SHINGLE_LONGS)), F.lit(0))
 
 
+def lead(rows: DataFrame, most: int, salt: int) -> DataFrame:
+    """rows (seg, key, kind, full) of crowded buckets with head: the first kind before it in its share of the bucket that is near, or itself.
+
+    A bucket is dealt into shares of about SHARE rows, so that none, however crowded, is one task's, and a share's heads bound its memory.
+    """
+    size = cut(rows.groupBy("seg", "key").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARE)).alias("shares")))
+    share = F.pmod(F.xxhash64("kind", F.lit(salt)), F.col("shares")).cast("int")
+    by = ["seg", "key", "share"]
+    dealt = rows.join(size, ["seg", "key"]).select(F.col("seg").cast("int").alias("seg"), "key", share.alias("share"), "kind", "full").repartition(*by).sortWithinPartitions(*by, "kind")
+
+    def run(batches):
+        bucket, heads, names = None, np.zeros((0, SHINGLE_LONGS), np.uint64), np.zeros(0, np.int64)
+        for b in batches:
+            seg, key, part, kind = (b.column(k).to_numpy() for k in range(4))
+            full = b.column(4).flatten().to_numpy().view(np.uint64).reshape(-1, SHINGLE_LONGS)
+            head = kind.copy()
+            turns = np.flatnonzero((np.diff(seg) != 0) | (np.diff(key) != 0) | (np.diff(part) != 0)) + 1
+            for s, e in pairwise([0, *turns.tolist(), b.num_rows]):
+                if s == e:
+                    continue
+                if (seg[s], key[s], part[s]) != bucket:
+                    bucket, heads, names = (seg[s], key[s], part[s]), heads[:0], names[:0]
+                left = np.arange(s, e)
+                for x, name in zip(heads, names, strict=True):
+                    near = np.bitwise_count(full[left] ^ x).sum(1) <= most
+                    head[left[near]] = name
+                    left = left[~near]
+                new = []
+                while len(left):
+                    new.append(left[0])
+                    near = np.bitwise_count(full[left] ^ full[left[0]]).sum(1) <= most
+                    head[left[near]] = kind[left[0]]
+                    left = left[~near]
+                heads, names = np.concatenate([heads, full[new]]), np.concatenate([names, kind[new]])
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in (0, 1, 3, 4)] + [pa.array(head)], names=["seg", "key", "kind", "full", "head"])
+
+    return dealt.mapInArrow(run, "seg int, key long, kind long, full array<long>, head long")
+
+
 def similar(kinds: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """Edges a, b between kinds (cut: kind, segs, full) whose complete distance is that of the similarity or less."""
+    """Edges a, b between kinds (cut: kind, segs, full) whose complete distance is that of the similarity or less.
+
+    In a crowded bucket a member that is near to a head is linked to it and found through it; only heads are looked up there.
+    """
     most = farthest(similarity)
     table = cut(kinds.select("kind", "full", F.posexplode("segs").alias("seg", "key")))
     hot = cut(table.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("seg", "key"))
@@ -206,23 +250,15 @@ def similar(kinds: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD
     probes = table.select("seg", F.col("kind").alias("a"), "key", F.explode(flips).alias("m")).select("seg", "a", "m", F.col("key").bitwiseXOR(F.col("m")).alias("key"))
     keys = table.select("seg", F.col("key"), F.col("kind").alias("b"))
     if not hot.isEmpty():
-        rest = cut(table.join(hot, ["seg", "key"]))
         keys = keys.join(hot, ["seg", "key"], "left_anti")
-        heads = []
-        # In a crowded bucket all are held against its first member; what isn't near it goes on to the next round.
-        for _ in range(8):
-            first = rest.groupBy("seg", "key").agg(F.min(F.struct("kind", "full")).alias("f")).select("seg", "key", F.col("f.kind").alias("head"), F.col("f.full").alias("x"))
-            first = cut(first)
-            heads.append(first.select("seg", "key", F.col("head").alias("b")))
-            held = cut(rest.join(first, ["seg", "key"]).withColumn("near", near))
-            found.append(held.filter("near and kind <> head").select(F.col("head").alias("a"), F.col("kind").alias("b")))
-            rest = cut(held.filter("not near").select(*table.columns))
-            if rest.isEmpty():
-                break
-        # What is left after that is looked up as in any other bucket, as are the heads.
-        for more in [*heads, rest.select("seg", "key", F.col("kind").alias("b"))]:
-            keys = keys.unionByName(more)
-    pairs = probes.join(keys, ["seg", "key"]).filter((F.col("m") != 0) | (F.col("a") < F.col("b")))
+        rows = table.join(hot, ["seg", "key"]).select("seg", "key", "kind", "full")
+        # The second time, the heads of a bucket's shares meet among themselves.
+        for salt in (1, 2):
+            led = cut(lead(rows, most, salt))
+            found.append(led.filter("kind <> head").select(F.col("head").alias("a"), F.col("kind").alias("b")))
+            rows = led.filter("kind = head").select("seg", "key", "kind", "full")
+        keys = keys.unionByName(rows.select("seg", "key", F.col("kind").alias("b")))
+    pairs = probes.join(keys, ["seg", "key"]).filter((F.col("m") != 0) | (F.col("a") < F.col("b")) | F.lit(bool(found)) & (F.col("a") != F.col("b")))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     full = kinds.select("kind", "full")
     pairs = pairs.join(full.select(F.col("kind").alias("a"), F.col("full").alias("x")), "a").join(full.select(F.col("kind").alias("b"), "full"), "b").filter(near).select("a", "b")

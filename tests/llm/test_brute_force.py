@@ -125,6 +125,22 @@ def test_near_copies_go_and_others_stay(spark):
     assert left == {3 * k for k in range(60)} | {3 * k + 2 for k in range(60)}
 
 
+def test_crowded_near_copies_keep_one_of_each(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARE", 32)
+    rng = np.random.default_rng(11)
+    words, rows = [f"w{i}" for i in range(4000)], []
+    for k in range(3):
+        own = list(rng.choice(words, 300))
+        for i in range(300):
+            rows.append((1000 * k + i, " ".join([*own[:i], f"y{k}-{i}", *own[i + 1 :]])))
+    rows += [(9000 + i, " ".join(rng.choice(words, 100))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kinds = simhash.cut(simhash.signatures(df.select(df.doc_id.alias("id"), "text"), "text").selectExpr("id as kind", "segs", "full"))
+    assert kinds.selectExpr("posexplode(segs) as (seg, key)").groupBy("seg", "key").count().filter(f"count > {simhash.CROWD}").count() > 3
+    left = {r.doc_id for r in simhash.one_of_each(df).collect()}
+    assert left == {0, 1000, 2000, *range(9000, 9200)}
+
+
 def test_op3_language_model(spark, sf, docs):
     fold = lambda d: zlib.crc32(str(d).encode()) % 7
     tokens = {d: WORD.findall((t or "").translate(LOWER)) + [None] for d, t in docs}
