@@ -165,6 +165,8 @@ SHINGLE_LONGS, WORD_LONGS = 8, 4
 SEGMENTS, SEGMENT_BITS = 10, 25
 #: Rows of a crowded bucket that are held against one another's heads in one task.
 SHARE = 512
+#: Kinds in one bucket of a segment from which heads are held against its members, not all its pairs.
+KIND_CROWD = 16
 
 
 def farthest(similarity: float = SIMILARITY, longs: int = SHINGLE_LONGS) -> int:
@@ -236,7 +238,7 @@ def lead(rows: DataFrame, most: int, salt: int) -> DataFrame:
     return dealt.mapInArrow(run, "seg int, key long, kind long, full array<long>, head long")
 
 
-def similar(kinds: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+def similar(kinds: DataFrame, similarity: float = SIMILARITY, crowd: int = KIND_CROWD) -> DataFrame:
     """Edges a, b between kinds (cut: kind, segs, full) whose complete distance is that of the similarity or less.
 
     In a crowded bucket a member that is near to a head is linked to it and found through it; only heads are looked up there.
