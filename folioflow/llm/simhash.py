@@ -9,7 +9,7 @@ points of small balls around the rest of the fingerprint (link), which finds the
 
 Defined results: a null or wordless text has fingerprint zero and links as any other; equal texts link; a group's
 component_id is its smallest doc_id (null if all are null); rows that repeat get a row each (one_of_each keeps
-all rows of the doc_id that stays); an empty table gives no rows; extra columns pass through one_of_each.
+all of the group's rows of the doc_id that stays, or without one if none has any); an empty table gives no rows; extra columns pass through one_of_each.
 """
 
 from __future__ import annotations
@@ -175,22 +175,22 @@ def farthest(similarity: float = SIMILARITY, longs: int = SHINGLE_LONGS) -> int:
 
 
 def signatures(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs' ids with wide: the words' segments and the shingles' fingerprint."""
+    """docs' ids with text_key (the text's hash), the words' segments and the shingles' fingerprint."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             segs, full = [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 words = words_of(t.as_py())
                 distinct = sorted(set(words))
                 seen = majority(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in distinct), np.uint64, len(distinct)), WORD_LONGS)
                 bits = np.unpackbits(seen.view(np.uint8), bitorder="little")[: SEGMENTS * SEGMENT_BITS].reshape(SEGMENTS, SEGMENT_BITS)
                 segs.append((bits.astype(np.int64) << np.arange(SEGMENT_BITS)).sum(1).tolist())
                 full.append(majority(np.unique(shingle_hashes(words, SHINGLE)), SHINGLE_LONGS).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(segs, pa.list_(pa.int64())), pa.array(full, pa.list_(pa.int64()))], names=["id", "segs", "full"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(segs, pa.list_(pa.int64())), pa.array(full, pa.list_(pa.int64()))], names=["id", "text_key", "segs", "full"])
 
-    return docs.select("id", F.col(text_col).alias("text")).mapInArrow(run, "id long, segs array<long>, full array<long>")
+    return docs.select("id", F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, "id long, text_key long, segs array<long>, full array<long>")
 
 
 def _apart(x: str, y: str) -> F.Column:
@@ -269,14 +269,23 @@ def similar(kinds: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Rows id, component_id: one for each document. Kinds are the distinct pairs of fingerprints; copies of a text are one kind."""
+    return _grouped(docs, id_col, text_col, similarity).select("id", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """Rows id, fp, component_id; text_key, the text's hash, tells the rows of one id apart."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col))
     each = cut(signatures(rows, text_col).withColumn("fp", F.xxhash64("segs", "full")))
     kinds = cut(each.groupBy(F.col("fp").alias("kind")).agg(F.first("segs").alias("segs"), F.first("full").alias("full")))
-    return group(each.select("id", "fp"), similar(kinds, similarity)).select("id", "component_id")
+    return group(each.select("id", "text_key", "fp"), similar(kinds, similarity))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs without all but one document of each near-duplicate group: that of the smallest doc_id stays."""
-    gone = near_groups(docs, id_col, text_col, similarity).filter(~F.col("id").eqNullSafe(F.col("component_id")))
-    key = fresh("gone_id", docs.columns)
-    return docs.join(cut(gone.select(F.col("id").alias(key)).distinct()), F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left_anti")
+    """docs without all but one document of each near-duplicate group: that of the smallest doc_id stays.
+
+    Rows go by doc_id and text: another text of the same doc_id, or without one, is in a group of its own.
+    """
+    gone = _grouped(docs, id_col, text_col, similarity).filter(~F.col("id").eqNullSafe(F.col("component_id")))
+    key, text_key = fresh("gone_id", docs.columns), fresh("gone_text", docs.columns)
+    gone = cut(gone.select(F.col("id").alias(key), F.col("text_key").alias(text_key)).distinct())
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(text_col) == F.col(text_key)), "left_anti")

@@ -98,3 +98,12 @@ def test_only_row_is_its_own_next(spark):
 def test_equal_texts_have_equal_fingerprints(spark):
     out = weighted_sampling.fingerprints(rows(spark)).filter(F.col("doc_id") == 3).collect()
     assert len({r.fingerprint for r in out}) == 1
+
+
+def test_only_rows_of_the_group_go(spark):
+    docs = rows(spark).filter("doc_id is null or doc_id < 10")
+    left = sorted((r.doc_id or 0, r.text or "") for r in simhash.one_of_each(docs).collect())
+    # The wordless ones are a group, whose least doc_id is 1; the other text without doc_id is in none.
+    assert left == sorted([(0, "some text here"), (1, ""), (3, "one"), (3, "one"), (3, "one"), (5, LONG)])
+    two = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (2, "quite another text of this one")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text[0]) for r in simhash.one_of_each(two).collect()) == [(1, "a"), (2, "q")]
