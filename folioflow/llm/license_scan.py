@@ -1,9 +1,10 @@
 """License scans by a positional index of rare words, with DataFrame expressions only.
 
 Templates are indexed by word: postings of (template, position). The document frequencies of the index's words over the
-whole corpus give their IDF. For each text its words of highest IDF among those of the index are looked up, each
-occurrence less its posting's position is where a template would begin, and there the template's other postings are intersected
-by relative position; a candidate is confirmed if its mandatory key phrase stands in place. Three base phrases are counted as such.
+whole corpus give their IDF. Of each template's mandatory key phrase the word of highest IDF is looked up in every text, each
+occurrence less its posting's position is where the template would begin, and there the template's other postings are intersected
+by relative position; a candidate is confirmed if its key phrase stands in place. A key phrase that stands holds its word, so
+none is missed, whatever the IDFs and however many licences a text has. Three base phrases are counted as such.
 
 A text is one row throughout, in linear time: nothing is shuffled but the frequencies of the index's words.
 
@@ -42,8 +43,6 @@ TEMPLATES = [
 ]
 #: Words that are in every text and never looked up.
 COMMON = frozenset("0 1 2 3 4 a all and any are as by except file following for form in into is may met not of or person person's provided purpose that the this to under use v version with without work you".split())
-#: Words of a text that are looked up, by falling IDF.
-LOOKED_UP = 8
 _FAR = 1 << 40
 
 
@@ -52,6 +51,10 @@ def _distinctive() -> list[str]:
     return sorted(words - COMMON)
 
 
+def _start(parts: list[str], key: list[str]) -> int:
+    return next(i for i in range(len(parts)) if parts[i : i + len(key)] == key)
+
+
 def _one_of(words: Column, i: Column, off: int, word: str) -> Column:
     return F.coalesce(F.get(words, i + off) == word, F.lit(False)) & (i + off >= 0)
 
@@ -76,7 +79,7 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
 def scan(docs: DataFrame, text_col: str = "text", idf: dict[str, float] | None = None) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels, score and spans (label and first word of what the index found)."""
     idf = frequencies(docs, text_col) if idf is None else idf
-    names = {c: fresh(c, docs.columns) for c in ("words", "at", "rare", "begin", "found", "base", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
+    names = {c: fresh(c, docs.columns) for c in ("words", "at", "begin", "found", "base", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
     words, at = F.col(names["words"]), F.col(names["at"])
     out = _with_words(docs, text_col, names["words"], names["at"])
     none = F.array().cast("array<int>")
@@ -90,20 +93,20 @@ def scan(docs: DataFrame, text_col: str = "text", idf: dict[str, float] | None =
     some = F.size(at) > 0
     base = F.array(*[F.struct(F.lit(label).alias("label"), F.when(some, places(p)).otherwise(none).alias("at")) for p, label in BASE.items()])
     out = out.withColumn(names["base"], base)
-    # The text's words of the index by falling IDF, equal ones by the word.
-    ranked = [w for w in sorted(idf, key=lambda w: (-idf[w], w))]
-    mine = F.array_distinct(F.transform(at, lambda i: F.get(words, i)))
-    rare = F.slice(F.filter(F.array(*map(F.lit, ranked)), lambda w: F.array_contains(mine, w)), 1, LOOKED_UP)
-    out = out.withColumn(names["rare"], F.when(some, rare).otherwise(F.array().cast("array<string>")))
-    postings = {w: [(t, k) for t, (_, _, text) in enumerate(TEMPLATES) for k, x in enumerate(text.split()) if x == w] for w in ranked}
+    # Of each key phrase the word of highest IDF, of equal ones the first; positions are those in the template.
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, phrase, text) in enumerate(TEMPLATES):
+        key, k0 = phrase.split(), _start(text.split(), phrase.split())
+        j = max((j for j, w in enumerate(key) if w in idf), key=lambda j: (idf[key[j]], -j))  # noqa: B023
+        postings.setdefault(key[j], []).append((t, k0 + j))
     index = F.create_map(*[x for w, found in postings.items() for x in (F.lit(w), F.array(*[F.lit(t * _FAR - k).cast("long") for t, k in found]))])
-    looked_up = F.filter(at, lambda i: F.array_contains(F.col(names["rare"]), F.get(words, i)))
+    looked_up = F.filter(at, lambda i: F.get(words, i).isin(sorted(postings)))
     begins = F.array_distinct(F.flatten(F.transform(looked_up, lambda i: F.transform(F.coalesce(F.element_at(index, F.get(words, i)), F.array().cast("array<bigint>")), lambda p: p + i))))
     out = out.withColumn(names["begin"], F.when(some, begins).otherwise(F.array().cast("array<bigint>")))
     found = []
     for t, (label, phrase, text) in enumerate(TEMPLATES):
         parts, key = text.split(), phrase.split()
-        k0 = next(i for i in range(len(parts)) if parts[i : i + len(key)] == key)
+        k0 = _start(parts, key)
         near = F.transform(F.filter(F.col(names["begin"]), lambda b: (b > t * _FAR - (_FAR >> 1)) & (b < t * _FAR + (_FAR >> 1))), lambda b: (b - t * _FAR).cast("int"))  # noqa: B023
         sure = F.filter(near, lambda i: _all(words, i, [(k0 + j, w) for j, w in enumerate(key)]))  # noqa: B023
         weights = [(k, w, max(idf[w], 0.0) + 1e-6) for k, w in enumerate(parts) if w in idf]
@@ -125,7 +128,7 @@ def scan(docs: DataFrame, text_col: str = "text", idf: dict[str, float] | None =
         names["score"]: F.least(F.lit(1.0), score),
         names["spans"]: F.transform(F.coalesce(F.col(names["found"]), F.array().cast("array<struct<label:string,at:int,cover:double>>")), lambda f: F.struct(f["label"].alias("label"), f["at"].alias("at"))),
     })
-    return out.drop(*[names[c] for c in ("words", "at", "rare", "begin", "found", "base")])
+    return out.drop(*[names[c] for c in ("words", "at", "begin", "found", "base")])
 
 
 def _all(words: Column, i: Column, parts: list[tuple[int, str]]) -> Column:

@@ -227,6 +227,15 @@ def test_op5_finds_each_template(spark):
         assert label in got[i].labels.split(",") and got[i].score >= 0.75
 
 
+def test_op5_finds_all_templates_of_one_text(spark):
+    rows = [(0, " --- ".join(t for _, _, t in license_scan.TEMPLATES)), (1, " ... ".join(p for _, p, _ in reversed(license_scan.TEMPLATES)))]
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert {label for label, _, _ in license_scan.TEMPLATES} <= set(r.labels.split(","))
+        words = re.findall(r"[a-z0-9]+", r.text)
+        want = {(label, i) for label, p, _ in license_scan.TEMPLATES for i in range(len(words)) if words[i : i + len(p.split())] == p.split()}
+        assert {(s.label, s.at) for s in r.spans} == want
+
+
 def test_op6_recall_and_exact_scores(spark, sf):
     rows = [(r.vec_id, r.embedding) for r in queries.table(spark, sf, "embeddings").collect()]
     x = {i: np.array(v, np.float64) for i, v in rows}
