@@ -2,8 +2,9 @@
 
 Each table rotates vectors by three rounds of random signs and a fast Hadamard transform and assigns them to the nearest
 signed axis. A query probes, in every table, the axes nearest to it (multiprobe); what any table holds there is a candidate, and candidates
-are ranked by their exact inner products with the original vectors. If norms differ, vectors get a further component that makes all
-norms equal, so that the largest inner product is the nearest direction.
+are ranked by their exact inner products with the original vectors. If norms differ, rows are parted into bands of similar norm and get
+a further component that makes all norms of a band equal, so that in each the largest inner product is the nearest direction. Bands are
+probed apart: those of the longest rows, which are near in many directions, on all axes, so that every query meets MET rows or all.
 
 Queries are a stated set and meet all rows in blocks: a task holds a chunk of queries and streams its part of the rows past them,
 keeping the best of each query, so that it emits NEAREST rows for each at most.
@@ -31,6 +32,8 @@ BLOCK, QUERIES = 1024, 4096
 #: the end are PARTS x NEAREST for each query however many rows there are; more queries make more chunks.
 PARTS = 32
 NEAREST = 20
+#: Norms of a band differ by this factor at most; the longest bands that together have MET rows are met by every query.
+BAND, MET = 2**0.5, 10 * NEAREST
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -50,23 +53,35 @@ def axes(x: np.ndarray, table: int, seed: int = 7) -> np.ndarray:
     return np.concatenate([x, -x], 1)
 
 
-def _padded(x: np.ndarray, longest: float, further: bool) -> np.ndarray:
-    """x of unit norm at most, with the further component if it is needed, padded to a power of two."""
-    if further:
-        norms = (x * x).sum(1) / longest**2
-        x = np.concatenate([x / longest, np.sqrt(np.maximum(0.0, 1.0 - norms))[:, None]], 1)
+def _padded(x: np.ndarray, longest: np.ndarray | None = None) -> np.ndarray:
+    """x padded to a power of two, with the further component that makes norms equal to longest if that is given."""
+    if longest is not None:
+        x = x / longest[:, None]
+        x = np.concatenate([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(1)))[:, None]], 1)
     size = 1 << max(1, (x.shape[1] - 1).bit_length())
     return np.pad(x, ((0, 0), (0, size - x.shape[1])))
 
 
+class Bands:
+    """Bands of norm of the rows of one length: least and longest norm of each, rising, and whether all its rows are met."""
+
+    def __init__(self, bands: list[tuple[float, float, int]], met: int = MET):
+        bands = sorted(bands)
+        self.least, self.longest = (np.array([b[k] for b in bands]) for k in (0, 1))
+        longer = np.cumsum([0, *(n for _, _, n in reversed(bands))])[:-1][::-1]
+        self.met = longer < met
+        self.further = bool(self.longest[-1] - self.least[0] > 1e-6 * self.longest[-1])
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return np.maximum(0, np.searchsorted(self.least, np.sqrt((x * x).sum(1)), "right") - 1)
+
+
 class Search:
     """A chunk of queries and the nearest rows that it has met so far; rows come in blocks of any order."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, nearest: int, longest: float, further: bool, tables: int, probed: float):
-        self.ids, self.q, self.nearest, self.longest, self.further = ids, q, nearest, longest, further
-        own = _padded(q, longest, False)
-        size = _padded(np.zeros((1, q.shape[1])), longest, further).shape[1]
-        own = np.pad(own, ((0, 0), (0, size - own.shape[1])))
+    def __init__(self, ids: np.ndarray, q: np.ndarray, nearest: int, bands: Bands, tables: int, probed: float):
+        self.ids, self.q, self.nearest, self.bands = ids, q, nearest, bands
+        own = _padded(np.pad(q, ((0, 0), (0, int(bands.further)))))
         self.probes = []
         for t in range(tables):
             near = axes(own, t)
@@ -77,7 +92,10 @@ class Search:
         self.least = np.full(len(q), -np.inf)
 
     def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
-        rows, candidate = _padded(x, self.longest, self.further), np.zeros((len(self.q), len(x)), bool)
+        band, candidate = self.bands.of(x), np.zeros((len(self.q), len(x)), bool)
+        rows = _padded(x, self.bands.longest[band] if self.bands.further else None)
+        if self.bands.further:
+            candidate |= self.bands.met[band][None, :]
         for t, probed in enumerate(self.probes):
             candidate |= probed[:, axes(rows, t).argmax(1)]
         candidate &= self.ids[:, None] != ids[None, :]
@@ -117,9 +135,13 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "ve
 
     x, q = valid(vectors), valid(queries)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
-    n, longest, shortest = x.agg(F.count(F.lit(1)), F.max(norm), F.min(norm)).first()
+    # One row for each length and band: doubles have no more than some 4200 bands.
+    band = F.floor(F.log(norm) / F.lit(float(np.log(BAND))))
+    parted: dict[int, list[tuple[float, float, int]]] = {}
+    for r in x.groupBy(F.size("v").alias("size"), band.alias("band")).agg(F.min(norm).alias("least"), F.max(norm).alias("longest"), F.count(F.lit(1)).alias("n")).collect():
+        parted.setdefault(r["size"], []).append((r["least"], r["longest"], r["n"]))
+    bands = {size: Bands(own) for size, own in parted.items()}
     chunks = max(1, -(-q.count() // QUERIES))
-    longest, further = longest or 1.0, bool(n) and longest - shortest > 1e-6 * longest
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     x = x.select("id", "v", F.size("v").alias("size"), F.lit(1).alias("kind"), place(PARTS).alias("part"), every(chunks).alias("chunk"))
@@ -145,7 +167,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "ve
                     waiting.append((ids[s:e], v))
                     continue
                 if waiting and not search:
-                    search = Search(np.concatenate([i for i, _ in waiting]), np.concatenate([w for _, w in waiting]), nearest, longest, further, tables, probed)
+                    search = Search(np.concatenate([i for i, _ in waiting]), np.concatenate([w for _, w in waiting]), nearest, bands[int(size[s])], tables, probed)
                 for k in range(0, e - s, BLOCK) if search else ():
                     search.meet(ids[s:e][k : k + BLOCK], v[k : k + BLOCK])
         if search:

@@ -267,6 +267,21 @@ def test_op6_different_norms_and_odd_vectors(spark):
     assert hits >= 0.9 * 20 * len(got)
 
 
+@pytest.mark.parametrize("skew", ["one of 100", "one of 10", "log-normal"])
+def test_op6_skewed_norms(spark, skew):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 32))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x *= np.exp(rng.normal(size=(3000, 1))) if skew == "log-normal" else np.where(np.arange(3000) == 7, float(skew.split()[-1]), 1.0)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in cross_polytope.nearest_neighbours(df, df.filter("vec_id % 20 = 0")).collect():
+        got[r.query_id].append(r.vec_id)
+    assert {q: len(v) for q, v in got.items()} == dict.fromkeys(range(0, 3000, 20), 20)
+    best = lambda q: set([i for i in np.argsort(-(x @ x[q]), kind="stable").tolist() if i != q][:20])
+    assert sum(len(best(q) & set(v)) for q, v in got.items()) >= 0.95 * 20 * len(got)
+
+
 def test_op6_small_blocks_with_ties_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(cross_polytope, "QUERIES", 7)
     monkeypatch.setattr(cross_polytope, "BLOCK", 16)
