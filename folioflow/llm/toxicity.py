@@ -1,7 +1,8 @@
 """Toxicity: a lexicon trie met by Levenshtein automata, and scores of the context window.
 
 Terms (words, and stems that any ending may follow) are learned from labelled documents: those that occur in toxic
-ones so much more often than by chance that it holds for all the terms tried at once. A word of a text matches a term
+ones so much more often than by chance that it holds for all the terms tried at once; the words that a stem stands for are
+in the trie with the stem's weight, so that their misspellings are met too. A word of a text matches a term
 exactly, by its stem, or within one edit, found by walking the trie with the word's Levenshtein automaton. A match in
 quotation marks or after a word of reporting counts for less than one that is addressed to someone. The evidence of a
 text's matches is turned into a probability by a logistic curve fitted to the same labelled documents.
@@ -31,7 +32,7 @@ from .simhash import shingle_hashes, words_of
 
 #: Labelled documents of each class that a model is fitted to, at most.
 PER_CLASS = 6000
-#: Terms of a model, at most.
+#: Terms of a model that are learned, at most.
 MOST_TERMS = 2000
 #: Letters of a stem.
 STEMS = range(4, 8)
@@ -192,7 +193,7 @@ def _one_of_copies(sample: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 5, per_class: int = PER_CLASS) -> dict:
-    """The model: weights of terms and the curve. Its size is bounded by MOST_TERMS."""
+    """The model: weights of terms and the curve. Terms are MOST_TERMS at most, and the forms of their stems, of which the bounded sample has so many."""
     small_batches(docs.sparkSession)
     sample = cut(_sample(docs, labels, id_col, text_col, held_out, per_class))
     share = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -238,6 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if u.endswith("*") and any(w.startswith(u[:-1]) and abs(n - r["toxic"]) <= 0.02 * r["toxic"] for w, n in words):
             continue
         weights[u] = weight
+    weights |= _forms(tried, weights, prior)
     plain = {"weights": weights, "curve": (0.0, 1.0), "exact_only": []}
 
     def fuzzy(batches):
@@ -261,6 +263,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return plain | {"curve": _logistic([(r["x"], r["toxic"], r["n"] * share[r["toxic"]] / n[r["toxic"]]) for r in sorted(seen, key=lambda r: (r["x"], r["toxic"]))])}
 
 
+def _forms(tried: DataFrame, weights: dict[str, float], prior: float) -> dict[str, float]:
+    """The words of toxic texts that the stems in weights stand for, with the weight of the longest: a misspelling within a stem is near to the word alone."""
+    stems = {k: [u[:-1] for u in weights if u.endswith("*") and len(u) == k + 1] for k in STEMS}
+    if not any(stems.values()):
+        return {}
+    under = [F.substring("unit", 1, k).isin(own) & (F.length("unit") > k) for k, own in stems.items() if own]
+    covered = under[0]
+    for u in under[1:]:
+        covered |= u
+    rows = tried.filter(~F.col("unit").endswith("*") & covered & (F.col("toxic") > (F.col("toxic") + F.col("clean")) * prior)).select("unit").collect()
+    words = {r["unit"] for r in rows} - weights.keys()
+    return {w: next(weights[w[:k] + "*"] for k in reversed(STEMS) if len(w) > k and w[:k] + "*" in weights) for w in sorted(words)}
+
+
 def _logistic(rows: list[tuple[float, int, float]], centre: tuple[float, float] = (-4.0, 1.0), pull: float = 0.007) -> tuple[float, float]:
     """Newton's method for a + b * x, pulled to a centre: labels that any curve separates would put its middle
     far from clean texts, and a text with one plain term would pass as clean."""

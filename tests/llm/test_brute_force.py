@@ -382,6 +382,20 @@ def test_op10_context_and_misspellings():
     assert plain >= 0.5 and typo >= 0.5 and quoted < 0.5 and reported < 0.5 and clean < 0.1
 
 
+def test_op10_misspelled_forms_of_a_learned_stem(spark):
+    rng = np.random.default_rng(8)
+    plain = [f"{a}{b}{c}" for a in "blorn trask wend quil fost marp".split() for b in "ade ine ous ith".split() for c in ["", "ly", "en", "um"]]
+    forms = ["scumbag", "scumbags", "scumbaggy", "scummer"]
+    texts = [" ".join([*rng.choice(plain, 30), *([forms[i // 2 % 4]] if i % 2 else [])]) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int"), held_out=0)
+    assert any(t.endswith("*") and "scumbag".startswith(t[:-1]) for t in model["weights"])
+    scorer = toxicity.Scorer(model)
+    for word in ("scvmbag", "zcumbag", "scumbags", "scvmbags", "scvmmer"):
+        assert scorer.score(scorer.evidence(f"you are a {word} indeed")[0]) >= 0.5, word
+    assert scorer.score(scorer.evidence("blornade traskine wendous")[0]) < 0.5
+
+
 def test_op10_held_out_accuracy(spark, sf):
     sf = sf.replace("sf0.001", "sf0.1")
     label = {r.doc_id: r.toxic for r in queries.table(spark, sf, "labels").collect()}
