@@ -1,6 +1,8 @@
 """Secret scans: candidates by shape, false positives removed by a random forest, with DataFrame expressions only.
 
-A candidate is a word's value of ten characters or more that has a digit. Its features are its length, its transitions between
+Candidates are all values of a word: those that follow a key's name or a URL's user (six characters or more, of any kind but quotes, brackets
+and & , ; unless they stand in quotes; no digit is needed), also if the name is the word before, and others of ten characters or more of
+[A-Za-z0-9+/_.~-] that have a digit and stand between delimiters. A value's features are its length, its transitions between
 kinds of characters, its digits and distinct characters, how much of it a dictionary covers, what makes it a path, and what the
 neighbouring words say. The forest is trained on labelled findings (findings(), made by rule, or a table with the same columns of which
 the LABELLED rows of least hash are read) and becomes one expression of nested conditions, so that scanning is a projection of each row.
@@ -24,11 +26,17 @@ from .common import fresh
 #: Findings that a forest is trained on, at most.
 LABELLED = 20_000
 TREES, DEPTH, LEAST_LEAF = 15, 6, 5
-#: Values shorter than this are no candidates.
-LEAST = 10
+#: Values shorter than this are no candidates; after a key's name or a URL's user others than these.
+LEAST, LEAST_KEYED = 10, 6
 
 #: Shapes of words, of values and of their neighbours.
-VALUE = r"(?:^|[=:\"'`(\[{<,])([A-Za-z0-9+/_.~\-]{10,}=*)[\"'`)\]}>,;.!?]*$"
+VALUE = r"(?:^|[=:\"'`(\[{<,;&@?#|])([A-Za-z0-9+/_.~\-]{10,}=*)(?=[\"'`)\]}>,;.!?&@:#|<\\]|$)"
+#: A name's value, to the closing quote or a delimiter; the password of a URL's user; and a whole word after a name with = or :.
+_NAME = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?)(?:[_-]\w+|\d+)?"
+_TAIL = r"((?<=\")[^\"]{6,}(?=\")|(?<=')[^']{6,}(?=')|[^\s\"'`&,;<>(){}\[\]\\]{6,})"
+NAMED = rf"(?i){_NAME}\\?[\"'`]?[=:]\\?[\"'`]?{_TAIL}"
+USER = r"://[^/\s:@\"']*:([^/\s\"']{6,})@"
+AFTER_NAME = rf"(?i){_NAME}[\"']?(?:\s*[=:]|[=:][\"'])$"
 KEYED = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)[\"']?\s*[=:]?[\"']?$"
 KEYED_IN = r"(?i)^[\"'`(]*[\w.-]*(pass(word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)[\w-]*[\"']?[=:]"
 HARMLESS = r"(?i)(example|sample|dummy|placeholder|changeme|your|xxxx|test|commit|sha\d*|md5|hash|checksum|digest|uuid|guid|version|build|rev|isbn|phone|tel|order|ticket|invoice)[=:]?$"
@@ -81,7 +89,7 @@ def findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str, str, in
     keys = ["password", "passwd", "pwd", "secret", "token", "api_key", "access_key", "auth", "client_secret"]
     out = []
     for _ in range(n // 2):
-        kind, word, before, after = rng.randrange(6), "", f"{rng.choice(words)} {rng.choice(words)}", rng.choice(words)
+        kind, word, before, after = rng.randrange(8), "", f"{rng.choice(words)} {rng.choice(words)}", rng.choice(words)
         if kind == 0:
             value = word = rng.choice(["AKIA", "ASIA"]) + text(upper, 16, 16)
         elif kind == 1:
@@ -95,8 +103,13 @@ def findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str, str, in
             word = value
         elif kind == 4:
             value = word = rng.choice(["ghp_", "gho_", "sk_live_", "xoxb-", "AIza"]) + text(mixed, 32, 40)
-        else:
+        elif kind == 5:
             value = word = text(mixed + "+/", 36, 60) + rng.choice(string.digits)
+        else:
+            value = rng.choice([text(mixed + "$!%*^@#?", 6, 20), plain(), plain() + text("$!%*^@#?", 1, 2) + text(string.digits, 1, 4)])
+            word = f"{rng.choice(keys)}{rng.choice('=:')}{rng.choice(['', chr(34)])}{value}"
+            if kind == 7:
+                word, before = value, f"{rng.choice(words)} {rng.choice(keys)}{rng.choice('=:')}"
         out.append((value, word, before, after, 1))
     for _ in range(n - n // 2):
         kind, before, after = rng.randrange(9), f"{rng.choice(words)} {rng.choice(words)}", rng.choice(words)
@@ -181,14 +194,27 @@ def scan(docs: DataFrame, text_col: str = "text", trees: list | None = None, thr
     names = {c: fresh(c, docs.columns) for c in ("words", "places", "candidates", "n_candidates", "findings", "score")}
     words, places = F.col(names["words"]), F.col(names["places"])
     word = lambda i: F.get(words, i)
-    shaped = lambda i: (F.length(word(i)) >= LEAST) & word(i).rlike("[0-9]") & word(i).rlike(VALUE) & F.regexp_extract(word(i), VALUE, 1).rlike("[0-9]")
     out = docs.withColumn(names["words"], _words(F.col(text_col)))
-    out = out.withColumn(names["places"], F.filter(F.sequence(F.lit(0), F.size(words) - 1), shaped))
-
-    def candidate(i: Column) -> Column:
-        return F.struct(i.alias("word"), F.regexp_extract(word(i), VALUE, 1).alias("value"), word(i).alias("whole"), F.concat_ws(" ", _at(words, i - 2), _at(words, i - 1)).alias("before"), _at(words, i + 1).alias("after"))
-
-    out = out.withColumn(names["candidates"], F.transform(places, candidate))
+    before = lambda i: F.concat_ws(" ", _at(words, i - 2), _at(words, i - 1))
+    shaped = lambda i: (F.length(word(i)) >= LEAST) & word(i).rlike("[0-9]") & word(i).rlike(VALUE)
+    named = lambda i: (F.length(word(i)) > LEAST_KEYED) & word(i).rlike("[=:]") & (word(i).rlike(NAMED) | word(i).rlike(USER))
+    after_name = lambda i: (F.length(word(i)) >= LEAST_KEYED) & (_at(words, i - 1).rlike("[=:][\"']?$")) & before(i).rlike(AFTER_NAME)
+    out = out.withColumn(names["places"], F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: shaped(i) | named(i) | after_name(i)))
+
+    def candidates(i: Column) -> Column:
+        """All values of a word with what stands for it in the features: a named value its name, others the word without those."""
+        every = lambda text, pattern, group=1: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+        own = lambda value, whole: F.struct(i.alias("word"), value.alias("value"), whole.alias("whole"), before(i).alias("before"), _at(words, i + 1).alias("after"))
+        by_user = F.transform(every(word(i), USER), lambda v: own(v, F.concat(F.lit("password="), v)))
+        left = F.regexp_replace(word(i), USER, "://,")
+        by_name = F.zip_with(every(left, NAMED), every(left, NAMED, 0), own)
+        left = F.regexp_replace(left, NAMED, ",")
+        whole = F.regexp_replace(word(i), r"^[\"'`]+|[\"'`,;.]+$", "")
+        is_whole = after_name(i) & (F.size(by_name) == 0) & (F.size(by_user) == 0) & (F.length(whole) >= LEAST_KEYED)
+        others = F.transform(F.filter(every(left, VALUE), lambda v: v.rlike("[0-9]")), lambda v: own(v, left))
+        return F.when(is_whole, F.array(own(whole, word(i)))).otherwise(F.concat(by_user, by_name, others))
+
+    out = out.withColumn(names["candidates"], F.flatten(F.transform(places, candidates)))
     numbered = F.transform(F.col(names["candidates"]), lambda c: F.struct(c["word"].alias("word"), c["value"].alias("value"), F.array(*features(c["value"], c["whole"], c["before"], c["after"])).alias("x")))
     out = out.withColumn(names["candidates"], numbered)
     rated = F.transform(F.col(names["candidates"]), lambda c: F.struct(c["word"].alias("word"), c["value"].alias("value"), probability(trees, c["x"]).alias("probability")))

@@ -341,6 +341,24 @@ def test_op9_planted_secrets_and_harmless_strings(spark):
     assert got[1].findings[0].value == "b7db7aa4a5fcc78305" and got[1].findings[0].word == 1
 
 
+def test_op9_finds_all_values_of_a_word(spark):
+    from folioflow.llm import secret_forest
+
+    key = "ghp_Ab3dEf6hIj9kLm2nOp5qRs8tUv1wXy4zAb7d"
+    rows = [
+        ('{"api_key":"abcdef0123456789abcd","user":"bob"}', ["abcdef0123456789abcd"]),
+        (f"see https://h/x?token={key}&page=2 there", [key]),
+        ("postgres://admin:S3cr3tPassw0rd@db:5432/app", ["S3cr3tPassw0rd"]),
+        ("password=Sup3r$ecretPassw0rd1", ["Sup3r$ecretPassw0rd1"]),
+        ("password=correcthorsebattery", ["correcthorsebattery"]),
+        ("password: correcthorsebattery", ["correcthorsebattery"]),
+        (f'{{"token":"{key}","password":"a,b;Xc9$q"}}', [key, "a,b;Xc9$q"]),
+        ("author:Shakespeare and his tokenizer=sentencepiece of secretary:Johannes", []),
+    ]
+    for r in secret_forest.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect():
+        assert [f.value for f in r.findings] == rows[r.doc_id][1], r
+
+
 def test_op9_forest_generalises(spark):
     from folioflow.llm import secret_forest
 
