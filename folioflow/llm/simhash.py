@@ -14,8 +14,8 @@ all of the group's rows of the doc_id that stays, or without one if none has any
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import accumulate, combinations, pairwise
+from collections.abc import Callable, Iterator
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -158,126 +158,101 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 #: Near-duplicates share this part of their distinct five-word shingles or more.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Longs of the fingerprint of the shingles, whose complete distance decides, and of the words, whose segments are looked up.
-SHINGLE_LONGS, WORD_LONGS = 8, 4
-#: Segments of the words' fingerprint. A pair of similarity 0.8 differs in about one word of 45, so that a segment
-#: of 25 bits differs in at most one bit at about even odds: all ten miss in a pair of a thousand.
-SEGMENTS, SEGMENT_BITS = 10, 25
-#: Rows of a crowded bucket that are held against one another's heads in one task.
+#: Each band is a bucket key of so many minima of the hashed shingles. A minimum agrees in a pair as often as its similarity
+#: says, whatever the edits are: at 0.8 all bands miss in four pairs of 10000, at 0.85 in three of a million.
+BANDS, MINIMA = 20, 5
+#: Rows of a bucket that one head meets.
 SHARE = 512
+#: Rounds in which the parts of a bucket that are not connected yet meet a head, before all pairs between such parts are tested.
+ROUNDS = 2
+_FACTORS, _MIX = (np.random.default_rng(42 + k).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1) for k, n in enumerate((BANDS * MINIMA, MINIMA)))
 
 
-def farthest(similarity: float = SIMILARITY, longs: int = SHINGLE_LONGS) -> int:
-    """Bits in which the fingerprints of two sets of this Jaccard similarity differ, and a deviation more."""
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    bits = 64 * longs
-    return int(bits * angle + np.sqrt(bits * angle * (1 - angle)))
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The bands' keys of a set of hashes."""
+    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), BLOCK >> 6):
+        np.minimum(least, (hashes[i : i + (BLOCK >> 6), None] * _FACTORS).min(0), out=least)
+    return (_spread(least, 1).reshape(BANDS, MINIMA) * _MIX).sum(1, dtype=np.uint64).view(np.int64)
 
 
 def signatures(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs' ids with text_key (the text's hash), the words' segments and the shingles' fingerprint."""
+    """docs' ids with text_key (the text's hash), the bands' keys and the hashes of the distinct shingles."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            segs, full = [], []
-            for t in b.column(2):
-                words = words_of(t.as_py())
-                distinct = sorted(set(words))
-                seen = majority(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in distinct), np.uint64, len(distinct)), WORD_LONGS)
-                bits = np.unpackbits(seen.view(np.uint8), bitorder="little")[: SEGMENTS * SEGMENT_BITS].reshape(SEGMENTS, SEGMENT_BITS)
-                segs.append((bits.astype(np.int64) << np.arange(SEGMENT_BITS)).sum(1).tolist())
-                full.append(majority(np.unique(shingle_hashes(words, SHINGLE)), SHINGLE_LONGS).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(segs, pa.list_(pa.int64())), pa.array(full, pa.list_(pa.int64()))], names=["id", "text_key", "segs", "full"])
+            full = [np.unique(shingle_hashes(words_of(t.as_py()), SHINGLE)) for t in b.column(2)]
+            segs = [band_keys(h) for h in full]
+            arrays = [pa.array([h.view(np.int64) for h in x], pa.list_(pa.int64())) for x in (segs, full)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names=["id", "text_key", "segs", "full"])
 
     return docs.select("id", F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, "id long, text_key long, segs array<long>, full array<long>")
 
 
-def _apart(x: str, y: str) -> F.Column:
-    return sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(SHINGLE_LONGS)), F.lit(0))
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b) whose sets (kind, full, n) have the Jaccard similarity or more."""
+    side = lambda of, x: sets.select(F.col("kind").alias(of), F.col("full").alias(x), F.col("n").alias("n" + x))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(F.least("nx", "ny") >= F.greatest("nx", "ny") * similarity - 1e-9)
+    common = F.size(F.array_intersect("x", "y"))
+    return both.filter(common >= (F.col("nx") + F.col("ny") - common) * similarity - 1e-9).select("a", "b")
 
 
-def lead(rows: DataFrame, most: int, salt: int) -> DataFrame:
-    """rows (seg, key, kind, full) of crowded buckets with head: the first kind before it in its share of the bucket that is near, or itself.
+def similar(kinds: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+    """Edges a, b that connect those of kinds (kind, segs) that share a band and have the similarity, and chains of them.
 
-    A bucket is dealt into shares of about SHARE rows, so that none, however crowded, is one task's, and a share's heads bound its memory.
+    sets_of gives the rows kind, full of some kinds. Links within a part that is connected already change nothing, so that in each round a
+    bucket's parts are one row each, which meets a head; at the end all pairs between parts that are left apart are tested. Rounds change
+    the work alone, not what is connected.
     """
-    size = cut(rows.groupBy("seg", "key").agg(F.ceil(F.count(F.lit(1)) / F.lit(SHARE)).alias("shares")))
-    share = F.pmod(F.xxhash64("kind", F.lit(salt)), F.col("shares")).cast("int")
-    by = ["seg", "key", "share"]
-    dealt = rows.join(size, ["seg", "key"]).select(F.col("seg").cast("int").alias("seg"), "key", share.alias("share"), "kind", "full").repartition(*by).sortWithinPartitions(*by, "kind")
-
-    def run(batches):
-        bucket, heads, names = None, np.zeros((0, SHINGLE_LONGS), np.uint64), np.zeros(0, np.int64)
-        for b in batches:
-            seg, key, part, kind = (b.column(k).to_numpy() for k in range(4))
-            full = b.column(4).flatten().to_numpy().view(np.uint64).reshape(-1, SHINGLE_LONGS)
-            head = kind.copy()
-            turns = np.flatnonzero((np.diff(seg) != 0) | (np.diff(key) != 0) | (np.diff(part) != 0)) + 1
-            for s, e in pairwise([0, *turns.tolist(), b.num_rows]):
-                if s == e:
-                    continue
-                if (seg[s], key[s], part[s]) != bucket:
-                    bucket, heads, names = (seg[s], key[s], part[s]), heads[:0], names[:0]
-                left = np.arange(s, e)
-                for x, name in zip(heads, names, strict=True):
-                    near = np.bitwise_count(full[left] ^ x).sum(1) <= most
-                    head[left[near]] = name
-                    left = left[~near]
-                new = []
-                while len(left):
-                    new.append(left[0])
-                    near = np.bitwise_count(full[left] ^ full[left[0]]).sum(1) <= most
-                    head[left[near]] = kind[left[0]]
-                    left = left[~near]
-                heads, names = np.concatenate([heads, full[new]]), np.concatenate([names, kind[new]])
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in (0, 1, 3, 4)] + [pa.array(head)], names=["seg", "key", "kind", "full", "head"])
-
-    return dealt.mapInArrow(run, "seg int, key long, kind long, full array<long>, head long")
-
-
-def similar(kinds: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """Edges a, b between kinds (cut: kind, segs, full) whose complete distance is that of the similarity or less.
-
-    In a crowded bucket a member that is near to a head is linked to it and found through it; only heads are looked up there.
-    """
-    most = farthest(similarity)
-    table = cut(kinds.select("kind", "full", F.posexplode("segs").alias("seg", "key")))
-    hot = cut(table.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("seg", "key"))
-    near = _apart("x", "full") <= most
-    found = []
-    flips = F.filter(F.array(*[F.lit(m).cast("long") for m in (0, *_bit_masks(1, SEGMENT_BITS))]), lambda m: (m == 0) | (F.col("key").bitwiseAND(m) != 0))
-    probes = table.select("seg", F.col("kind").alias("a"), "key", F.explode(flips).alias("m")).select("seg", "a", "m", F.col("key").bitwiseXOR(F.col("m")).alias("key"))
-    keys = table.select("seg", F.col("key"), F.col("kind").alias("b"))
-    if not hot.isEmpty():
-        keys = keys.join(hot, ["seg", "key"], "left_anti")
-        rows = table.join(hot, ["seg", "key"]).select("seg", "key", "kind", "full")
-        # The second time, the heads of a bucket's shares meet among themselves.
-        for salt in (1, 2):
-            led = cut(lead(rows, most, salt))
-            found.append(led.filter("kind <> head").select(F.col("head").alias("a"), F.col("kind").alias("b")))
-            rows = led.filter("kind = head").select("seg", "key", "kind", "full")
-        keys = keys.unionByName(rows.select("seg", "key", F.col("kind").alias("b")))
-    pairs = probes.join(keys, ["seg", "key"]).filter((F.col("m") != 0) | (F.col("a") < F.col("b")) | F.lit(bool(found)) & (F.col("a") != F.col("b")))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    full = kinds.select("kind", "full")
-    pairs = pairs.join(full.select(F.col("kind").alias("a"), F.col("full").alias("x")), "a").join(full.select(F.col("kind").alias("b"), "full"), "b").filter(near).select("a", "b")
-    for more in found:
-        pairs = pairs.unionByName(more)
-    return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    table = kinds.select("kind", F.posexplode("segs").alias("seg", "key"))
+    shared = cut(table.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    table = cut(table.join(shared, ["seg", "key"]))
+    sets = cut(sets_of(table.select("kind").distinct()).select("kind", "full", F.size("full").alias("n")))
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    edges = tested = None
+    for k in range(rounds + 1):
+        members = table.withColumn("root", F.col("kind"))
+        if edges is not None:
+            roots = components(edges).withColumnRenamed("node", "kind")
+            members = cut(table.join(roots, "kind", "left").withColumn("root", F.coalesce("root", "kind")))
+        if k < rounds:
+            rank = F.struct(F.xxhash64("kind", F.lit(k)).alias("h"), F.col("kind").alias("kind"))
+            one = members.groupBy("seg", "key", "root").agg(F.min(rank)["kind"].alias("kind"), F.max("n").alias("n"))
+            one = cut(one.withColumn("share", F.pmod(F.xxhash64("kind", F.lit(rounds + k)), F.ceil(F.col("n") / F.lit(SHARE)))).drop("n"))
+            heads = one.groupBy("seg", "key", "share").agg(F.min(rank)["kind"].alias("a"))
+            pairs = one.join(heads, ["seg", "key", "share"]).filter("a <> kind").select("a", F.col("kind").alias("b"))
+        else:
+            apart = members.groupBy("seg", "key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("seg", "key")
+            left = cut(members.join(apart, ["seg", "key"]).select("seg", "key", "kind", "root"))
+            x, y = (left.select("seg", "key", F.col("kind").alias(c), F.col("root").alias("root_" + c)) for c in "ab")
+            pairs = x.join(y, ["seg", "key"]).filter("root_a < root_b").select("a", "b")
+        pairs = pairs.select(*pair).distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        more = _verified(pairs, sets, similarity)
+        edges = cut(more if edges is None else edges.unionByName(more))
+    return edges
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Rows id, component_id: one for each document. Kinds are the distinct pairs of fingerprints; copies of a text are one kind."""
+    """Rows id, component_id: one for each document. Kinds are the distinct sets of shingles; copies of a text are one kind."""
     return _grouped(docs, id_col, text_col, similarity).select("id", "component_id")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """Rows id, fp, component_id; text_key, the text's hash, tells the rows of one id apart."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col))
-    each = cut(signatures(rows, text_col).withColumn("fp", F.xxhash64("segs", "full")))
-    kinds = cut(each.groupBy(F.col("fp").alias("kind")).agg(F.first("segs").alias("segs"), F.first("full").alias("full")))
-    return group(each.select("id", "text_key", "fp"), similar(kinds, similarity))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    each = cut(signatures(rows, "text").select("id", "text_key", F.xxhash64("full").alias("fp"), "segs"))
+    kinds = cut(each.groupBy(F.col("fp").alias("kind")).agg(F.first("segs").alias("segs"), F.min(F.struct("text_key", "id")).alias("of")))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Of kinds that share a bucket alone, from one of their texts: whole sets take more room than the texts."""
+        of = kinds.join(wanted, "kind").select(F.col("of.text_key").alias("own_key"), F.col("of.id").alias("own_id"))
+        own = rows.join(of, (F.xxhash64("text") == F.col("own_key")) & F.col("id").eqNullSafe(F.col("own_id")), "left_semi")
+        return signatures(own, "text").select(F.xxhash64("full").alias("kind"), "full").dropDuplicates(["kind"])
+
+    return group(each.select("id", "text_key", "fp"), similar(kinds.select("kind", "segs"), sets_of, similarity))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

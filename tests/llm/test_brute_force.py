@@ -141,6 +141,21 @@ def test_crowded_near_copies_keep_one_of_each(spark, monkeypatch):
     assert left == {0, 1000, 2000, *range(9000, 9200)}
 
 
+def test_near_copies_with_an_added_passage_meet_at_their_exact_similarity(spark):
+    rng = np.random.default_rng(12)
+    words, rows, want = [f"w{i}" for i in range(20000)], [], set()
+    for k in range(150):
+        own = list(rng.choice(words, 200))
+        for j, more in enumerate((0, 44, 56)):  # similarities 1, 0.817 and 0.778
+            rows.append((3 * k + j, " ".join([*own, *rng.choice(words, more)])))
+            sets = [set(simhash.shingles(simhash.words_of(t), 5)) for t in (rows[3 * k][1], rows[-1][1])]
+            if j == 0 or len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1]):
+                want.add(3 * k + j)
+    assert want == {i for i in range(450) if i % 3 != 1}
+    left = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == want
+
+
 def test_op3_language_model(spark, sf, docs):
     fold = lambda d: zlib.crc32(str(d).encode()) % 7
     tokens = {d: WORD.findall((t or "").translate(LOWER)) + [None] for d, t in docs}
