@@ -156,6 +156,38 @@ def test_near_copies_with_an_added_passage_meet_at_their_exact_similarity(spark)
     assert left == want
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_rounds_of_heads_connect_the_same(spark, monkeypatch, rounds):
+    monkeypatch.setattr(simhash, "SHARE", 8)
+    rng = np.random.default_rng(13)
+    words, texts = [f"w{i}" for i in range(3000)], []
+    for _ in range(3):  # members near to some others only, in crowded buckets
+        own = list(rng.choice(words, 120))
+        for _ in range(30):
+            at = int(rng.integers(0, 100))
+            texts.append(" ".join([*own[:at], *rng.choice(words, int(rng.integers(1, 14))), *own[at + 6 :]]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    signed = simhash.cut(simhash.signatures(rows, "text").selectExpr("id as kind", "segs", "full"))
+    got = signed.collect()
+    parent = {r.kind: r.kind for r in got}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(got):
+        for b in got[:i]:
+            x, y = set(a.full), set(b.full)
+            if set(enumerate(a.segs)) & set(enumerate(b.segs)) and len(x & y) >= 0.8 * len(x | y):
+                parent[find(a.kind)] = find(b.kind)
+    prints = signed.selectExpr("kind as id", "kind as fp")
+    edges = simhash.similar(signed.select("kind", "segs"), lambda wanted: signed.join(wanted, "kind"), rounds=rounds)
+    of = {r.id: r.component_id for r in simhash.group(prints, edges).collect()}
+    parts = lambda f: {frozenset(k for k in parent if f(k) == r) for r in map(f, parent)}
+    assert parts(of.get) == parts(find) and 3 < len(parts(find)) < len(parent)
+
+
 def test_op3_language_model(spark, sf, docs):
     fold = lambda d: zlib.crc32(str(d).encode()) % 7
     tokens = {d: WORD.findall((t or "").translate(LOWER)) + [None] for d, t in docs}
