@@ -140,6 +140,12 @@ def think_strip(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.without_thoughts(raw).alias("answer"), F.length(T.widest_list(F.concat(F.lit("x ["), F.col("text"), F.lit("] y")))).cast("long").alias("widest"))
 
 
+@query(r"SELECT conv_id, turn, regexp_replace('<think>' || role || '</think>[' || text || ']<think>rest', '(?s)<think>.*?(</think>|$)', '', 'g') AS answer, length(regexp_extract('x [' || text || '] y', '(?s)\[.*\]')) AS widest FROM conversations")
+def think_strip_whole(spark, sf_dir):
+    raw = F.concat(F.lit("<think>"), F.col("role"), F.lit("</think>["), F.col("text"), F.lit("]<think>rest"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.without_thoughts(raw).alias("answer"), F.length(T.widest_list(F.concat(F.lit("x ["), F.col("text"), F.lit("] y")))).cast("long").alias("widest"))
+
+
 @query(r"SELECT doc_id, CASE WHEN length(regexp_replace(text, '\s', '', 'g')) > 0 THEN len(regexp_extract_all(text, '[가-힣]')) / length(regexp_replace(text, '\s', '', 'g')) ELSE 0.0 END AS ratio FROM documents")
 def hangul_ratio(spark, sf_dir):
     return dealt(spark, docs(spark, sf_dir, "doc_id", "text")).select("doc_id", T.hangul_ratio(F.col("text")).alias("ratio"))
@@ -378,6 +384,18 @@ def reply_align(spark, sf_dir):
     return R.align_replies(rows.select("conv_id", "ord"), got, "conv_id").select("conv_id", "ord", "text")
 
 
+@query("""WITH asked AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ord FROM conversations),
+got AS (SELECT conv_id, ord, CASE WHEN conv_id % 3 = 0 THEN 1 ELSE ord END AS id, text FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ord, text, turn FROM conversations) WHERE conv_id % 3 = 0 OR turn % 4 <> 3),
+how AS (SELECT a.conv_id, g.ids < a.n AND g.got = a.n AS place FROM (SELECT conv_id, count(*) AS n FROM asked GROUP BY ALL) a LEFT JOIN (SELECT conv_id, count(DISTINCT id) AS ids, count(*) AS got FROM got GROUP BY ALL) g USING (conv_id)),
+keyed AS (SELECT conv_id, CASE WHEN place THEN ord ELSE id END AS ord, arg_max(text, ord) AS text FROM got JOIN how USING (conv_id) GROUP BY conv_id, CASE WHEN place THEN ord ELSE id END)
+SELECT asked.conv_id, CAST(asked.ord AS INT) AS ord, keyed.text FROM asked LEFT JOIN keyed ON asked.conv_id = keyed.conv_id AND asked.ord = keyed.ord""")
+def reply_align_whole(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").withColumn("ord", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")))
+    id_ = F.when(F.col("conv_id") % 3 == 0, F.lit(1)).otherwise(F.col("ord"))
+    got = rows.filter("conv_id % 3 = 0 OR turn % 4 <> 3").select("conv_id", "ord", id_.alias("id"), "text")
+    return R.align_replies(rows.select("conv_id", "ord"), got, "conv_id").select("conv_id", "ord", "text")
+
+
 @query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey AS ord, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS k, -o_orderkey AS ord, CASE WHEN o_orderkey % 7 = 0 THEN 'skipped' ELSE 'ok' END AS s FROM orders WHERE o_orderkey % 4 <> 0)
 SELECT coalesce(o.k, n.k) AS page, CASE WHEN n.s IS NULL OR (n.s = 'skipped' AND o.s IS NOT NULL) THEN o.s ELSE n.s END AS status, CASE WHEN n.s IS NULL THEN 1 ELSE 0 END AS part, coalesce(n.ord, o.ord) AS ord FROM o FULL JOIN n ON o.k = n.k""")
 def merge_review(spark, sf_dir):

@@ -126,3 +126,12 @@ def test_stream_equals_batch(spark, tmp_path):
     want = review.fenced_latest(spark.createDataFrame(rows, edits.SCHEMA))
     key = lambda df: sorted((r.book, r.idx, r.text, r.fp, r.seq) for r in df.collect())
     assert key(edits.read_state(spark, str(tmp_path / "state"))) == key(want)
+
+
+def test_whole_texts_are_stripped_and_aligned(spark, sf):
+    text = {(r.conv_id, r.turn): r.text for r in catalogue.read(spark, sf, "conversations").collect()}
+    assert max(len(t or "") for t in text.values()) > 40
+    for r in catalogue.queries()["think_strip_whole"](spark, sf).collect():
+        raw = f"<think></think>[{text[r.conv_id, r.turn]}]<think>rest"
+        assert text[r.conv_id, r.turn] is None or r.answer == re.sub(r"(?s)<think>.*?(</think>|$)", "", raw)
+    assert {r.text for r in catalogue.queries()["reply_align_whole"](spark, sf).collect()} <= {None, *text.values()}
