@@ -16,7 +16,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: A side is broadcast only below both of these, which are measured first.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
-#: Rows in one Arrow batch, so that a batch of very long texts still fits a worker.
+#: Rows in one Arrow batch; their bytes are bounded by the session (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set).
 ARROW_ROWS = 1000
 
 

@@ -7,6 +7,10 @@ the complete distance is verified. Equal fingerprints are one table row, so copi
 Buckets of over CROWD fingerprints, where pairs would grow with the square, are linked without pairs: by shared
 points of small balls around the rest of the fingerprint (link), which finds the same components exactly.
 
+Near-duplicates of a stated Jaccard similarity (near_groups, one_of_each) are looked up by bands of minima, not by segments of such a fingerprint:
+at similarity 0.8 of the shingles a SimHash bit differs with probability 0.15, so that a segment that is selective among N texts (log2 N
+bits) agrees within one bit in 17 % of the pairs at 20 bits and in 2 % at 36, and the tables that find 99 % of the pairs grow from 24 to over 200 a text.
+
 Defined results: a null or wordless text has fingerprint zero and links as any other; equal texts link; a group's
 component_id is its smallest doc_id (null if all are null); rows that repeat get a row each (one_of_each keeps
 all of the group's rows of the doc_id that stays, or without one if none has any); an empty table gives no rows; extra columns pass through one_of_each.
@@ -19,8 +23,9 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, small_batches
@@ -161,10 +166,12 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Each band is a bucket key of so many minima of the hashed shingles. A minimum agrees in a pair as often as its similarity
 #: says, whatever the edits are: at 0.8 all bands miss in four pairs of 10000, at 0.85 in three of a million.
 BANDS, MINIMA = 20, 5
-#: Rows of a bucket that one head meets.
-SHARE = 512
-#: Rounds in which the parts of a bucket that are not connected yet meet a head, before all pairs between such parts are tested.
+#: Members and shingles of a block, in which all pairs are verified in one task; larger buckets are more blocks.
+MEMBERS, SHINGLES = 2048, 2_000_000
+#: Rounds in which a large bucket's unconnected parts are dealt into blocks anew, before all its blocks meet each other.
 ROUNDS = 2
+#: Shingles that this many members of a block share or fewer are counted pair by pair, others by products of matrices.
+RARE = 12
 _FACTORS, _MIX = (np.random.default_rng(42 + k).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1) for k, n in enumerate((BANDS * MINIMA, MINIMA)))
 
 
@@ -182,57 +189,143 @@ def signatures(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            full = [np.unique(shingle_hashes(words_of(t.as_py()), SHINGLE)) for t in b.column(2)]
-            segs = [band_keys(h) for h in full]
-            arrays = [pa.array([h.view(np.int64) for h in x], pa.list_(pa.int64())) for x in (segs, full)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], names=["id", "text_key", "segs", "full"])
+            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
+                full = [np.unique(shingle_hashes(words_of(t.as_py()), SHINGLE)) for t in part.column(2)]
+                segs = [band_keys(h) for h in full]
+                arrays = [pa.array([h.view(np.int64) for h in x], pa.list_(pa.int64())) for x in (segs, full)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=["id", "text_key", "segs", "full"])
 
     return docs.select("id", F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, "id long, text_key long, segs array<long>, full array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of pairs (a, b) whose sets (kind, full, n) have the Jaccard similarity or more."""
-    side = lambda of, x: sets.select(F.col("kind").alias(of), F.col("full").alias(x), F.col("n").alias("n" + x))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(F.least("nx", "ny") >= F.greatest("nx", "ny") * similarity - 1e-9)
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common >= (F.col("nx") + F.col("ny") - common) * similarity - 1e-9).select("a", "b")
+def common_shingles(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many shingles each pair of members shares; flat: their sets, one after another."""
+    m = len(sizes)
+    member = np.repeat(np.arange(m), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, member = flat[order], member[order]
+    starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    counts = np.diff(np.append(starts, len(flat)))
+    out = np.zeros((m, m), np.float32)
+    for c in range(2, RARE + 1):
+        own = starts[counts == c]
+        if len(own):
+            of = member[own[:, None] + np.arange(c)]
+            for i, j in combinations(range(c), 2):
+                np.add.at(out, (of[:, i], of[:, j]), 1)
+    many = np.flatnonzero(counts > RARE)
+    for k in range(0, len(many), 2048):
+        own = many[k : k + 2048]
+        has = np.zeros((m, len(own)), np.float32)
+        for col, s in enumerate(own):
+            has[member[starts[s] : starts[s] + counts[s]], col] = 1
+        out += np.triu(has @ has.T, 1)
+    return np.maximum(out, out.T)
+
+
+def linked(kinds: np.ndarray, roots: np.ndarray, flat: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs that connect what the links between members of different roots connect: one less than members at most."""
+    m = len(kinds)
+    if m == 2:
+        common = len(np.intersect1d(flat[: sizes[0]], flat[sizes[0] :], assume_unique=True))
+        return [(int(kinds[0]), int(kinds[1]))] if roots[0] != roots[1] and common >= (sizes.sum() - common) * similarity - 1e-9 else []
+    common = common_shingles(flat, sizes)
+    near = (common >= (sizes[:, None] + sizes[None, :] - common) * similarity - 1e-6) & (roots[:, None] != roots[None, :])
+    out, left = [], np.ones(m, bool)
+    for s in range(m):
+        if left[s] and near[s].any():
+            left[s], reached = False, [s]
+            while reached:
+                i = reached.pop()
+                new = np.flatnonzero(near[i] & left)
+                left[new] = False
+                out += [(int(kinds[i]), int(kinds[j])) for j in new]
+                reached += new.tolist()
+    return out
+
+
+def _edges(rows: DataFrame, similarity: float) -> DataFrame:
+    """Edges a, b from rows block, kind, root, full: all pairs of a block are verified by their exact Jaccard similarity in one task."""
+
+    def run(batches):
+        group, kinds, roots, sets = None, [], [], []
+
+        def close() -> list[tuple[int, int]]:
+            if len(set(roots)) < 2:
+                return []
+            sizes = np.array([len(s) for s in sets])
+            return linked(np.array(kinds), np.array(roots), np.concatenate(sets), sizes, similarity)
+
+        for b in batches:
+            out = []
+            flat, ends = b.column(3).flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(b.column(3)).to_numpy())])
+            for i, (block, kind, root) in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)):
+                if block != group:
+                    out += close()
+                    group, kinds, roots, sets = block, [], [], []
+                if not kinds or kinds[-1] != kind:
+                    kinds.append(kind)
+                    roots.append(root)
+                    sets.append(flat[ends[i] : ends[i + 1]].copy())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+        out = close() if kinds else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
+
+    dealt = rows.select("block", "kind", "root", "full").repartition("block").sortWithinPartitions("block", "kind")
+    found = dealt.mapInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar(kinds: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """Edges a, b that connect those of kinds (kind, segs) that share a band and have the similarity, and chains of them.
+    """Edges a, b that connect exactly those of kinds (kind, segs) that share a band and have the similarity, and chains of them.
 
-    sets_of gives the rows kind, full of some kinds. Links within a part that is connected already change nothing, so that in each round a
-    bucket's parts are one row each, which meets a head; at the end all pairs between parts that are left apart are tested. Rounds change
-    the work alone, not what is connected.
+    sets_of gives the rows kind, full of some kinds. A bucket is a block, or blocks of bounded size if it is a large one; all pairs of a block are
+    verified where it lies and only what connects them is a row. Parts of large buckets that are connected already become one member, which is dealt anew,
+    and at the end the blocks of buckets that still have several parts meet each other. Rounds change the work alone.
     """
+    small_batches(kinds.sparkSession)
     table = kinds.select("kind", F.posexplode("segs").alias("seg", "key"))
-    shared = cut(table.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    shared = cut(table.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seg", "key"))
     table = cut(table.join(shared, ["seg", "key"]))
     sets = cut(sets_of(table.select("kind").distinct()).select("kind", "full", F.size("full").alias("n")))
-    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    edges = tested = None
-    for k in range(rounds + 1):
-        members = table.withColumn("root", F.col("kind"))
-        if edges is not None:
-            roots = components(edges).withColumnRenamed("node", "kind")
-            members = cut(table.join(roots, "kind", "left").withColumn("root", F.coalesce("root", "kind")))
-        if k < rounds:
-            rank = F.struct(F.xxhash64("kind", F.lit(k)).alias("h"), F.col("kind").alias("kind"))
-            one = members.groupBy("seg", "key", "root").agg(F.min(rank)["kind"].alias("kind"), F.max("n").alias("n"))
-            one = cut(one.withColumn("share", F.pmod(F.xxhash64("kind", F.lit(rounds + k)), F.ceil(F.col("n") / F.lit(SHARE)))).drop("n"))
-            heads = one.groupBy("seg", "key", "share").agg(F.min(rank)["kind"].alias("a"))
-            pairs = one.join(heads, ["seg", "key", "share"]).filter("a <> kind").select("a", F.col("kind").alias("b"))
-        else:
-            apart = members.groupBy("seg", "key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("seg", "key")
-            left = cut(members.join(apart, ["seg", "key"]).select("seg", "key", "kind", "root"))
-            x, y = (left.select("seg", "key", F.col("kind").alias(c), F.col("root").alias("root_" + c)) for c in "ab")
-            pairs = x.join(y, ["seg", "key"]).filter("root_a < root_b").select("a", "b")
-        pairs = pairs.select(*pair).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        more = _verified(pairs, sets, similarity)
-        edges = cut(more if edges is None else edges.unionByName(more))
-    return edges
+    table = cut(table.join(sets.select("kind", "n"), "kind"))
+
+    def blocks_of(rows: DataFrame) -> DataFrame:
+        """The blocks that the buckets of rows need."""
+        n = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)), F.ceil(F.sum("n") / F.lit(SHINGLES)))
+        return rows.groupBy("seg", "key").agg(n.alias("blocks"))
+
+    def place(seed: int) -> Column:
+        return F.pmod(F.xxhash64("kind", F.lit(seed)), F.col("blocks"))
+
+    with_sets = lambda rows: rows.join(sets.select("kind", "full"), "kind")
+    size = blocks_of(table)
+    rows = table.join(size, ["seg", "key"]).select("kind", F.col("kind").alias("root"), F.xxhash64("seg", "key", place(0)).alias("block"))
+    edges = cut(_edges(with_sets(rows), similarity))
+    large = cut(size.filter("blocks > 1"))
+    if large.isEmpty():
+        return edges
+    many = cut(table.join(large.select("seg", "key"), ["seg", "key"]))
+    for k in range(1, rounds + 1):
+        members = _rooted(many, edges)
+        pick = F.min(F.struct(F.xxhash64("kind", F.lit(-k)).alias("h"), F.col("kind").alias("kind"), F.col("n").alias("n")))
+        one = cut(members.groupBy("seg", "key", "root").agg(pick.alias("m")).select("seg", "key", "root", "m.kind", "m.n"))
+        rows = one.join(blocks_of(one), ["seg", "key"]).select("kind", "root", F.xxhash64("seg", "key", place(k), F.lit(k)).alias("block"))
+        edges = cut(edges.unionByName(_edges(with_sets(rows), similarity)))
+    members = _rooted(many, edges)
+    apart = members.groupBy("seg", "key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("seg", "key")
+    left = cut(members.join(apart, ["seg", "key"]))
+    own = left.join(blocks_of(left), ["seg", "key"]).withColumn("i", place(rounds + 1)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = own.select("kind", "root", F.xxhash64("seg", "key", F.least("i", "j"), F.greatest("i", "j"), F.lit(rounds + 1)).alias("block"))
+    return cut(edges.unionByName(_edges(with_sets(rows), similarity)))
+
+
+def _rooted(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """members (kind) with root, of what edges connect to them."""
+    roots = components(edges).withColumnRenamed("node", "kind")
+    return cut(members.join(roots, "kind", "left").withColumn("root", F.coalesce("root", "kind")))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

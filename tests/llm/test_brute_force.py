@@ -126,7 +126,7 @@ def test_near_copies_go_and_others_stay(spark):
 
 
 def test_crowded_near_copies_keep_one_of_each(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SHARE", 32)
+    monkeypatch.setattr(simhash, "MEMBERS", 32)
     rng = np.random.default_rng(11)
     words, rows = [f"w{i}" for i in range(4000)], []
     for k in range(3):
@@ -135,8 +135,6 @@ def test_crowded_near_copies_keep_one_of_each(spark, monkeypatch):
             rows.append((1000 * k + i, " ".join([*own[:i], f"y{k}-{i}", *own[i + 1 :]])))
     rows += [(9000 + i, " ".join(rng.choice(words, 100))) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    kinds = simhash.cut(simhash.signatures(df.select(df.doc_id.alias("id"), "text"), "text").selectExpr("id as kind", "segs", "full"))
-    assert kinds.selectExpr("posexplode(segs) as (seg, key)").groupBy("seg", "key").count().filter(f"count > {simhash.CROWD}").count() > 3
     left = {r.doc_id for r in simhash.one_of_each(df).collect()}
     assert left == {0, 1000, 2000, *range(9000, 9200)}
 
@@ -156,9 +154,10 @@ def test_near_copies_with_an_added_passage_meet_at_their_exact_similarity(spark)
     assert left == want
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_rounds_of_heads_connect_the_same(spark, monkeypatch, rounds):
-    monkeypatch.setattr(simhash, "SHARE", 8)
+@pytest.mark.parametrize("members", [8, 2048])
+def test_blocks_connect_what_all_pairs_of_a_bucket_do(spark, monkeypatch, members):
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    monkeypatch.setattr(simhash, "RARE", 3)
     rng = np.random.default_rng(13)
     words, texts = [f"w{i}" for i in range(3000)], []
     for _ in range(3):  # members near to some others only, in crowded buckets
@@ -169,23 +168,55 @@ def test_rounds_of_heads_connect_the_same(spark, monkeypatch, rounds):
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     signed = simhash.cut(simhash.signatures(rows, "text").selectExpr("id as kind", "segs", "full"))
     got = signed.collect()
-    parent = {r.kind: r.kind for r in got}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
+    find, join = _unions(r.kind for r in got)
     for i, a in enumerate(got):
         for b in got[:i]:
             x, y = set(a.full), set(b.full)
             if set(enumerate(a.segs)) & set(enumerate(b.segs)) and len(x & y) >= 0.8 * len(x | y):
-                parent[find(a.kind)] = find(b.kind)
+                join(a.kind, b.kind)
     prints = signed.selectExpr("kind as id", "kind as fp")
-    edges = simhash.similar(signed.select("kind", "segs"), lambda wanted: signed.join(wanted, "kind"), rounds=rounds)
+    edges = simhash.similar(signed.select("kind", "segs"), lambda wanted: signed.join(wanted, "kind"))
     of = {r.id: r.component_id for r in simhash.group(prints, edges).collect()}
-    parts = lambda f: {frozenset(k for k in parent if f(k) == r) for r in map(f, parent)}
-    assert parts(of.get) == parts(find) and 3 < len(parts(find)) < len(parent)
+    parts = lambda f: {frozenset(k for k in of if f(k) == r) for r in map(f, of)}
+    assert parts(of.get) == parts(find) and 3 < len(parts(find)) < len(of)
+
+
+def _unions(nodes):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    return find, lambda a, b: parent.__setitem__(find(a), find(b))
+
+
+def test_near_copies_recall_against_all_pairs(spark, sf, docs):
+    """Every pair of documents whose five-word shingles share 0.8 or more, by an inverted index over all texts, with a large group among them."""
+    rng = np.random.default_rng(14)
+    base = [f"q{i}" for i in range(220)]
+    large = []
+    for _ in range(400):
+        own = list(base)
+        for at in rng.choice(220, 2, replace=False):
+            own[at] = f"z{rng.integers(0, 10**9)}"
+        large.append(" ".join(own))
+    rows = [(d, t) for d, t in docs] + [(10**6 + i, t) for i, t in enumerate(large)]
+    sets = [frozenset(simhash.shingles(simhash.words_of(t), 5)) for _, t in rows]
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    pairs = Counter((i, j) for h in holders.values() for k, i in enumerate(h) for j in h[k + 1 :])
+    near = [(i, j) for (i, j), n in pairs.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+    of = {r.id: r.component_id for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) > 500 and sum(of[rows[i][0]] == of[rows[j][0]] for i, j in near) >= 0.98 * len(near)
+    find, join = _unions(range(len(rows)))
+    for i, j in near:
+        join(i, j)
+    # No two documents that no chain of such pairs connects are in one group.
+    assert len({of[d] for d, _ in rows}) >= len({find(i) for i in range(len(rows)) if sets[i]})
 
 
 def test_op3_language_model(spark, sf, docs):
