@@ -43,8 +43,8 @@ def cut(df: DataFrame) -> DataFrame:
 class Tables:
     """Written tables of one run in the shared folder, removed together once their reader is done."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark, self.root = spark, root or f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

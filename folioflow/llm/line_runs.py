@@ -1,8 +1,10 @@
 """Line de-duplication over levelled sorted runs of line hashes, with DataFrame expressions only.
 
-Each batch of documents is summed to one row for each line key, merge-anti-joined with the runs that are there
-(what is left is new to the corpus) and written as a run of its own, sorted by hash. When a level holds FANOUT
-runs they are merged into one run of the next level. Keys are 128 bits of hash.
+Each batch of documents is summed to one row for each line key. The batch is merge-anti-joined with the runs that are there: what is left is
+new and becomes a run of its own, so that a key stands in one run only, with what its first batch counted; what later batches add to it
+goes to a log of additions, which is small as most lines occur once. When a level holds two runs they are merged into one run of the next level, by a
+full outer merge join. Batches and runs are tables in buckets of the key's hash, sorted by key, so that neither exchanges nor sorts stand
+before these joins. Keys are 128 bits of hash.
 
 Defined results: null or empty text is one empty line; documents with the same doc_id count as one holder; a null
 doc_id is one holder, below all others; ties have no effect, as holders are ordered by doc_id alone; an empty
@@ -11,6 +13,11 @@ table gives no rows; extra columns pass through.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +27,10 @@ from .common import BLANKS, Tables, ascii_lower, cut, fresh, sized
 LEAST_CHARS = 40
 #: Keys in fewer documents than this are never dropped.
 LEAST_DOCS = 5
-#: Runs of one level that are merged into a run of the next.
-FANOUT = 2
 #: Batches that a whole table is dealt into.
 BATCHES = 3
+#: Key rows of a bucket that are aimed at, and the most buckets.
+BUCKET_ROWS, MOST_BUCKETS = 250_000, 100_000
 
 
 def lines_of(text: Column) -> Column:
@@ -34,8 +41,8 @@ def key_of(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def _hash(key: Column) -> Column:
-    return F.xxhash64(key)
+def hashes_of(key: Column) -> Column:
+    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"))
 
 
 def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -44,79 +51,119 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     long = F.filter(lines_of(F.col(text_col)), lambda x: F.length(x) >= least_chars)
     keys = F.array_distinct(F.filter(F.transform(long, key_of), lambda x: F.length(x) >= least_chars))
     each = docs.filter(F.length(text_col) >= least_chars).select(F.col(id_col).alias("id"), F.explode(keys).alias("key"))
-    return each.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"), "id").distinct()
+    return each.select(hashes_of(F.col("key")).alias("h"), "id").select("h.*", "id").distinct()
 
 
 class LineRuns:
-    """The levelled runs. A run has a row for each key: h1, h2, n (holders), top (largest holder)."""
+    """The levelled runs and the additions. A run has a row for each key: h1, h2, n (holders in its first batch), top (the largest of them).
+
+    state() can be kept, and LineRuns(spark, state=...) goes on from there in the same session; a document's rows must come in one batch.
+    """
 
     SCHEMA = "h1 long, h2 long, n long, top long"
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.tables, self.made = spark, fanout, Tables(spark), 0
-        self.levels: dict[int, list[str]] = {}
+    def __init__(self, spark: SparkSession, buckets: int = 64, state: dict | None = None):
+        self.spark = spark
+        state = state or {"name": f"line_runs_{uuid.uuid4().hex}", "root": Tables(spark).root, "buckets": buckets, "made": 0, "levels": {}, "additions": []}
+        self.name, self.buckets, self.made, self.levels, self.additions = (state[k] for k in ("name", "buckets", "made", "levels", "additions"))
+        self.tables = Tables(spark, state["root"])
 
-    def _read(self, names: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(*[self.tables.path(n) for n in names])
+    def state(self) -> dict:
+        return {"name": self.name, "root": self.tables.root, "buckets": self.buckets, "made": self.made, "levels": self.levels, "additions": self.additions}
 
-    def _write(self, df: DataFrame, level: int) -> str:
-        name = f"level{level}-run{self.made}"
+    def _write(self, df: DataFrame) -> str:
+        """df as a table in sorted buckets."""
+        name = f"{self.name}_{self.made}"
         self.made += 1
-        df.repartition("h1", "h2").sortWithinPartitions("h1", "h2").write.option("compression", "zstd").parquet(self.tables.path(name))
-        self.levels.setdefault(level, []).append(name)
+        df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("compression", "zstd").option("path", self.tables.path(name)).format("parquet").saveAsTable(name)
         return name
 
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables.remove(name)
+
+    @contextmanager
+    def _sorted_scans(self) -> Iterator[None]:
+        """Buckets of one file keep their order when they are read, and are not dealt anew."""
+        keys = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+        before = {k: self.spark.conf.get(k, None) for k in keys}
+        for k, v in keys.items():
+            self.spark.conf.set(k, v)
+        try:
+            yield
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+
     def runs(self) -> list[str]:
         return [n for level in sorted(self.levels) for n in self.levels[level]]
 
+    def unseen(self, batch: DataFrame) -> DataFrame:
+        """The rows of a batch (a table of this layout) whose key no run holds: a chain of merge anti-joins with the sorted runs."""
+        for name in self.runs():
+            batch = batch.hint("merge").join(self.spark.table(name).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+        return batch
+
     def add(self, batch: DataFrame) -> None:
-        """Adds a batch of line_keys rows: its new keys, and what it adds to known ones. A document's rows must come in one batch."""
+        """Adds a batch of line_keys rows."""
         own = batch.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").cast("long").alias("top"))
-        if self.runs():
-            own = cut(own)
-            known = own.hint("merge").join(self._read(self.runs()).select("h1", "h2").distinct().hint("merge"), ["h1", "h2"], "left_semi")
-            own = self.unseen(own).unionByName(known)
-        self._write(own, 0)
-        self._compact()
-
-    def unseen(self, batch: DataFrame) -> DataFrame:
-        """The rows of batch whose key no run holds yet: a merge anti-join with the sorted runs."""
+        name = self._write(own.repartition(self.buckets, "h1", "h2"))
+        with self._sorted_scans():
+            if self.runs():
+                whole = self.spark.table(name)
+                new = self._write(self.unseen(whole))
+                more = whole.hint("merge").join(self.spark.table(new).select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
+                self.tables.write(more, f"more-{self.made}")
+                self.additions.append(f"more-{self.made}")
+                self._drop(name)
+                name = new
+            self.levels.setdefault(0, []).append(name)
+            level = 0
+            while len(self.levels.get(level, [])) == 2:
+                old = self.levels.pop(level)
+                self.levels.setdefault(level + 1, []).append(self._write(self._merged(*old)))
+                for n in old:
+                    self._drop(n)
+                level += 1
+
+    def _merged(self, one: str, two: str) -> DataFrame:
+        """Two runs, which have no key in common, as one."""
+        a, b = (self.spark.table(n).hint("merge") for n in (one, two))
+        both = a.select("h1", "h2", F.col("n").alias("n_a"), F.col("top").alias("top_a")).join(b, ["h1", "h2"], "full_outer")
+        return both.select("h1", "h2", F.coalesce("n_a", "n").alias("n"), F.when(F.col("n_a").isNotNull(), F.col("top_a")).otherwise(F.col("top")).alias("top"))
+
+    def common(self, least_docs: int) -> DataFrame:
+        """Rows h1, h2, top of the keys that least_docs documents or more hold."""
+        empty = self.spark.createDataFrame([], self.SCHEMA)
         if not self.runs():
-            return batch
-        return batch.hint("merge").join(self._read(self.runs()).select("h1", "h2").distinct().hint("merge"), ["h1", "h2"], "left_anti")
-
-    def _compact(self) -> None:
-        level = 0
-        while len(self.levels.get(level, [])) >= self.fanout:
-            old = self.levels.pop(level)
-            self._write(self.merged(old), level + 1)
-            for name in old:
-                self.tables.remove(name)
-            level += 1
-
-    def merged(self, names: list[str] | None = None) -> DataFrame:
-        names = self.runs() if names is None else names
-        if not names:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self._read(names).groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+            return cut(empty.select("h1", "h2", "top"))
+        logs = [self.tables.read(n, empty) for n in self.additions] or [empty]
+        more = reduce(DataFrame.unionByName, logs).groupBy("h1", "h2").agg(F.sum("n").alias("more"), F.max("top").alias("top_more"))
+        found = []
+        with self._sorted_scans():
+            for name in self.runs():
+                both = self.spark.table(name).join(more, ["h1", "h2"], "left").filter(F.col("n") + F.coalesce("more", F.lit(0)) >= least_docs)
+                found.append(both.select("h1", "h2", F.greatest("top", "top_more").alias("top")))
+            return cut(reduce(DataFrame.unionByName, found))
 
     def remove(self) -> None:
+        for name in self.runs():
+            self._drop(name)
         self.tables.remove()
 
 
 def _doomed(docs: DataFrame, id_col: str, text_col: str, least_chars: int, least_docs: int, batches: int) -> DataFrame:
     """Rows id, doomed: the key hashes that a document loses."""
     spark = docs.sparkSession
-    runs, stash = LineRuns(spark), Tables(spark)
+    stash = Tables(spark)
     keys = line_keys(docs, id_col, text_col, least_chars).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
     keys = stash.write(keys, "keys")
+    runs = LineRuns(spark, min(MOST_BUCKETS, max(8, -(-keys.count() // BUCKET_ROWS))))
     for k in range(batches):
-        batch = keys.filter(F.col("batch") == k).select("h1", "h2", "id")
-        runs.add(batch)
-    common = cut(runs.merged().filter(F.col("n") >= least_docs).select("h1", "h2", "top"))
-    common = sized(common, 24)
+        runs.add(keys.filter(F.col("batch") == k).select("h1", "h2", "id"))
+    common = sized(runs.common(least_docs), 24)
     lost = keys.join(common, ["h1", "h2"]).filter(~F.col("id").eqNullSafe(F.col("top")))
-    lost = cut(lost.groupBy("id").agg(F.collect_set("h1").alias("doomed")))
+    lost = cut(lost.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("doomed")))
     runs.remove()
     stash.remove()
     return lost
@@ -134,7 +181,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def stays(line: Column) -> Column:
         k = key_of(line)
-        return (F.length(line) < least_chars) | (F.length(k) < least_chars) | ~F.array_contains(F.col(gone), _hash(k))
+        return (F.length(line) < least_chars) | (F.length(k) < least_chars) | ~F.array_contains(F.col(gone), hashes_of(k))
 
     out = out.withColumn(n_lines, F.size(lines).cast("long"))
     out = out.withColumn(gone, F.when(F.col(gone).isNotNull(), F.filter(lines, stays)))

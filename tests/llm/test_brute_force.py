@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from folioflow.llm import cross_polytope, interpolated_lm, license_scan, piece_transducer, queries, simhash, toxicity, weighted_sampling
 from folioflow.llm.graph import components
@@ -403,6 +404,35 @@ def test_op8_lines(spark, sf, docs):
         assert got[d].kept_sha256 == hashlib.sha256("\n".join(kept).encode()).hexdigest()
 
 
+def test_op8_runs_kept_between_calls(spark):
+    """Batches come one by one, and the runs are opened again for each; keys stand in one run only, and merges need no exchange."""
+    from folioflow.llm import line_runs
+
+    rng = np.random.default_rng(21)
+    lines = [f"line number {i} of a text that is repeated in documents" for i in range(60)]
+    held, state = defaultdict(set), None
+    for batch in range(5):
+        rows = []
+        for d in range(batch * 40, batch * 40 + 40):
+            own = [lines[i] for i in rng.choice(60, 3, replace=False)] + [f"line of document {d} alone, which nobody else repeats"]
+            rows.append((d, "\n".join(own)))
+            for x in own:
+                held[x].add(d)
+        runs = line_runs.LineRuns(spark, 4, state)
+        runs.add(line_runs.line_keys(spark.createDataFrame(rows, "doc_id long, text string")))
+        state = runs.state()
+        keys = [(r.h1, r.h2) for n in runs.runs() for r in spark.table(n).collect()]
+        assert len(keys) == len(set(keys)) == len(held)
+    assert {k: len(v) for k, v in state["levels"].items() if v} == {0: 1, 2: 1}
+    hashes = {spark.createDataFrame([(x,)], "k string").select(line_runs.hashes_of(F.col("k")).alias("h")).first()["h"]: x for x in lines}
+    got = {hashes[(r.h1, r.h2)]: r.top for r in runs.common(5).collect()}
+    assert got == {x: max(d) for x, d in held.items() if len(d) >= 5}
+    with runs._sorted_scans():
+        plan = runs._merged(*runs.runs())._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    runs.remove()
+
+
 def test_op9_planted_secrets_and_harmless_strings(spark):
     from folioflow.llm import secret_forest
 
