@@ -2,9 +2,9 @@
 
 Templates are indexed by word: postings of (template, position). The document frequencies of the index's words over the
 whole corpus give their IDF. Of each template's mandatory key phrase the word of highest IDF is looked up in every text, each
-occurrence less its posting's position is where the template would begin, and there the template's other postings are intersected
-by relative position; a candidate is confirmed if its key phrase stands in place. A key phrase that stands holds its word, so
-none is missed, whatever the IDFs and however many licences a text has. Three base phrases are counted as such.
+occurrence less its posting's position is where the template would begin, and there all the template's postings are intersected
+by relative position: those that agree must hold LEAST_COVER of the template's IDF, and the key phrase must stand in place. A key phrase that
+stands holds its word, so no start is missed, whatever the IDFs and however many licences a text has. Three base phrases are counted as such.
 
 A text is one row throughout, in linear time: nothing is shuffled but the frequencies of the index's words.
 
@@ -25,22 +25,36 @@ from .common import ascii_lower, fresh
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Label, mandatory key phrase, template around it. Licence wordings are as published.
+#: Label, mandatory key phrase, template around it. Licence wordings and notices are as published.
 TEMPLATES = [
-    ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2.0", "apache license version 2 0", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "apache license version 2 0", "apache license version 2 0 january 2004"),
     ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "bsd license", "released under the bsd license"),
+    ("bsd-3-clause", "neither the name of", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("cc-by-4.0", "creative commons attribution 4 0", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-4.0", "cc by 4 0", "licensed under cc by 4 0"),
+    ("cc-by-nc-4.0", "cc by nc 4 0", "licensed under cc by nc 4 0"),
+    ("cc-by-nc-4.0", "creative commons attribution noncommercial 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-sa-4.0", "cc by sa 4 0", "licensed under cc by sa 4 0"),
+    ("cc-by-sa-4.0", "creative commons attribution sharealike 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc0", "cc0 1 0 universal", "cc0 1 0 universal public domain dedication"),
-    ("copyright", "all rights reserved", "copyright all rights reserved"),
+    ("copyright", "copyright c", "copyright c"),
     ("gnu-gpl", "gnu general public license", "this work is licensed under the gnu general public license version 3"),
+    ("gnu-gpl", "gnu general public license", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("isc", "permission to use copy modify and or distribute this software", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("lgpl", "gnu lesser general public license", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "mit license", "released under the mit license"),
+    ("mit", "mit license", "licensed under the mit license"),
     ("mpl-2.0", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("proprietary", "all rights reserved", "confidential and proprietary all rights reserved"),
+    ("proprietary", "confidential and proprietary", "confidential and proprietary all rights reserved"),
     ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "in no event will the authors be held liable", "provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
 ]
+#: Part of a template's IDF that must stand in place.
+LEAST_COVER = 0.7
 #: Words that are in every text and never looked up.
 COMMON = frozenset("0 1 2 3 4 a all and any are as by except file following for form in into is may met not of or person person's provided purpose that the this to under use v version with without work you".split())
 _FAR = 1 << 40
@@ -55,8 +69,9 @@ def _start(parts: list[str], key: list[str]) -> int:
     return next(i for i in range(len(parts)) if parts[i : i + len(key)] == key)
 
 
-def _one_of(words: Column, i: Column, off: int, word: str) -> Column:
-    return F.coalesce(F.get(words, i + off) == word, F.lit(False)) & (i + off >= 0)
+def _stands(words: Column, i: Column, phrase: list[str]) -> Column:
+    """Whether phrase stands at word i."""
+    return (i >= 0) & (F.slice(words, F.greatest(i + 1, F.lit(1)), len(phrase)) == F.array(*map(F.lit, phrase)))
 
 
 def _with_words(docs: DataFrame, text_col: str, words: str, at: str) -> DataFrame:
@@ -87,8 +102,7 @@ def scan(docs: DataFrame, text_col: str = "text", idf: dict[str, float] | None =
     def places(phrase: str) -> Column:
         parts = phrase.split()
         k = next(i for i, w in enumerate(parts) if w not in COMMON)
-        hit = lambda i: _all(words, i, [(j - k, w) for j, w in enumerate(parts)])
-        return F.transform(F.filter(at, hit), lambda i: i - k)
+        return F.filter(F.transform(F.filter(at, lambda i: F.get(words, i) == parts[k]), lambda i: i - k), lambda i: _stands(words, i, parts))
 
     some = F.size(at) > 0
     base = F.array(*[F.struct(F.lit(label).alias("label"), F.when(some, places(p)).otherwise(none).alias("at")) for p, label in BASE.items()])
@@ -108,10 +122,12 @@ def scan(docs: DataFrame, text_col: str = "text", idf: dict[str, float] | None =
         parts, key = text.split(), phrase.split()
         k0 = _start(parts, key)
         near = F.transform(F.filter(F.col(names["begin"]), lambda b: (b > t * _FAR - (_FAR >> 1)) & (b < t * _FAR + (_FAR >> 1))), lambda b: (b - t * _FAR).cast("int"))  # noqa: B023
-        sure = F.filter(near, lambda i: _all(words, i, [(k0 + j, w) for j, w in enumerate(key)]))  # noqa: B023
-        weights = [(k, w, max(idf[w], 0.0) + 1e-6) for k, w in enumerate(parts) if w in idf]
-        cover = lambda i: sum((F.when(_one_of(words, i, k, w), F.lit(x)).otherwise(F.lit(0.0)) for k, w, x in weights), F.lit(0.0)) / sum(x for _, _, x in weights)  # noqa: B023, E731
-        found.append(F.transform(sure, lambda i: F.struct(F.lit(label).alias("label"), (i + k0).alias("at"), cover(i).alias("cover"))))  # noqa: B023
+        postings_of = [(k, w, max(idf[w], 0.0) + 1e-6) for k, w in enumerate(parts) if w in idf]
+        weights = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w"), F.lit(x / sum(x for _, _, x in postings_of)).alias("x")) for k, w, x in postings_of])
+        agrees = lambda i, p: (i + p["k"] >= 0) & F.coalesce(F.get(words, F.greatest(i + p["k"], F.lit(0))) == p["w"], F.lit(False))
+        cover = lambda i: F.aggregate(weights, F.lit(0.0), lambda a, p: a + F.when(agrees(i, p), p["x"]).otherwise(F.lit(0.0)))  # noqa: B023, E731
+        sure = F.transform(F.filter(near, lambda i: _stands(words, i + k0, key)), lambda i: F.struct(F.lit(label).alias("label"), (i + k0).alias("at"), cover(i).alias("cover")))  # noqa: B023
+        found.append(F.filter(sure, lambda f: f["cover"] >= LEAST_COVER))
     out = out.withColumn(names["found"], F.when(F.size(names["begin"]) > 0, F.concat(*found)))
     has = F.filter(F.col(names["base"]), lambda b: F.size(b["at"]) > 0)
     starts = F.flatten(F.transform(has, lambda b: b["at"]))
@@ -126,14 +142,7 @@ def scan(docs: DataFrame, text_col: str = "text", idf: dict[str, float] | None =
         names["base_labels"]: F.array_join(F.array_sort(F.transform(has, lambda b: b["label"])), ","),
         names["labels"]: F.array_join(F.array_sort(F.array_distinct(F.concat(F.transform(has, lambda b: b["label"]), labels))), ","),
         names["score"]: F.least(F.lit(1.0), score),
-        names["spans"]: F.transform(F.coalesce(F.col(names["found"]), F.array().cast("array<struct<label:string,at:int,cover:double>>")), lambda f: F.struct(f["label"].alias("label"), f["at"].alias("at"))),
+        names["spans"]: F.array_distinct(F.transform(F.coalesce(F.col(names["found"]), F.array().cast("array<struct<label:string,at:int,cover:double>>")), lambda f: F.struct(f["label"].alias("label"), f["at"].alias("at")))),
     })
     return out.drop(*[names[c] for c in ("words", "at", "begin", "found", "base")])
 
-
-def _all(words: Column, i: Column, parts: list[tuple[int, str]]) -> Column:
-    test = None
-    for off, w in parts:
-        one = _one_of(words, i, off, w)
-        test = one if test is None else test & one
-    return test

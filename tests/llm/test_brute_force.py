@@ -299,20 +299,41 @@ def test_op5_base_phrases(spark, sf, docs):
         assert labels <= set(r.labels.split(",")) and 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
 
 
-def test_op5_finds_each_template(spark):
-    rows = [(i, f"x y. {t.title()}! z") for i, (_, _, t) in enumerate(license_scan.TEMPLATES)]
-    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+def plain_licences(texts):
+    """Labels and places by trying every template at every word."""
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER)) for t in texts]
+    idf = {w: math.log((len(words) + 1) / (sum(w in set(x) for x in words) + 0.5)) for w in license_scan._distinctive()}
+    out = []
+    for own in words:
+        found = set()
+        for label, key, text in license_scan.TEMPLATES:
+            parts, key = text.split(), key.split()
+            k0 = next(i for i in range(len(parts)) if parts[i : i + len(key)] == key)
+            weights = {k: max(idf[w], 0) + 1e-6 for k, w in enumerate(parts) if w in idf}
+            for i in range(-k0, len(own) - k0):
+                if own[i + k0 : i + k0 + len(key)] == key:
+                    cover = sum(x for k, x in weights.items() if 0 <= i + k < len(own) and own[i + k] == parts[k])
+                    if cover >= license_scan.LEAST_COVER * sum(weights.values()):
+                        found.add((label, i + k0))
+        out.append(found)
+    return out
+
+
+def test_op5_labels_against_every_template_at_every_word(spark, sf, docs):
+    templates = [t for _, _, t in license_scan.TEMPLATES]
+    some = [*(f"x y. {t.title()}! z" for t in templates), *(p for _, p, _ in license_scan.TEMPLATES), " --- ".join(templates), " ".join(p for _, p, _ in license_scan.TEMPLATES)]
+    some += [" ".join(t.split()[: len(t.split()) // 2]) for t in templates] + [" ".join(reversed(t.split())) for t in templates] + ["All rights reserved", "the mit license", "", None, "license " * 50]
+    texts = [t for _, t in docs] + some
+    want = plain_licences(texts)
+    got = {r.i: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "i long, text string")).collect()}
+    for i, found in enumerate(want):
+        assert {(s.label, s.at) for s in got[i].spans} == found, texts[i]
+        assert set(filter(None, got[i].labels.split(","))) == {x for x, _ in found} | set(filter(None, got[i].base_labels.split(",")))
+    at = len(docs)
     for i, (label, _, _) in enumerate(license_scan.TEMPLATES):
-        assert label in got[i].labels.split(",") and got[i].score >= 0.75
-
-
-def test_op5_finds_all_templates_of_one_text(spark):
-    rows = [(0, " --- ".join(t for _, _, t in license_scan.TEMPLATES)), (1, " ... ".join(p for _, p, _ in reversed(license_scan.TEMPLATES)))]
-    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        assert {label for label, _, _ in license_scan.TEMPLATES} <= set(r.labels.split(","))
-        words = re.findall(r"[a-z0-9]+", r.text)
-        want = {(label, i) for label, p, _ in license_scan.TEMPLATES for i in range(len(words)) if words[i : i + len(p.split())] == p.split()}
-        assert {(s.label, s.at) for s in r.spans} == want
+        assert label in got[at + i].labels.split(",") and got[at + i].score >= 0.75
+    assert got[len(texts) - 5].labels == "reserved" and got[len(texts) - 4].labels == ""
+    assert {x for x, _, _ in license_scan.TEMPLATES} <= set(got[at + 2 * len(templates)].labels.split(","))
 
 
 def test_op6_recall_and_exact_scores(spark, sf):
