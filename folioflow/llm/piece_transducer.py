@@ -16,6 +16,7 @@ the format itself; rows that repeat are encoded alike; an empty table gives no r
 
 from __future__ import annotations
 
+import heapq
 import re
 from array import array
 from itertools import chain
@@ -87,15 +88,23 @@ class Transducer:
         self.memo_of_cuts = _Memo(self.emit_cut)
 
     def merge(self, chars: str) -> list[str]:
-        """The merges' result on chars: the best scored pair that is a piece is joined first, of equals the leftmost."""
-        out, scores = list(chars), self.scores
-        while len(out) > 1:
-            best = max(((scores[out[i] + out[i + 1]], -i) for i in range(len(out) - 1) if out[i] + out[i + 1] in scores), default=None)
-            if best is None:
-                break
-            i = -best[1]
-            out[i : i + 2] = [out[i] + out[i + 1]]
-        return out
+        """The merges' result on chars: the best scored pair that is a piece is joined first, of equals the leftmost. A heap of pairs keeps it n log n."""
+        pieces, scores, n = list(chars), self.scores, len(chars)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        pairs = [(-scores[w], i, w) for i in range(n - 1) if (w := chars[i : i + 2]) in scores]
+        heapq.heapify(pairs)
+        while pairs:
+            _, i, w = heapq.heappop(pairs)
+            j = after[i]
+            if not pieces[i] or j >= n or pieces[i] + pieces[j] != w:
+                continue  # one of the two was joined meanwhile
+            pieces[i], pieces[j], after[i] = w, "", after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n and (joint := pieces[k] + pieces[after[k]]) in scores:
+                    heapq.heappush(pairs, (-scores[joint], k, joint))
+        return [p for p in pieces if p]
 
     def halves(self, piece: str) -> tuple[str, str] | None:
         """The two pieces that the last merge of piece joins; None if it is a character, or if merging its characters doesn't give it."""
@@ -161,7 +170,7 @@ class Transducer:
                     pairs.clear()
                 free = pairs[seen] = {}
             node, j = trie, i
-            for c in part[i:]:
+            for c in part[i : i + self.longest + 1]:
                 node, j = node.get(c), j + 1
                 if node is None:
                     if j == i + 1 and not last[j]:
@@ -187,7 +196,7 @@ class Transducer:
         cost, last = [0.0] + [float("inf")] * n, [""] * (n + 1)
         for i in range(n):
             node, j = self.trie, i
-            for c in part[i:]:
+            for c in part[i : i + self.longest + 1]:
                 node, j = node.get(c) if node else None, j + 1
                 piece = node.get("") if node else None
                 if piece is None and j == i + 1:
@@ -213,12 +222,12 @@ class Transducer:
 
     def emit(self, part: str) -> tuple[int, ...]:
         inside, cuts, start = self.inside, self.memo_of_cuts, 0
-        out: tuple[int, ...] = ()
+        out: list[int] = []
         for i in range(1, len(part)):
             if part[i - 1 : i + 1] not in inside:
                 out += cuts[part[start:i]]
                 start = i
-        return out + cuts[part[start:]]
+        return (*out, *cuts[part[start:]])
 
     def encode(self, text: str) -> array:
         if not text:
