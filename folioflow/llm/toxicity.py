@@ -3,9 +3,12 @@
 Terms (words, and stems that any ending may follow) are learned from labelled documents: those that occur in toxic
 ones so much more often than by chance that it holds for all the terms tried at once; the words that a stem stands for are
 in the trie with the stem's weight, so that their misspellings are met too. A word of a text matches a term
-exactly, by its stem, or within one edit, found by walking the trie with the word's Levenshtein automaton. A match in
-quotation marks or after a word of reporting counts for less than one that is addressed to someone. The evidence of a
-text's matches is turned into a probability by a logistic curve fitted to the same labelled documents.
+exactly, by its stem, or within one edit, found by walking the trie with the word's Levenshtein automaton (terms of four letters
+match exactly or by their stems alone, as most words of four letters are within one edit of another). A match in quotation marks, else one
+addressed to someone, else one after a word of reporting counts by a factor of its context, learned from how toxic the labelled documents
+with such matches are and drawn towards a prior where few have them. The evidence of a
+text's matches is turned into a probability by a logistic curve fitted to the same labelled documents. The lexicon holds the MOST_TERMS terms
+that tell most.
 
 Labels are read for fitting alone, from a bounded sample: of each class the PER_CLASS documents with the least hash of
 their doc_id. Scores depend on the text alone.
@@ -40,10 +43,11 @@ STEMS = range(4, 8)
 WINDOW = 4
 #: What a match within one edit is worth, beside an exact one.
 FUZZY = 0.7
-#: What a match counts by its context.
-QUOTED, REPORTED, PLAIN, ADDRESSED = 0.35, 0.5, 1.0, 1.25
+#: Contexts, and what a match counts by its context if no labels tell; labelled documents weigh against so many of the prior.
+QUOTED, REPORTED, PLAIN, ADDRESSED = range(4)
+CONTEXTS, CONTEXT_PRIOR = (0.35, 0.5, 1.0, 1.25), 100
 #: Words of reporting and of address, in four languages.
-REPORTING = frozenset("said says wrote writes quote quoted quotes word words term called reported article about dit écrit mot cité sagte schrieb wort zitat dijo escribió palabra cita".split())
+REPORTING = frozenset("said says wrote writes quote quoted quotes word words term called reported dit écrit mot cité sagte schrieb wort zitat dijo escribió palabra cita".split())
 ADDRESS = frozenset("you your you're u are ur tu vous es êtes toi du dich bist ihr sie usted eres tú".split())
 QUOTES = "\"“”„«»"
 
@@ -112,22 +116,21 @@ class LexiconTrie:
         return None
 
 
-def _context(words: list[str], i: int, text: str, at: int) -> float:
-    """What the match that is word i, at text[at:], counts."""
-    # An odd number of quotation marks between the line's start and the match: it is inside of them.
-    start = text.rfind("\n", 0, at) + 1
-    if sum(text.count(q, start, at) for q in QUOTES) % 2:
+def _context(words: list[str], i: int, quoted: bool) -> int:
+    """The context of the match that is word i."""
+    if quoted:
         return QUOTED
     around = words[max(0, i - WINDOW) : i]
-    if REPORTING.intersection(around):
-        return REPORTED
-    return ADDRESSED if ADDRESS.intersection(around) else PLAIN
+    if ADDRESS.intersection(around):
+        return ADDRESSED
+    return REPORTED if REPORTING.intersection(around) else PLAIN
 
 
 class Scorer:
     def __init__(self, model: dict):
         self.weights = model["weights"]
         self.curve = model["curve"]
+        self.contexts = model.get("contexts", CONTEXTS)
         self.trie = LexiconTrie({t for t in self.weights if not t.endswith("*")}, {t[:-1] for t in self.weights if t.endswith("*")})
         self.exact_only = frozenset(model.get("exact_only", ()))
         self.memo: dict[str, tuple[str, bool] | None] = {}
@@ -136,7 +139,8 @@ class Scorer:
         found = self.trie.find(word)
         return None if found and not found[1] and found[0] in self.exact_only else found
 
-    def evidence(self, text: str | None) -> tuple[float, list[str]]:
+    def matches(self, text: str | None) -> list[tuple[str, str, bool, int]]:
+        """Word, term, whether exactly and context of each match, in one pass over the text."""
         words, memo, find, hit = tokens(text), self.memo, self.match, {}
         for w in set(words):
             if w not in memo:
@@ -146,15 +150,24 @@ class Scorer:
             if memo[w]:
                 hit[w] = memo[w]
         if not hit:
-            return 0.0, []
-        worth: dict[str, list[float]] = {}
-        low = text.lower()
+            return []
+        out, low, upto, quotes = [], text.lower(), 0, 0
         for i, m in enumerate(_TOKEN.finditer(low)):
             if m[0] in hit:
-                term, exact = hit[m[0]]
-                worth.setdefault(m[0], []).append(self.weights[term] * (1 if exact else FUZZY) * _context(words, i, low, m.start()))
+                # An odd number of quotation marks between the line's start and the match: it is inside of them.
+                start = low.rfind("\n", upto, m.start()) + 1
+                quotes = (0 if start else quotes) + sum(low.count(q, max(start, upto), m.start()) for q in QUOTES)
+                upto = m.start()
+                out.append((m[0], *hit[m[0]], _context(words, i, quotes % 2 == 1)))
+        return out
+
+    def evidence(self, text: str | None) -> tuple[float, list[str]]:
+        worth: dict[str, list[float]] = {}
+        found = self.matches(text)
+        for word, term, exact, context in found:
+            worth.setdefault(word, []).append(self.weights[term] * (1 if exact else FUZZY) * self.contexts[context])
         # Each form counts by its best context, and repeats add less and less.
-        return sum(max(w) * (1 + math.log(len(w))) for w in worth.values()), sorted({hit[w][0] for w in worth})
+        return sum(max(w) * (1 + math.log(len(w))) for w in worth.values()), sorted({term for _, term, _, _ in found})
 
     def score(self, evidence: float) -> float:
         if self.curve is None:
@@ -253,6 +266,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     beside = sample.mapInArrow(fuzzy, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     plain["exact_only"] = sorted(r["unit"] for r in beside.filter((F.col("clean") > 1) & (F.col("clean") / n_clean > 0.1 * F.col("toxic") / n_toxic)).collect())
 
+    def contexts(batches):
+        scorer, counts = Scorer(plain), (Counter(), Counter())
+        for b in batches:
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                counts[y].update({str(context) for _, _, _, context in scorer.matches(t)})
+        yield _counted(counts)
+
+    seen = sample.mapInArrow(contexts, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
+    plain["contexts"] = _factors({int(r["unit"]): (r["toxic"] / n_toxic, r["clean"] / n_clean, r["toxic"] + r["clean"]) for r in seen})
+
     def evidence(batches):
         scorer = Scorer(plain)
         for b in batches:
@@ -263,6 +286,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return plain | {"curve": _logistic([(r["x"], r["toxic"], r["n"] * share[r["toxic"]] / n[r["toxic"]]) for r in sorted(seen, key=lambda r: (r["x"], r["toxic"]))])}
 
 
+def _factors(seen: dict[int, tuple[float, float, int]]) -> tuple[float, ...]:
+    """What matches count by context: how toxic documents with such matches are, beside those with plain ones; seen: shares of toxic and of clean documents, and documents."""
+    toxic = lambda c: seen[c][0] / (seen[c][0] + seen[c][1])
+    if PLAIN not in seen or not seen[PLAIN][0]:
+        return CONTEXTS
+    ratio = {c: min(1.5, prior * toxic(c) / toxic(PLAIN) if c == ADDRESSED else toxic(c) / toxic(PLAIN)) for c, prior in enumerate(CONTEXTS) if c in seen}
+    return tuple((prior * CONTEXT_PRIOR + ratio[c] * seen[c][2]) / (CONTEXT_PRIOR + seen[c][2]) if c in seen and c != PLAIN else prior for c, prior in enumerate(CONTEXTS))
+
+
 def _forms(tried: DataFrame, weights: dict[str, float], prior: float) -> dict[str, float]:
     """The words of toxic texts that the stems in weights stand for, with the weight of the longest: a misspelling within a stem is near to the word alone."""
     stems = {k: [u[:-1] for u in weights if u.endswith("*") and len(u) == k + 1] for k in STEMS}

@@ -527,6 +527,68 @@ def test_op10_context_and_misspellings():
     scorer = toxicity.Scorer(model)
     plain, typo, quoted, reported, clean = (scorer.score(scorer.evidence(t)[0]) for t in ("what a moron he is", "what a mor0n he is", 'they wrote: "a moron" there', "he said moron once", "what a day it is"))
     assert plain >= 0.5 and typo >= 0.5 and quoted < 0.5 and reported < 0.5 and clean < 0.1
+    told = scorer.score(scorer.evidence("he said you moron")[0])
+    assert told >= plain  # address outranks reporting
+    lines = ['he has "x', "a moron", 'they "a moron" b', 'c " d " moron "moron']
+    assert [c for _, _, _, c in scorer.matches("\n".join(lines))] == [toxicity.PLAIN, toxicity.QUOTED, toxicity.PLAIN, toxicity.QUOTED]
+
+
+def test_op10_context_factors_follow_labels():
+    same = toxicity._factors({toxicity.PLAIN: (0.5, 0.01, 500), toxicity.QUOTED: (0.5, 0.01, 10_000)})
+    less = toxicity._factors({toxicity.PLAIN: (0.5, 0.01, 500), toxicity.QUOTED: (0.01, 0.5, 10_000)})
+    assert same[toxicity.QUOTED] > 0.95 and less[toxicity.QUOTED] < 0.05 and toxicity._factors({}) == toxicity.CONTEXTS
+
+
+def test_long_lines_and_words_take_linear_time():
+    """A text of one kind of character, of one word, of blanks and of one line of abuse, within seconds."""
+    import time
+
+    fst = piece_transducer.transducer(queries.piece_model())
+    scorer = toxicity.Scorer({"weights": {"moron": 6.0}, "curve": (-4.0, 1.0), "exact_only": []})
+    began = time.time()
+    for text in (" " * 1_000_000, "ab1" * 300_000, "a" * 300_000, "x  y" * 100_000):
+        assert fst.decode(fst.encode(text)) == text
+    assert scorer.score(scorer.evidence('you moron "' * 50_000)[0]) > 0.9
+    assert time.time() - began < 60
+
+
+def test_op7_merges_by_heap_equal_merges_by_search():
+    import random
+
+    fst, rng = piece_transducer.transducer(queries.piece_model()), random.Random(5)
+    for _ in range(300):
+        out = list(chars := "".join(rng.choice("▁▁▁eatin.-=") for _ in range(rng.randint(1, 40))))
+        while best := max(((fst.scores[out[i] + out[i + 1]], -i) for i in range(len(out) - 1) if out[i] + out[i + 1] in fst.scores), default=None):
+            out[-best[1] : 2 - best[1]] = [out[-best[1]] + out[1 - best[1]]]
+        assert fst.merge(chars) == out
+
+
+def test_op7_unigram_path_is_the_cheapest():
+    """The tropical path of a unigram model, against all segmentations."""
+    fst = piece_transducer.transducer(queries.piece_model())
+    rng = np.random.default_rng(4)
+
+    class Small(piece_transducer.Transducer):
+        def __init__(self):
+            pieces = ["a", "b", "c", "ab", "bc", "abc", "ca", "cab", "bb"]
+            self.scores, self.merges, self.trie = {p: -float(rng.uniform(1, 9)) for p in pieces}, False, {}
+            self.longest = 3
+            for p in pieces:
+                node = self.trie
+                for c in p:
+                    node = node.setdefault(c, {})
+                node[""] = p
+
+    def cuts(text):
+        return [[text[:i], *rest] for i in range(1, min(3, len(text)) + 1) for rest in cuts(text[i:])] if text else [[]]
+
+    small = Small()
+    for n in range(2, 10):
+        text = "".join(rng.choice(list("abc"), n))
+        cost = lambda path: -sum(small.scores[p] for p in path)
+        best = min(cost(p) for p in cuts(text) if all(x in small.scores for x in p))
+        assert math.isclose(cost(small.path(text)), best)
+    assert fst.merges
 
 
 def test_op10_misspelled_forms_of_a_learned_stem(spark):
