@@ -7,7 +7,8 @@ in a sample with the probability of their generalised Jaccard similarity. With r
 exponentials, a term of weight 1 has a = c exp(-e2), so that it needs no more than three uniforms.
 
 A fingerprint is 16 bits of each sample as hex digits. Neighbours in descending doc_id are found by dealing ranges of doc_id
-to groups, in which rows are streamed in order; the first row of each group is sent to the group before it too.
+to groups of about GROUP_BYTES of measured text, in which rows are streamed in order; the first row of each group is sent to the group before it too.
+A doc_id of many rows, null for one, is dealt by ranges of its texts' hash, which is their order.
 
 Defined results: null is the empty text; a text without words has the fingerprint of zeros, which is alike (1) to itself alone; doc_ids that
 are null come last, and rows of equal doc_id are ordered by their text's hash; the only row is its own next; an
@@ -27,6 +28,8 @@ from .common import small_batches
 from .simhash import shingle_hashes, words_of
 
 SHINGLE, SAMPLES = 5, 64
+#: Text of a group that is aimed at. The driver holds a number or two for each group.
+GROUP_BYTES = 32 << 20
 #: Terms drawn at once, so that the numbers stay in a core's cache.
 ROWS = 512
 _SEEDS = np.random.default_rng(20240613).integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
@@ -165,38 +168,52 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    groups = 4 * parts
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("size")).first()
+    groups = max(4 * spark.sparkContext.defaultParallelism, -(-total["size"] // GROUP_BYTES))
     bounds = rows.select("id").agg(F.percentile_approx("id", [k / groups for k in range(1, groups)], 20 * groups)).first()[0] or []
     bounds = np.array(sorted(set(bounds)), np.int64)
-
-    def group_of(ids: pa.Array) -> np.ndarray:
-        """Groups count from the largest ids; null ids are the last."""
-        known = ids.is_valid().to_numpy(zero_copy_only=False)
-        at = len(bounds) - np.searchsorted(bounds, ids.fill_null(0).to_numpy(), side="left")
-        return np.where(known, at, len(bounds) + 1).astype(np.int32)
+    # A doc_id with more rows than a group should have is a bound itself, and its rows are dealt by their texts' hash.
+    limit = max(1, -(-total["n"] // groups))
+    heavy = {r["id"]: -(-r["n"] // limit) for r in rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).collect()} if total["n"] > groups else {}
+    bounds = np.unique(np.concatenate([bounds, np.array([x for i in heavy if i is not None for x in (i - 1, i)], np.int64)]))
+    many = np.array(sorted(i for i in heavy if i is not None), np.int64)
+    pieces = np.array([heavy[int(i)] for i in many], np.int64)
+
+    def group_of(ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+        """Groups count from the largest ids, within an id of many rows from the least hash; null ids are the last."""
+        known, own = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+        at = np.where(known, len(bounds) - np.searchsorted(bounds, own, side="left"), len(bounds) + 1).astype(np.int64)
+        parts = np.where(known, 1, heavy.get(None, 1)).astype(np.int64)
+        if len(many):
+            k = np.minimum(np.searchsorted(many, own), len(many) - 1)
+            parts = np.where(known & (many[k] == own), pieces[k], parts)
+        place = ((hashes.to_numpy().astype(np.float64) / 2.0**64 + 0.5) * parts).astype(np.int64)
+        return (at << 32) + np.clip(place, 0, parts - 1)
+
+    rows = rows.withColumn("h", F.xxhash64("text"))
 
     def tops(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(group_of(b.column(0))), b.column(0)], names=["g", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(group_of(b.column(0), b.column(1))), b.column(0), b.column(1)], names=["g", "id", "h"])
 
-    # One row for each group, at most 4 * parts + 2.
-    first = {r["g"]: r["top"] for r in rows.select("id").mapInArrow(tops, "g int, id long").groupBy("g").agg(F.max("id").alias("top")).collect()}
+    # The first row of each group; groups are as many as the text's size says, and as many again at most.
+    tops_of = rows.select("id", "h").mapInArrow(tops, "g long, id long, h long").groupBy("g").agg(F.max("id").alias("top"), F.min_by("h", F.struct((-F.col("id")).alias("i"), "h")).alias("h"))
+    first = {r["g"]: (r["top"], r["h"]) for r in tops_of.collect()}
     order = sorted(first)
     sent = {g: order[k - 1] for k, g in enumerate(order)}  # the first group's goes to the last
 
     def deal(batches):
         for b in batches:
-            g, ids = group_of(b.column(0)), b.column(0).to_pylist()
-            also = np.array([i for i, x in enumerate(ids) if x == first[int(g[i])]], np.int64)
-            own = pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.zeros(len(ids), bool)), *b.columns], names=["g", "halo", "id", "text"])
-            yield own
+            g, ids, hashes = group_of(b.column(0), b.column(1)), b.column(0).to_pylist(), b.column(1).to_pylist()
+            also = np.array([i for i, x in enumerate(zip(ids, hashes, strict=True)) if x == first[int(g[i])]], np.int64)
+            own = [b.column(0), b.column(1), b.column(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.zeros(len(ids), bool)), *own], names=["g", "halo", "id", "h", "text"])
             if len(also):
                 some = b.take(pa.array(also))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([sent[int(x)] for x in g[also]], np.int32)), pa.array(np.ones(len(also), bool)), *some.columns], names=["g", "halo", "id", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([sent[int(x)] for x in g[also]], np.int64)), pa.array(np.ones(len(also), bool)), *some.columns], names=["g", "halo", "id", "h", "text"])
 
-    dealt = rows.mapInArrow(deal, "g int, halo boolean, id long, text string").repartition(parts, "g")
-    dealt = dealt.sortWithinPartitions("g", "halo", F.col("id").desc_nulls_last(), F.xxhash64("text"), F.col("text"))
+    dealt = rows.select("id", "h", "text").mapInArrow(deal, "g long, halo boolean, id long, h long, text string").repartition(max(1, groups // 2), "g")
+    dealt = dealt.sortWithinPartitions("g", "halo", F.col("id").desc_nulls_last(), "h", F.col("text")).drop("h")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches):
