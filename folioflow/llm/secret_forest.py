@@ -42,9 +42,15 @@ KEYED_IN = r"(?i)^[\"'`(]*[\w.-]*(pass(word|wd)?|pwd|secret|token|api[_-]?key|ac
 HARMLESS = r"(?i)(example|sample|dummy|placeholder|changeme|your|xxxx|test|commit|sha\d*|md5|hash|checksum|digest|uuid|guid|version|build|rev|isbn|phone|tel|order|ticket|invoice)[=:]?$"
 KNOWN = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_(live|test)_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_-]{30,}$|^eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"
 TRANSITION = r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])|[a-z](?=[A-Z])|[A-Z](?=[a-z])|[A-Za-z0-9](?=[^A-Za-z0-9])"
-#: Frequent words and word parts of four languages.
-DICTIONARY = "(?:about|after|chapter|commit|config|data|default|des|down|ein|ene|eur|example|file|from|get|heit|http|image|index|ing|ion|keit|land|lich|line|main|ment|name|none|number|order|page|part|path|que|sample|section|set|sich|src|test|that|the|this|tion|type|und|user|value|version|with|word|www|year|your)"
-
+#: Frequent words and word parts of four languages, and of file and variable names.
+WORDS = (
+    "able about access after and array aux back base block body build button byte cache call chapter char check class client close code color column commit config content copy count create data date default delete des down ein "
+    "end ene entry error eur event example export field file filter find form format frame from func get group handle hash head heit height host http image import index info ing init input insert ion item keit key label land last "
+    "layer layout length level lich line link list load local lock log main manager map match max ment message method min mode model module name next node none null number object offset open order out page panel param parent "
+    "parse part path plus point port print process property query que queue range read record ref remove render request reset result return root row run sample save schema screen section select send server set sich size source "
+    "src stack start state stop store string style sum table tag target task temp text that this time tion title top tree type und unit update url user value vector version view web with word work wrap write www year your zone"
+).split()
+DICTIONARY = f"(?:{'|'.join(sorted(WORDS, key=lambda w: (-len(w), w)))})"
 
 def _words(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1)
@@ -209,7 +215,8 @@ def scan(docs: DataFrame, text_col: str = "text", trees: list | None = None, thr
         left = F.regexp_replace(word(i), USER, "://,")
         by_name = F.zip_with(every(left, NAMED), every(left, NAMED, 0), own)
         left = F.regexp_replace(left, NAMED, ",")
-        whole = F.regexp_replace(word(i), r"^[\"'`]+|[\"'`,;.]+$", "")
+        quoted = F.regexp_extract(word(i), r"^[\"'`]+([^\"'`]{6,})[\"'`]", 1)
+        whole = F.when(quoted != "", quoted).otherwise(F.regexp_replace(word(i), r"^[\"'`]+|[\"'`,;.]+$", ""))
         is_whole = after_name(i) & (F.size(by_name) == 0) & (F.size(by_user) == 0) & (F.length(whole) >= LEAST_KEYED)
         others = F.transform(F.filter(every(left, VALUE), lambda v: v.rlike("[0-9]")), lambda v: own(v, left))
         return F.when(is_whole, F.array(own(whole, word(i)))).otherwise(F.concat(by_user, by_name, others))
