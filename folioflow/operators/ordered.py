@@ -43,25 +43,24 @@ def merge_paragraphs(pieces: DataFrame, group: str, order: str, piece: str) -> D
 
 
 def greedy_chunks(rows: DataFrame, group: str, order: str, size: str, limit: int, before: bool = False) -> DataFrame:
-    """rows (group, order, size) with chunk: a chunk closes once it holds limit; with before, rather than to exceed limit."""
+    """rows (group, order, size) with chunk: a chunk closes once it holds limit; with before, rather than to exceed limit.
+
+    The fold keeps where chunks begin, not a number for each row, so that its state grows with the chunks alone.
+    """
     packed = rows.groupBy(group).agg(in_order(order, size).alias("rows"))
 
     def step(acc: Column, row: Column) -> Column:
         n = row[size].cast("long")
-        if before:
-            new = (acc["sum"] + n > limit) & (acc["sum"] > 0)
-            at, total = acc["chunk"] + new.cast("int"), F.when(new, n).otherwise(acc["sum"] + n)
-            following, left = at, total
-        else:
-            at, total = acc["chunk"], acc["sum"] + n
-            full = total >= limit
-            following, left = at + full.cast("int"), F.when(full, F.lit(0).cast("long")).otherwise(total)
-        return F.struct(following.alias("chunk"), left.alias("sum"), F.array_append(acc["at"], at).alias("at"))
-
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("at"))
-    at = F.aggregate("rows", start, step, lambda a: a["at"])
-    out = packed.select(group, F.explode(F.arrays_zip(F.col("rows"), at.alias("at"))).alias("z"))
-    return out.select(group, F.col(f"z.rows.{order}").alias(order), F.col(f"z.rows.{size}").alias(size), F.col("z.at").alias("chunk"))
+        begins = (acc["at"] == 0) | (((acc["sum"] + n > limit) & (acc["sum"] > 0)) if before else (acc["sum"] >= limit))
+        starts = F.when(begins, F.array_append(acc["starts"], acc["at"])).otherwise(acc["starts"])
+        return F.struct((acc["at"] + 1).alias("at"), F.when(begins, n).otherwise(acc["sum"] + n).alias("sum"), starts.alias("starts"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("starts"))
+    out = packed.select(group, "rows", F.aggregate("rows", start, step, lambda a: a["starts"]).alias("starts"))
+    out = out.select(group, "rows", "starts", F.posexplode("starts").alias("chunk", "s"))
+    end = F.coalesce(F.get("starts", F.col("chunk") + 1), F.size("rows"))
+    own = out.select(group, "chunk", F.explode(F.slice("rows", F.col("s") + 1, end - F.col("s"))).alias("r"))
+    return own.select(group, F.col(f"r.{order}").alias(order), F.col(f"r.{size}").alias(size), "chunk")
 
 
 def islands(rows: DataFrame, group: list[str], order: list, starts: Column, name: str) -> DataFrame:
@@ -83,3 +82,48 @@ def upper_median(c: Column) -> Column:
 
 def low_tenth(c: Column) -> Column:
     return F.element_at(F.array_sort(F.collect_list(c)), F.floor(F.count(c) / 10).cast("int") + 1)
+
+
+def hyphen_joined(c: Column) -> Column:
+    """The lines of a paragraph as one: blank ones go, a hyphen at a line's end too, CJK needs no space."""
+    lines = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "\n", -1), T.strip), lambda x: x != "")
+    return F.coalesce(F.aggregate(lines, F.lit(None).cast("string"), lambda a, x: F.when(a.isNull(), x).otherwise(join_pieces(a, x))), F.lit(""))
+
+
+def page_pieces(pages: DataFrame, book: str, page: str, text: str) -> DataFrame:
+    """Rows book, page, j, piece: the paragraphs of each page, parted by blank lines, hyphen-joined; j counts those that are not blank."""
+    own = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n\n", -1), T.strip), lambda x: x != "")
+    rows = pages.select(F.col(book).alias("book"), F.col(page).alias("page"), F.posexplode(own).alias("j", "piece"))
+    return rows.withColumn("piece", hyphen_joined(F.col("piece")))
+
+
+def repeated_heads(pieces: DataFrame, pages: DataFrame, book: str) -> DataFrame:
+    """Rows book, head: short first paragraphs of three pages or a tenth of the book's at least, whichever is more."""
+    n = pages.groupBy(F.col(book).alias("book")).agg(F.count(F.lit(1)).alias("pages"))
+    heads = pieces.filter((F.col("j") == 0) & (F.length("piece") <= T.HEADING_MOST)).groupBy("book", F.lower("piece").alias("head")).agg(F.count(F.lit(1)).alias("n"))
+    return heads.join(n, "book").filter(F.col("n") >= F.greatest(F.lit(3), F.floor(F.col("pages") / 10))).select("book", "head")
+
+
+def merge_page_spans(pages: DataFrame, book: str, page: str, text: str) -> DataFrame:
+    """Rows book, idx, text, page, page_end: a book's paragraphs across its pages, in order of page.
+
+    Page numbers and repeated heads (of the page's first paragraph) go. A piece is joined to what stands before it, on another page too, unless either
+    is a heading or that ends a sentence. As the state is the text joined so far, a book is folded in one row; its pieces are made before, page by page.
+    """
+    pieces = page_pieces(pages, book, page, text)
+    heads = repeated_heads(pieces, pages, book)
+    kept = pieces.filter((F.col("piece") != "") & ~T.is_page_number(F.col("piece")))
+    kept = kept.join(heads, (kept.book == heads.book) & (F.col("j") == 0) & (F.lower("piece") == F.col("head")), "left_anti")
+    rows = kept.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("page", "j", "piece"))).alias("rows"))
+    kind = pages.schema[page].dataType.simpleString()
+    para = f"struct<text:string,page:{kind},page_end:{kind}>"
+
+    def step(acc: Column, row: Column) -> Column:
+        last, now = acc["last"], row["piece"]
+        joins = last.isNotNull() & ~T.is_heading(last["text"]) & ~T.is_heading(now) & ~T.ends_sentence(F.rtrim(last["text"]))
+        new = F.when(joins, F.struct(join_pieces(last["text"], now).alias("text"), last["page"].alias("page"), row["page"].alias("page_end"))).otherwise(F.struct(now.alias("text"), row["page"].alias("page"), row["page"].alias("page_end")))
+        return F.struct(F.when(joins | last.isNull(), acc["done"]).otherwise(F.array_append(acc["done"], last)).alias("done"), new.alias("last"))
+
+    start = F.struct(F.array().cast(f"array<{para}>").alias("done"), F.lit(None).cast(para).alias("last"))
+    merged = F.aggregate("rows", start, step, lambda a: F.when(a["last"].isNull(), a["done"]).otherwise(F.array_append(a["done"], a["last"])))
+    return rows.select("book", F.posexplode(merged).alias("idx", "p")).select("book", "idx", "p.*")

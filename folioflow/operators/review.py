@@ -2,30 +2,49 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
+from folioflow.functions import rules as R
+from folioflow.functions import text as T
 
-def consensus(first: DataFrame, second: DataFrame, verified: DataFrame, keys: list[str]) -> DataFrame:
-    """Two passes (text, kind, confidence, uncertain) and a verifier's rows: keys, text, kind, confidence, passes."""
+#: Rules of a price list, at most.
+MOST_PRICES = 1000
+
+
+def consensus(first: DataFrame, second: DataFrame, verified: DataFrame, keys: list[str], asked: DataFrame | None = None, batch: bool = True) -> DataFrame:
+    """Two passes (text, kind, confidence, uncertain) and a verifier's rows: keys, text, kind, confidence, passes, alt_pass1, alt_pass2.
+
+    asked: the keys that were asked for; one that neither pass has is a row that failed. Not in a batch, an unverified row keeps the second reading alone.
+    """
     fields = ["text", "kind", "confidence", "uncertain"]
     side = lambda df, p: df.select(*keys, *[F.col(c).alias(p + c) for c in fields], F.lit(True).alias(p + "is"))
-    both = side(first, "a_").join(side(second, "b_"), keys, "full_outer").join(side(verified, "v_"), keys, "left")
+    both = side(first, "a_").join(side(second, "b_"), keys, "full_outer")
+    both = both if asked is None else asked.select(*keys).join(both, keys, "left")
+    both = both.join(side(verified, "v_"), keys, "left")
     blank = lambda p: F.btrim(F.coalesce(F.col(p + "text"), F.lit(""))) == ""
     norm = lambda p: F.array_join(F.transform(F.split(F.btrim(F.coalesce(F.col(p + "text"), F.lit(""))), "\n"), lambda x: F.btrim(x)), "\n")
     agree = (norm("a_") == norm("b_")) & F.col("a_kind").eqNullSafe(F.col("b_kind"))
     sure = (F.col("a_confidence") == "high") & (F.col("b_confidence") == "high") & ~F.col("a_uncertain") & ~F.col("b_uncertain")
     passes = (
-        F.when(F.col("a_is").isNull() | F.col("b_is").isNull(), "single")
+        F.when(F.col("a_is").isNull() & F.col("b_is").isNull(), "failed")
+        .when(F.col("a_is").isNull() | F.col("b_is").isNull(), "single")
         .when((blank("a_") & blank("b_")) | (agree & sure), "agree")
         .when(F.col("v_is").isNotNull(), "adjudicated")
         .otherwise("unverified")
     )
-    pick = lambda c: F.when(F.col("passes") == "adjudicated", F.col("v_" + c)).when(F.col("a_is").isNull(), F.col("b_" + c)).otherwise(F.col("a_" + c))
-    doubtful = (F.col("passes") == "unverified") | ((F.col("passes") == "single") & pick("uncertain"))
-    confidence = F.when(doubtful & (pick("confidence") == "high"), "medium").otherwise(pick("confidence"))
-    return both.withColumn("passes", passes).select(*keys, pick("text").alias("text"), pick("kind").alias("kind"), confidence.alias("confidence"), "passes")
+    how = F.col("passes")
+    pick = lambda c: F.when(how == "adjudicated", F.col("v_" + c)).when(F.col("a_is").isNull(), F.col("b_" + c)).otherwise(F.col("a_" + c))
+    doubtful = (how == "unverified") | ((how == "single") & pick("uncertain"))
+    confidence = F.when(how == "failed", "low").when(doubtful & (pick("confidence") == "high"), "medium").otherwise(pick("confidence"))
+    alt1 = F.when((how == "adjudicated") | ((how == "unverified") & F.lit(batch)), F.col("a_text"))
+    alt2 = F.when(how.isin("adjudicated", "unverified"), F.col("b_text"))
+    kind = F.when(how == "failed", "none").otherwise(pick("kind"))
+    return both.withColumn("passes", passes).select(*keys, pick("text").alias("text"), kind.alias("kind"), confidence.alias("confidence"), "passes", alt1.alias("alt_pass1"), alt2.alias("alt_pass2"))
 
 
 def align_replies(asked: DataFrame, replies: DataFrame, group: str) -> DataFrame:
@@ -49,19 +68,30 @@ def merge_reports(old: DataFrame, new: DataFrame, key: str, order: str, status:
 
 
 def by_prefix(rows: DataFrame, prices: DataFrame, name: str) -> DataFrame:
-    """rows with the first price (by ord) whose prefix begins name. prices is a rule list of a few rows."""
+    """rows with usd_in and usd_out of the first price (by ord) whose prefix begins name, else null.
+
+    prices is a rule list; of MOST_PRICES rows at most it becomes one expression, so that rows are neither shuffled nor joined.
+    """
+    rules = prices.orderBy("ord").limit(MOST_PRICES + 1).collect()
+    if len(rules) > MOST_PRICES:
+        raise ValueError(f"a price list has {MOST_PRICES} rules at most")
     low = F.lower(F.coalesce(F.col(name), F.lit("")))
-    models = rows.select(name).distinct()
-    hits = models.join(F.broadcast(prices), low.startswith(F.col("prefix")), "left")
-    best = hits.groupBy(name).agg(F.min_by(F.struct("usd_in", "usd_out"), "ord").alias("p"))
-    return rows.join(F.broadcast(best.select(F.col(name).alias("priced_"), "p.usd_in", "p.usd_out")), F.col(name).eqNullSafe(F.col("priced_")), "left").drop("priced_")
+
+    def first(field: str):
+        out = F.lit(None).cast("double")
+        for r in reversed(rules):
+            out = F.when(low.startswith(r["prefix"]), F.lit(r[field])).otherwise(out)
+        return out
+
+    return rows.withColumns({"usd_in": first("usd_in"), "usd_out": first("usd_out")})
 
 
 def fenced_latest(edits: DataFrame) -> DataFrame:
-    """edits (book, seq, fp, idx, text): a changed fp drops what was queued, then the latest of each idx wins."""
+    """edits (book, seq, fp, idx, text): an fp other than one that is stored (null too) drops what was queued, then the latest of each idx wins."""
     by = W.partitionBy("book").orderBy("seq")
-    changed = (F.col("fp") != F.lag("fp").over(by)).cast("int")
-    life = F.sum(F.coalesce(changed, F.lit(0))).over(by.rowsBetween(W.unboundedPreceding, 0))
+    before = F.lag("fp").over(by)
+    changed = (before.isNotNull() & ~F.col("fp").eqNullSafe(before)).cast("int")
+    life = F.sum(changed).over(by.rowsBetween(W.unboundedPreceding, 0))
     rows = edits.withColumn("life", life).withColumn("last_life", F.max("life").over(W.partitionBy("book"))).filter("life = last_life")
     return rows.groupBy("book", "idx").agg(F.max_by(F.struct("text", "fp", "seq"), "seq").alias("e")).select("book", "idx", "e.text", "e.fp", "e.seq")
 
@@ -85,3 +115,114 @@ def page_range(text: str) -> tuple[int, int]:
     if first < 1 or last < first:
         raise ValueError(f"not a page range: {text!r}")
     return first, last
+
+
+def rework(rows: DataFrame) -> DataFrame:
+    """rows with a new reading (text, kind, confidence), what stands there (old_text, old_kind, old_confidence, retyped) and whether hand and sfx are set:
+
+    passes, alt and what holds from now on. A shown text stays if the new one would not be shown; a text that was not shown and is asked for is set.
+    """
+    special = ((F.col("kind") == "hand") & F.col("hand")) | ((F.col("kind") == "sfx") & F.col("sfx"))
+    shows = ~R.blank(F.col("text")) & (F.col("confidence") == "high") & (F.col("kind").isin(R.ALWAYS_SET) | special)
+    passes = F.when(F.col("retyped") & ~shows, "rework-kept").when(~F.col("retyped") & ~shows & ~R.blank(F.col("text")), "rework-forced").otherwise("rework-ai")
+    kept, forced = F.col("passes") == "rework-kept", F.col("passes") == "rework-forced"
+    kind = F.when(kept, F.col("old_kind")).when(forced & ~special & ~F.col("kind").isin("caption", "shout"), "dialogue").otherwise(F.col("kind"))
+    confidence = F.when(kept, F.col("old_confidence")).when(forced, "high").otherwise(F.col("confidence"))
+    return rows.withColumn("passes", passes).withColumns({"alt": F.when(kept, F.col("text")), "text": F.when(kept, F.col("old_text")).otherwise(F.col("text")), "kind": kind, "confidence": confidence})
+
+
+def translated(rows: DataFrame) -> DataFrame:
+    """rows (text, kind, confidence, passes) after a translation tr, or none at all if it failed: a missing one is held back, a failure keeps the source."""
+    found = F.when(~R.blank(F.col("tr")), T.strip(F.col("tr")))
+    text = F.when(F.col("failed"), F.col("text")).otherwise(found)
+    held = ~F.col("failed") & found.isNull()
+    confidence = F.when(F.col("failed") & (F.col("confidence") == "high"), "medium").when(held, "low").otherwise(F.col("confidence"))
+    passes = F.concat(F.coalesce("passes", F.lit("ocr")), F.when(F.col("failed"), "+xlat-failed").otherwise("+xlat"))
+    return rows.withColumns({"src": F.col("text"), "text": text, "kind": F.when(held, "none").otherwise(F.col("kind")), "confidence": confidence, "passes": passes})
+
+
+def with_unlisted(own: DataFrame, finals: DataFrame, key: str) -> DataFrame:
+    """own pages, then finals that are not among them, to be seen only."""
+    rest = finals.join(own, key, "left_anti").select(key, F.lit(True).alias("locked"), F.lit(1).alias("part"))
+    return own.select(key, F.lit(False).alias("locked"), F.lit(0).alias("part")).unionByName(rest)
+
+
+def apply_edits(paras: DataFrame, edits: DataFrame, versions: DataFrame) -> DataFrame:
+    """paras (book, idx, src, text) after edits (book, key, has_src, src, has_text, text, fp, count), one for each key.
+
+    A book's edits hold if fp and count are those of versions (book, fp, count), both; keys that are no index of the book are passed over; a blank text becomes null.
+    """
+    now = versions.select("book", F.col("fp").alias("now_fp"), F.col("count").alias("now_count"))
+    held = edits.join(now, (edits.book == now.book) & F.col("fp").eqNullSafe(F.col("now_fp")) & F.col("count").eqNullSafe(F.col("now_count"))).drop(now.book)
+    own = held.withColumn("idx", R.index_in(F.col("key"), F.col("now_count"))).filter("idx is not null")
+    own = own.select("book", "idx", "has_src", T.clean_source(F.coalesce("src", F.lit(""))).alias("new_src"), "has_text", F.nullif(T.clean_text(F.coalesce("text", F.lit(""))), F.lit("")).alias("new_text"))
+    both = paras.join(own, ["book", "idx"], "left")
+    return both.select("book", "idx", F.when(F.col("has_src"), F.col("new_src")).otherwise(F.col("src")).alias("src"), F.when(F.col("has_text"), F.col("new_text")).otherwise(F.col("text")).alias("text"))
+
+
+def line_paragraphs(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """rows (group, x, y0, y1) with para: a gap over 1.8 of the median one and 0.55 of the median height, or an indent over 1.2 heights, begins one."""
+    by = W.partitionBy(group).orderBy(*order)
+    gaps = rows.withColumn("gap", F.col("y0") - F.lag("y1").over(by))
+    height = F.coalesce(F.median(F.when(F.col("y1") > F.col("y0"), F.col("y1") - F.col("y0"))), F.lit(20.0))
+    middle = F.coalesce(F.median(F.when(F.col("gap").isNotNull(), F.greatest(F.lit(0), "gap"))), F.lit(0.0))
+    base = F.get(F.array_sort(F.collect_list("x")), F.floor(F.count(F.lit(1)) / 10).cast("int"))
+    page = gaps.groupBy(group).agg(height.alias("height"), middle.alias("middle"), base.alias("base"))
+    begins = F.col("gap").isNotNull() & ((F.col("gap") > F.greatest(F.col("middle") * 1.8, F.col("height") * 0.55)) | (F.col("x") - F.col("base") > F.col("height") * 1.2))
+    marked = gaps.join(page, group).withColumn("begins", begins.cast("int"))
+    return marked.withColumn("para", F.sum("begins").over(by.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("begins")
+
+
+def rescan_windows(paras: DataFrame) -> DataFrame:
+    """For each page of a book the window [s, e) of paragraphs to replace and the pages q to r that it covers.
+
+    paras: book, idx, s, e (first and last page, rising with idx; null for a page that is not known, which counts as the one looked at). Spans are dealt to the
+    pages they touch, so that no paragraph meets a page that it has nothing to do with.
+    """
+    books = paras.groupBy("book").agg(F.coalesce(F.max("e"), F.lit(0)).alias("last"), F.count(F.lit(1)).alias("n"), F.max("s").isNull().alias("none"))
+    pages = books.select("book", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias("page"))
+    known = paras.filter("s is not null")
+    touching = known.select("book", "idx", "s", "e", F.explode(F.sequence(F.col("s").cast("long"), F.col("e").cast("long"))).alias("page"))
+    own = touching.groupBy("book", "page").agg(F.min("s").alias("q"), F.max("e").alias("r"), F.min("idx").alias("first"), F.max("idx").alias("final"))
+    lost = paras.filter("s is null").groupBy("book").agg(F.min("idx").alias("first_lost"), F.max("idx").alias("final_lost"))
+    # The least idx that begins after a page: of each page the first that begins there, looked at from the end.
+    firsts = pages.join(known.groupBy("book", F.col("s").cast("long").alias("page")).agg(F.min("idx").alias("begins")), ["book", "page"], "left")
+    after = W.partitionBy("book").orderBy("page").rowsBetween(1, W.unboundedFollowing)
+    nexts = firsts.select("book", "page", "n", F.min("begins").over(after).alias("later"))
+    rows = nexts.join(own, ["book", "page"], "left").join(lost, "book", "left")
+    rows = rows.withColumns({"q": F.least("q", "page"), "r": F.greatest("r", "page"), "first": F.least("first", "first_lost"), "past": F.greatest("final", "final_lost") + 1})
+    # Past the window's last paragraph the first that begins after page r; spans rise, so it is the first after r or the paragraph past the window.
+    ends = nexts.select("book", F.col("page").alias("r"), F.col("later").alias("stop"))
+    rows = rows.join(ends, ["book", "r"], "left")
+    none = F.col("first").isNull()
+    end = F.when(F.col("stop").isNull(), F.col("n")).otherwise(F.greatest("stop", "past"))
+    return rows.select("book", "page", F.coalesce("q", "page").cast("long").alias("q"), F.coalesce("r", "page").cast("long").alias("r"), F.when(none, F.coalesce("later", "n")).otherwise(F.col("first")).cast("long").alias("s"), F.when(none, F.coalesce("later", "n")).otherwise(end).cast("long").alias("e"))
+
+
+def limited(rows: DataFrame, book: str, order: str, pages: str, most: int, sample: int) -> DataFrame:
+    """Rows of the page range with whether they are within the limit, and the sample page, held within the book."""
+    first, last = page_range(pages)
+    by = W.partitionBy(book)
+    numbered = rows.withColumn("n", F.row_number().over(by.orderBy(order))).withColumn("total", F.count(F.lit(1)).over(by))
+    within = F.col("n").between(first, min(last, first + most - 1))
+    at = F.col("n") == F.least(F.lit(max(sample, 1)), F.col("total"))
+    return numbered.filter(within | at).select(book, order, within.alias("within_limit"), at.alias("sample"))
+
+
+def overlap_suppressed(boxes: DataFrame, group: str, share: float = 0.25) -> DataFrame:
+    """boxes (group, id, x, y, w, h) with kept: by area, a box goes if more than share of its own area lies in the union of the kept ones.
+
+    The union depends on what was kept before, so that a group (the boxes of one page) is one task's, in one pass over its mask's rows.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        cols = {c: table.column(c).to_pylist() for c in ("id", "x", "y", "w", "h")}
+        at = sorted(range(table.num_rows), key=lambda i: (-cols["w"][i] * cols["h"][i], cols["id"][i]))
+        union, kept = np.zeros((max((y + h for y, h in zip(cols["y"], cols["h"], strict=True)), default=0) + 1, max((x + w for x, w in zip(cols["x"], cols["w"], strict=True)), default=0) + 1), bool), [False] * table.num_rows
+        for i in at:
+            part = union[cols["y"][i] : cols["y"][i] + cols["h"][i], cols["x"][i] : cols["x"][i] + cols["w"][i]]
+            if part.sum() <= share * cols["w"][i] * cols["h"][i]:
+                part[:] = kept[i] = True
+        return table.append_column("kept", pa.array(kept))
+
+    return boxes.groupBy(group).applyInArrow(run, T_.StructType([*boxes.schema.fields, T_.StructField("kept", T_.BooleanType())]))

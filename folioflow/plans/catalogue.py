@@ -1,6 +1,6 @@
 """The registered queries over the driver's tables, each beside the SQL that gives the same rows.
 
-Books are sources, pages are documents in order of doc_id, paragraphs are lines. Single-file tables are dealt out right after the scan.
+Books are sources, pages are documents in order of doc_id, paragraphs are lines. Tables of fewer splits than cores are dealt out right after the scan, others are not.
 """
 
 from __future__ import annotations
@@ -46,8 +46,9 @@ def docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def dealt(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df over all cores: a table in one file is one task otherwise."""
-    return df.repartition(max(spark.sparkContext.defaultParallelism, 2))
+    """df as it is scanned; a scan of fewer splits than cores, as of one small file, is dealt over all of them."""
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def listing(words: list[str]) -> str:
@@ -134,14 +135,8 @@ def json_repair_light(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.get(parsed, F.lit(0))["props"]["k"].alias("k"))
 
 
-@query(r"SELECT conv_id, turn, regexp_replace('<think>' || role || '</think>[' || left(text, 40) || ']<think>rest', '(?s)<think>.*?(</think>|$)', '', 'g') AS answer, length(regexp_extract('x [' || text || '] y', '(?s)\[.*\]')) AS widest FROM conversations")
-def think_strip(spark, sf_dir):
-    raw = F.concat(F.lit("<think>"), F.col("role"), F.lit("</think>["), F.left("text", F.lit(40)), F.lit("]<think>rest"))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.without_thoughts(raw).alias("answer"), F.length(T.widest_list(F.concat(F.lit("x ["), F.col("text"), F.lit("] y")))).cast("long").alias("widest"))
-
-
 @query(r"SELECT conv_id, turn, regexp_replace('<think>' || role || '</think>[' || text || ']<think>rest', '(?s)<think>.*?(</think>|$)', '', 'g') AS answer, length(regexp_extract('x [' || text || '] y', '(?s)\[.*\]')) AS widest FROM conversations")
-def think_strip_whole(spark, sf_dir):
+def think_strip(spark, sf_dir):
     raw = F.concat(F.lit("<think>"), F.col("role"), F.lit("</think>["), F.col("text"), F.lit("]<think>rest"))
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.without_thoughts(raw).alias("answer"), F.length(T.widest_list(F.concat(F.lit("x ["), F.col("text"), F.lit("] y")))).cast("long").alias("widest"))
 
@@ -352,10 +347,11 @@ _V = _PASS.format(text="'v' || l_returnflag", d="0.00", keep="l_suppkey % 2 = 0"
 
 
 @query(f"""WITH a AS ({_A}), b AS ({_B}), v AS ({_V}),
-j AS (SELECT coalesce(a.page, b.page) AS page, coalesce(a.id, b.id) AS id, a.text AS ta, b.text AS tb, a.kind AS ka, b.kind AS kb, a.confidence AS ca, b.confidence AS cb, a.uncertain AS ua, b.uncertain AS ub, a.page IS NOT NULL AS ina, b.page IS NOT NULL AS inb FROM a FULL JOIN b ON a.page = b.page AND a.id = b.id),
-p AS (SELECT j.*, v.text AS tv, v.kind AS kv, v.confidence AS cv, v.uncertain AS uv, CASE WHEN NOT ina OR NOT inb THEN 'single' WHEN trim(ta) = trim(tb) AND ka = kb AND ca = 'high' AND cb = 'high' AND NOT ua AND NOT ub THEN 'agree' WHEN v.page IS NOT NULL THEN 'adjudicated' ELSE 'unverified' END AS passes FROM j LEFT JOIN v ON j.page = v.page AND j.id = v.id),
-k AS (SELECT page, id, passes, CASE WHEN passes = 'adjudicated' THEN tv WHEN ina THEN ta ELSE tb END AS text, CASE WHEN passes = 'adjudicated' THEN kv WHEN ina THEN ka ELSE kb END AS kind, CASE WHEN passes = 'adjudicated' THEN cv WHEN ina THEN ca ELSE cb END AS c, CASE WHEN passes = 'adjudicated' THEN uv WHEN ina THEN ua ELSE ub END AS u FROM p)
-SELECT page, id, text, kind, CASE WHEN (passes = 'unverified' OR (passes = 'single' AND u)) AND c = 'high' THEN 'medium' ELSE c END AS confidence, passes FROM k""")
+q AS (SELECT DISTINCT l_orderkey AS page, l_linenumber AS id FROM lineitem),
+j AS (SELECT q.page, q.id, a.text AS ta, b.text AS tb, a.kind AS ka, b.kind AS kb, a.confidence AS ca, b.confidence AS cb, a.uncertain AS ua, b.uncertain AS ub, a.page IS NOT NULL AS ina, b.page IS NOT NULL AS inb FROM q LEFT JOIN a ON a.page = q.page AND a.id = q.id LEFT JOIN b ON b.page = q.page AND b.id = q.id),
+p AS (SELECT j.*, v.text AS tv, v.kind AS kv, v.confidence AS cv, v.uncertain AS uv, CASE WHEN NOT ina AND NOT inb THEN 'failed' WHEN NOT ina OR NOT inb THEN 'single' WHEN trim(ta) = trim(tb) AND ka = kb AND ca = 'high' AND cb = 'high' AND NOT ua AND NOT ub THEN 'agree' WHEN v.page IS NOT NULL THEN 'adjudicated' ELSE 'unverified' END AS passes FROM j LEFT JOIN v ON j.page = v.page AND j.id = v.id),
+k AS (SELECT page, id, passes, CASE WHEN passes = 'adjudicated' THEN tv WHEN ina THEN ta ELSE tb END AS text, CASE WHEN passes = 'adjudicated' THEN kv WHEN ina THEN ka ELSE kb END AS kind, CASE WHEN passes = 'adjudicated' THEN cv WHEN ina THEN ca ELSE cb END AS c, CASE WHEN passes = 'adjudicated' THEN uv WHEN ina THEN ua ELSE ub END AS u, CASE WHEN passes IN ('adjudicated', 'unverified') THEN ta END AS alt_pass1, CASE WHEN passes IN ('adjudicated', 'unverified') THEN tb END AS alt_pass2 FROM p)
+SELECT page, id, text, CASE WHEN passes = 'failed' THEN 'none' ELSE kind END AS kind, CASE WHEN passes = 'failed' THEN 'low' WHEN (passes = 'unverified' OR (passes = 'single' AND u)) AND c = 'high' THEN 'medium' ELSE c END AS confidence, passes, alt_pass1, alt_pass2 FROM k""")
 def consensus(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").withColumnsRenamed({"l_orderkey": "page", "l_linenumber": "id"})
     kind = F.when(F.col("l_quantity") > 40, "shout").otherwise("dialogue")
@@ -369,19 +365,7 @@ def consensus(spark, sf_dir):
     a = one_pass(flag, 0.02, "l_partkey % 13 <> 0")
     b = one_pass(F.when(F.col("l_suppkey") % 7 == 0, F.col("l_linestatus")).otherwise(F.concat(flag, F.lit(" "))), 0.01, "l_partkey % 17 <> 0")
     v = one_pass(F.concat(F.lit("v"), flag), 0.0, "l_suppkey % 2 = 0")
-    return R.consensus(a, b, v, ["page", "id"])
-
-
-@query("""WITH asked AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ord FROM conversations),
-got AS (SELECT conv_id, ord, CASE WHEN conv_id % 3 = 0 THEN 1 ELSE ord END AS id, text FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ord, left(text, 20) AS text, turn FROM conversations) WHERE conv_id % 3 = 0 OR turn % 4 <> 3),
-how AS (SELECT a.conv_id, g.ids < a.n AND g.got = a.n AS place FROM (SELECT conv_id, count(*) AS n FROM asked GROUP BY ALL) a LEFT JOIN (SELECT conv_id, count(DISTINCT id) AS ids, count(*) AS got FROM got GROUP BY ALL) g USING (conv_id)),
-keyed AS (SELECT conv_id, CASE WHEN place THEN ord ELSE id END AS ord, arg_max(text, ord) AS text FROM got JOIN how USING (conv_id) GROUP BY conv_id, CASE WHEN place THEN ord ELSE id END)
-SELECT asked.conv_id, CAST(asked.ord AS INT) AS ord, keyed.text FROM asked LEFT JOIN keyed ON asked.conv_id = keyed.conv_id AND asked.ord = keyed.ord""")
-def reply_align(spark, sf_dir):
-    rows = read(spark, sf_dir, "conversations").withColumn("ord", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")))
-    id_ = F.when(F.col("conv_id") % 3 == 0, F.lit(1)).otherwise(F.col("ord"))
-    got = rows.filter("conv_id % 3 = 0 OR turn % 4 <> 3").select("conv_id", "ord", id_.alias("id"), F.left("text", F.lit(20)).alias("text"))
-    return R.align_replies(rows.select("conv_id", "ord"), got, "conv_id").select("conv_id", "ord", "text")
+    return R.consensus(a, b, v, ["page", "id"], asked=rows.select("page", "id").distinct())
 
 
 @query("""WITH asked AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ord FROM conversations),
@@ -389,7 +373,7 @@ got AS (SELECT conv_id, ord, CASE WHEN conv_id % 3 = 0 THEN 1 ELSE ord END AS id
 how AS (SELECT a.conv_id, g.ids < a.n AND g.got = a.n AS place FROM (SELECT conv_id, count(*) AS n FROM asked GROUP BY ALL) a LEFT JOIN (SELECT conv_id, count(DISTINCT id) AS ids, count(*) AS got FROM got GROUP BY ALL) g USING (conv_id)),
 keyed AS (SELECT conv_id, CASE WHEN place THEN ord ELSE id END AS ord, arg_max(text, ord) AS text FROM got JOIN how USING (conv_id) GROUP BY conv_id, CASE WHEN place THEN ord ELSE id END)
 SELECT asked.conv_id, CAST(asked.ord AS INT) AS ord, keyed.text FROM asked LEFT JOIN keyed ON asked.conv_id = keyed.conv_id AND asked.ord = keyed.ord""")
-def reply_align_whole(spark, sf_dir):
+def reply_align(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").withColumn("ord", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")))
     id_ = F.when(F.col("conv_id") % 3 == 0, F.lit(1)).otherwise(F.col("ord"))
     got = rows.filter("conv_id % 3 = 0 OR turn % 4 <> 3").select("conv_id", "ord", id_.alias("id"), "text")

@@ -65,9 +65,9 @@ def load_book(spark: SparkSession, folder: str) -> DataFrame:
 
 def int_keys(entries: DataFrame, book: str, key: str) -> DataFrame:
     """entries with whole-number keys; a book with any other key has none at all."""
-    bad = entries.filter(F.col(key).isNull() | ~F.col(key).rlike(WHOLE)).select(F.col(book).alias("bad_book")).distinct()
+    bad = entries.filter(F.col(key).isNull() | ~F.col(key).rlike(WHOLE) | F.regexp_replace(F.regexp_replace(key, r"\s", ""), "_", "").try_cast("long").isNull()).select(F.col(book).alias("bad_book")).distinct()
     kept = entries.join(bad, F.col(book).eqNullSafe(F.col("bad_book")), "left_anti")
-    return kept.withColumn(key, F.regexp_replace(F.btrim(F.regexp_replace(key, r"\s", "")), "_", "").cast("long"))
+    return kept.withColumn(key, F.regexp_replace(F.btrim(F.regexp_replace(key, r"\s", "")), "_", "").try_cast("long"))
 
 
 def locked(report: DataFrame, name: str, flag: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 
 from folioflow.functions import text as T
 from folioflow.operators import ordered, review
-from folioflow.plans import catalogue, files  # noqa: F401
+from folioflow.plans import catalogue, files, rules  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -131,7 +131,7 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_whole_texts_are_stripped_and_aligned(spark, sf):
     text = {(r.conv_id, r.turn): r.text for r in catalogue.read(spark, sf, "conversations").collect()}
     assert max(len(t or "") for t in text.values()) > 40
-    for r in catalogue.queries()["think_strip_whole"](spark, sf).collect():
+    for r in catalogue.queries()["think_strip"](spark, sf).collect():
         raw = f"<think></think>[{text[r.conv_id, r.turn]}]<think>rest"
         assert text[r.conv_id, r.turn] is None or r.answer == re.sub(r"(?s)<think>.*?(</think>|$)", "", raw)
-    assert {r.text for r in catalogue.queries()["reply_align_whole"](spark, sf).collect()} <= {None, *text.values()}
+    assert {r.text for r in catalogue.queries()["reply_align"](spark, sf).collect()} <= {None, *text.values()}
