@@ -1,17 +1,21 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Each table rotates vectors by three rounds of random signs and a fast Hadamard transform and assigns them to the nearest
-signed axis. A query probes, in every table, the axes nearest to it (multiprobe); what any table holds there is a candidate, and candidates
-are ranked by their exact inner products with the original vectors. If norms differ, rows are parted into bands of similar norm and get
-a further component that makes all norms of a band equal, so that in each the largest inner product is the nearest direction. Bands are
-probed apart: those of the longest rows, which are near in many directions, on all axes, so that every query meets MET rows or all.
+Each table rotates vectors by rounds of random signs and a fast Hadamard transform and assigns them to the nearest signed axis; as many
+rotations, the last over fewer coordinates, are strung together as leave about ROWS rows in a bucket. A query probes, in each table, the buckets whose
+axes are nearest to it (multiprobe), so many that it meets about CANDIDATES times the root of the rows in all: a share of the rows that falls as
+they grow. If norms differ, rows are parted into bands of similar norm and get a further component that makes all norms of a
+band equal, so that in each the largest inner product is the nearest direction; each band has tables of its own, and small ones are one bucket.
 
-Queries are a stated set and meet all rows in blocks: a task holds a chunk of queries and streams its part of the rows past them,
-keeping the best of each query, so that it emits NEAREST rows for each at most.
+Rows and probes meet by bucket, as rows of id and sketch (a byte for each component). A query knows a bound from a sample of SAMPLE rows, of which
+the nearest are at least as near as its last result must be; what the sketch with its error bound tells to be further off is passed over. What is left
+is joined to the original vectors and ranked by exact inner products. So the shuffle is TABLES sketches for each row and the probes of each
+query, whatever the number of pairs. Rows of one vector beyond the nearest + 1 least ids can be no result and take no part;
+queries of one vector are one search. A bucket is one task's, which streams it with its queries held.
 
 Defined results: vectors that are null, empty, zero or hold null, NaN or infinite components take no part, neither as queries nor as rows; vectors of
 different lengths never meet; rows with the query's id are not its candidates; equal scores are ranked by id; repeated rows are all candidates
-and rank by score alone beyond their ids; a query with no candidates has no rows; extra columns are not read.
+and rank by score alone beyond their ids; an id that is repeated among the queries has a ranking for each of its vectors; a query with no candidates has no
+rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -20,20 +24,23 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Measured on vectors without structure, recall at 20 is over 0.95 from 500 rows on; a test holds it against brute force.
-TABLES, PROBED = 8, 0.2
-#: Rows met at once, and queries that a task holds; both bound its memory at any size.
-BLOCK, QUERIES = 1024, 4096
-#: Tasks among which all rows are dealt for each chunk of queries. It is fixed, so that the rows that are ranked at
-#: the end are PARTS x NEAREST for each query however many rows there are; more queries make more chunks.
-PARTS = 32
+from .common import cut, sized, small_batches
+
 NEAREST = 20
-#: Norms of a band differ by this factor at most; the longest bands that together have MET rows are met by every query.
-BAND, MET = 2**0.5, 10 * NEAREST
+#: Measured on vectors without structure, recall at 20 is 0.95 with these from 500 rows on; a test holds it against brute force.
+TABLES, ROWS, CANDIDATES = 16, 8, 36
+#: Rows by which a query's bound is told.
+SAMPLE = 4096
+#: Norms of a band differ by this factor at most.
+BAND = 2**0.5
+#: Pairs compared at once, and bytes of a task's share of the buckets that are aimed at.
+PAIRS, TASK_BYTES = 1 << 17, 64 << 20
+_HEAD = 24
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:
@@ -45,137 +52,223 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
-def axes(x: np.ndarray, table: int, seed: int = 7) -> np.ndarray:
-    """How near the rows of x are to the signed axes of a table: the coordinates of the rotation, and their negatives."""
-    rng = np.random.default_rng([seed, table, x.shape[1]])
+def axes(x: np.ndarray, table: int, step: int, size: int, seed: int = 7) -> np.ndarray:
+    """How near the rows of x are to the first size signed axes of a table's rotation: its coordinates, and their negatives."""
+    rng = np.random.default_rng([seed, table, step, x.shape[1]])
     for _ in range(3):
         x = _hadamard(x * rng.choice([-1.0, 1.0], x.shape[1]))
-    return np.concatenate([x, -x], 1)
+    return np.concatenate([x[:, :size], -x[:, :size]], 1)
 
 
-def _padded(x: np.ndarray, longest: np.ndarray | None = None) -> np.ndarray:
+def _padded(x: np.ndarray, longest: float | None = None) -> np.ndarray:
     """x padded to a power of two, with the further component that makes norms equal to longest if that is given."""
     if longest is not None:
-        x = x / longest[:, None]
+        x = x / longest
         x = np.concatenate([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(1)))[:, None]], 1)
     size = 1 << max(1, (x.shape[1] - 1).bit_length())
     return np.pad(x, ((0, 0), (0, size - x.shape[1])))
 
 
-class Bands:
-    """Bands of norm of the rows of one length: least and longest norm of each, rising, and whether all its rows are met."""
-
-    def __init__(self, bands: list[tuple[float, float, int]], met: int = MET):
-        bands = sorted(bands)
-        self.least, self.longest = (np.array([b[k] for b in bands]) for k in (0, 1))
-        longer = np.cumsum([0, *(n for _, _, n in reversed(bands))])[:-1][::-1]
-        self.met = longer < met
-        self.further = bool(self.longest[-1] - self.least[0] > 1e-6 * self.longest[-1])
-
-    def of(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(0, np.searchsorted(self.least, np.sqrt((x * x).sum(1)), "right") - 1)
-
-
-class Search:
-    """A chunk of queries and the nearest rows that it has met so far; rows come in blocks of any order."""
-
-    def __init__(self, ids: np.ndarray, q: np.ndarray, nearest: int, bands: Bands, tables: int, probed: float):
-        self.ids, self.q, self.nearest, self.bands = ids, q, nearest, bands
-        own = _padded(np.pad(q, ((0, 0), (0, int(bands.further)))))
-        self.probes = []
-        for t in range(tables):
-            near = axes(own, t)
-            n = max(1, round(probed * near.shape[1]))
-            self.probes.append(near >= -np.partition(-near, n - 1, axis=1)[:, n - 1 : n])
-        self.norms = np.sqrt((q * q).sum(1))
-        self.of, self.found, self.scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        self.least = np.full(len(q), -np.inf)
-
-    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
-        band, candidate = self.bands.of(x), np.zeros((len(self.q), len(x)), bool)
-        rows = _padded(x, self.bands.longest[band] if self.bands.further else None)
-        if self.bands.further:
-            candidate |= self.bands.met[band][None, :]
-        for t, probed in enumerate(self.probes):
-            candidate |= probed[:, axes(rows, t).argmax(1)]
-        candidate &= self.ids[:, None] != ids[None, :]
-        # The product may differ in its last digits from the exact score of a pair, which alone ranks.
-        rough = np.where(candidate, self.q @ x.T, -np.inf)
-        k = min(self.nearest, len(x))
-        least = np.maximum(-np.partition(-rough, k - 1, axis=1)[:, k - 1] if k == self.nearest else -np.inf, self.least)
-        with np.errstate(invalid="ignore", over="ignore"):
-            least = least - 1e-9 * self.norms * np.sqrt((x * x).sum(1)).max()
-        i, j = np.nonzero(candidate & (rough >= np.where(np.isnan(least), -np.inf, least)[:, None]))
-        if not len(i):
-            return
-        of, found = np.concatenate([self.of, i]), np.concatenate([self.found, ids[j]])
-        scores = np.concatenate([self.scores, np.einsum("pd,pd->p", self.q[i], x[j])])
-        order = np.lexsort((found, -scores, of))
-        of, found, scores = of[order], found[order], scores[order]
-        starts = np.searchsorted(of, of)
-        rank = np.arange(len(of)) - starts
-        keep = rank < self.nearest
-        last = rank == self.nearest - 1
-        self.least[of[last]] = scores[last]
-        self.of, self.found, self.scores = of[keep], found[keep], scores[keep]
-
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query ids, ids of their nearest rows, scores."""
-        return self.ids[self.of], self.found, self.scores
-
-
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", nearest: int = NEAREST, tables: int = TABLES, probed: float = PROBED) -> DataFrame:
+class Band:
+    """The tables of the rows of one length and of similar norm: least and longest norm, and rows."""
+
+    def __init__(self, name: int, least: float, longest: float, n: int, length: int, further: bool, tables: int, candidates: float):
+        self.name, self.least, self.longest, self.further = name, least, longest, further
+        full, left = _padded(np.zeros((1, length + further))).shape[1], n / ROWS
+        self.sizes = []
+        while left >= 3 * full:
+            self.sizes.append(full)
+            left /= 2 * full
+        if left >= 2:
+            self.sizes.append(min(full, 1 << max(0, round(np.log2(left / 2)))))
+        buckets = int(np.prod([2 * s for s in self.sizes], dtype=np.float64))
+        self.tables = tables if self.sizes else 1
+        self.probes = int(min(buckets, max(1, round(candidates * np.sqrt(n) * buckets / (n * tables))))) if self.sizes else 1
+
+    def _key(self, table: int, code: np.ndarray) -> np.ndarray:
+        z = code.astype(np.uint64) * _ODD + np.array([(self.name * 1000 + table) & 0xFFFFFFFF], np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return (z ^ (z >> np.uint64(29))).view(np.int64)
+
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        """The bucket of each row in each table."""
+        rows, out = _padded(x, self.longest if self.further else None), []
+        for t in range(self.tables):
+            code = np.zeros(len(x), np.int64)
+            for step, size in enumerate(self.sizes):
+                code = code * 2 * size + axes(rows, t, step, size).argmax(1)
+            out.append(self._key(t, code))
+        return np.stack(out, 1)
+
+    def probed(self, q: np.ndarray) -> np.ndarray:
+        """The buckets that each query probes, the nearest by the sum of their axes' coordinates."""
+        own, out = _padded(np.pad(q, ((0, 0), (0, int(self.further))))), []
+        for t in range(self.tables):
+            code, near = np.zeros((len(q), 1), np.int64), np.zeros((len(q), 1))
+            for step, size in enumerate(self.sizes):
+                at = axes(own, t, step, size)
+                top = np.argsort(-at, 1, kind="stable")[:, : self.probes]
+                both = (near[:, :, None] + np.take_along_axis(at, top, 1)[:, None, :]).reshape(len(q), -1)
+                codes = (code[:, :, None] * 2 * size + top[:, None, :]).reshape(len(q), -1)
+                best = np.argsort(-both, 1, kind="stable")[:, : self.probes]
+                code, near = np.take_along_axis(codes, best, 1), np.take_along_axis(both, best, 1)
+            out.append(self._key(t, code))
+        return np.concatenate(out, 1)
+
+
+def _sketches(x: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
+    """A row of bytes for each vector: scale, sum of what the bytes stand for, bound, and a byte for each component."""
+    scale = np.abs(x).max(1) / 127
+    small = np.rint(x / scale[:, None]).astype(np.int8)
+    head = np.stack([scale, np.abs(small).sum(1, dtype=np.int64) * scale, np.zeros(len(x)) if least is None else least], 1)
+    return np.concatenate([head.view(np.uint8).reshape(len(x), _HEAD), small.view(np.uint8)], 1)
+
+
+def _entries(keys: np.ndarray, kind: int, ids: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
+    """A row for each key of each vector."""
+    n, each = keys.shape
+    blob = np.repeat(sketches, each, 0)
+    binary = pa.Array.from_buffers(pa.binary(), n * each, [None, pa.py_buffer(np.arange(n * each + 1, dtype=np.int32) * blob.shape[1]), pa.py_buffer(blob.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.full(n * each, kind, np.int32)), pa.array(np.repeat(ids, each)), binary], names=["key", "kind", "id", "sketch"])
+
+
+def _by_length(b: pa.RecordBatch):
+    """Ids and vectors of a batch (id, v), those of one length together, in small pieces."""
+    ids, flat = b.column(0).to_numpy(), b.column(1).flatten().to_numpy()
+    sizes = np.diff(b.column(1).offsets.to_numpy())
+    at = np.cumsum(sizes) - sizes
+    for size in np.unique(sizes):
+        own = np.flatnonzero(sizes == size)
+        for k in range(0, len(own), 256):
+            some = own[k : k + 256]
+            yield int(size), ids[some], flat[at[some][:, None] + np.arange(size)]
+
+
+def met(keys: np.ndarray, kinds: np.ndarray, ids: np.ndarray, sketches: np.ndarray):
+    """Query, row, and least and greatest score that the sketches allow, of the pairs of a bucket that reach the query's bound. Rows are in order of key and kind."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    bucket = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]))
+    asked = np.bincount(bucket, kinds == 0, len(first)).astype(np.int64)
+    rows = np.flatnonzero((kinds == 1) & (asked[bucket] > 0))
+    head, small = np.ascontiguousarray(sketches[:, :_HEAD]).view(np.float64), sketches[:, _HEAD:].view(np.int8)
+    each = asked[bucket[rows]]
+    upto = np.cumsum(each)
+    i = 0
+    while i < len(rows):
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + PAIRS, "right")))
+        n = each[i:j]
+        x = np.repeat(rows[i:j], n)
+        q = np.repeat(first[bucket[rows[i:j]]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        score = np.einsum("pd,pd->p", small[q].astype(np.float32), small[x].astype(np.float32)).astype(np.float64) * head[q, 0] * head[x, 0]
+        error = 0.5 * (head[x, 0] * (head[q, 1] + 0.5 * head[q, 0] * small.shape[1]) + head[q, 0] * head[x, 1]) + 1e-5 * np.abs(score)
+        keep = score + error >= head[q, 2]
+        yield ids[q[keep]], ids[x[keep]], (score - error)[keep], (score + error)[keep]
+        i = j
+
+
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", nearest: int = NEAREST, tables: int = TABLES, candidates: float = CANDIDATES) -> DataFrame:
     """Rows query_id, rank, vec_id, score: the nearest rows of vectors for each row of queries."""
+    spark = vectors.sparkSession
+    small_batches(spark)
 
     def valid(df: DataFrame) -> DataFrame:
         v = F.col(vector_col).cast("array<double>")
         rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & (F.size("v") > 0))
         fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-        return rows.filter(fine & F.exists("v", lambda x: x != 0))
+        return rows.filter(fine & F.exists("v", lambda x: x != 0)).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(7), "v")})
 
     x, q = valid(vectors), valid(queries)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
     # One row for each length and band: doubles have no more than some 4200 bands.
-    band = F.floor(F.log(norm) / F.lit(float(np.log(BAND))))
-    parted: dict[int, list[tuple[float, float, int]]] = {}
-    for r in x.groupBy(F.size("v").alias("size"), band.alias("band")).agg(F.min(norm).alias("least"), F.max(norm).alias("longest"), F.count(F.lit(1)).alias("n")).collect():
-        parted.setdefault(r["size"], []).append((r["least"], r["longest"], r["n"]))
-    bands = {size: Bands(own) for size, own in parted.items()}
-    chunks = max(1, -(-q.count() // QUERIES))
-    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    x = x.select("id", "v", F.size("v").alias("size"), F.lit(1).alias("kind"), place(PARTS).alias("part"), every(chunks).alias("chunk"))
-    q = q.select("id", "v", F.size("v").alias("size"), F.lit(0).alias("kind"), every(PARTS).alias("part"), place(chunks).alias("chunk"))
+    name = F.floor(F.log(norm) / F.lit(float(np.log(BAND)))).cast("int")
+    parted: dict[int, list[tuple[int, float, float, int]]] = {}
+    for r in x.groupBy(F.size("v").alias("size"), name.alias("band")).agg(F.min(norm).alias("least"), F.max(norm).alias("longest"), F.count(F.lit(1)).alias("n")).collect():
+        parted.setdefault(r["size"], []).append((r["band"], r["least"], r["longest"], r["n"]))
+    bands: dict[int, list[Band]] = {}
+    for size, own in parted.items():
+        least, longest = min(b[1] for b in own), max(b[2] for b in own)
+        if longest - least <= 1e-6 * longest:
+            own, further = [(0, least, longest, sum(b[3] for b in own))], False
+        else:
+            further = True
+        bands[size] = [Band(*b, size, further, tables, candidates) for b in sorted(own)]
+    sample: dict[int, list] = {}
+    for r in x.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect():
+        sample.setdefault(len(r["v"]), []).append(r["v"])
+    sample = {size: np.array(v) for size, v in sample.items()}
+
+    # Of one vector's rows those of the least ids alone can be results; counts are summed before they are dealt, and rows are limited before too.
+    crowded = cut(x.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > nearest + 1).select("h1", "h2"))
+    if not crowded.isEmpty():
+        few = x.join(sized(crowded, 16), ["h1", "h2"], "left_semi").withColumn("k", F.row_number().over(W.partitionBy("h1", "h2").orderBy("id"))).filter(F.col("k") <= nearest + 1).drop("k")
+        x = x.join(sized(crowded, 16), ["h1", "h2"], "left_anti").unionByName(few)
+    searches = q.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"))
+
+    def emit(batches):
+        for b in batches:
+            for size, ids, v in _by_length(b):
+                of = np.searchsorted(np.array([band.least for band in bands[size]]), np.sqrt((v * v).sum(1)) * (1 + 1e-12), "right") - 1
+                for k in np.unique(of):
+                    own = of == k
+                    yield _entries(bands[size][max(k, 0)].keys(v[own]), 1, ids[own], _sketches(v[own]))
+
+    def probe(batches):
+        for b in batches:
+            for size, ids, v in _by_length(b):
+                least = np.full(len(v), -np.inf)
+                if len(sample.get(size, ())) > nearest:
+                    near = v @ sample[size].T
+                    least = np.partition(near, near.shape[1] - nearest - 1, 1)[:, near.shape[1] - nearest - 1]
+                    least = least - 1e-9 * np.sqrt((v * v).sum(1)) * np.sqrt((sample[size] ** 2).sum(1)).max()
+                for band in bands.get(size, ()):
+                    step = max(1, (1 << 16) // (band.probes * band.tables))
+                    for some in (slice(k, k + step) for k in range(0, len(v), step)):
+                        yield _entries(band.probed(v[some]), 0, ids[some], _sketches(v[some], least[some]))
 
     def run(batches):
-        """Groups follow one another, each with its queries before its rows."""
-        group, waiting, search = None, [], None
+        keys, kinds, ids, sketches = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), None
         for b in batches:
-            size, chunk, part, kind, ids = (b.column(k).to_numpy() for k in range(5))
-            flat, at = b.column(5).flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)])
-            turns = np.flatnonzero((np.diff(size) != 0) | (np.diff(chunk) != 0) | (np.diff(part) != 0) | (np.diff(kind) != 0)) + 1
-            for s, e in pairwise([0, *turns.tolist(), b.num_rows]):
-                if s == e:
-                    continue
-                here = size[s], chunk[s], part[s]
-                if here != group:
-                    if search:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in search.rows()], names=["query_id", "vec_id", "score"])
-                    group, waiting, search = here, [], None
-                v = flat[at[s] : at[e]].reshape(e - s, -1)
-                if kind[s] == 0:
-                    waiting.append((ids[s:e], v))
-                    continue
-                if waiting and not search:
-                    search = Search(np.concatenate([i for i, _ in waiting]), np.concatenate([w for _, w in waiting]), nearest, bands[int(size[s])], tables, probed)
-                for k in range(0, e - s, BLOCK) if search else ():
-                    search.meet(ids[s:e][k : k + BLOCK], v[k : k + BLOCK])
-        if search:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in search.rows()], names=["query_id", "vec_id", "score"])
-
-    by = ["size", "chunk", "part"]
-    tasks = min(chunks * PARTS, 100_000)
-    dealt = q.unionByName(x).repartition(tasks, *by).sortWithinPartitions(*by, "kind").select(*by, "kind", "id", "v")
-    near = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
+            if not b.num_rows:
+                continue
+            column = b.column(3)
+            at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + b.num_rows + 1].astype(np.int64)
+            flat = np.frombuffer(column.buffers()[2], np.uint8)
+            edges = [0, *(np.flatnonzero(np.diff(np.diff(at))) + 1).tolist(), b.num_rows]
+            for s, e in pairwise(edges):
+                own = flat[at[s] : at[e]].reshape(e - s, -1)
+                mine = [b.column(k).to_numpy()[s:e] for k in range(3)]
+                if sketches is not None and sketches.shape[1] == own.shape[1]:
+                    # The queries of the bucket that went on from the last batch.
+                    mine, own = [np.concatenate([old, new]) for old, new in zip((keys, kinds, ids), mine, strict=True)], np.concatenate([sketches, own])
+                for out in met(*mine, own):
+                    if len(out[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["query", "vec", "low", "high"])
+                last = (mine[0] == mine[0][-1]) & (mine[1] == 0)
+                keys, kinds, ids, sketches = mine[0][last], mine[1][last], mine[2][last], own[last]
+
+    schema = "key long, kind int, id long, sketch binary"
+    entries = x.select("id", "v").mapInArrow(emit, schema).unionByName(searches.select("id", "v").mapInArrow(probe, schema))
+    rows, asked = (sum(b[3] for own in parted.values() for b in own), q.count())
+    most = max((s + _HEAD + 40 for s in parted), default=1)
+    size = most * (rows * tables + asked * sum(b.probes * b.tables for b in max(bands.values(), key=len, default=[])))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-size // TASK_BYTES)))
+    dealt = entries.repartition(tasks, "key").sortWithinPartitions("key", "kind")
+    pairs = dealt.mapInArrow(run, "query long, vec long, low double, high double").groupBy("query", "vec").agg(F.max("low").alias("low"), F.max("high").alias("high"))
+    by = W.partitionBy("query")
+    pairs = pairs.withColumn("k", F.row_number().over(by.orderBy(F.desc("low"), "vec"))).withColumn("bar", F.max(F.when(F.col("k") == nearest + 1, F.col("low"))).over(by))
+    pairs = cut(pairs.filter(F.col("bar").isNull() | (F.col("high") >= F.col("bar"))).select("query", "vec"))
+
+    def product(a: str, b: str) -> Column:
+        return F.aggregate(F.zip_with(a, b, lambda m, n: m * n), F.lit(0.0), lambda s, p: s + p)
+
+    own = searches.select(F.col("id").alias("query"), F.col("v").alias("qv"), "h1", "h2")
+    found = pairs.join(own, "query").join(x.select(F.col("id").alias("vec"), "v"), "vec").select("h1", "h2", "query", "vec", product("qv", "v").alias("score"))
+    rank = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("score"), "vec"))
+    # A query leaves the rows of its own id out. What no query of a search can need is what nearest rows of other ids stand before, whichever id goes.
+    order = W.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec")
+    again = found.withColumn("again", F.row_number().over(W.partitionBy("h1", "h2", "vec").orderBy(F.desc("score"))))
+    alone = again.withColumn("k", F.row_number().over(order)).withColumn("most", F.max("again").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    alone = alone.filter(F.col("k") - F.col("most") <= nearest)
+    rank = F.row_number().over(W.partitionBy("query_id", "h1", "h2").orderBy(F.desc("score"), "vec"))
+    out = q.select(F.col("id").alias("query_id"), "h1", "h2").distinct().join(alone.select("h1", "h2", "vec", "score"), ["h1", "h2"]).filter("vec <> query_id")
+    return out.withColumn("rank", rank).filter(F.col("rank") <= nearest).select("query_id", "rank", F.col("vec").alias("vec_id"), "score")

@@ -394,14 +394,45 @@ def test_op6_skewed_norms(spark, skew):
     assert sum(len(best(q) & set(v)) for q, v in got.items()) >= 0.95 * 20 * len(got)
 
 
+def test_op6_candidates_are_a_falling_share():
+    """Rows met by a query through the buckets alone, on vectors without structure: far below half, and less as rows grow, at a recall of 0.9 and more."""
+    rng, shares = np.random.default_rng(15), []
+    for n in (4000, 16000):
+        x = rng.normal(size=(n, 64))
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        band = cross_polytope.Band(0, 1.0, 1.0, n, 64, False, cross_polytope.TABLES, cross_polytope.CANDIDATES)
+        q = x[:60]
+        keys, probed = band.keys(x), band.probed(q)
+        hit = np.stack([np.isin(keys, p).any(1) for p in probed])
+        best = np.argsort(-(q @ x.T), 1)[:, 1:21]
+        shares.append(hit.mean())
+        assert np.take_along_axis(hit, best, 1).mean() >= 0.9
+    assert shares[0] < 0.45 and shares[1] < 0.7 * shares[0]
+
+
+def test_op6_copies_of_one_vector_are_one_search_and_few_rows(spark):
+    rng = np.random.default_rng(16)
+    x = rng.normal(size=(400, 16))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    x[::2] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in cross_polytope.nearest_neighbours(df, df.filter("vec_id % 20 = 0"), candidates=1e9).collect():
+        got[r.query_id].append((r["rank"], r.vec_id))
+    assert len(got) == 20
+    for q, found in got.items():
+        assert [v for _, v in sorted(found)] == [i for i in range(0, 400, 2) if i != q][:20]
+
+
 def test_op6_small_blocks_with_ties_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(cross_polytope, "QUERIES", 7)
-    monkeypatch.setattr(cross_polytope, "BLOCK", 16)
+    monkeypatch.setattr(cross_polytope, "PAIRS", 50)
+    monkeypatch.setattr(cross_polytope, "SAMPLE", 64)
+    monkeypatch.setattr(cross_polytope, "ROWS", 4)
     x = np.random.default_rng(2).integers(-1, 2, (900, 8)).astype(float)
     x[~x.any(1), 0] = 1.0
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = defaultdict(list)
-    for r in cross_polytope.nearest_neighbours(df, df.filter("vec_id % 20 = 0"), probed=1.0).collect():
+    for r in cross_polytope.nearest_neighbours(df, df.filter("vec_id % 20 = 0"), candidates=1e9).collect():
         got[r.query_id].append((r["rank"], r.score, r.vec_id))
     for q in range(0, 900, 20):
         best = sorted((-(x[q] @ x[i]), i) for i in range(900) if i != q)[:20]

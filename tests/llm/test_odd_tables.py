@@ -68,13 +68,14 @@ def test_shared_lines_stay_in_the_largest_id(spark):
 
 
 def test_line_runs_compact_and_say_what_is_new(spark):
-    runs = line_runs.LineRuns(spark, fanout=2)
+    runs = line_runs.LineRuns(spark, 4)
     frame = lambda ks, d: spark.createDataFrame([(k, k, d) for k in ks], "h1 long, h2 long, id long")
     for d in range(4):
         assert {r.h1 for r in runs.unseen(frame(range(d, d + 3), d)).collect()} == (set(range(3)) if not d else {d + 2})
         runs.add(frame(range(d, d + 3), d))
-    assert list(runs.levels) == [2] and len(runs.runs()) == 1
-    assert {(r.h1, r.n, r.top) for r in runs.merged().collect()} == {(0, 1, 0), (1, 2, 1), (2, 3, 2), (3, 3, 3), (4, 2, 3), (5, 1, 3)}
+    assert [k for k, v in runs.levels.items() if v] == [2] and len(runs.runs()) == 1
+    assert {(r.h1, r.top) for r in runs.common(1).collect()} == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 3), (5, 3)}
+    assert {(r.h1, r.top) for r in runs.common(3).collect()} == {(2, 2), (3, 3)}
     runs.remove()
 
 
@@ -90,6 +91,29 @@ def test_search_of_nothing(spark):
     assert cross_polytope.nearest_neighbours(none, none).collect() == []
 
 
+def test_search_with_clashing_columns_and_repeated_ids(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(30)] + [(20, [5.0, 1.0]), (20, [5.0, 1.0]), (None, [1.0, 1.0]), (40, None)]
+    names = ["id", "v", "key", "kind", "sketch", "query", "vec", "score", "rank", "h1", "h2", "low", "high"]
+    df = spark.createDataFrame([(*r, *[None] * len(names)) for r in rows], f"vec_id long, embedding array<double>, {', '.join(n + ' int' for n in names)}")
+    got = {}
+    for r in cross_polytope.nearest_neighbours(df, df.filter("vec_id % 20 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert set(got) == {0, 20} and len(got[0]) == 20 and len(got[20]) == 40 and all(v != q for q, x in got.items() for _, v in x)
+
+
+def test_stages_on_odd_rows_and_on_none(spark, sf):
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "lang", "source", "n_chars", "size", "ids", "score"]
+    for docs in (rows(spark).select(*names), rows(spark).select(*names).limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == docs.columns
+            assert out.count() > 0 or docs.isEmpty()
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+        assert last.count() == docs.count() and last.filter("not round_trip").count() == 0
+
+
 def test_only_row_is_its_own_next(spark):
     out = weighted_sampling.fingerprints(spark.createDataFrame([(7, "a b c d e f g h")], "doc_id long, text string")).collect()
     assert len(out) == 1 and out[0].near_next == 1.0 and out[0].n_chars == 15
