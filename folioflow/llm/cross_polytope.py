@@ -7,7 +7,7 @@ they grow. If norms differ, rows are parted into bands of similar norm and get a
 band equal, so that in each the largest inner product is the nearest direction; each band has tables of its own, and small ones are one bucket.
 
 Rows and probes meet by bucket, as rows of id and sketch (a byte for each component). A query knows a bound from a sample of SAMPLE rows, of which
-the nearest are at least as near as its last result must be; what the sketch with its error bound tells to be further off is passed over. What is left
+the nearest are at least as near as its last result must be; what by its sketch is further off by SURE standard deviations of the rounding is passed over. What is left
 is joined to the original vectors and ranked by exact inner products. So the shuffle is TABLES sketches for each row and the probes of each
 query, whatever the number of pairs. Rows of one vector beyond the nearest + 1 least ids can be no result and take no part;
 queries of one vector are one search. A bucket is one task's, which streams it with its queries held.
@@ -34,11 +34,13 @@ NEAREST = 20
 #: Measured on vectors without structure, recall at 20 is 0.95 with these from 500 rows on; a test holds it against brute force.
 TABLES, ROWS, CANDIDATES = 16, 8, 36
 #: Rows by which a query's bound is told.
-SAMPLE = 4096
+SAMPLE = 8192
 #: Norms of a band differ by this factor at most.
 BAND = 2**0.5
-#: Pairs compared at once, and bytes of a task's share of the buckets that are aimed at.
-PAIRS, TASK_BYTES = 1 << 17, 64 << 20
+#: Standard deviations of a sketch's rounding that are allowed for.
+SURE = 6.0
+#: Pairs compared at once, pairs found that a task holds until it hands on each of them once, and bytes of a task's share of the buckets that are aimed at.
+PAIRS, FOUND, TASK_BYTES = 1 << 17, 1 << 19, 64 << 20
 _HEAD = 24
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -117,10 +119,10 @@ class Band:
 
 
 def _sketches(x: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
-    """A row of bytes for each vector: scale, sum of what the bytes stand for, bound, and a byte for each component."""
+    """A row of bytes for each vector: scale, norm, bound, and a byte for each component."""
     scale = np.abs(x).max(1) / 127
     small = np.rint(x / scale[:, None]).astype(np.int8)
-    head = np.stack([scale, np.abs(small).sum(1, dtype=np.int64) * scale, np.zeros(len(x)) if least is None else least], 1)
+    head = np.stack([scale, np.sqrt((x * x).sum(1)), np.zeros(len(x)) if least is None else least], 1)
     return np.concatenate([head.view(np.uint8).reshape(len(x), _HEAD), small.view(np.uint8)], 1)
 
 
@@ -160,7 +162,7 @@ def met(keys: np.ndarray, kinds: np.ndarray, ids: np.ndarray, sketches: np.ndarr
         x = np.repeat(rows[i:j], n)
         q = np.repeat(first[bucket[rows[i:j]]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         score = np.einsum("pd,pd->p", small[q].astype(np.float32), small[x].astype(np.float32)).astype(np.float64) * head[q, 0] * head[x, 0]
-        error = 0.5 * (head[x, 0] * (head[q, 1] + 0.5 * head[q, 0] * small.shape[1]) + head[q, 0] * head[x, 1]) + 1e-5 * np.abs(score)
+        error = SURE * np.sqrt(((head[x, 0] * head[q, 1]) ** 2 + (head[q, 0] * head[x, 1]) ** 2) / 12) + 1e-5 * np.abs(score)
         keep = score + error >= head[q, 2]
         yield ids[q[keep]], ids[x[keep]], (score - error)[keep], (score + error)[keep]
         i = j
@@ -196,6 +198,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "ve
     for r in x.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect():
         sample.setdefault(len(r["v"]), []).append(r["v"])
     sample = {size: np.array(v) for size, v in sample.items()}
+    # The sample's row of this place is the bound: at least nearest + 1 rows reach it, and of all rows so many that nearest of them are found though some are missed.
+    place = {size: max(nearest + 1, -(-3 * nearest * len(v) // sum(b[3] for b in parted[size]))) for size, v in sample.items()}
 
     # Of one vector's rows those of the least ids alone can be results; counts are summed before they are dealt, and rows are limited before too.
     crowded = cut(x.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > nearest + 1).select("h1", "h2"))
@@ -216,16 +220,37 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "ve
         for b in batches:
             for size, ids, v in _by_length(b):
                 least = np.full(len(v), -np.inf)
-                if len(sample.get(size, ())) > nearest:
+                if len(sample.get(size, ())) >= place.get(size, 1):
                     near = v @ sample[size].T
-                    least = np.partition(near, near.shape[1] - nearest - 1, 1)[:, near.shape[1] - nearest - 1]
+                    least = np.partition(near, near.shape[1] - place[size], 1)[:, near.shape[1] - place[size]]
                     least = least - 1e-9 * np.sqrt((v * v).sum(1)) * np.sqrt((sample[size] ** 2).sum(1)).max()
                 for band in bands.get(size, ()):
                     step = max(1, (1 << 16) // (band.probes * band.tables))
                     for some in (slice(k, k + step) for k in range(0, len(v), step)):
                         yield _entries(band.probed(v[some]), 0, ids[some], _sketches(v[some], least[some]))
 
+    def once(found: list) -> list:
+        """Pairs found in several tables, once each."""
+        query, vec, low, high = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((vec, query))
+        first = order[np.concatenate([[True], (np.diff(query[order]) != 0) | (np.diff(vec[order]) != 0)])]
+        return [query[first], vec[first], low[first], high[first]]
+
     def run(batches):
+        found, held = [], 0
+        for out in compared(batches):
+            found.append(out)
+            held += len(out[0])
+            if held >= FOUND:
+                found = [once(found)]
+                held = len(found[0][0])
+                if held >= FOUND // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found[0]], names=["query", "vec", "low", "high"])
+                    found, held = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in once(found)], names=["query", "vec", "low", "high"])
+
+    def compared(batches):
         keys, kinds, ids, sketches = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64), None
         for b in batches:
             if not b.num_rows:
@@ -240,9 +265,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "ve
                 if sketches is not None and sketches.shape[1] == own.shape[1]:
                     # The queries of the bucket that went on from the last batch.
                     mine, own = [np.concatenate([old, new]) for old, new in zip((keys, kinds, ids), mine, strict=True)], np.concatenate([sketches, own])
-                for out in met(*mine, own):
-                    if len(out[0]):
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["query", "vec", "low", "high"])
+                yield from (out for out in met(*mine, own) if len(out[0]))
                 last = (mine[0] == mine[0][-1]) & (mine[1] == 0)
                 keys, kinds, ids, sketches = mine[0][last], mine[1][last], mine[2][last], own[last]
 
