@@ -226,3 +226,55 @@ def overlap_suppressed(boxes: DataFrame, group: str, share: float = 0.25) -> Dat
         return table.append_column("kept", pa.array(kept))
 
     return boxes.groupBy(group).applyInArrow(run, T_.StructType([*boxes.schema.fields, T_.StructField("kept", T_.BooleanType())]))
+
+
+#: Tags of actions that set font, and those that rebuild their page.
+_WITH_FONT, _WHOLE_PAGE = ["text", "src", "font", "style", "layout", "ai"], ["lock", "unlock", "page_crop", "set_default", "revert"]
+
+
+def apply_actions(entries: DataFrame, pages: DataFrame, actions: DataFrame) -> DataFrame:
+    """What entries (page, id, text, src, kind, confidence, passes, font, region, clean, hand, sfx) of pages (page, locked) are after actions
+    (page, ord, action, id, text, src, has_font, font, w, h, clean), with the page's lock and crop.
+
+    Locks and crops hold first, whatever their place among the actions. Then, on pages that are not locked, the last of each kind of change to an entry counts, in order of ord; ids
+    that are not there are passed over; added boxes of 8 pixels get the next ids. A revert comes last and gives back the entries from before, another one
+    takes that back. What a model reads again is not told here (rework).
+    """
+    a, ord_ = F.col("action"), F.col("ord")
+    last = lambda when, value: F.max_by(F.when(when, value), F.when(when, ord_))
+    page = actions.groupBy("page").agg(
+        last(a.isin("lock", "unlock"), a).alias("lock"),
+        last(a == "page_crop", F.when((F.col("w") >= 16) & (F.col("h") >= 16), F.concat_ws("x", "w", "h")).otherwise("")).alias("crop"),
+        F.bool_or(~a.isin(_WHOLE_PAGE)).alias("touched"),
+        (F.count_if(a == "revert") % 2 == 1).alias("reverted"),
+    )
+    state = pages.join(page, "page", "left").select("page", F.when(F.col("lock").isNotNull(), F.col("lock") == "lock").otherwise(F.col("locked")).alias("locked"), F.nullif("crop", F.lit("")).alias("crop"), F.coalesce(F.col("touched") & F.col("reverted"), F.lit(False)).alias("back"))
+    text, src = T.clean_spaces(F.coalesce("text", F.lit(""))), T.clean_spaces(F.coalesce("src", F.lit("")))
+    has_src = a.isin("text", "src") & ~R.blank(F.col("src"))
+    at = lambda when, pick: pick(F.when(when, ord_))
+    how = F.when(a == "text", "manual").when((a == "src") & has_src, "src-edit").when(a == "keep", "keep").when(a.isin("font", "style", "layout"), "style")
+    item = actions.groupBy("page", "id").agg(
+        at(a == "text", F.max).alias("text_at"), at(a == "keep", F.min).alias("keep_first"), at(a == "keep", F.max).alias("keep_at"),
+        last(a == "text", F.when(R.blank(F.col("text")), "").otherwise(text)).alias("new_text"),
+        last(has_src, src).alias("new_src"), last(how.isNotNull(), how).alias("new_passes"),
+        last(a.isin(_WITH_FONT) & F.col("has_font"), F.coalesce("font", F.lit(""))).alias("new_font"),
+        last(a == "region", F.when((F.col("w") >= 8) & (F.col("h") >= 8), F.concat_ws("x", "w", "h")).otherwise("")).alias("new_region"),
+        last(a == "clean", F.col("clean")).alias("new_clean"),
+    )
+    rows = entries.join(state, "page").join(item, ["page", "id"], "left")
+    open_ = ~F.col("locked") & ~F.col("back")
+    fixed = F.when(F.col("keep_first") < F.col("text_at"), "dialogue").otherwise(R.fixed_kind(F.col("kind"), F.col("hand"), F.col("sfx")))
+    kind = F.when(F.col("keep_at") > F.coalesce("text_at", F.lit(-1)), "preserved").when(F.col("text_at").isNotNull(), fixed).otherwise(F.col("kind"))
+    now = lambda c, new: F.when(open_, new).otherwise(F.col(c)).alias(c)
+    patched = lambda c: now(c, R.patched(F.col(c), F.col("new_" + c).isNotNull(), F.col("new_" + c)))
+    kept = rows.select(
+        "page", "id", patched("text"), now("src", F.coalesce("new_src", "src")), now("kind", kind), now("confidence", F.when(F.col("text_at").isNotNull(), "high").otherwise(F.col("confidence"))),
+        now("passes", F.coalesce("new_passes", "passes")), patched("font"), patched("region"), now("clean", F.coalesce("new_clean", "clean")), "locked", "crop")
+    top = entries.groupBy("page").agg(F.max("id").alias("top"))
+    adds = actions.filter((a == "add") & (F.col("w") >= 8) & (F.col("h") >= 8)).join(state.filter(open_), "page").join(top, "page", "left")
+    number = F.coalesce("top", F.lit(0)) + F.row_number().over(W.partitionBy("page").orderBy("ord"))
+    none = F.lit(None).cast("string")
+    added = adds.select(
+        "page", number.alias("id"), F.when(~R.blank(F.col("text")), F.col("text")).alias("text"), none.alias("src"), F.lit("dialogue").alias("kind"), F.lit("high").alias("confidence"), F.when(R.blank(F.col("text")), "add-ai").otherwise("manual-add").alias("passes"),
+        F.when(F.col("has_font"), F.nullif("font", F.lit(""))).alias("font"), none.alias("region"), F.lit(False).alias("clean"), "locked", "crop")
+    return kept.unionByName(added)

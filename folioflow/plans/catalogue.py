@@ -463,12 +463,6 @@ def page_range(spark, sf_dir):
     return docs(spark, sf_dir, "source", "doc_id").withColumn("n", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).filter(F.col("n").between(first, last)).drop("n")
 
 
-@query("""SELECT user_id, list_reduce(list_transform(list_sort(list(struct_pack(seq := event_id, a := event_type))), lambda x: x.a), lambda x, y: y) AS last_action, CAST(count(DISTINCT event_type) AS BIGINT) AS kinds, CAST(coalesce(max(event_id) FILTER (WHERE event_type = 'purchase'), -1) + 1 AS BIGINT) AS next_id FROM events GROUP BY user_id""")
-def rework_actions(spark, sf_dir):
-    rows = read(spark, sf_dir, "events")
-    return rows.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_action"), F.countDistinct("event_type").alias("kinds"), (F.coalesce(F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))), F.lit(-1)) + 1).alias("next_id"))
-
-
 @query("SELECT source, md5(string_agg(md5(text), chr(10) ORDER BY doc_id)) AS fingerprint, CAST(count(*) AS BIGINT) AS count FROM documents GROUP BY source")
 def book_fingerprint(spark, sf_dir):
     """The order matters, so that pages are hashed before they are gathered: a book's rows stay small."""

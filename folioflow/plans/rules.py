@@ -240,6 +240,41 @@ def layout_norm(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", F.nullif(F.concat_ws(";", *fields), F.lit("")).alias("layout"))
 
 
+_TAGS = ["text", "keep", "src", "font", "region", "clean", "add", "lock", "style", "page_crop", "ai", "revert", "layout", "rebuild", "unlock", "text", "paint", "set_default", "keep"]
+_ONE = f"SELECT * FROM ({_ENTRY}) QUALIFY row_number() OVER (PARTITION BY page, id ORDER BY p, s, q, tax, text, confidence) = 1"
+_ACTIONS = f"""SELECT page, id * 10 + p % 10 AS ord, {pick_sql(_TAGS, 'p + s')} AS action, CASE WHEN s % 3 = 0 THEN 1 ELSE id END AS id, CASE WHEN p % 4 = 0 THEN ' ' ELSE 'T' || p END AS text, CASE WHEN p % 6 = 0 THEN '' ELSE 'S' || p END AS src,
+ s % 2 = 0 AS has_font, CASE WHEN s % 4 = 0 THEN '' ELSE 'G' || (s % 3) END AS font, p % 40 AS w, s % 40 AS h, p % 3 = 0 AS clean FROM ({_ONE})"""
+
+
+@query(f"""WITH e AS (SELECT page, id, text, NULL::VARCHAR AS src, kind, confidence, 'ocr' AS passes, CASE WHEN p % 5 = 0 THEN 'F' END AS font, NULL::VARCHAR AS region, p % 7 = 0 AS clean, hand, sfx FROM ({_ONE})), a AS ({_ACTIONS}),
+g AS (SELECT page, arg_max(action, ord) FILTER (WHERE action IN ('lock', 'unlock')) AS lock, arg_max(CASE WHEN w >= 16 AND h >= 16 THEN w || 'x' || h ELSE '' END, ord) FILTER (WHERE action = 'page_crop') AS crop,
+ coalesce(bool_or(action NOT IN ('lock', 'unlock', 'page_crop', 'set_default', 'revert')) AND count(*) FILTER (WHERE action = 'revert') % 2 = 1, false) AS back FROM a GROUP BY page),
+s AS (SELECT DISTINCT e.page, CASE WHEN lock IS NOT NULL THEN lock = 'lock' ELSE e.page % 11 = 0 END AS locked, nullif(crop, '') AS crop, back FROM e LEFT JOIN g ON e.page = g.page),
+i AS (SELECT page, id, max(ord) FILTER (WHERE action = 'text') AS text_at, min(ord) FILTER (WHERE action = 'keep') AS keep_first, max(ord) FILTER (WHERE action = 'keep') AS keep_at, arg_max(trim(text), ord) FILTER (WHERE action = 'text') AS new_text,
+ arg_max(src, ord) FILTER (WHERE action IN ('text', 'src') AND src <> '') AS new_src, arg_max(CASE action WHEN 'text' THEN 'manual' WHEN 'src' THEN 'src-edit' WHEN 'keep' THEN 'keep' ELSE 'style' END, ord) FILTER (WHERE action IN ('text', 'keep', 'font', 'style', 'layout') OR (action = 'src' AND src <> '')) AS new_passes,
+ arg_max(font, ord) FILTER (WHERE action IN ('text', 'src', 'font', 'style', 'layout', 'ai') AND has_font) AS new_font, arg_max(CASE WHEN w >= 8 AND h >= 8 THEN w || 'x' || h ELSE '' END, ord) FILTER (WHERE action = 'region') AS new_region, arg_max(clean, ord) FILTER (WHERE action = 'clean') AS new_clean FROM a GROUP BY page, id),
+k AS (SELECT e.*, s.locked, s.crop, NOT s.locked AND NOT s.back AS o, i.* EXCLUDE (page, id) FROM e JOIN s ON e.page = s.page LEFT JOIN i ON e.page = i.page AND e.id = i.id),
+t AS (SELECT page, max(id) AS top FROM e GROUP BY page)
+SELECT page, id, CASE WHEN o AND new_text IS NOT NULL THEN nullif(new_text, '') ELSE text END AS text, CASE WHEN o THEN coalesce(new_src, src) ELSE src END AS src,
+ CASE WHEN NOT o THEN kind WHEN keep_at > coalesce(text_at, -1) THEN 'preserved' WHEN text_at IS NULL THEN kind WHEN keep_first < text_at THEN 'dialogue' WHEN kind IN ('caption', 'shout') OR (kind = 'hand' AND hand) OR (kind = 'sfx' AND sfx) THEN kind ELSE 'dialogue' END AS kind,
+ CASE WHEN o AND text_at IS NOT NULL THEN 'high' ELSE confidence END AS confidence, CASE WHEN o THEN coalesce(new_passes, passes) ELSE passes END AS passes, CASE WHEN o AND new_font IS NOT NULL THEN nullif(new_font, '') ELSE font END AS font,
+ CASE WHEN o AND new_region IS NOT NULL THEN nullif(new_region, '') ELSE region END AS region, CASE WHEN o THEN coalesce(new_clean, clean) ELSE clean END AS clean, locked, crop FROM k
+UNION ALL SELECT a.page, CAST(t.top + row_number() OVER (PARTITION BY a.page ORDER BY a.ord) AS INT), nullif(trim(a.text), ''), NULL, 'dialogue', 'high', CASE WHEN trim(a.text) = '' THEN 'add-ai' ELSE 'manual-add' END, CASE WHEN a.has_font THEN nullif(a.font, '') END, NULL, false, s.locked, s.crop
+ FROM a JOIN s ON a.page = s.page JOIN t ON a.page = t.page WHERE a.action = 'add' AND a.w >= 8 AND a.h >= 8 AND NOT s.locked AND NOT s.back""")
+def rework_actions(spark, sf_dir):
+    """Actions of all tags on the entries of pages, some of which are locked."""
+    first = F.row_number().over(W.partitionBy("page", "id").orderBy("p", "s", "q", "tax", "text", "confidence"))
+    own = _entries(spark, sf_dir).withColumn("first", first).filter("first = 1")
+    none = F.lit(None).cast("string")
+    entries = own.select("page", "id", "text", none.alias("src"), "kind", "confidence", F.lit("ocr").alias("passes"), F.when(C("p") % 5 == 0, "F").alias("font"), none.alias("region"), (C("p") % 7 == 0).alias("clean"), "hand", "sfx")
+    p, s = C("p"), C("s")
+    actions = own.select(
+        "page", (C("id") * 10 + p % 10).alias("ord"), pick(_TAGS, p + s).alias("action"), F.when(s % 3 == 0, 1).otherwise(C("id")).alias("id"), F.when(p % 4 == 0, " ").otherwise(F.concat(F.lit("T"), p.cast("string"))).alias("text"), F.when(p % 6 == 0, "").otherwise(F.concat(F.lit("S"), p.cast("string"))).alias("src"),
+        (s % 2 == 0).alias("has_font"), F.when(s % 4 == 0, "").otherwise(F.concat(F.lit("G"), (s % 3).cast("string"))).alias("font"), (p % 40).alias("w"), (s % 40).alias("h"), (p % 3 == 0).alias("clean"))
+    pages = own.select("page", (C("page") % 11 == 0).alias("locked")).distinct()
+    return V.apply_actions(entries, pages, actions)
+
+
 # --- names and lists --------------------------------------------------------------------------------------------
 
 _FILE = "CASE WHEN page_id % 7 = 0 THEN '_' ELSE '' END || 'book' || (page_id % 40) || ['.html', '.data.json', '.txt'][CAST(page_id % 3 AS INT) + 1]"
@@ -485,3 +520,84 @@ def epub_bytes(spark, sf_dir):
     """A book of each conversation, a chapter for each role; a test opens them."""
     paras = read(spark, sf_dir, "conversations")
     return K.epubs(paras, "conv_id", "role", "turn", "text").select("book", F.length("epub").alias("size"), F.md5("epub").alias("epub"))
+
+
+# --- books and requests -----------------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn) || chr(10)) AS text FROM conversations GROUP BY conv_id")
+def book_text(spark, sf_dir):
+    """A book as one text: paragraphs parted by blank lines, and a line's end."""
+    own = F.array_join(F.transform(O.in_order("turn", "text"), lambda r: r["text"]), "\n\n")
+    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.md5(F.concat(own, F.lit("\n"))).alias("text"))
+
+
+_PATH = "'scan/' || page_id || ['.PNG', '.jpg', '.txt', '.webp', ''][CAST(page_id % 5 AS INT) + 1]"
+
+
+@query(f"SELECT page_id, path, CAST(row_number() OVER (ORDER BY path) AS INT) AS n FROM (SELECT page_id, {_PATH} AS path FROM pages) WHERE list_contains(['.png', '.jpg', '.webp'], lower(regexp_extract(path, '\\.[^.]+$'))) QUALIFY n BETWEEN 3 AND 20")
+def page_files(spark, sf_dir):
+    """Files with a page's ending, in order of their names, of a range of pages. The range's end alone is sorted whole, as a top list."""
+    first, last = V.page_range("3-20")
+    path = F.concat(F.lit("scan/"), C("page_id").cast("string"), pick([".PNG", ".jpg", ".txt", ".webp", ""], C("page_id")))
+    rows = read(spark, sf_dir, "pages").select("page_id", path.alias("path")).filter(F.lower(F.regexp_extract("path", r"\.[^.]+$", 0)).isin(".png", ".jpg", ".webp"))
+    return rows.orderBy("path").limit(last).withColumn("n", F.row_number().over(W.orderBy("path"))).filter(C("n") >= first)
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'new' ELSE 'changed' END AS push FROM (SELECT page_id, md5(html) AS now, CASE WHEN page_id % 4 = 0 THEN NULL WHEN page_id % 3 = 0 THEN md5(html) ELSE md5(html || ' ') END AS pushed FROM pages) WHERE now IS DISTINCT FROM pushed")
+def push_changes(spark, sf_dir):
+    """What has to be pushed: pages whose digest is not the one that was pushed last."""
+    now = read(spark, sf_dir, "pages").select("page_id", F.md5("html").alias("now"), F.md5(F.concat("html", F.lit(" "))).alias("other"))
+    pushed = now.filter("page_id % 4 <> 0").select("page_id", F.when(C("page_id") % 3 == 0, C("now")).otherwise(C("other")).alias("pushed"))
+    both = now.join(pushed, "page_id", "left").filter(~C("now").eqNullSafe(C("pushed")))
+    return both.select("page_id", F.when(C("pushed").isNull(), "new").otherwise("changed").alias("push"))
+
+
+@query("""WITH l AS (SELECT conv_id, list(role || turn % 4 ORDER BY turn) AS old, list(role || (CASE WHEN turn = conv_id % 5 + 1 THEN 9 ELSE turn % 4 END) ORDER BY turn) AS new FROM conversations GROUP BY conv_id),
+p AS (SELECT *, len(old) AS n, coalesce(list_min(list_filter(range(len(old)), lambda i: old[i + 1] <> new[i + 1])), len(old)) AS head, coalesce(list_min(list_filter(range(len(old)), lambda i: old[len(old) - i] <> new[len(old) - i])), len(old)) AS tail FROM l)
+SELECT conv_id, CAST(head AS INT) AS head, CAST(least(tail, n - head) AS INT) AS tail FROM p""")
+def window_edges(spark, sf_dir):
+    """Of a window that is replaced, how many paragraphs stay as they are at its head, and at its tail."""
+    rows = read(spark, sf_dir, "conversations")
+    changed = F.when(C("turn") == C("conv_id") % 5 + 1, 9).otherwise(C("turn") % 4)
+    lists = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", (C("turn") % 4).cast("string")).alias("old"), F.concat("role", changed.cast("string")).alias("new")))).alias("rows"))
+    same = lambda side: F.coalesce(F.array_position(F.transform(side, lambda r: r["old"] != r["new"]), True), F.lit(0))
+    n = F.size("rows")
+    edge = lambda side: F.when(same(side) == 0, n).otherwise(same(side) - 1).cast("int")
+    head = edge(C("rows"))
+    return lists.select("conv_id", head.alias("head"), F.least(edge(F.reverse("rows")), n - head).alias("tail"))
+
+
+_CHUNKED = """WITH RECURSIVE r AS (SELECT conv_id, turn, role, text, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations), f AS (SELECT conv_id, turn, rn, 0 AS chunk, n AS total FROM r WHERE rn = 1 UNION ALL
+ SELECT r.conv_id, r.turn, r.rn, CASE WHEN f.total >= 300 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.total >= 300 THEN r.n ELSE f.total + r.n END FROM f JOIN r ON r.conv_id = f.conv_id AND r.rn = f.rn + 1)"""
+
+
+@query(f"""{_CHUNKED}, c AS (SELECT f.conv_id, f.chunk, arg_max(r.text, r.turn) FILTER (WHERE r.turn % 3 <> 2) AS src, arg_max('T ' || r.role, r.turn) FILTER (WHERE r.turn % 3 <> 2) AS tr FROM f JOIN r ON r.conv_id = f.conv_id AND r.rn = f.rn GROUP BY f.conv_id, f.chunk)
+SELECT conv_id, CAST(chunk AS INT) AS chunk, md5(right(last_value(src IGNORE NULLS) OVER w, 300)) AS src, right(last_value(tr IGNORE NULLS) OVER w, 300) AS tr FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def chunk_context(spark, sf_dir):
+    """What a chunk is told of what stands before: the ends of the last source and translation of the last chunk that has one."""
+    rows = read(spark, sf_dir, "conversations")
+    chunks = O.greedy_chunks(rows.select("conv_id", "turn", F.length("text").alias("n")), "conv_id", "turn", "n", 300).select("conv_id", "turn", "chunk")
+    done = F.when(C("turn") % 3 != 2, F.struct("turn", C("text").alias("src"), F.concat(F.lit("T "), "role").alias("tr")))
+    last = rows.join(chunks, ["conv_id", "turn"]).groupBy("conv_id", "chunk").agg(F.max_by(done, done["turn"]).alias("d"))
+    by = W.partitionBy("conv_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    before = last.withColumn("b", F.last("d", ignorenulls=True).over(by))
+    return before.select("conv_id", "chunk", F.md5(F.right("b.src", F.lit(300))).alias("src"), F.right("b.tr", F.lit(300)).alias("tr"))
+
+
+@query("""SELECT conv_id, CAST(b AS INT) AS batch, printf('p%04d-a-%03d', conv_id, b) AS custom_id, md5(string_agg('[' || k || '] ' || text, chr(10) ORDER BY k)) AS body FROM (
+ SELECT conv_id, text, (rn - 1) // 6 AS b, (rn - 1) % 6 + 1 AS k FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations)) GROUP BY conv_id, b""")
+def request_blocks(spark, sf_dir):
+    """Requests of six numbered blocks each."""
+    rn = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
+    rows = read(spark, sf_dir, "conversations").withColumn("rn", rn).select("conv_id", "text", F.expr("(rn - 1) div 6").cast("int").alias("batch"), ((C("rn") - 1) % 6 + 1).alias("k"))
+    block = F.struct("k", F.concat(F.lit("["), C("k").cast("string"), F.lit("] "), "text").alias("t"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda r: r["t"]), "\n")
+    return rows.groupBy("conv_id", "batch").agg(F.md5(body).alias("body")).select("conv_id", "batch", F.format_string("p%04d-a-%03d", "conv_id", "batch").alias("custom_id"), "body")
+
+
+@query(f"""SELECT page, CAST(count(*) FILTER (WHERE text <> '' AND round(q / 1000, 3) > 0.03) AS BIGINT) AS warned, CAST(count(*) FILTER (WHERE text <> '') AS BIGINT) AS retyped FROM ({_ENTRY}) GROUP BY page""")
+def overlap_warnings(spark, sf_dir):
+    """Texts that were set again, and those of them over 0.03 of whose ink lies on dark ground."""
+    set_ = C("text") != ""
+    return _entries(spark, sf_dir).groupBy("page").agg(F.count_if(set_ & (F.round(C("q") / 1000, 3) > 0.03)).alias("warned"), F.count_if(set_).alias("retyped"))

@@ -136,3 +136,30 @@ def test_price_lists_are_bounded(spark):
     assert [(r.usd_in, r.usd_out) for r in review.by_prefix(rows, prices, "model").collect()] == [(1.0, 1.5), (2.0, 3.0), (None, None), (None, None)]
     with pytest.raises(ValueError):
         review.by_prefix(rows, prices.crossJoin(spark.range(600)).select("ord", "prefix", "usd_in", "usd_out"), "model")
+
+
+def test_queue_is_applied_then_acknowledged(spark, tmp_path):
+    import os
+
+    from folioflow.streaming import edits
+
+    state, queue = str(tmp_path / "state"), tmp_path / "in"
+    queue.mkdir()
+
+    def send(name, rows):
+        (queue / name).write_text("\n".join(json.dumps(dict(zip(("book", "seq", "fp", "idx", "text"), r, strict=True))) for r in rows))
+        os.utime(queue / name, (1000 + int(name[0]), 1000 + int(name[0])))
+        edits.write_state(edits.read_queue(spark, str(queue)), state, str(tmp_path / "cp")).awaitTermination()
+
+    waiting = lambda: sorted((r.book, r.idx, r.text) for r in edits.read_state(spark, state).collect())
+    send("0.json", [(1, 1, 7, 0, "a"), (1, 2, 7, 1, "b"), (2, 3, 9, 0, "c")])
+    paras = spark.createDataFrame([(b, i, "s", "t") for b in (1, 2) for i in range(2)], "book long, idx long, src string, text string")
+    versions = spark.createDataFrame([(1, 7, 2), (2, 8, 2)], "book long, fp long, count int")
+    assert {(r.book, r.idx): r.text for r in edits.drain(spark, state, paras, versions).collect()} == {(1, 0): "a", (1, 1): "b", (2, 0): "t", (2, 1): "t"}
+    edits.acknowledge(spark, state, spark.createDataFrame([(1, 7, 2), (2, 8, 3)], "book long, fp long, upto long"))
+    assert waiting() == [(2, 0, "c")]  # of another version
+    send("1.json", [(1, 4, 7, 1, "d")])
+    assert waiting() == [(1, 1, "d"), (2, 0, "c")]
+    send("2.json", [(2, 5, 9, 1, "e")])
+    assert waiting() == [(1, 1, "d"), (2, 0, "c"), (2, 1, "e")]
+    assert sorted(p.name for p in (tmp_path / "state").iterdir() if p.name.startswith("batch=")) == ["batch=1", "batch=2"]
