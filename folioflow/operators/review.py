@@ -152,8 +152,8 @@ def apply_edits(paras: DataFrame, edits: DataFrame, versions: DataFrame) -> Data
 
     A book's edits hold if fp and count are those of versions (book, fp, count), both; keys that are no index of the book are passed over; a blank text becomes null.
     """
-    now = versions.select("book", F.col("fp").alias("now_fp"), F.col("count").alias("now_count"))
-    held = edits.join(now, (edits.book == now.book) & F.col("fp").eqNullSafe(F.col("now_fp")) & F.col("count").eqNullSafe(F.col("now_count"))).drop(now.book)
+    now = versions.select(F.col("book").alias("now_book"), F.col("fp").alias("now_fp"), F.col("count").alias("now_count"))
+    held = edits.join(now, (F.col("book") == F.col("now_book")) & F.col("fp").eqNullSafe(F.col("now_fp")) & F.col("count").eqNullSafe(F.col("now_count")))
     own = held.withColumn("idx", R.index_in(F.col("key"), F.col("now_count"))).filter("idx is not null")
     own = own.select("book", "idx", "has_src", T.clean_source(F.coalesce("src", F.lit(""))).alias("new_src"), "has_text", F.nullif(T.clean_text(F.coalesce("text", F.lit(""))), F.lit("")).alias("new_text"))
     both = paras.join(own, ["book", "idx"], "left")

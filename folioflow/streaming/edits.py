@@ -29,8 +29,8 @@ def _pending(spark: SparkSession, state: str, rows: DataFrame) -> DataFrame:
     acks = f"{state}_acks"
     if not _exists(spark, acks):
         return rows
-    done = spark.read.schema("book long, fp long, upto long").parquet(acks).groupBy("book", "fp").agg(F.max("upto").alias("upto"))
-    same = (rows.book == done.book) & F.coalesce(rows.fp == done.fp, F.lit(True)) & (rows.seq <= F.col("upto"))
+    done = spark.read.schema("book long, fp long, upto long").parquet(acks).groupBy(F.col("book").alias("done_book"), F.col("fp").alias("done_fp")).agg(F.max("upto").alias("upto"))
+    same = (F.col("book") == F.col("done_book")) & F.coalesce(F.col("fp") == F.col("done_fp"), F.lit(True)) & (F.col("seq") <= F.col("upto"))
     return rows.join(done, same, "left_anti")
 
 
