@@ -12,6 +12,20 @@ HANGUL = "[가-힣]"
 FATAL = ["credit balance", "api key", "api 키", "unauthorized", "401", "403", "비전 미지원", "404", "not found", "does not exist", "is not supported", "지원되지"]
 #: Kinds that are always set again, and those that a reader must look at.
 ALWAYS_SET, LOOKED_AT = ["dialogue", "caption", "shout"], ["dialogue", "caption", "shout", "hand"]
+#: Engines that read images on the machine itself.
+LOCAL_READERS = ["tesseract", "easyocr", "windows"]
+
+
+def is_local_reader(engine: Column) -> Column:
+    return F.lower(engine).isin(LOCAL_READERS)
+
+
+def is_local_model(engine: Column) -> Column:
+    return F.lower(engine).startswith("ollama:")
+
+
+def needs_key(engine: Column) -> Column:
+    return (engine != "") & ~is_local_reader(engine) & ~is_local_model(engine)
 
 
 def blank(c: Column) -> Column:

@@ -601,3 +601,23 @@ def overlap_warnings(spark, sf_dir):
     """Texts that were set again, and those of them over 0.03 of whose ink lies on dark ground."""
     set_ = C("text") != ""
     return _entries(spark, sf_dir).groupBy("page").agg(F.count_if(set_ & (F.round(C("q") / 1000, 3) > 0.03)).alias("warned"), F.count_if(set_).alias("retyped"))
+
+
+@query("""SELECT page_id, CASE WHEN n >= 1 << 30 THEN format('{:.2f} GB', n / (1 << 30)::DOUBLE) ELSE format('{:.1f} MB', n / (1 << 20)::DOUBLE) END AS size, CASE WHEN page_id % 2 = 0 THEN 'Kapitel ' || page_id ELSE '#Kapitel' END AS title FROM (
+ SELECT page_id, CASE WHEN page_id % 5 = 0 THEN (page_id % 900 + 4) * (1 << 28)::BIGINT ELSE (page_id * 3 % 900 + 1) * (1 << 19)::BIGINT END AS n FROM pages)""")
+def size_labels(spark, sf_dir):
+    """Sizes as they are shown, and titles without a heading's mark."""
+    k = C("page_id")
+    n = F.when(k % 5 == 0, (k % 900 + 4) * (1 << 28)).otherwise((k * 3 % 900 + 1) * (1 << 19))
+    title = F.when(k % 2 == 0, F.concat(F.lit(" ## Kapitel "), k.cast("string"))).otherwise("#Kapitel")
+    return read(spark, sf_dir, "pages").select("page_id", T.size_label(n).alias("size"), T.without_mark(title).alias("title"))
+
+
+_ROUTES = ["remote-a", "remote-b:2", "ollama:z", "tesseract", "Windows", ""]
+
+
+@query(f"""SELECT event_id, engine IN ('tesseract', 'easyocr', 'windows') AS local_ocr, starts_with(engine, 'ollama:') AS local_model, engine <> '' AND engine NOT IN ('tesseract', 'easyocr', 'windows') AND NOT starts_with(engine, 'ollama:') AS needs_key FROM (SELECT event_id, lower({pick_sql(_ROUTES, 'event_id')}) AS engine FROM events)""")
+def engine_routes(spark, sf_dir):
+    """Engines that read here, models that run here, and those that need a key."""
+    engine = pick(_ROUTES, C("event_id"))
+    return read(spark, sf_dir, "events").select("event_id", R.is_local_reader(engine).alias("local_ocr"), R.is_local_model(engine).alias("local_model"), R.needs_key(engine).alias("needs_key"))

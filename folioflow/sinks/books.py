@@ -35,8 +35,9 @@ def paragraph_html(text: Column, first: Column) -> Column:
     return F.when(F.length(text) > 0, element)
 
 
-def epubs(paras: DataFrame, book: str, chapter: str, order: str, text: str) -> DataFrame:
-    """Rows book, epub: an archive for each book from its paragraphs; one book has to fit one task."""
+def epubs(paras: DataFrame, book: str, chapter: str, order: str, text: str, language: str = "ko", covers: dict[str, bytes] | None = None) -> DataFrame:
+    """Rows book, epub: an archive for each book from its paragraphs; one book has to fit one task. covers: JPEG images of books that have one."""
+    covers = covers or {}
     marked = paras.select(F.col(book).cast("string").alias("book"), F.col(chapter).cast("string").alias("chapter"), F.col(order).alias("ord"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     heads = marked.groupBy("book", "chapter").agg(F.min("ord").alias("head"))
     marked = marked.join(heads, ["book", "chapter"]).withColumn("element", paragraph_html(F.col("text"), F.col("ord") == F.col("head")))
@@ -44,29 +45,32 @@ def epubs(paras: DataFrame, book: str, chapter: str, order: str, text: str) -> D
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         title = rows["book"].iloc[0]
         chapters = [(name, part.sort_values("ord")["element"].dropna().tolist()) for name, part in rows.sort_values("head").groupby("chapter", sort=False)]
-        return pd.DataFrame({"book": [title], "epub": [archive(title, chapters)]})
+        return pd.DataFrame({"book": [title], "epub": [archive(title, chapters, language, covers.get(title))]})
 
     return marked.select("book", "chapter", "ord", "head", "element").groupBy("book").applyInPandas(pack, "book string, epub binary")
 
 
-def archive(title: str, chapters: list[tuple[str, list[str]]]) -> bytes:
-    """A minimal EPUB 3: mimetype first and stored, a navigation file, a file for each chapter."""
+def archive(title: str, chapters: list[tuple[str, list[str]]], language: str = "ko", cover: bytes | None = None) -> bytes:
+    """A minimal EPUB 3: mimetype first and stored, a navigation file, a file for each chapter, and the cover if there is one."""
     out = io.BytesIO()
     uid = "folioflow-" + re.sub(r"\W+", "-", title.lower()).strip("-")
     page = '<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops">\n<head><title>{}</title></head>\n<body>{}</body></html>\n'
     files = [(f"c{i:04d}.xhtml", name or str(i), elements) for i, (name, elements) in enumerate(chapters, 1)]
     items = "".join(f'<item id="c{i}" href="{f}" media-type="application/xhtml+xml"/>' for i, (f, _, _) in enumerate(files, 1))
+    items += '<item id="cover" href="cover.jpg" media-type="image/jpeg" properties="cover-image"/>' if cover else ""
     spine = "".join(f'<itemref idref="c{i}"/>' for i in range(1, len(files) + 1))
     links = "".join(f'<li><a href="{f}">{html.escape(name)}</a></li>' for f, name, _ in files)
     parts = {
         "META-INF/container.xml": '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>',
-        "OEBPS/content.opf": f'<?xml version="1.0" encoding="utf-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="uid">{uid}</dc:identifier><dc:title>{html.escape(title)}</dc:title><dc:language>ko</dc:language><meta property="dcterms:modified">2000-01-01T00:00:00Z</meta></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{items}</manifest><spine>{spine}</spine></package>',
+        "OEBPS/content.opf": f'<?xml version="1.0" encoding="utf-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="uid">{uid}</dc:identifier><dc:title>{html.escape(title)}</dc:title><dc:language>{html.escape(language)}</dc:language><meta property="dcterms:modified">2000-01-01T00:00:00Z</meta></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{items}</manifest><spine>{spine}</spine></package>',
         "OEBPS/nav.xhtml": page.format(html.escape(title), f'<nav epub:type="toc"><ol>{links}</ol></nav>'),
     } | {f"OEBPS/{f}": page.format(html.escape(name), "\n".join(elements)) for f, name, elements in files}
     with zipfile.ZipFile(out, "w") as z:
         z.writestr(zipfile.ZipInfo("mimetype", DATE), "application/epub+zip", zipfile.ZIP_STORED)
         for name, body in parts.items():
             z.writestr(zipfile.ZipInfo(name, DATE), body, zipfile.ZIP_DEFLATED)
+        if cover:
+            z.writestr(zipfile.ZipInfo("OEBPS/cover.jpg", DATE), cover, zipfile.ZIP_STORED)
     return out.getvalue()
 
 
