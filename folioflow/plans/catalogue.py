@@ -259,13 +259,6 @@ def run_counters(spark, sf_dir):
 # --- ordered ----------------------------------------------------------------------------------------------------
 
 
-@query()
-def merge_paragraphs(spark, sf_dir):
-    """A fold whose state is text; checked against a plain loop in the tests."""
-    rows = lines(spark, sf_dir).withColumn("line", T.strip(F.col("line"))).filter((F.col("line") != "") & ~T.is_page_number(F.col("line")))
-    return O.merge_paragraphs(rows, "doc_id", "pos", "line").select("doc_id", "idx", F.md5("text").alias("text"))
-
-
 _RUN = "SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations"
 
 

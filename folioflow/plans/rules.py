@@ -13,7 +13,7 @@ from folioflow.functions import rules as R
 from folioflow.functions import text as T
 from folioflow.operators import ordered as O
 from folioflow.operators import review as V
-from folioflow.plans.catalogue import docs, query, read
+from folioflow.plans.catalogue import docs, lines, query, read
 from folioflow.sinks import books as K
 
 C = F.col
@@ -500,6 +500,18 @@ def merge_page_spans(spark, sf_dir):
     return O.merge_page_spans(pages, "source", "doc_id", "text").select("book", "idx", F.md5("text").alias("text"), "page", "page_end")
 
 
+@query(f"""WITH RECURSIVE kept AS (SELECT doc_id, p AS piece, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM (SELECT doc_id, pos, {_strip('line')} AS p FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)) WHERE p <> '' AND NOT regexp_matches(p, '{T.PAGE_NUMBER}')),
+f AS (SELECT doc_id, n, 0 AS idx, piece AS text FROM kept WHERE n = 1 UNION ALL
+ SELECT doc_id, n, idx + CASE WHEN joins THEN 0 ELSE 1 END, CASE WHEN joins THEN {_joined('text', 'piece')} ELSE piece END FROM (
+  SELECT k.doc_id, k.n, f.idx, f.text, k.piece, NOT {_is_heading('f.text')} AND NOT {_is_heading('k.piece')} AND NOT contains('{T.SENTENCE_END}', right(rtrim(f.text), 1)) AS joins FROM f JOIN kept k ON k.doc_id = f.doc_id AND k.n = f.n + 1))
+SELECT doc_id, CAST(idx AS INT) AS idx, md5(arg_max(text, n)) AS text FROM f GROUP BY doc_id, idx""")
+def merge_paragraphs(spark, sf_dir):
+    """The lines of each document as pieces."""
+    rows = lines(spark, sf_dir).withColumn("line", T.strip(C("line"))).filter((C("line") != "") & ~T.is_page_number(C("line")))
+    return O.merge_paragraphs(rows, "doc_id", "pos", "line").select("doc_id", "idx", F.md5("text").alias("text"))
+
+
 @query()
 def repair_json(spark, sf_dir):
     """Replies with quotes and line ends inside of their strings; a test holds them against the texts they were made of."""

@@ -65,7 +65,7 @@ def merged(pieces):
 
 def test_merge_paragraphs(spark, sf):
     got = {}
-    for r in catalogue.merge_paragraphs(spark, sf).collect():
+    for r in rules.merge_paragraphs(spark, sf).collect():
         got.setdefault(r.doc_id, {})[r.idx] = r.text
     for r in catalogue.docs(spark, sf, "doc_id", "text").collect():
         pieces = [x for x in (line.strip() for line in r.text.split("\n")) if x and not re.match(T.PAGE_NUMBER, x)]
