@@ -19,7 +19,6 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -208,8 +207,8 @@ class Transducer:
                     break
         return last
 
-    def emit_cut(self, part: str) -> tuple[int, ...]:
-        """The ids of a part that no border of lattices divides."""
+    def emit_cut(self, part: str) -> bytes:
+        """The ids of a part that no border of lattices divides, as an array's bytes."""
         out: list[int] = []
         for p in self.path(part):
             if p in self.ids:
@@ -218,27 +217,27 @@ class Transducer:
                 out += [self.bytes[b] for b in p.encode()]
             else:
                 out.append(self.unknown)
-        return tuple(out)
+        return array("i", out).tobytes()
 
-    def emit(self, part: str) -> tuple[int, ...]:
+    def emit(self, part: str) -> bytes:
         inside, cuts, start = self.inside, self.memo_of_cuts, 0
-        out: list[int] = []
+        out: list[bytes] = []
         for i in range(1, len(part)):
             if part[i - 1 : i + 1] not in inside:
-                out += cuts[part[start:i]]
+                out.append(cuts[part[start:i]])
                 start = i
-        return (*out, *cuts[part[start:]])
+        return b"".join([*out, cuts[part[start:]]])
 
     def encode(self, text: str) -> array:
-        if not text:
-            return array("i")
-        normal = (META if self.dummy else "") + text.replace(" ", META)
-        parts = self.parts.findall(normal) if self.apart else [normal]
-        return array("i", chain.from_iterable(map(self.memo.__getitem__, parts)))
+        ids = array("i")
+        if text:
+            normal = (META if self.dummy else "") + text.replace(" ", META)
+            parts = self.parts.findall(normal) if self.apart else [normal]
+            ids.frombytes(b"".join(map(self.memo.__getitem__, parts)))
+        return ids
 
     def decode(self, ids) -> str:
-        surface = self.surface
-        text = b"".join([surface[i] for i in ids]).decode("utf-8", "replace").replace(META, " ")
+        text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace").replace(META, " ")
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
