@@ -28,8 +28,8 @@ from .common import small_batches
 from .simhash import shingle_hashes, words_of
 
 SHINGLE, SAMPLES = 5, 64
-#: Text of a group that is aimed at. The driver holds a number or two for each group.
-GROUP_BYTES = 32 << 20
+#: Text of a group that is aimed at, and the most groups, as the driver holds a number or two for each.
+GROUP_BYTES, MOST_GROUPS = 8 << 20, 200_000
 #: Terms drawn at once, so that the numbers stay in a core's cache.
 ROWS = 512
 _SEEDS = np.random.default_rng(20240613).integers(1, 1 << 63, SAMPLES, dtype=np.uint64)
@@ -169,8 +169,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("size")).first()
-    groups = max(4 * spark.sparkContext.defaultParallelism, -(-total["size"] // GROUP_BYTES))
-    bounds = rows.select("id").agg(F.percentile_approx("id", [k / groups for k in range(1, groups)], 20 * groups)).first()[0] or []
+    groups = min(MOST_GROUPS, max(4 * spark.sparkContext.defaultParallelism, -(-total["size"] // GROUP_BYTES)))
+    bounds = rows.select("id").agg(F.percentile_approx("id", [k / groups for k in range(1, groups)], min(20 * groups, 1_000_000))).first()[0] or []
     bounds = np.array(sorted(set(bounds)), np.int64)
     # A doc_id with more rows than a group should have is a bound itself, and its rows are dealt by their texts' hash.
     limit = max(1, -(-total["n"] // groups))
