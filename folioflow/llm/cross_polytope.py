@@ -33,8 +33,8 @@ from .common import cut, sized, small_batches
 NEAREST = 20
 #: Measured on vectors without structure, recall at 20 is 0.95 with these from 500 rows on; a test holds it against brute force.
 TABLES, ROWS, CANDIDATES = 16, 8, 36
-#: Rows by which a query's bound is told.
-SAMPLE = 8192
+#: Rows by which a query's bound is told, and components of them all, 16 MB, at most.
+SAMPLE, SAMPLED = 16_384, 1 << 21
 #: Norms of a band differ by this factor at most.
 BAND = 2**0.5
 #: Standard deviations of a sketch's rounding that are allowed for.
@@ -195,7 +195,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "ve
             further = True
         bands[size] = [Band(*b, size, further, tables, candidates) for b in sorted(own)]
     sample: dict[int, list] = {}
-    for r in x.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect():
+    for r in x.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(max(1, min(SAMPLE, SAMPLED // max(parted, default=1)))).collect():
         sample.setdefault(len(r["v"]), []).append(r["v"])
     sample = {size: np.array(v) for size, v in sample.items()}
     # The sample's row of this place is the bound: at least nearest + 1 rows reach it, and of all rows so many that nearest of them are found though some are missed.
