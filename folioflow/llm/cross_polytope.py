@@ -6,7 +6,7 @@ axes are nearest to it (multiprobe), so many that it meets about CANDIDATES time
 they grow. If norms differ, rows are parted into bands of similar norm and get a further component that makes all norms of a
 band equal, so that in each the largest inner product is the nearest direction; each band has tables of its own, and small ones are one bucket.
 
-Rows and probes meet by bucket, as rows of id and sketch (a byte for each component). A query knows a bound from a sample of SAMPLE rows, of which
+Rows and probes meet by bucket, as rows of id and sketch (two bytes for each component). A query knows a bound from a sample of SAMPLE rows, of which
 the nearest are at least as near as its last result must be; what by its sketch is further off by SURE standard deviations of the rounding is passed over. What is left
 is joined to the original vectors and ranked by exact inner products. So the shuffle is TABLES sketches for each row and the probes of each
 query, whatever the number of pairs. Rows of one vector beyond the nearest + 1 least ids can be no result and take no part;
@@ -82,7 +82,7 @@ class Band:
             self.sizes.append(full)
             left /= 2 * full
         if left >= 2:
-            self.sizes.append(min(full, 1 << max(0, round(np.log2(left / 2)))))
+            self.sizes.append(min(full, 1 << int(np.log2(left / 2))))
         buckets = int(np.prod([2 * s for s in self.sizes], dtype=np.float64))
         self.tables = tables if self.sizes else 1
         self.probes = int(min(buckets, max(1, round(candidates * np.sqrt(n) * buckets / (n * tables))))) if self.sizes else 1
@@ -119,11 +119,11 @@ class Band:
 
 
 def _sketches(x: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
-    """A row of bytes for each vector: scale, norm, bound, and a byte for each component."""
-    scale = np.abs(x).max(1) / 127
-    small = np.rint(x / scale[:, None]).astype(np.int8)
+    """A row of bytes for each vector: scale, norm, bound, and two bytes for each component."""
+    scale = np.abs(x).max(1) / 32767
+    small = np.rint(x / scale[:, None]).astype(np.int16)
     head = np.stack([scale, np.sqrt((x * x).sum(1)), np.zeros(len(x)) if least is None else least], 1)
-    return np.concatenate([head.view(np.uint8).reshape(len(x), _HEAD), small.view(np.uint8)], 1)
+    return np.concatenate([head.view(np.uint8).reshape(len(x), _HEAD), small.view(np.uint8).reshape(len(x), -1)], 1)
 
 
 def _entries(keys: np.ndarray, kind: int, ids: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
@@ -152,7 +152,7 @@ def met(keys: np.ndarray, kinds: np.ndarray, ids: np.ndarray, sketches: np.ndarr
     bucket = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]]))
     asked = np.bincount(bucket, kinds == 0, len(first)).astype(np.int64)
     rows = np.flatnonzero((kinds == 1) & (asked[bucket] > 0))
-    head, small = np.ascontiguousarray(sketches[:, :_HEAD]).view(np.float64), sketches[:, _HEAD:].view(np.int8)
+    head, small = np.ascontiguousarray(sketches[:, :_HEAD]).view(np.float64), np.ascontiguousarray(sketches[:, _HEAD:]).view(np.int16)
     each = asked[bucket[rows]]
     upto = np.cumsum(each)
     i = 0
@@ -162,7 +162,7 @@ def met(keys: np.ndarray, kinds: np.ndarray, ids: np.ndarray, sketches: np.ndarr
         x = np.repeat(rows[i:j], n)
         q = np.repeat(first[bucket[rows[i:j]]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         score = np.einsum("pd,pd->p", small[q].astype(np.float32), small[x].astype(np.float32)).astype(np.float64) * head[q, 0] * head[x, 0]
-        error = SURE * np.sqrt(((head[x, 0] * head[q, 1]) ** 2 + (head[q, 0] * head[x, 1]) ** 2) / 12) + 1e-5 * np.abs(score)
+        error = SURE * np.sqrt(((head[x, 0] * head[q, 1]) ** 2 + (head[q, 0] * head[x, 1]) ** 2) / 12) + 1e-6 * head[q, 1] * head[x, 1]
         keep = score + error >= head[q, 2]
         yield ids[q[keep]], ids[x[keep]], (score - error)[keep], (score + error)[keep]
         i = j
@@ -272,7 +272,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, id_col: str = "ve
     schema = "key long, kind int, id long, sketch binary"
     entries = x.select("id", "v").mapInArrow(emit, schema).unionByName(searches.select("id", "v").mapInArrow(probe, schema))
     rows, asked = (sum(b[3] for own in parted.values() for b in own), q.count())
-    most = max((s + _HEAD + 40 for s in parted), default=1)
+    most = max((2 * s + _HEAD + 40 for s in parted), default=1)
     size = most * (rows * tables + asked * sum(b.probes * b.tables for b in max(bands.values(), key=len, default=[])))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-size // TASK_BYTES)))
     dealt = entries.repartition(tasks, "key").sortWithinPartitions("key", "kind")
