@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_polytope, interpolated_lm, license_scan, line_runs, mixing, piece_transducer, resampling, secret_forest, simhash, toxicity, vector_codes, weighted_sampling
+from . import cross_polytope, interpolated_lm, license_scan, line_runs, mixing, personal_data, piece_transducer, resampling, secret_forest, simhash, toxicity, vector_codes, weighted_sampling
 from .common import fold
 
 #: A model file of merges; a parameter of the deployment, read by the driver.
@@ -77,6 +77,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", F.array_join("terms", ",").alias("terms"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.report(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
@@ -86,7 +90,7 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_interpolated_lm, op4_weighted_sampling, op5_license_scan, op6_nearest, op7_pieces, op8_line_dedup, op9_secrets, op10_toxicity, op12_vector_codes, op13_resample)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_simhash, op3_interpolated_lm, op4_weighted_sampling, op5_license_scan, op6_nearest, op7_pieces, op8_line_dedup, op9_secrets, op10_toxicity, op11_personal_data, op12_vector_codes, op13_resample)}
 
 
 _OP1 = r"""
