@@ -216,6 +216,8 @@ def bootstrap(spans: DataFrame, stash: Tables, rounds: int = ROUNDS, support: in
         good = stash.write(trusted(now, support, trust), f"patterns{k}")
         values = stash.write(scored(edges, good).filter(F.array_max("s") >= trust), f"values{k}")
         now = edges.join(sized(values.withColumnRenamed("s", "t")), "value", "left").withColumn("s", F.coalesce("t", own)).drop("t")
+    for name in ("edges", *(f"patterns{k}" for k in range(rounds)), *(f"values{k}" for k in range(rounds - 1))):
+        stash.remove(name)
     known = every.filter("kind >= 0").select("value", "kind")
     if values is None:
         return known

@@ -10,7 +10,7 @@ entry in Spark; only codebooks, whose size is set by parameters, reach the drive
 
 Defined results: rows whose vector is null, or holds null or non-finite components, are dropped, as are those whose length is not that of the kept vector
 with the smallest id. Repeated ids are rows of their own; the codebook starts from distinct ids, of a repeated one from its smallest vector; a null id comes last. With fewer kept ids than entries
-codebooks are smaller. A length that parts do not divide leaves the last parts one shorter. Components beyond 2^62 are held at that. An empty table gives no rows; extra columns are not read.
+codebooks are smaller. A length that parts do not divide leaves the last parts one shorter. Components beyond 2^62 are held at that, and an error beyond a long fails. An empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
