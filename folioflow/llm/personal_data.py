@@ -81,7 +81,7 @@ def seeds(text: str) -> list[tuple[str, int, int]]:
 
 
 def spelt_address(text: str, at: int, after: int) -> tuple[int, int] | None:
-    """The address around an @ (from at to after), in any letters, spelt-out dots included."""
+    """The address around an @ (from at to after), in any letters, spelt-out dots included, unless a name in it is longer than 63."""
     start = at
     if start and text[start - 1] == " " and after - at > 1:
         start -= 1
@@ -89,16 +89,16 @@ def spelt_address(text: str, at: int, after: int) -> tuple[int, int] | None:
     head = start
     while head > floor and (text[head - 1].isalnum() or text[head - 1] in "._%+-"):
         head -= 1
-    if head == start:
+    if head == start or head == floor and floor:
         return None
     tail = after + 1 if after - at > 1 and text[after : after + 1] == " " else after
     m = _NAME.match(text, tail, tail + 64)
     if not m:
         return None
     end = m.end()
-    while (d := _SPELT.match(text, end)) and (m := _NAME.match(text, d.end(), d.end() + 64)):
-        end = m.end()
-    return head, end
+    while (d := _SPELT.match(text, end)) and (n := _NAME.match(text, d.end(), d.end() + 64)):
+        m, end = n, n.end()
+    return (head, end) if m.end() - m.start() < 64 else None
 
 
 def alone(text: str, start: int, end: int) -> bool:
