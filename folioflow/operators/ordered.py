@@ -1,6 +1,7 @@
-"""Order-dependent operators: folds over a group's ordered rows, and islands.
+"""Order-dependent operators: folds over ordered rows, and islands.
 
-Folds run per group over an ordered array, as their state depends on what they decided before. Islands use windows.
+A fold whose state may be cut at known places runs over the segments between them, which are found over sorted partitions (runs). The others run per group
+over an ordered array, as their state depends on all that they decided before. Islands use windows.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.operators import runs
+from folioflow.operators.kept import cut, sized
 
 
 def in_order(order: str, *fields: str) -> Column:
@@ -24,22 +27,33 @@ def join_pieces(left: Column, right: Column) -> Column:
     return F.when(hyphen, F.concat(F.left(left, F.length(left) - 1), right)).when(cjk, F.concat(left, right)).otherwise(F.concat_ws(" ", left, right))
 
 
-def merge_paragraphs(pieces: DataFrame, group: str, order: str, piece: str) -> DataFrame:
-    """Rows group, idx, text: a piece is joined to what stands before it unless either is a heading or that ends a sentence."""
-    rows = pieces.groupBy(group).agg(in_order(order, piece).alias("rows"))
-    none = F.array().cast("array<string>")
+def merged_pieces(pieces: DataFrame, group: str, order: list[str], piece: str, place: str) -> DataFrame:
+    """Rows group, idx, text, first, last (the places of its first and last piece): paragraphs of pieces, in order.
+
+    A piece is joined to what stands before it unless either is a heading or that ends a sentence. Whether a piece is a heading, and whether what ends with it ends
+    a sentence, is known from the piece alone; so paragraphs break for certain around those, and a group falls into segments that are folded on their own. Inside a
+    segment one more thing breaks: pieces that are no heading alone may be one when joined. No row holds more than a segment, and a group is numbered over its partitions.
+    """
+    marked = runs.scanned(pieces.select(group, *order, F.col(piece).alias("piece_"), F.col(place).alias("place_")), [group], order, opens=T.is_heading(F.col("piece_")), closes=T.is_heading(F.col("piece_")) | T.ends_sentence(F.rtrim("piece_")))
+    rows = marked.groupBy(group, runs.SEGMENT).agg(F.array_sort(F.collect_list(F.struct(runs.AT, "piece_", "place_"))).alias("rows"))
+    kind = pieces.schema[place].dataType.simpleString()
+    para = f"struct<text:string,first:{kind},last:{kind}>"
 
     def step(acc: Column, row: Column) -> Column:
-        last, now = acc["last"], row[piece]
-        joins = last.isNotNull() & ~T.is_heading(last) & ~T.is_heading(now) & ~T.ends_sentence(F.rtrim(last))
-        return F.struct(
-            F.when(joins | last.isNull(), acc["done"]).otherwise(F.array_append(acc["done"], last)).alias("done"),
-            F.when(joins, join_pieces(last, now)).otherwise(now).alias("last"),
-        )
+        last, now = acc["last"], row["piece_"]
+        joins = last.isNotNull() & ~T.is_heading(last["text"]) & ~T.is_heading(now) & ~T.ends_sentence(F.rtrim(last["text"]))
+        new = F.struct(F.when(joins, join_pieces(last["text"], now)).otherwise(now).alias("text"), F.when(joins, last["first"]).otherwise(row["place_"]).alias("first"), row["place_"].alias("last"))
+        return F.struct(F.when(joins | last.isNull(), acc["done"]).otherwise(F.array_append(acc["done"], last)).alias("done"), new.alias("last"))
+
+    start = F.struct(F.array().cast(f"array<{para}>").alias("done"), F.lit(None).cast(para).alias("last"))
+    merged = F.aggregate("rows", start, step, lambda a: F.array_append(a["done"], a["last"]))
+    paras = rows.select(group, F.col(runs.SEGMENT).alias("seg"), F.posexplode(merged).alias("part", "p")).select(group, "seg", "part", "p.*")
+    return runs.ordinals(paras, [group], ["seg", "part"], "n").select(group, (F.col("n") - 1).cast("int").alias("idx"), "text", "first", "last")
 
-    start = F.struct(none.alias("done"), F.lit(None).cast("string").alias("last"))
-    merged = F.aggregate("rows", start, step, lambda a: F.when(a["last"].isNull(), a["done"]).otherwise(F.array_append(a["done"], a["last"])))
-    return rows.select(group, F.posexplode(merged).alias("idx", "text"))
+
+def merge_paragraphs(pieces: DataFrame, group: str, order: str, piece: str) -> DataFrame:
+    """Rows group, idx, text: a piece is joined to what stands before it unless either is a heading or that ends a sentence."""
+    return merged_pieces(pieces, group, [order], piece, order).select(group, "idx", "text")
 
 
 def greedy_chunks(rows: DataFrame, group: str, order: str, size: str, limit: int, before: bool = False) -> DataFrame:
@@ -76,12 +90,28 @@ def ranges(heads: DataFrame, group: str, idx: str, n: str) -> DataFrame:
     return heads.withColumn("end", F.coalesce(F.lead(idx).over(by), F.col(n)))
 
 
-def upper_median(c: Column) -> Column:
-    return F.element_at(F.array_sort(F.collect_list(c)), F.floor(F.count(c) / 2).cast("int") + 1)
+def chapter_ranges(pages: DataFrame, group: str, order: str, head: str) -> DataFrame:
+    """Rows group, start, end: half-open ranges from each headed page to the next one, the last to the group's end; pages count from 0.
+
+    If no head comes in the first fifth, the group's first page begins a chapter too. Heads are numbered over sorted partitions, and a chapter's end is
+    found by the number of the next head: no window holds a group.
+    """
+    rows = runs.scanned(pages.select(F.col(group).alias("group"), F.col(order).alias("order"), F.col(head).alias("head")), ["group"], ["order"], {"n": F.lit(1), "k": F.col("head").cast("int")})
+    rows = cut(rows.select("group", "head", "n", "k"))
+    of = rows.groupBy("group").agg(F.count(F.lit(1)).alias("total"), F.min(F.when(F.col("head"), F.col("n") - 1)).alias("first"), F.max("k").alias("heads"))
+    of = cut(of.withColumn("untitled", F.col("first").isNull() | (F.col("first") > 0.2 * F.col("total"))))
+    heads = rows.filter("head").select("group", "k", (F.col("n") - 1).alias("start")).unionByName(of.filter("untitled").select("group", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("start")))
+    nexts = heads.filter("k > 0").select(F.col("group").alias("of"), (F.col("k") - 1).alias("before"), F.col("start").alias("end"))
+    ends = heads.join(nexts, F.col("group").eqNullSafe(F.col("of")) & (F.col("k") == F.col("before")), "left").drop("of", "before")
+    totals = sized(of.select(F.col("group").alias("of"), "total"))
+    return ends.join(totals, F.col("group").eqNullSafe(F.col("of"))).select("group", "start", F.coalesce("end", "total").alias("end"))
 
 
-def low_tenth(c: Column) -> Column:
-    return F.element_at(F.array_sort(F.collect_list(c)), F.floor(F.count(c) / 10).cast("int") + 1)
+def middles(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """Rows group, upper (the upper one of the middle), middle (the median) and low (the one above a tenth), exactly and without gathering a group."""
+    n = F.col("n")
+    picked = runs.selected(rows, group, value, {"upper": F.floor(n / 2), "below": F.floor((n - 1) / 2), "low": F.floor(n / 10)})
+    return picked.select(group, "upper", ((F.col("below") + F.col("upper")) / 2).alias("middle"), "low")
 
 
 def hyphen_joined(c: Column) -> Column:
@@ -108,22 +138,10 @@ def merge_page_spans(pages: DataFrame, book: str, page: str, text: str) -> DataF
     """Rows book, idx, text, page, page_end: a book's paragraphs across its pages, in order of page.
 
     Page numbers and repeated heads (of the page's first paragraph) go. A piece is joined to what stands before it, on another page too, unless either
-    is a heading or that ends a sentence. As the state is the text joined so far, a book is folded in one row; its pieces are made before, page by page.
+    is a heading or that ends a sentence. The pieces are kept, as heads are counted over all of them first.
     """
-    pieces = page_pieces(pages, book, page, text)
+    pieces = cut(page_pieces(pages, book, page, text))
     heads = repeated_heads(pieces, pages, book)
     kept = pieces.filter((F.col("piece") != "") & ~T.is_page_number(F.col("piece")))
     kept = kept.join(heads, (kept.book == heads.book) & (F.col("j") == 0) & (F.lower("piece") == F.col("head")), "left_anti")
-    rows = kept.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("page", "j", "piece"))).alias("rows"))
-    kind = pages.schema[page].dataType.simpleString()
-    para = f"struct<text:string,page:{kind},page_end:{kind}>"
-
-    def step(acc: Column, row: Column) -> Column:
-        last, now = acc["last"], row["piece"]
-        joins = last.isNotNull() & ~T.is_heading(last["text"]) & ~T.is_heading(now) & ~T.ends_sentence(F.rtrim(last["text"]))
-        new = F.when(joins, F.struct(join_pieces(last["text"], now).alias("text"), last["page"].alias("page"), row["page"].alias("page_end"))).otherwise(F.struct(now.alias("text"), row["page"].alias("page"), row["page"].alias("page_end")))
-        return F.struct(F.when(joins | last.isNull(), acc["done"]).otherwise(F.array_append(acc["done"], last)).alias("done"), new.alias("last"))
-
-    start = F.struct(F.array().cast(f"array<{para}>").alias("done"), F.lit(None).cast(para).alias("last"))
-    merged = F.aggregate("rows", start, step, lambda a: F.when(a["last"].isNull(), a["done"]).otherwise(F.array_append(a["done"], a["last"])))
-    return rows.select("book", F.posexplode(merged).alias("idx", "p")).select("book", "idx", "p.*")
+    return merged_pieces(kept, "book", ["page", "j"], "piece", "page").select("book", "idx", "text", F.col("first").alias("page"), F.col("last").alias("page_end"))

@@ -11,6 +11,8 @@ from pyspark.sql import types as T_
 
 from folioflow.functions import rules as R
 from folioflow.functions import text as T
+from folioflow.operators import runs
+from folioflow.operators.kept import cut, sized
 
 #: Rules of a price list, at most.
 MOST_PRICES = 1000
@@ -87,12 +89,19 @@ def by_prefix(rows: DataFrame, prices: DataFrame, name: str) -> DataFrame:
 
 
 def fenced_latest(edits: DataFrame) -> DataFrame:
-    """edits (book, seq, fp, idx, text): an fp other than one that is stored (null too) drops what was queued, then the latest of each idx wins."""
-    by = W.partitionBy("book").orderBy("seq")
-    before = F.lag("fp").over(by)
-    changed = (before.isNotNull() & ~F.col("fp").eqNullSafe(before)).cast("int")
-    life = F.sum(changed).over(by.rowsBetween(W.unboundedPreceding, 0))
-    rows = edits.withColumn("life", life).withColumn("last_life", F.max("life").over(W.partitionBy("book"))).filter("life = last_life")
+    """edits (book, seq, fp, idx, text): an fp other than one that is stored (null too) drops what was queued, then the latest of each idx wins.
+
+    What is left is the longest end of a book in which no fp follows another one: rows with the last fp, and, if that is not null, the nulls before them. Three
+    passes of sums find where it begins, instead of a window over a book.
+    """
+    ends = edits.groupBy("book").agg(F.max_by(F.struct("fp"), "seq").alias("e")).select(F.col("book").alias("of"), F.col("e.fp").alias("last_fp"))
+    here = lambda side: F.col("book").eqNullSafe(F.col("of"))  # noqa: ARG005, E731
+    other = ~F.col("fp").eqNullSafe(F.col("last_fp"))
+    one = edits.join(sized(cut(ends)), here(ends)).groupBy("of", "last_fp").agg(F.max(F.when(other, F.struct("seq", F.col("fp").isNull().alias("none")))).alias("o"))
+    one = cut(one.select("of", "last_fp", F.col("o.seq").alias("past"), F.coalesce("o.none", F.lit(False)).alias("none")))
+    two = edits.join(sized(one.filter("none")), here(one) & (F.col("seq") < F.col("past")) & F.col("fp").isNotNull()).groupBy(F.col("of").alias("of2")).agg(F.max("seq").alias("start"))
+    fence = cut(one.join(two, F.col("of").eqNullSafe(F.col("of2")), "left").select("of", F.when(F.col("none"), F.col("start")).otherwise(F.col("past")).alias("fence")))
+    rows = edits.join(sized(fence), here(fence)).filter(F.col("fence").isNull() | (F.col("seq") > F.col("fence")))
     return rows.groupBy("book", "idx").agg(F.max_by(F.struct("text", "fp", "seq"), "seq").alias("e")).select("book", "idx", "e.text", "e.fp", "e.seq")
 
 
@@ -202,8 +211,7 @@ def rescan_windows(paras: DataFrame) -> DataFrame:
 def limited(rows: DataFrame, book: str, order: str, pages: str, most: int, sample: int) -> DataFrame:
     """Rows of the page range with whether they are within the limit, and the sample page, held within the book."""
     first, last = page_range(pages)
-    by = W.partitionBy(book)
-    numbered = rows.withColumn("n", F.row_number().over(by.orderBy(order))).withColumn("total", F.count(F.lit(1)).over(by))
+    numbered = runs.with_totals(cut(runs.ordinals(rows, [book], [order], "n")), [book], total=F.count(F.lit(1)))
     within = F.col("n").between(first, min(last, first + most - 1))
     at = F.col("n") == F.least(F.lit(max(sample, 1)), F.col("total"))
     return numbered.filter(within | at).select(book, order, within.alias("within_limit"), at.alias("sample"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import text as T
 from folioflow.operators import ordered as O
 from folioflow.operators import review as R
+from folioflow.operators import runs
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -41,7 +42,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def docs(spark: SparkSession, sf_dir: str, *columns) -> DataFrame:
     return read(spark, sf_dir, "documents").select(*columns)
 
 
@@ -240,8 +241,7 @@ def ocr_words_to_lines(spark, sf_dir):
 
 @query("""SELECT user_id, list_sort(list(event_id))[len(list(event_id)) // 2 + 1] AS upper, median(event_id) AS middle, list_sort(list(event_id))[len(list(event_id)) // 10 + 1] AS low FROM events GROUP BY user_id""")
 def medians(spark, sf_dir):
-    v = F.col("event_id")
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(O.upper_median(v).alias("upper"), F.median(v).alias("middle"), O.low_tenth(v).alias("low"))
+    return O.middles(read(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id")
 
 
 @query("""SELECT category, CAST(count(*) AS BIGINT) AS files, CAST(sum(length(html)) AS BIGINT) AS bytes FROM (SELECT coalesce(nullif(regexp_extract(url, '^https?://([^/]+)', 1), ''), 'other') AS category, html FROM pages) GROUP BY category HAVING sum(length(html)) > 0""")
@@ -313,7 +313,7 @@ def bands(spark, sf_dir):
 
 @query("SELECT source, doc_id, CAST((rn - 1) // 6 AS INT) AS batch, printf('p%04d-a-%03d', doc_id, (rn - 1) // 6) AS custom_id, CAST((rn - 1) % 6 + 1 AS INT) AS n FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents)")
 def fixed_batches(spark, sf_dir):
-    rows = docs(spark, sf_dir, "source", "doc_id").withColumn("rn", F.row_number().over(W.partitionBy("source").orderBy("doc_id")))
+    rows = runs.ordinals(docs(spark, sf_dir, "source", "doc_id"), ["source"], ["doc_id"], "rn")
     batch = F.expr("(rn - 1) div 6").cast("int")
     return rows.select("source", "doc_id", batch.alias("batch"), F.format_string("p%04d-a-%03d", "doc_id", batch).alias("custom_id"), ((F.col("rn") - 1) % 6 + 1).alias("n"))
 
@@ -324,11 +324,9 @@ s AS (SELECT source, idx, total FROM h UNION ALL SELECT source, 0, total FROM f
  UNION ALL SELECT source, 0, any_value(total) FROM p WHERE source NOT IN (SELECT source FROM h) GROUP BY source)
 SELECT source, CAST(idx AS INT) AS start, CAST(coalesce(lead(idx) OVER (PARTITION BY source ORDER BY idx), total) AS BIGINT) AS "end" FROM s""")
 def chapters(spark, sf_dir):
-    by = W.partitionBy("source")
-    pages = docs(spark, sf_dir, "source", "doc_id", "n_chars").withColumn("start", F.row_number().over(by.orderBy("doc_id")) - 1).withColumn("total", F.count(F.lit(1)).over(by))
-    marked = pages.withColumn("head", F.col("n_chars") % 11 == 0).withColumn("first", F.min(F.when(F.col("head"), F.col("start"))).over(by))
-    untitled = (F.col("start") == 0) & (F.col("first").isNull() | (F.col("first") > 0.2 * F.col("total")))
-    return O.ranges(marked.filter(F.col("head") | untitled), "source", "start", "total").select("source", "start", "end")
+    """Headed pages begin chapters; so does the first page if no head comes early. What has a head is numbered too, so that a chapter ends where the next number begins."""
+    pages = docs(spark, sf_dir, "source", "doc_id", (F.col("n_chars") % 11 == 0).alias("head"))
+    return O.chapter_ranges(pages, "source", "doc_id", "head").select(F.col("group").alias("source"), F.col("start").cast("int"), "end")
 
 
 # --- joins and state --------------------------------------------------------------------------------------------
@@ -453,7 +451,7 @@ def position_merge(spark, sf_dir):
 @query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n BETWEEN 3 AND 12")
 def page_range(spark, sf_dir):
     first, last = R.page_range("3~12")
-    return docs(spark, sf_dir, "source", "doc_id").withColumn("n", F.row_number().over(W.partitionBy("source").orderBy("doc_id"))).filter(F.col("n").between(first, last)).drop("n")
+    return runs.ordinals(docs(spark, sf_dir, "source", "doc_id"), ["source"], ["doc_id"]).filter(F.col("n").between(first, last)).drop("n")
 
 
 @query("SELECT source, md5(string_agg(md5(text), chr(10) ORDER BY doc_id)) AS fingerprint, CAST(count(*) AS BIGINT) AS count FROM documents GROUP BY source")
@@ -464,6 +462,13 @@ def book_fingerprint(spark, sf_dir):
     return pages.groupBy("source").agg(F.md5(own).alias("fingerprint"), F.count(F.lit(1)).alias("count"))
 
 
+@query()
+def book_crc(spark, sf_dir):
+    """The checksum of a book's joined texts, from those of its pages; a test holds it against zlib."""
+    out = runs.checksums(docs(spark, sf_dir, "source", "doc_id", "text"), "source", ["doc_id"], "text")
+    return out.select("source", F.lower(F.lpad(F.hex("crc"), 8, "0")).alias("fingerprint"), F.col("n").alias("count"))
+
+
 @query("SELECT v, round(t * t * (3 - 2 * t) * 255, 6) AS tone FROM (SELECT p_partkey AS v, greatest(0.0, least(1.0, (p_size - 10) / 30.0::DOUBLE)) AS t FROM part)")
 def tone_curve(spark, sf_dir):
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("p_size") - 10) / 30.0))

@@ -13,7 +13,7 @@ from folioflow.functions import rules as R
 from folioflow.functions import text as T
 from folioflow.operators import ordered as O
 from folioflow.operators import review as V
-from folioflow.plans.catalogue import docs, lines, query, read
+from folioflow.plans.catalogue import dealt, docs, lines, query, read
 from folioflow.sinks import books as K
 
 C = F.col
@@ -496,7 +496,7 @@ SELECT book, CAST(idx AS INT) AS idx, md5(arg_max(text, n)) AS text, any_value(p
 def merge_page_spans(spark, sf_dir):
     """Books of sources, pages of documents; a full stop at a line's end ends a paragraph."""
     text = F.replace("text", F.lit(".\n"), F.lit(".\n\n"))
-    pages = docs(spark, sf_dir, "source", "doc_id", "text").select("source", "doc_id", text.alias("text"))
+    pages = dealt(spark, docs(spark, sf_dir, "source", "doc_id", "text")).select("source", "doc_id", text.alias("text"))
     return O.merge_page_spans(pages, "source", "doc_id", "text").select("book", "idx", F.md5("text").alias("text"), "page", "page_end")
 
 
