@@ -72,11 +72,23 @@ def inline_tags(c: Column) -> Column:
 
 
 def escape(c: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
 
+def inline_html(c: Column) -> Column:
+    """A paragraph as it is exported: escaped, marks as tags, runs of spaces kept, lines broken; a line marked so is set right, a blank one is a gap."""
+    spaced = F.regexp_replace(inline_tags(F.coalesce(c, F.lit(""))), " (?= )", "&#160;")
+    right = r"^[ \t\u3000]*(?:&gt;&gt;|＞＞)[\s\u3000]+"
+    lines = F.transform(F.split(spaced, "\n", -1), lambda x: F.when(x.rlike(right), F.struct(F.lit("r").alias("k"), x.alias("x"))).when(strip(x) == "", F.struct(F.lit("b").alias("k"), x.alias("x"))).otherwise(F.struct(F.lit("t").alias("k"), x.alias("x"))))
+    style = F.lit('<span style="display:block;text-align:right;text-indent:0">')
+    shown = lambda x: F.when(x["k"] == "r", F.concat(style, F.ltrim(F.regexp_replace(x["x"], right, "")), F.lit("</span>"))).when(x["k"] == "b", "<br/><br/>").otherwise(x["x"])
+    # A break stands between two lines of text that follow one another.
+    before = lambda all_, i: F.when((i > 0) & (F.get(all_, i)["k"] == "t") & (F.get(all_, i - 1)["k"] == "t"), "<br/>").otherwise("")
+    return F.array_join(F.transform(lines, lambda x, i: F.concat(before(lines, i), shown(x))), "")
+
+
 def clean_source(c: Column) -> Column:
     """Blank lines between lines go."""
     return clean_spaces(strip(F.regexp_replace(c, r"[ \t]*\n[ \t]*\n+", "\n")))

@@ -14,8 +14,8 @@ from folioflow.functions import text as T
 from folioflow.operators import runs
 from folioflow.operators.kept import cut, sized
 
-#: Rules of a price list, at most.
-MOST_PRICES = 1000
+#: Up to so many rules a price list is one expression; a longer one is joined by the prefixes of the names.
+FEW_PRICES = 200
 
 
 def consensus(first: DataFrame, second: DataFrame, verified: DataFrame, keys: list[str], asked: DataFrame | None = None, batch: bool = True) -> DataFrame:
@@ -70,14 +70,20 @@ def merge_reports(old: DataFrame, new: DataFrame, key: str, order: str, status:
 
 
 def by_prefix(rows: DataFrame, prices: DataFrame, name: str) -> DataFrame:
-    """rows with usd_in and usd_out of the first price (by ord) whose prefix begins name, else null.
+    """rows with usd_in and usd_out of the first price (by ord, then prefix) whose prefix begins name, else null.
 
-    prices is a rule list; of MOST_PRICES rows at most it becomes one expression, so that rows are neither shuffled nor joined.
+    A short list becomes one expression, so that rows are neither shuffled nor joined. For a longer one the different names, which are few beside the rows,
+    are taken apart into their beginnings and meet the prices by equality; what each name costs is then joined to the rows.
     """
-    rules = prices.orderBy("ord").limit(MOST_PRICES + 1).collect()
-    if len(rules) > MOST_PRICES:
-        raise ValueError(f"a price list has {MOST_PRICES} rules at most")
+    rules = prices.orderBy("ord", "prefix").limit(FEW_PRICES + 1).collect()
     low = F.lower(F.coalesce(F.col(name), F.lit("")))
+    if len(rules) > FEW_PRICES:
+        names = cut(rows.select(low.alias("of_")).distinct())
+        starts = names.select("of_", F.explode(F.transform(F.sequence(F.lit(0), F.length("of_")), lambda n: F.left("of_", n))).alias("start_"))
+        known = prices.select(F.col("prefix").alias("start_"), F.struct("ord", "prefix", "usd_in", "usd_out").alias("p_"))
+        found = cut(starts.join(known, "start_").groupBy("of_").agg(F.min("p_").alias("p_")))
+        side = sized(found.select("of_", F.col("p_.usd_in").alias("usd_in"), F.col("p_.usd_out").alias("usd_out")), F.length("of_") * 4 + 40)
+        return rows.join(side, low == F.col("of_"), "left").drop("of_")
 
     def first(field: str):
         out = F.lit(None).cast("double")
@@ -126,18 +132,28 @@ def page_range(text: str) -> tuple[int, int]:
     return first, last
 
 
+#: Fields that a new reading brings along if it has something in them.
+BROUGHT = ("alt", "fixed", "uncertain", "src")
+
+
 def rework(rows: DataFrame) -> DataFrame:
-    """rows with a new reading (text, kind, confidence), what stands there (old_text, old_kind, old_confidence, retyped) and whether hand and sfx are set:
+    """rows with a new reading (text, kind, confidence, passes and BROUGHT) and what stands there (the same with old_, and retyped), whether hand and sfx are set:
 
-    passes, alt and what holds from now on. A shown text stays if the new one would not be shown; a text that was not shown and is asked for is set.
+    what holds from now on. A shown text stays if the new one would not be shown, which is kept beside it in alt with its kind and confidence; a text that was not
+    shown and is asked for is set. alt is a map of texts.
     """
     special = ((F.col("kind") == "hand") & F.col("hand")) | ((F.col("kind") == "sfx") & F.col("sfx"))
     shows = ~R.blank(F.col("text")) & (F.col("confidence") == "high") & (F.col("kind").isin(R.ALWAYS_SET) | special)
-    passes = F.when(F.col("retyped") & ~shows, "rework-kept").when(~F.col("retyped") & ~shows & ~R.blank(F.col("text")), "rework-forced").otherwise("rework-ai")
-    kept, forced = F.col("passes") == "rework-kept", F.col("passes") == "rework-forced"
+    how = F.concat(F.lit("rework-"), F.coalesce(F.nullif("passes", F.lit("")), F.lit("ai")))
+    rows = rows.withColumn("how_", F.when(F.col("retyped") & ~shows, "rework-kept").when(~F.col("retyped") & ~shows & ~R.blank(F.col("text")), "rework-forced").otherwise(how))
+    kept, forced = F.col("how_") == "rework-kept", F.col("how_") == "rework-forced"
     kind = F.when(kept, F.col("old_kind")).when(forced & ~special & ~F.col("kind").isin("caption", "shout"), "dialogue").otherwise(F.col("kind"))
     confidence = F.when(kept, F.col("old_confidence")).when(forced, "high").otherwise(F.col("confidence"))
-    return rows.withColumn("passes", passes).withColumns({"alt": F.when(kept, F.col("text")), "text": F.when(kept, F.col("old_text")).otherwise(F.col("text")), "kind": kind, "confidence": confidence})
+    holds = {"alt": F.size("alt") > 0, "fixed": F.col("fixed"), "uncertain": F.col("uncertain"), "src": F.col("src") != ""}
+    refused = F.create_map(F.lit("rework_text"), "text", F.lit("kind"), "kind", F.lit("confidence"), "confidence")
+    brought = {c: F.when(~kept & F.coalesce(holds[c], F.lit(False)), F.col(c)).otherwise(F.col(f"old_{c}")) for c in BROUGHT}
+    brought["alt"] = F.when(kept, refused).otherwise(brought["alt"])
+    return rows.withColumns({"passes": F.col("how_"), **brought, "text": F.when(kept, F.col("old_text")).otherwise(F.col("text")), "kind": kind, "confidence": confidence}).drop("how_")
 
 
 def translated(rows: DataFrame) -> DataFrame:
@@ -156,15 +172,17 @@ def with_unlisted(own: DataFrame, finals: DataFrame, key: str) -> DataFrame:
     return own.select(key, F.lit(False).alias("locked"), F.lit(0).alias("part")).unionByName(rest)
 
 
-def apply_edits(paras: DataFrame, edits: DataFrame, versions: DataFrame) -> DataFrame:
-    """paras (book, idx, src, text) after edits (book, key, has_src, src, has_text, text, fp, count), one for each key.
+def apply_edits(paras: DataFrame, edits: DataFrame, versions: DataFrame, order: str = "key") -> DataFrame:
+    """paras (book, idx, src, text) after edits (book, key, has_src, src, has_text, text, fp, count), in order.
 
-    A book's edits hold if fp and count are those of versions (book, fp, count), both; keys that are no index of the book are passed over; a blank text becomes null.
+    Of the edits whose keys are one index ("0", "00") the last source and the last text hold. A book's edits hold if fp and count are those of versions (book, fp, count), both; keys that are no index of the book are passed over; a blank text becomes null.
     """
     now = versions.select(F.col("book").alias("now_book"), F.col("fp").alias("now_fp"), F.col("count").alias("now_count"))
     held = edits.join(now, (F.col("book") == F.col("now_book")) & F.col("fp").eqNullSafe(F.col("now_fp")) & F.col("count").eqNullSafe(F.col("now_count")))
     own = held.withColumn("idx", R.index_in(F.col("key"), F.col("now_count"))).filter("idx is not null")
-    own = own.select("book", "idx", "has_src", T.clean_source(F.coalesce("src", F.lit(""))).alias("new_src"), "has_text", F.nullif(T.clean_text(F.coalesce("text", F.lit(""))), F.lit("")).alias("new_text"))
+    src, text = T.clean_source(F.coalesce("src", F.lit(""))), F.nullif(T.clean_text(F.coalesce("text", F.lit(""))), F.lit(""))
+    last = lambda has, value: F.max_by(F.when(F.col(has), F.struct(value.alias("v"))), F.when(F.col(has), F.col(order)))["v"]
+    own = own.groupBy("book", "idx").agg(F.bool_or("has_src").alias("has_src"), last("has_src", src).alias("new_src"), F.bool_or("has_text").alias("has_text"), last("has_text", text).alias("new_text"))
     both = paras.join(own, ["book", "idx"], "left")
     return both.select("book", "idx", F.when(F.col("has_src"), F.col("new_src")).otherwise(F.col("src")).alias("src"), F.when(F.col("has_text"), F.col("new_text")).otherwise(F.col("text")).alias("text"))
 
@@ -217,25 +235,78 @@ def limited(rows: DataFrame, book: str, order: str, pages: str, most: int, sampl
     return numbered.filter(within | at).select(book, order, within.alias("within_limit"), at.alias("sample"))
 
 
+def union_area(boxes: np.ndarray) -> int:
+    """The area that boxes (rows of left, top, right, bottom; any whole numbers) cover together: a sweep over their left and right edges."""
+    edges = sorted({*boxes[:, 0].tolist(), *boxes[:, 2].tolist()})
+    total = 0
+    for left, right in zip(edges, edges[1:], strict=False):
+        reach, covered = None, 0
+        for top, bottom in sorted(boxes[(boxes[:, 0] <= left) & (boxes[:, 2] >= right)][:, [1, 3]].tolist()):
+            if reach is None or top > reach:
+                covered, reach = covered + bottom - top, bottom
+            elif bottom > reach:
+                covered, reach = covered + bottom - reach, bottom
+        total += covered * (right - left)
+    return total
+
+
 def overlap_suppressed(boxes: DataFrame, group: str, share: float = 0.25) -> DataFrame:
     """boxes (group, id, x, y, w, h) with kept: by area, a box goes if more than share of its own area lies in the union of the kept ones.
 
-    The union depends on what was kept before, so that a group (the boxes of one page) is one task's, in one pass over its mask's rows.
+    The union depends on what was kept before, so that a group, the boxes of one page, is one task's. Only kept boxes that meet the one at hand are looked
+    at, cut to it: work and memory follow the boxes, not the page's size, and boxes may lie anywhere. A box without area stays, and covers nothing.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_pylist() for c in ("id", "x", "y", "w", "h")}
-        at = sorted(range(table.num_rows), key=lambda i: (-cols["w"][i] * cols["h"][i], cols["id"][i]))
-        union, kept = np.zeros((max((y + h for y, h in zip(cols["y"], cols["h"], strict=True)), default=0) + 1, max((x + w for x, w in zip(cols["x"], cols["w"], strict=True)), default=0) + 1), bool), [False] * table.num_rows
-        for i in at:
-            part = union[cols["y"][i] : cols["y"][i] + cols["h"][i], cols["x"][i] : cols["x"][i] + cols["w"][i]]
-            if part.sum() <= share * cols["w"][i] * cols["h"][i]:
-                part[:] = kept[i] = True
+        x, y, w, h = (np.array(table.column(c).to_pylist(), dtype=np.int64) for c in ("x", "y", "w", "h"))
+        all_ = np.stack([x, y, x + np.maximum(w, 0), y + np.maximum(h, 0)], 1)
+        area = [int(a) * int(b) for a, b in zip(np.maximum(w, 0), np.maximum(h, 0), strict=True)]
+        ids, kept, union = table.column("id").to_pylist(), [False] * table.num_rows, np.empty((table.num_rows, 4), dtype=np.int64)
+        n = 0
+        for i in sorted(range(table.num_rows), key=lambda i: (-area[i], ids[i])):
+            own, have = all_[i], union[:n]
+            met = have[(have[:, 0] < own[2]) & (have[:, 2] > own[0]) & (have[:, 1] < own[3]) & (have[:, 3] > own[1])]
+            cut_ = np.concatenate([np.maximum(met[:, :2], own[:2]), np.minimum(met[:, 2:], own[2:])], 1)
+            if not len(met) or union_area(cut_) <= share * area[i]:
+                kept[i] = True
+                if area[i]:
+                    union[n] = own
+                    n += 1
         return table.append_column("kept", pa.array(kept))
 
     return boxes.groupBy(group).applyInArrow(run, T_.StructType([*boxes.schema.fields, T_.StructField("kept", T_.BooleanType())]))
 
 
+def usage_labels(usage: DataFrame, part: str, model: str, cost: str) -> DataFrame:
+    """Rows part, labels (model:label, sorted), total, total_label: an unknown price is unregistered, none is free, else dollars; the total leaves unknown ones out and says so."""
+    dollars = lambda c: F.format_string("$%.4f", c)
+    label = F.when(F.col(cost).isNull(), "unregistered").when(F.col(cost) == 0, "free").otherwise(dollars(F.col(cost)))
+    known = F.coalesce(F.sum(cost), F.lit(0.0))
+    out = usage.groupBy(part).agg(F.array_sort(F.collect_list(F.concat(F.col(model), F.lit(":"), label))).alias("labels"), known.alias("total"), F.bool_or(F.col(cost).isNull()).alias("unknown"))
+    return out.withColumn("total_label", F.concat(dollars(F.col("total")), F.when(F.col("unknown"), " + unregistered").otherwise("")))
+
+
+#: Unpinned entries that a list of recent books keeps.
+RECENT_MOST = 15
+
+
+def recents(used: DataFrame, owner: str, most: int = RECENT_MOST) -> DataFrame:
+    """Rows owner, src, title, pin, ts, place of uses (owner, src, title, pin, ts, kind: use or pin), in order of ts.
+
+    A book is one entry, by its source without blanks around it; its last use gives title and time, its last pin (or none) whether it is pinned. Pinned ones come first
+    and all stay; of the others the newest ones do, so that a list never needs more than its top.
+    """
+    key = T.strip(F.coalesce("src", F.lit("")))
+    at = F.struct("ts", "title")
+    one = used.withColumn("src", key).filter("src <> ''").groupBy(owner, "src").agg(
+        F.max(F.when(F.col("kind") == "use", at)).alias("last"), F.coalesce(F.max_by(F.when(F.col("kind") == "pin", F.col("pin")), F.when(F.col("kind") == "pin", F.col("ts"))), F.lit(False)).alias("pin"))
+    one = one.filter("last is not null").select(owner, "src", F.col("last.title").alias("title"), "pin", F.col("last.ts").alias("ts"))
+    newest = W.partitionBy(owner, "pin").orderBy(F.desc("ts"), "src")
+    ranked = one.withColumn("n", F.row_number().over(newest)).filter(F.col("pin") | (F.col("n") <= most))
+    pins = F.count_if("pin").over(W.partitionBy(owner))
+    return ranked.withColumn("place", F.when(F.col("pin"), F.col("n")).otherwise(F.col("n") + pins).cast("int")).drop("n")
+
+
 #: Tags of actions that set font, and those that rebuild their page.
 _WITH_FONT, _WHOLE_PAGE = ["text", "src", "font", "style", "layout", "ai"], ["lock", "unlock", "page_crop", "set_default", "revert"]
 

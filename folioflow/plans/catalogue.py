@@ -116,12 +116,40 @@ def strip_inline(spark, sf_dir):
     return dealt(spark, docs(spark, sf_dir, "doc_id", "text")).select("doc_id", F.md5(T.strip_inline(F.col("text"))).alias("plain"))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'),
  '(?s)\*\*(.+?)\*\*', '<strong>\1</strong>', 'g'), '(?s)~~(.+?)~~', '<s>\1</s>', 'g'), '(?s)\+\+(.+?)\+\+', '<u>\1</u>', 'g'), '(?s)\*(.+?)\*', '<em>\1</em>', 'g')) AS tagged FROM documents""")
 def inline_tags(spark, sf_dir):
     return dealt(spark, docs(spark, sf_dir, "doc_id", "text")).select("doc_id", F.md5(T.inline_tags(F.col("text"))).alias("tagged"))
 
 
+def _html_sql(x: str) -> str:
+    """Exported lines: what stands before a line of text is a break if the line before it is one of text too."""
+    tagged = x
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        tagged = f"replace({tagged}, '{a}', '{b}')"
+    for mark, tag in ((r"\*\*", "strong"), ("~~", "s"), (r"\+\+", "u"), (r"\*", "em")):
+        tagged = f"regexp_replace({tagged}, '(?s){mark}(.+?){mark}', '<{tag}>\\1</{tag}>', 'g')"
+    right = "^[ \\t　]*(?:&gt;&gt;|＞＞)[\\s　]+"
+    kinds = f"list_transform(l, lambda x: CASE WHEN regexp_matches(x, '{right}') THEN 'r' WHEN {_STRIP.replace('line', 'x')} = '' THEN 'b' ELSE 't' END)"
+    span = '<span style="display:block;text-align:right;text-indent:0">'
+    shown = f"CASE k[i] WHEN 'r' THEN '{span}' || ltrim(regexp_replace(l[i], '{right}', '')) || '</span>' WHEN 'b' THEN '<br/><br/>' ELSE CASE WHEN i > 1 AND k[i - 1] = 't' THEN '<br/>' ELSE '' END || l[i] END"
+    # There is no look-ahead here: a space before another one is marked until none is left; three times do for the runs in these texts.
+    spaced = tagged
+    for _ in range(3):
+        spaced = f"replace({spaced}, '  ', '&#160; ')"
+    return f"SELECT doc_id, md5(array_to_string(list_transform(range(1, len(l) + 1), lambda i: {shown}), '')) AS html FROM (SELECT *, {kinds} AS k FROM (SELECT doc_id, string_split({spaced}, chr(10)) AS l FROM (SELECT doc_id, {_RAW} AS t FROM documents)))"
+
+
+_RAW = "replace(replace(text, '. ', '.   '), chr(10), chr(10) || '>> \"a\" & ' || chr(39) || 'b' || chr(39) || chr(10) || ' ' || chr(10))"
+
+
+@query(_html_sql("t"))
+def inline_html(spark, sf_dir):
+    """Paragraphs as they are exported; runs of spaces, marked and blank lines and quotes are put into the texts."""
+    text = F.replace(F.replace("text", F.lit(". "), F.lit(".   ")), F.lit("\n"), F.lit("\n>> \"a\" & 'b'\n \n"))
+    return dealt(spark, docs(spark, sf_dir, "doc_id", "text")).select("doc_id", F.md5(T.inline_html(text)).alias("html"))
+
+
 @query(rf"""SELECT page_id, md5(translate(trim(regexp_replace(regexp_replace(html, '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)), '{T.TO_SPACE}{T.TO_NOTHING}', '{' ' * len(T.TO_SPACE)}')) AS text,
  md5(translate(trim(regexp_replace(html, '[ \t]*\n[ \t]*\n+', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)), '{T.TO_SPACE}{T.TO_NOTHING}', '{' ' * len(T.TO_SPACE)}')) AS source FROM pages""")
 def clean_text(spark, sf_dir):
@@ -218,10 +246,27 @@ def usage_by_part(spark, sf_dir):
     return _usage(spark, sf_dir)
 
 
-@query(f"SELECT part, CAST(sum(calls) AS BIGINT) AS calls, bool_or(cost IS NULL) AS unknown, array_to_string(list_sort(list(model || ':' || CASE WHEN cost IS NULL THEN 'unregistered' WHEN cost = 0 THEN 'free' ELSE 'paid' END)), ',') AS state FROM ({_USAGE}) GROUP BY part")
+@query(f"""SELECT part, array_to_string(list_sort(list(model || ':' || CASE WHEN cost IS NULL THEN 'unregistered' WHEN cost = 0 THEN 'free' ELSE printf('$%.4f', cost) END)), ',') AS labels, round(coalesce(sum(cost), 0), 6) AS total, bool_or(cost IS NULL) AS unknown,
+ printf('$%.4f', round(coalesce(sum(cost), 0), 6)) || CASE WHEN bool_or(cost IS NULL) THEN ' + unregistered' ELSE '' END AS total_label FROM ({_USAGE}) GROUP BY part""")
 def usage_summary(spark, sf_dir):
-    state = F.concat("model", F.lit(":"), F.when(F.col("cost").isNull(), "unregistered").when(F.col("cost") == 0, "free").otherwise("paid"))
-    return _usage(spark, sf_dir).groupBy("part").agg(F.sum("calls").alias("calls"), F.bool_or(F.col("cost").isNull()).alias("unknown"), F.array_join(F.array_sort(F.collect_list(state)), ",").alias("state"))
+    """What each part of a run cost, by model and in all."""
+    out = R.usage_labels(_usage(spark, sf_dir), "part", "model", "cost")
+    return out.select("part", F.array_join("labels", ",").alias("labels"), F.round("total", 6).alias("total"), "unknown", "total_label")
+
+
+_MANY = "SELECT row_number() OVER (ORDER BY p_partkey DESC) AS ord, lower(left(p_name, CAST(3 + p_partkey % 9 AS INT))) AS prefix, p_partkey / 8.0::DOUBLE AS usd_in, p_size / 4.0::DOUBLE AS usd_out FROM part"
+
+
+@query(f"""WITH r AS ({_MANY}), n AS (SELECT DISTINCT upper(p_name) AS model FROM part UNION SELECT DISTINCT c_mktsegment FROM customer),
+m AS (SELECT n.model, arg_min({{'a': usd_in, 'b': usd_out}}, ord) AS p FROM n JOIN r ON starts_with(lower(n.model), r.prefix) GROUP BY n.model)
+SELECT n.model, m.p.a AS usd_in, m.p.b AS usd_out FROM n LEFT JOIN m ON n.model = m.model""")
+def price_table(spark, sf_dir):
+    """A price list of as many rules as there are parts: the first rule whose prefix begins a name."""
+    part = read(spark, sf_dir, "part")
+    numbered = runs.ordinals(part.select(F.lit(0).alias("all"), (-F.col("p_partkey")).alias("down"), "p_partkey", "p_name", "p_size"), ["all"], ["down"], "ord")
+    prices = numbered.select("ord", F.lower(F.left("p_name", (F.col("p_partkey") % 9 + 3).cast("int"))).alias("prefix"), (F.col("p_partkey") / 8).alias("usd_in"), (F.col("p_size") / 4).alias("usd_out"))
+    names = part.select(F.upper("p_name").alias("model")).unionByName(read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("model"))).distinct()
+    return R.by_prefix(names, prices, "model").select("model", "usd_in", "usd_out")
 
 
 @query(f"SELECT model, any_value({_PRICE}) AS usd_in, any_value({_PRICE_OUT}) AS usd_out, CAST(count(*) AS BIGINT) AS calls FROM ({_CALLS}) GROUP BY model")
@@ -270,6 +315,16 @@ def greedy_chunks(spark, sf_dir):
     return O.greedy_chunks(rows, "conv_id", "turn", "n", 300).select("conv_id", "turn", "chunk")
 
 
+@query("""WITH RECURSIVE r AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE (conv_id + turn) % 4 > 0), f AS (SELECT conv_id, turn, rn, 0 AS chunk, n AS total FROM r WHERE rn = 1 UNION ALL
+ SELECT r.conv_id, r.turn, r.rn, CASE WHEN f.total >= 300 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.total >= 300 THEN r.n ELSE f.total + r.n END FROM f JOIN r ON r.conv_id = f.conv_id AND r.rn = f.rn + 1)
+SELECT conv_id, turn, CAST(chunk AS INT) AS chunk FROM f""")
+def resumed_chunks(spark, sf_dir):
+    """Chunks of what is left to do: paragraphs with a translation are passed over and do not count; failed ones, whose translation is null, are asked for again."""
+    done = F.when((F.col("conv_id") + F.col("turn")) % 4 == 0, "done")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"), done.alias("tr"))
+    return O.greedy_chunks(rows.filter("tr is null"), "conv_id", "turn", "n", 300).select("conv_id", "turn", "chunk")
+
+
 @query(f"""WITH RECURSIVE r AS ({_RUN}), f AS (SELECT conv_id, turn, rn, 0 AS chunk, n AS total FROM r WHERE rn = 1 UNION ALL
  SELECT r.conv_id, r.turn, r.rn, CASE WHEN f.total + r.n > 500 AND f.total > 0 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.total + r.n > 500 AND f.total > 0 THEN r.n ELSE f.total + r.n END FROM f JOIN r ON r.conv_id = f.conv_id AND r.rn = f.rn + 1)
 SELECT conv_id, turn, CAST(chunk AS INT) AS chunk FROM f""")
@@ -420,11 +475,18 @@ def latest_edits(spark, sf_dir):
     return R.fenced_latest(e)
 
 
-@query("""SELECT o_custkey, o_orderkey, pin FROM (SELECT o_custkey, o_orderkey, o_orderpriority = '1-URGENT' AS pin, row_number() OVER (PARTITION BY o_custkey, o_orderpriority = '1-URGENT' ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE pin OR rn <= 3""")
+_USED = "SELECT o_custkey AS owner, CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE '' END || CASE WHEN o_orderkey % 41 = 0 THEN '' ELSE 'book' || (o_orderkey % 23) END AS src, 'T' || o_orderkey AS title, o_orderkey % 2 = 0 AS pin, o_orderkey AS ts, CASE WHEN o_orderkey % 5 = 0 THEN 'pin' ELSE 'use' END AS kind FROM orders"
+
+
+@query(f"""WITH o AS (SELECT owner, trim(src) AS src, arg_max(title, ts) FILTER (WHERE kind = 'use') AS title, max(ts) FILTER (WHERE kind = 'use') AS ts, coalesce(arg_max(pin, ts) FILTER (WHERE kind = 'pin'), false) AS pin FROM ({_USED}) WHERE trim(src) <> '' GROUP BY owner, trim(src)),
+k AS (SELECT *, row_number() OVER (PARTITION BY owner, pin ORDER BY ts DESC, src) AS n FROM o WHERE ts IS NOT NULL)
+SELECT owner, src, title, pin, ts, CAST(CASE WHEN pin THEN n ELSE n + count(*) FILTER (WHERE pin) OVER (PARTITION BY owner) END AS INT) AS place FROM k WHERE pin OR n <= 5""")
 def recents_topk(spark, sf_dir):
-    rows = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", (F.col("o_orderpriority") == "1-URGENT").alias("pin"))
-    loose = rows.filter(~F.col("pin")).withColumn("rn", F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey"))).filter("rn <= 3")
-    return rows.filter("pin").drop("o_orderdate").unionByName(loose.drop("o_orderdate", "rn"))
+    """Recent books of each customer: one entry a source, pinned ones first and all of them, the newest five of the others."""
+    key = F.col("o_orderkey")
+    src = F.concat(F.when(key % 3 == 0, " ").otherwise(""), F.when(key % 41 == 0, "").otherwise(F.concat(F.lit("book"), (key % 23).cast("string"))))
+    used = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), src.alias("src"), F.concat(F.lit("T"), key.cast("string")).alias("title"), (key % 2 == 0).alias("pin"), key.alias("ts"), F.when(key % 5 == 0, "pin").otherwise("use").alias("kind"))
+    return R.recents(used, "owner", 5)
 
 
 @query("SELECT l_orderkey, l_linenumber AS idx, CASE WHEN l_linenumber < 2 THEN l_linenumber ELSE l_linenumber + 1 END AS new_idx FROM lineitem WHERE l_linenumber < 2 OR l_linenumber >= 4")

@@ -81,7 +81,7 @@ def cover_page(spark, sf_dir):
 
 
 @query("""SELECT doc_id, pos, md5(CASE WHEN pos = 0 AND length(line) <= 60 THEN '<h2>' || body || '</h2>' ELSE '<p>' || body || '</p>' END) AS element FROM (
-SELECT doc_id, pos - 1 AS pos, line, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\\*\\*(.+?)\\*\\*', '<strong>\\1</strong>', 'gs'), '~~(.+?)~~', '<s>\\1</s>', 'gs'), '\\+\\+(.+?)\\+\\+', '<u>\\1</u>', 'gs'), '\\*(.+?)\\*', '<em>\\1</em>', 'gs') AS body
+SELECT doc_id, pos - 1 AS pos, line, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), '\\*\\*(.+?)\\*\\*', '<strong>\\1</strong>', 'gs'), '~~(.+?)~~', '<s>\\1</s>', 'gs'), '\\+\\+(.+?)\\+\\+', '<u>\\1</u>', 'gs'), '\\*(.+?)\\*', '<em>\\1</em>', 'gs') AS body
 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)) WHERE line <> ''""")
 def paragraph_html(spark, sf_dir):
     rows = dealt(spark, docs(spark, sf_dir, "doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))

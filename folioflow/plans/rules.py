@@ -124,13 +124,19 @@ def retype_rules(spark, sf_dir):
 
 
 @query(f"""WITH e AS ({_ENTRY}), n AS (SELECT *, s % 3 = 0 AS was, text <> '' AND confidence = 'high' AND {_CAN} AS shows, (kind = 'hand' AND hand) OR (kind = 'sfx' AND sfx) AS special FROM e),
-c AS (SELECT *, CASE WHEN was AND NOT shows THEN 'rework-kept' WHEN NOT was AND NOT shows AND text <> '' THEN 'rework-forced' ELSE 'rework-ai' END AS passes FROM n)
-SELECT page, id, p, passes, CASE WHEN passes = 'rework-kept' THEN 'old' ELSE text END AS text, CASE WHEN passes = 'rework-kept' THEN text END AS alt,
- CASE WHEN passes = 'rework-kept' THEN 'dialogue' WHEN passes = 'rework-forced' AND NOT special AND kind NOT IN ('caption', 'shout') THEN 'dialogue' ELSE kind END AS kind, CASE passes WHEN 'rework-kept' THEN 'high' WHEN 'rework-forced' THEN 'high' ELSE confidence END AS confidence FROM c""")
+c AS (SELECT *, CASE WHEN was AND NOT shows THEN 'rework-kept' WHEN NOT was AND NOT shows AND text <> '' THEN 'rework-forced' ELSE 'rework-' || CASE WHEN s % 5 = 0 THEN 'ai' ELSE 'p' || (s % 5) END END AS passes FROM n)
+SELECT page, id, p, passes, CASE WHEN passes = 'rework-kept' THEN 'old' ELSE text END AS text, CASE WHEN passes = 'rework-kept' THEN 'rework_text=' || text || ',kind=' || kind || ',confidence=' || confidence WHEN p % 3 = 0 THEN 'pass1=' || p ELSE 'was=1' END AS alt,
+ CASE WHEN passes = 'rework-kept' THEN 'dialogue' WHEN passes = 'rework-forced' AND NOT special AND kind NOT IN ('caption', 'shout') THEN 'dialogue' ELSE kind END AS kind, CASE passes WHEN 'rework-kept' THEN 'high' WHEN 'rework-forced' THEN 'high' ELSE confidence END AS confidence,
+ CASE WHEN passes <> 'rework-kept' AND p % 4 = 0 THEN true ELSE s % 4 = 0 END AS fixed, CASE WHEN passes <> 'rework-kept' AND p % 5 = 0 THEN true ELSE NULL END AS uncertain, CASE WHEN passes <> 'rework-kept' AND p % 6 > 0 THEN 'S' || p ELSE 'old src' END AS src FROM c""")
 def prefer_old(spark, sf_dir):
     """A new reading that would not be shown does not replace one that is; one that the user asked for is set whatever its kind."""
-    e = _entries(spark, sf_dir).withColumn("retyped", C("s") % 3 == 0).withColumns({"old_text": F.lit("old"), "old_kind": F.lit("dialogue"), "old_confidence": F.lit("high")})
-    return V.rework(e).select("page", "id", "p", "passes", "text", "alt", "kind", "confidence")
+    e, p, s = _entries(spark, sf_dir), C("p"), C("s")
+    old = {"old_text": F.lit("old"), "old_kind": F.lit("dialogue"), "old_confidence": F.lit("high"), "old_alt": F.create_map(F.lit("was"), F.lit("1")), "old_fixed": s % 4 == 0, "old_uncertain": F.lit(None).cast("boolean"), "old_src": F.lit("old src")}
+    alt = F.when(p % 3 == 0, F.create_map(F.lit("pass1"), p.cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    new = {"passes": F.when(s % 5 == 0, "").otherwise(F.concat(F.lit("p"), (s % 5).cast("string"))), "alt": alt, "fixed": p % 4 == 0, "uncertain": p % 5 == 0, "src": F.when(p % 6 > 0, F.concat(F.lit("S"), p.cast("string"))).otherwise("")}
+    out = V.rework(e.withColumns({"retyped": s % 3 == 0, **old, **new}))
+    listed = F.array_join(F.transform(F.map_entries("alt"), lambda x: F.concat_ws("=", x["key"], x["value"])), ",")
+    return out.select("page", "id", "p", "passes", "text", listed.alias("alt"), "kind", "confidence", "fixed", "uncertain", "src")
 
 
 @query(f"""SELECT page, bool_or(kind IN ('dialogue', 'caption', 'shout', 'hand') AND NOT (text <> '' AND tax > 0.03)) AS todo FROM ({_ENTRY}) GROUP BY page""")
@@ -174,8 +180,9 @@ _PARAS = "SELECT conv_id AS book, row_number() OVER (PARTITION BY conv_id ORDER
 _EDIT = "SELECT conv_id AS book, CASE WHEN turn % 6 = 5 THEN 'x' ELSE CAST(turn AS VARCHAR) END AS key, turn % 2 = 0 AS has_src, 'S  ' || turn || chr(10) || ' ' || chr(10) || 'z' AS src, turn % 3 <> 1 AS has_text, CASE WHEN turn % 4 = 0 THEN ' ' ELSE 'T' || turn END AS text, CASE WHEN conv_id % 4 = 0 THEN 'old' ELSE 'fp' END AS fp, CASE WHEN conv_id % 5 = 0 THEN -1 ELSE n END AS count FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"
 
 
-@query(f"""WITH p AS ({_PARAS}), b AS (SELECT book, count(*) AS n FROM p GROUP BY book), e AS ({_EDIT}),
-g AS (SELECT e.book, TRY_CAST(e.key AS BIGINT) AS idx, e.* EXCLUDE (book) FROM e JOIN b ON e.book = b.book WHERE e.fp = 'fp' AND e.count = b.n AND TRY_CAST(e.key AS BIGINT) BETWEEN 0 AND b.n - 1)
+@query(f"""WITH p AS ({_PARAS}), b AS (SELECT book, count(*) AS n FROM p GROUP BY book), e0 AS ({_EDIT}), e AS (SELECT *, 0 AS ord FROM e0 UNION ALL SELECT * REPLACE ('0' || key AS key, NOT has_src AS has_src, 'again' AS src, false AS has_text), 1 FROM e0 WHERE key <> 'x' AND CAST(key AS INT) % 3 = 0),
+h AS (SELECT e.book, TRY_CAST(e.key AS BIGINT) AS idx, e.* EXCLUDE (book) FROM e JOIN b ON e.book = b.book WHERE e.fp = 'fp' AND e.count = b.n AND TRY_CAST(e.key AS BIGINT) BETWEEN 0 AND b.n - 1),
+g AS (SELECT book, idx, bool_or(has_src) AS has_src, arg_max(src, ord) FILTER (WHERE has_src) AS src, bool_or(has_text) AS has_text, arg_max(text, ord) FILTER (WHERE has_text) AS text FROM h GROUP BY book, idx)
 SELECT p.book, CAST(p.idx AS BIGINT) AS idx, md5(CASE WHEN g.has_src THEN trim(regexp_replace(g.src, '[ \\t]*\\n[ \\t]*\\n+', chr(10), 'g'), ' ' || chr(10)) ELSE p.src END) AS src,
  CASE WHEN g.has_text THEN nullif(trim(g.text), '') ELSE p.tr END AS text FROM p LEFT JOIN g ON p.book = g.book AND p.idx = g.idx""")
 def apply_edits_fenced(spark, sf_dir):
@@ -188,7 +195,8 @@ def apply_edits_fenced(spark, sf_dir):
         C("conv_id").alias("book"), F.when(C("turn") % 6 == 5, "x").otherwise(turn).alias("key"), (C("turn") % 2 == 0).alias("has_src"), F.concat(F.lit("S  "), turn, F.lit("\n \nz")).alias("src"), (C("turn") % 3 != 1).alias("has_text"),
         F.when(C("turn") % 4 == 0, " ").otherwise(F.concat(F.lit("T"), turn)).alias("text"), F.when(C("conv_id") % 4 == 0, "old").otherwise("fp").alias("fp"), F.when(C("conv_id") % 5 == 0, -1).otherwise(F.count(F.lit(1)).over(by)).alias("count"))
     versions = paras.groupBy("book").agg(F.lit("fp").alias("fp"), F.count(F.lit(1)).alias("count"))
-    return V.apply_edits(paras, edits, versions).select("book", "idx", F.md5("src").alias("src"), "text")
+    again = edits.filter("key <> 'x' and try_cast(key as int) % 3 = 0").withColumns({"key": F.concat(F.lit("0"), "key"), "has_src": ~C("has_src"), "src": F.lit("again"), "has_text": F.lit(False), "ord": F.lit(1)})
+    return V.apply_edits(paras, edits.withColumn("ord", F.lit(0)).unionByName(again), versions, "ord").select("book", "idx", F.md5("src").alias("src"), "text")
 
 
 @query("""SELECT user_id, CASE WHEN bool_or(bad) THEN '' ELSE coalesce(string_agg(DISTINCT CAST(i AS VARCHAR), ',' ORDER BY CAST(i AS VARCHAR)) FILTER (WHERE i >= 0 AND i < 5000), '') END AS ids, CAST(count(*) FILTER (WHERE pos >= 0 AND pos < 100) AS BIGINT) AS positions FROM (
@@ -523,7 +531,7 @@ def repair_json(spark, sf_dir):
 @query()
 def overlap_suppress(spark, sf_dir):
     """Boxes of a page by area, without those that lie in the kept ones; a test holds them against a plain loop."""
-    rows = _boxes(spark, sf_dir).select("page", (C("p") * 10 + C("id")).alias("id"), *[F.greatest(F.lit(1), c).cast("int").alias(c) for c in ("x", "y", "w", "h")])
+    rows = _boxes(spark, sf_dir).select("page", (C("p") * 10 + C("id")).alias("id"), "x", "y", "w", "h")
     return V.overlap_suppressed(rows, "page").select("page", "id", "kept")
 
 

@@ -30,7 +30,7 @@ def write_text(paras: DataFrame, path: str, book: str, order: str, text: str) ->
 
 def paragraph_html(text: Column, first: Column) -> Column:
     """A paragraph's element; a short first one is a heading. Empty ones have none (null)."""
-    body = X.inline_tags(text)
+    body = X.inline_html(text)
     element = F.when(first & (F.length(text) <= HEADING_CHARS), F.concat(F.lit("<h2>"), body, F.lit("</h2>"))).otherwise(F.concat(F.lit("<p>"), body, F.lit("</p>")))
     return F.when(F.length(text) > 0, element)
 

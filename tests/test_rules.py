@@ -1,15 +1,18 @@
 """Rules by their cases, and queries without SQL against plain versions."""
 
 import hashlib
+import html
 import io
 import json
+import random
+import re
 import zipfile
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.functions import replies, rules
+from folioflow.functions import replies, rules, text
 from folioflow.operators import ordered, review
 from folioflow.plans import catalogue
 from folioflow.plans import rules as queries
@@ -50,7 +53,9 @@ def test_stable_ports(spark, sf):
 
 
 def test_overlap_suppress(spark):
-    boxes = [(1, 1, 0, 0, 10, 10), (1, 2, 5, 0, 10, 9), (1, 3, 8, 0, 10, 8), (1, 4, 30, 30, 4, 4), (1, 5, 30, 30, 4, 4), (2, 1, 0, 0, 3, 3)]
+    r = random.Random(6)
+    boxes = [(1, 1, 0, 0, 10, 10), (1, 2, 5, 0, 10, 9), (1, 3, 8, 0, 10, 8), (1, 4, 30, 30, 4, 4), (1, 5, 30, 30, 4, 4), (2, 1, 0, 0, 3, 3), (3, 1, -30, 0, 40, 40), (3, 2, 0, 0, 10, 10), (3, 3, -60, -9, 30, 12)]
+    boxes += [(4, k, r.randrange(-30, 30), r.randrange(-30, 30), r.randrange(1, 25), r.randrange(1, 25)) for k in range(60)]
     df = spark.createDataFrame(boxes, "page int, id int, x int, y int, w int, h int")
     union, want = set(), {}
     for page, i, x, y, w, h in sorted(boxes, key=lambda b: (b[0], -b[4] * b[5], b[1])):
@@ -58,6 +63,9 @@ def test_overlap_suppress(spark):
         want[page, i] = len(own & union) <= 0.25 * len(own)
         union |= own if want[page, i] else set()
     assert {(r.page, r.id): r.kept for r in review.overlap_suppressed(df, "page").collect()} == want
+    assert not want[3, 2]
+    far = spark.createDataFrame([(1, 1, -(10**9), 0, 2 * 10**9, 2 * 10**9), (1, 2, 5, 5, 10**6, 10**6), (1, 3, 0, 0, 0, 7), (1, 4, 10**9 - 3, 0, 12, 10)], "page int, id int, x long, y long, w long, h long")
+    assert {r.id: r.kept for r in review.overlap_suppressed(far, "page").collect()} == {1: True, 2: False, 3: True, 4: True}
 
 
 def test_epubs_open_and_hold_every_paragraph(spark, sf):
@@ -130,12 +138,64 @@ def test_rule_cases(spark):
     assert one(spark, rules.ocr_gate(lit(2), lit(0), lit(0.0), lit(70.0))) == "REJECT" and one(spark, rules.ocr_gate(lit(1), lit(2), lit(0.4), lit(35.0))) == "ACCEPT"
 
 
-def test_price_lists_are_bounded(spark):
-    rows = spark.createDataFrame([("Swift-Lite-2",), ("swift",), ("other",), (None,)], "model string")
-    prices = spark.createDataFrame([(2, "swift", 2.0, 3.0), (1, "swift-lite", 1.0, 1.5)], "ord int, prefix string, usd_in double, usd_out double")
-    assert [(r.usd_in, r.usd_out) for r in review.by_prefix(rows, prices, "model").collect()] == [(1.0, 1.5), (2.0, 3.0), (None, None), (None, None)]
-    with pytest.raises(ValueError):
-        review.by_prefix(rows, prices.crossJoin(spark.range(600)).select("ord", "prefix", "usd_in", "usd_out"), "model")
+def test_edits_of_one_index_the_last_holds(spark):
+    paras = spark.createDataFrame([("b", i, f"s{i}", f"t{i}") for i in range(3)], "book string, idx long, src string, text string")
+    versions = spark.createDataFrame([("b", "f", 3)], "book string, fp string, count int")
+    schema = "book string, key string, has_src boolean, src string, has_text boolean, text string, fp string, count int, ord int"
+    edits = [("b", "0", True, "x", True, "first", "f", 3, 1), ("b", "00", False, None, True, "second", "f", 3, 2), ("b", " 1", True, "y", True, "q", "f", 3, 9), ("b", "1", True, "z", True, " ", "f", 3, 10)]
+    got = sorted(review.apply_edits(paras, spark.createDataFrame(edits, schema), versions, "ord").collect())
+    assert [(r.idx, r.src, r.text) for r in got] == [(0, "x", "second"), (1, "z", None), (2, "s2", "t2")]
+
+
+def test_prices_by_prefix_of_short_and_long_lists(spark):
+    names = ["Swift-Lite-2", "swift", "other", None, "x77y", "x7", "x"]
+    rows = spark.createDataFrame([(n,) for n in names], "model string")
+    few = [(2, "swift", 2.0, 3.0), (1, "swift-lite", 1.0, 1.5)]
+    many = few + [(10 + k, f"x{(k * 7919) % 100_000}", float(k), 0.5) for k in range(100_000)] + [(5, "x77", -1.0, 0.0), (200_000, "", 9.0, 9.0)]
+    for prices in (few, many):
+        first = lambda n: next(((a, b) for _, p, a, b in sorted(prices) if (n or "").lower().startswith(p)), (None, None))  # noqa: B023, E731
+        out = review.by_prefix(rows, spark.createDataFrame(prices, "ord int, prefix string, usd_in double, usd_out double"), "model").collect()
+        assert {(r.model, r.usd_in, r.usd_out) for r in out} == {(n, *first(n)) for n in names}
+
+
+def test_exported_html(spark):
+    def plain(s):
+        out = html.escape(s)
+        for mark, tag in ((r"\*\*", "strong"), ("~~", "s"), (r"\+\+", "u"), (r"\*", "em")):
+            out = re.sub(f"(?s){mark}(.+?){mark}", rf"<{tag}>\1</{tag}>", out)
+        out = re.sub(" {2,}", lambda m: "&#160;" * (len(m[0]) - 1) + " ", out)
+        parts, text = [], False
+        for line in out.split("\n"):
+            m = re.match(r"^[ \t\u3000]*(?:&gt;&gt;|＞＞)\s+", line)
+            if m:
+                parts.append('<span style="display:block;text-align:right;text-indent:0">' + line[m.end() :].lstrip() + "</span>")
+            elif not line.strip():
+                parts.append("<br/><br/>")
+            else:
+                parts.append(("<br/>" if text else "") + line)
+            text = not m and bool(line.strip())
+        return "".join(parts)
+
+    r = random.Random(1)
+    cases = ["".join(r.choice(["a", " ", "  ", "\n", ">> ", "＞＞ ", "\u3000", "**", "*", "++", "~~", "<", '"', "'", "&"]) for _ in range(r.randrange(25))) for _ in range(400)] + ["", "x"]
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", "t", text.inline_html(F.col("t")).alias("h")).collect()
+    assert [(x.t, x.h) for x in sorted(rows)] == [(c, plain(c)) for c in cases]
+
+
+def test_recent_books_against_a_replay(spark):
+    r = random.Random(12)
+    used = [(r.randrange(3), f"{' ' * r.randrange(2)}b{r.randrange(12)}" if r.random() < 0.95 else "  ", f"t{k}", r.random() < 0.4, k, r.choice(["use", "use", "pin"])) for k in range(200)]
+    lists = {}
+    for owner, src, title, pin, ts, kind in used:
+        items, key = lists.setdefault(owner, {}), src.strip()
+        old = items.get(key, {"pin": False, "title": None})
+        if key:
+            items[key] = old | ({"title": title, "ts": ts} if kind == "use" else {"pin": pin})
+    got = review.recents(spark.createDataFrame(used, "owner int, src string, title string, pin boolean, ts long, kind string"), "owner", 4).collect()
+    for owner, items in lists.items():
+        all_ = sorted(((not e["pin"], -e["ts"], k, e["title"]) for k, e in items.items() if "ts" in e))
+        want = [x for x in all_ if not x[0]] + [x for x in all_ if x[0]][:4]
+        assert [(r.src, r.title, not r.pin, r.place) for r in sorted((r for r in got if r.owner == owner), key=lambda r: r.place)] == [(k, t, loose, n + 1) for n, (loose, _, k, t) in enumerate(want)]
 
 
 def test_queue_is_applied_then_acknowledged(spark, tmp_path):
