@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from folioflow.functions import geometry as G
 from folioflow.functions import replies as Y
 from folioflow.functions import rules as R
 from folioflow.functions import text as T
@@ -365,6 +366,30 @@ def component_filters(spark, sf_dir):
     return rows.select("page", "p", "id", letter.alias("letter"), line.alias("line"), shape.alias("shape"))
 
 
+_STAR = """SELECT p_partkey AS k, i, 200 + p_partkey % 220 + [3, 2, 0, -2, -3, -2, 0, 2][CAST(i + 1 AS INT)] * r AS x, 210 + [0, 2, 3, 2, 0, -2, -3, -2][CAST(i + 1 AS INT)] * r AS y FROM (SELECT p_partkey, i, 11 + (p_partkey * (i + 3) * 7) % (3 + p_partkey % 40) AS r FROM part, range(8) t(i))"""
+
+
+@query(f"""WITH s AS ({_STAR}), b AS (SELECT k, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM s GROUP BY k),
+a AS (SELECT s.k, abs(sum(s.x * t.y - s.y * t.x)) AS a2 FROM s JOIN s t ON s.k = t.k AND t.i = (s.i + 1) % 8 GROUP BY s.k),
+d AS (SELECT DISTINCT k, x, y FROM s), e AS (SELECT a.k, a.x AS ax, a.y AS ay, b.x AS ux, b.y AS uy, bool_and((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) > 0 OR ((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) = 0 AND (c.x - a.x) * (c.x - b.x) + (c.y - a.y) * (c.y - b.y) <= 0)) AS edge
+ FROM d a JOIN d b ON a.k = b.k AND (a.x <> b.x OR a.y <> b.y) JOIN d c ON a.k = c.k GROUP BY ALL),
+h AS (SELECT k, sum(ax * uy - ay * ux) AS hull2 FROM e WHERE edge GROUP BY k),
+f AS (SELECT b.*, a2, hull2, a2 // 2 AS area, (a2 // 2) * (50 + b.k % 51) // 100 AS white, (a2 // 2) * (b.k % 43) // 100 AS ink, w * (b.k % 37) // 60 AS peak, 560 - b.k % 9 * 20 AS page_w FROM b JOIN a ON a.k = b.k JOIN h ON h.k = b.k)
+SELECT k AS p_partkey, CAST(a2 AS BIGINT) AS a2, CAST(hull2 AS BIGINT) AS hull2, x > 3 AND y > 3 AND x + w < page_w - 3 AND y + h < 420 - 3 AND w / h::DOUBLE BETWEEN 0.25 AND 5 AND area >= 400 AND area / (w * h)::DOUBLE >= 0.45 AND white / area::DOUBLE >= 0.55 AND ink / area::DOUBLE BETWEEN 0.008 AND 0.35 AND peak / w::DOUBLE >= 0.12 AND a2 / hull2::DOUBLE >= 0.78 AS bubble FROM f""")
+def bubble_score(spark, sf_dir):
+    """Outlines of eight corners with their measured shares: which of them may be bubbles, by all conditions; the SQL finds the hull's edges among all pairs."""
+    k = C("p_partkey")
+    r = lambda i: 11 + (k * (i + 3) * 7) % (3 + k % 40)
+    corner = lambda i, dx, dy: F.struct((200 + k % 220 + dx * r(i)).alias("x"), (210 + dy * r(i)).alias("y"))
+    star = F.array(*[corner(i, dx, dy) for i, (dx, dy) in enumerate(zip((3, 2, 0, -2, -3, -2, 0, 2), (0, 2, 3, 2, 0, -2, -3, -2), strict=True))])
+    of = lambda f, c: f(F.transform("star", lambda p: p[c]))
+    box = {"x": of(F.array_min, "x"), "y": of(F.array_min, "y"), "w": of(F.array_max, "x") - of(F.array_min, "x") + 1, "h": of(F.array_max, "y") - of(F.array_min, "y") + 1, "a2": G.polygon_area2(C("star"))}
+    rows = read(spark, sf_dir, "part").select("p_partkey", star.alias("star")).withColumns(box).withColumn("area", F.expr("a2 div 2"))
+    rows = rows.withColumns({"white": F.expr("area * (50 + p_partkey % 51) div 100"), "ink": F.expr("area * (p_partkey % 43) div 100"), "peak": F.expr("w * (p_partkey % 37) div 60"), "page_w": 560 - k % 9 * 20})
+    bubble = G.is_bubble(C("x"), C("y"), C("w"), C("h"), C("area"), C("white"), C("ink"), C("peak"), C("star"), C("page_w"), F.lit(420), 400)
+    return rows.select("p_partkey", "a2", G.polygon_area2(G.hull(C("star"))).alias("hull2"), bubble.alias("bubble"))
+
+
 @query(f"""SELECT page, p, id, CAST(row_number() OVER (PARTITION BY page ORDER BY floor(y / 200.0), x DESC, p, id, y, h, ht) AS INT) AS reading, CAST(row_number() OVER (PARTITION BY page ORDER BY w * h DESC, p, id, y, h, ht) AS INT) AS by_area, CAST(row_number() OVER (PARTITION BY page ORDER BY y, x, p, id, h, ht) AS INT) AS by_place FROM ({_BOX})""")
 def reading_order(spark, sf_dir):
     """Rows of 200 pixels from the right; by area; by place."""
