@@ -159,6 +159,16 @@ def _blocks(docs: DataFrame, stash: Tables) -> DataFrame:
     return stash.write(docs.mapInArrow(run, "block string, deleted boolean, entries long, payload binary"), "blocks")
 
 
+def _sums(hashes: list[np.ndarray], counts: list[np.ndarray], deleted: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each asked hash its place among the distinct ones; of each of those its count in all blocks, and in those of the held-out fold.
+
+    A block's own counts are bounded by its tokens; sums are of all blocks and take 64 bits, exact below 2^53.
+    """
+    every, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    n, held = np.concatenate(counts).astype(np.float64), np.repeat(np.array(deleted, np.float64), [len(h) for h in hashes])
+    return at, np.bincount(at, n, len(every)).astype(np.uint64), np.bincount(at, n * held, len(every)).astype(np.uint64)
+
+
 def _answers(blocks: DataFrame, stash: Tables) -> DataFrame:
     """block, r, pack: the counts that a block asked range r for. A row without a block has the range's tokens and types."""
     ranges = max(1, -(-int(blocks.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]) // RANGE_HASHES))
@@ -179,16 +189,13 @@ def _answers(blocks: DataFrame, stash: Tables) -> DataFrame:
         out, stats = [[] for _ in blocks], []
         for k in (0, 2):
             hashes = [np.cumsum(a[k]) for a in asked]
-            every, at = np.unique(np.concatenate(hashes), return_inverse=True)
-            n = np.concatenate([a[k + 1] for a in asked]).astype(np.float64)
-            held = np.repeat(np.array(deleted, np.float64), [len(h) for h in hashes])
-            total, apart = np.bincount(at, n, len(every)).astype(np.uint32), np.bincount(at, n * held, len(every)).astype(np.uint32)
+            at, total, apart = _sums(hashes, [a[k + 1] for a in asked], deleted)
             i = 0
             for own, h in zip(out, hashes, strict=True):
                 own += [total[at[i : i + len(h)]], apart[at[i : i + len(h)]]]
                 i += len(h)
             if not k:
-                stats = [int(total.sum(dtype=np.int64)), int(apart.sum(dtype=np.int64)), int((total > 0).sum())]
+                stats = [int(total.sum()), int(apart.sum()), int((total > 0).sum())]
         r = table.column("r")[0].as_py()
         packs = [_pack(*own) for own in out]
         m = len(blocks) + 1

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.llm import personal_data, queries, resampling, vector_codes
+from folioflow.llm import interpolated_lm, personal_data, queries, resampling, vector_codes
 
 
 @pytest.fixture(scope="module")
@@ -326,3 +326,13 @@ def test_odd_documents(spark):
     assert [(r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in out] == [(None, 0, 0, 0, 0), (None, 1, 0, 0, 0), (1, 0, 0, 0, 0), (2, 1, 0, 0, 1), (2, 1, 0, 0, 1), (1 << 60, 0, 20_000, 0, 0)]
     assert personal_data.report(docs.limit(0)).collect() == []
     assert pa.types.is_int64(dict(personal_data._SPANS)["value"])
+
+
+def test_counts_beyond_32_bits():
+    h = np.array([3, 9, 12], np.uint64)
+    most = np.full(3, (1 << 32) - 1, np.uint32)
+    at, total, apart = interpolated_lm._sums([h, h[1:], h], [most, most[1:], np.array([1, 2, 3], np.uint32)], [False, True, False])
+    assert total.tolist() == [1 << 32, 2 * ((1 << 32) - 1) + 2, 2 * ((1 << 32) - 1) + 3] and apart.tolist() == [0, (1 << 32) - 1, (1 << 32) - 1]
+    again = interpolated_lm._unpack(interpolated_lm._pack(total, apart))
+    assert again[0].tolist() == total.tolist() and again[0].astype(np.float64)[1] == float(2 * ((1 << 32) - 1) + 2)
+    assert at.tolist() == [0, 1, 2, 1, 2, 0, 1, 2]
