@@ -15,6 +15,7 @@ from folioflow.functions import text as T
 from folioflow.operators import ordered as O
 from folioflow.operators import review as V
 from folioflow.plans.catalogue import dealt, docs, lines, query, read
+from folioflow.sinks import archives as A
 from folioflow.sinks import books as K
 
 C = F.col
@@ -567,6 +568,40 @@ def epub_bytes(spark, sf_dir):
     return K.epubs(paras, "conv_id", "role", "turn", "text").select("book", F.length("epub").alias("size"), F.md5("epub").alias("epub"))
 
 
+_DONE = "CASE doc_id % 4 WHEN 0 THEN '## T' || doc_id WHEN 1 THEN '' WHEN 2 THEN 'a  \"b\" ' || doc_id END"
+_SHOWN = f"CASE WHEN starts_with({_strip('x')}, '## ') THEN ltrim(substr({_strip('x')}, 4)) ELSE {_strip('x')} END"
+
+
+_BARE = "regexp_replace(t, '(?m)^[ \\t　]*(?:>>|＞＞)\\s+', '', 'g')"
+for _mark in (r"\*\*", "~~", r"\+\+", r"\*"):
+    _BARE = f"regexp_replace({_BARE}, '(?s){_mark}(.+?){_mark}', '\\1', 'g')"
+
+
+@query(f"""WITH p AS (SELECT source, doc_id, n_chars % 11 = 0 AS head, {_SHOWN} AS t FROM (SELECT *, coalesce(nullif({_DONE}, ''), left(text, 50)) AS x FROM documents)),
+r AS (SELECT *, row_number() OVER w AS n, CAST(sum(CASE WHEN head THEN 1 ELSE 0 END) OVER w AS INT) AS k FROM p WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT source, k, count(*) AS n, min(n) - 1 AS start, CASE WHEN k > 0 THEN arg_min(t, n) ELSE '' END AS label, md5(string_agg({_BARE}, chr(10) || chr(10) ORDER BY n)) AS plain FROM r GROUP BY source, k),
+g AS (SELECT source, sum(n) AS total, max(k) AS heads, coalesce(max(n) FILTER (WHERE k = 0), 0) AS before FROM c GROUP BY source), u AS (SELECT *, before > 0 AND (heads = 0 OR before > 0.2 * total) AS untitled FROM g)
+SELECT c.source, CAST(k + CASE WHEN untitled THEN 1 ELSE 0 END AS INT) AS chapter, label, start, n, plain FROM c JOIN u ON c.source = u.source WHERE k > 0 OR untitled""")
+def export_chapters(spark, sf_dir):
+    """A book's export by chapter: translations where there are some, else the source, without headings' marks; chapters begin at headed paragraphs."""
+    k = C("doc_id") % 4
+    done = F.when(k == 0, F.concat(F.lit("## T"), C("doc_id").cast("string"))).when(k == 1, "").when(k == 2, F.concat(F.lit('a  "b" '), C("doc_id").cast("string")))
+    shown = T.without_mark(F.coalesce(F.nullif(done, F.lit("")), F.left("text", F.lit(50))))
+    paras = docs(spark, sf_dir, "source", "doc_id", "n_chars", "text").select("source", "doc_id", (C("n_chars") % 11 == 0).alias("head"), shown.alias("t"))
+    return A.sliced(paras, "source", "doc_id", "head", "t").select(C("book").alias("source"), C("k").alias("chapter"), "label", "start", "n", F.md5("plain").alias("plain"))
+
+
+@query()
+def epub_parts(spark, sf_dir):
+    """A book of each conversation, a chapter for each role, as parts of its archive; a test puts them together and opens them."""
+    conv = read(spark, sf_dir, "conversations")
+    first = conv.groupBy("conv_id", "role").agg(F.min("turn").alias("at"))
+    k = F.row_number().over(W.partitionBy("conv_id").orderBy("at"))  # a book's chapters, not its paragraphs
+    chapters = A.chapter_html(conv, ["conv_id", "role"], "turn", "text").join(first.withColumn("k", k), ["conv_id", "role"]).select(C("conv_id").alias("book"), "k", C("role").alias("label"), "html")
+    titles = conv.select(C("conv_id").alias("book"), F.concat(F.lit("Book "), C("conv_id").cast("string")).alias("title")).distinct()
+    return A.archive_parts(A.book_members(chapters, titles)).select("book", C("ord").cast("int").alias("part"), F.length("bytes").alias("size"), F.md5("bytes").alias("digest"))
+
+
 # --- books and requests -----------------------------------------------------------------------------------------
 
 
