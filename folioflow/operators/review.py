@@ -286,6 +286,28 @@ def usage_labels(usage: DataFrame, part: str, model: str, cost: str) -> DataFram
     return out.withColumn("total_label", F.concat(dollars(F.col("total")), F.when(F.col("unknown"), " + unregistered").otherwise("")))
 
 
+#: A language sample: characters after which no page is added, pages of a text layer, characters below which pages are read, how many, and when that ends.
+SAMPLE_CHARS, LAYER_PAGES, SCARCE, READ_PAGES, READ_CHARS = 600, 5, 200, 4, 300
+
+
+def language_samples(pages: DataFrame, book: str, order: str) -> DataFrame:
+    """Rows book, sample, of pages (book, order, layer: whether the book has a text layer, text: the layer's or a stored text, reading: what reading the page gives).
+
+    Pages are added until SAMPLE_CHARS, of a layer LAYER_PAGES at most, of stored texts those that there are. If these hold less than SCARCE characters, the first
+    READ_PAGES are read too, until the whole has READ_CHARS; a page that cannot be read (null) is passed over. Sums run over sorted partitions: no book is gathered.
+    """
+    rows = pages.select(F.col(book).alias("b"), F.col(order).alias("o"), "layer", "text", "reading")
+    rows = cut(runs.scanned(rows, ["b"], ["o"], {"n": F.lit(1), "upto": F.coalesce(F.length("text"), F.lit(0))}))
+    taken = F.col("text").isNotNull() & (F.col("upto") - F.length("text") < SAMPLE_CHARS) & (~F.col("layer") | (F.col("n") <= LAYER_PAGES))
+    listed = lambda when, c: F.array_sort(F.collect_list(F.when(when, F.struct("n", F.col(c).alias("t")))))
+    own = rows.filter(taken | (F.col("n") <= READ_PAGES)).groupBy("b").agg(F.bool_or("layer").alias("layer"), listed(taken, "text").alias("texts"), listed(F.col("n") <= READ_PAGES, "reading").alias("readings"))
+    first = F.array_join(F.transform("texts", lambda r: r["t"]), "")
+    add = lambda a, r: F.when(a["ended"] | r["t"].isNull(), a).otherwise(F.struct(F.concat(a["s"], F.lit("\n"), r["t"]).alias("s"), (F.length(T.strip(F.concat(a["s"], F.lit("\n"), r["t"]))) >= READ_CHARS).alias("ended")))
+    read = F.aggregate("readings", F.struct(F.col("first").alias("s"), F.lit(False).alias("ended")), add)["s"]
+    own = own.withColumn("first", first)
+    return own.select(F.col("b").alias(book), F.when(~F.col("layer") & (F.length("first") < SCARCE), read).otherwise(F.col("first")).alias("sample"))
+
+
 #: Unpinned entries that a list of recent books keeps.
 RECENT_MOST = 15
 

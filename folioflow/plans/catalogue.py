@@ -289,10 +289,12 @@ def medians(spark, sf_dir):
     return O.middles(read(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id")
 
 
-@query("""SELECT category, CAST(count(*) AS BIGINT) AS files, CAST(sum(length(html)) AS BIGINT) AS bytes FROM (SELECT coalesce(nullif(regexp_extract(url, '^https?://([^/]+)', 1), ''), 'other') AS category, html FROM pages) GROUP BY category HAVING sum(length(html)) > 0""")
+@query("""SELECT category, CAST(count(*) AS BIGINT) AS files, CAST(sum(length(html)) AS BIGINT) AS bytes, CAST(row_number() OVER (ORDER BY sum(length(html)) DESC, category) AS INT) AS place FROM (SELECT coalesce(nullif(regexp_extract(url, '^https?://([^/]+)', 1), ''), 'other') AS category, html FROM pages) GROUP BY category HAVING sum(length(html)) > 0""")
 def cleanup_scan(spark, sf_dir):
     category = F.coalesce(F.nullif(F.regexp_extract("url", "^https?://([^/]+)", 1), F.lit("")), F.lit("other"))
-    return read(spark, sf_dir, "pages").groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("html")).alias("bytes")).filter("bytes > 0")
+    """What could be cleaned up, by category, the largest first."""
+    rows = read(spark, sf_dir, "pages").groupBy(category.alias("category")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("html")).alias("bytes")).filter("bytes > 0").withColumns({"all": F.lit(0), "down": -F.col("bytes")})
+    return runs.ordinals(rows, ["all"], ["down", "category"], "place").select("category", "files", "bytes", F.col("place").cast("int"))
 
 
 @query("""SELECT o_orderstatus AS status, CAST(count(*) AS BIGINT) AS pages, CAST(count(*) FILTER (WHERE o_totalprice > 200000) AS BIGINT) AS warned, least(100, floor(count(*) * 100 / (SELECT count(*) FROM orders) + 0.5))::INT AS pct FROM orders GROUP BY o_orderstatus""")
@@ -346,6 +348,30 @@ def sample_until(spark, sf_dir):
     return read(spark, sf_dir, "conversations").withColumn("before", F.coalesce(F.sum(F.length("text")).over(by), F.lit(0))).filter("before < 600").select("conv_id", "turn")
 
 
+_PAGES = """SELECT source, doc_id, ascii(right(source, 1)) % 2 = 0 AS layer, CASE WHEN doc_id % 3 = 0 THEN left(text, CAST(doc_id % 190 AS INT)) WHEN ascii(right(source, 1)) % 4 = 0 THEN text END AS text, CASE WHEN doc_id % 5 > 0 THEN left(text, 120) END AS reading FROM documents"""
+
+
+def _read_sql(n: int) -> str:
+    """The sample after n more pages were read: each is added unless one before it brought the whole to 300 characters."""
+    ended = " OR ".join(f"(length(r[{i}]) IS NOT NULL AND length({_STRIP_ALL.format(f's{i}')}) >= 300)" for i in range(1, n)) or "false"
+    return f"CASE WHEN r[{n}] IS NULL OR {ended} THEN s{n - 1} ELSE s{n - 1} || chr(10) || r[{n}] END"
+
+
+_STRIP_ALL = "trim({}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))"
+
+
+@query(f"""WITH p AS ({_PAGES}), n AS (SELECT *, row_number() OVER w AS n, sum(coalesce(length(text), 0)) OVER w AS upto FROM p WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT source, any_value(layer) AS layer, coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE text IS NOT NULL AND upto - length(text) < 600 AND (NOT layer OR n <= 5)), '') AS s0, list(reading ORDER BY n) FILTER (WHERE n <= 4) AS r FROM n GROUP BY source),
+a1 AS (SELECT *, {_read_sql(1)} AS s1 FROM f), a2 AS (SELECT *, {_read_sql(2)} AS s2 FROM a1), a3 AS (SELECT *, {_read_sql(3)} AS s3 FROM a2), a4 AS (SELECT *, {_read_sql(4)} AS s4 FROM a3)
+SELECT source, md5(CASE WHEN NOT layer AND length(s0) < 200 THEN s4 ELSE s0 END) AS sample, CAST(length(CASE WHEN NOT layer AND length(s0) < 200 THEN s4 ELSE s0 END) AS INT) AS n FROM a4""")
+def language_sample(spark, sf_dir):
+    """What a book's language is told from: its text layer or stored pages, and pages that are read if those are scarce."""
+    even, k = F.ascii(F.right("source", F.lit(1))), F.col("doc_id")
+    text = F.when(k % 3 == 0, F.left("text", (k % 190).cast("int"))).when(even % 4 == 0, F.col("text"))
+    pages = docs(spark, sf_dir, "source", "doc_id", "text").select("source", "doc_id", (even % 2 == 0).alias("layer"), text.alias("text"), F.when(k % 5 > 0, F.left("text", F.lit(120))).alias("reading"))
+    return R.language_samples(pages, "source", "doc_id").select("source", F.md5("sample").alias("sample"), F.length("sample").alias("n"))
+
+
 @query("""WITH g AS (SELECT user_id, event_id, epoch_us(ts) AS t, greatest(0, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events),
 m AS (SELECT user_id, median(gap) AS mid FROM g GROUP BY user_id)
 SELECT user_id, event_id, CAST(sum(CASE WHEN gap > 1.8 * mid THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS INT) AS para FROM g JOIN m USING (user_id)""")
