@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.operators.kept import cut, sized
+from folioflow.operators.kept import BROADCAST_BYTES, BROADCAST_ROWS, cut, sized
 
 #: Added columns: a row's place (its partition, then its place there) and its segment, named by the place of the segment's first row.
 AT, SEGMENT = "at_", "segment_"
@@ -172,9 +172,10 @@ def selected(rows: DataFrame, group: str, value: str, ranks: dict[str, Column])
     # The intervals rise with the value however doubles round, and an interval's ends fall into different ones.
     place = F.when(half("to", "from") > 0, F.floor(half("v", "from") / half("to", "from") * (BINS - 2))).otherwise(0)
     bin_ = F.when(F.col("v") == F.col("to"), BINS - 1).otherwise(F.least(F.lit(BINS - 2), place)).cast("int")
-    while not open_.isEmpty():
+    measure = lambda: open_.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.coalesce(F.octet_length(F.col("g").cast("string")), F.lit(0)) + 40), F.lit(0))).first()
+    while (size := measure())[0]:
         side = open_.select(F.col("g").alias("of"), F.col("lo").alias("from"), F.col("hi").alias("to")).distinct()
-        met = v.join(sized(side, 80), F.col("g").eqNullSafe(F.col("of")) & F.col("v").between(F.col("from"), F.col("to")))
+        met = v.join(F.broadcast(side) if size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_BYTES else side, F.col("g").eqNullSafe(F.col("of")) & F.col("v").between(F.col("from"), F.col("to")))
         parts = met.groupBy("of", "from", "to", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         cells = parts.groupBy("of", "from", "to").agg(F.array_sort(F.collect_list(F.struct("bin", "n", "lo", "hi"))).alias("cells"))  # BINS of them at most
         one = cells.join(open_, F.col("g").eqNullSafe(F.col("of")) & (F.col("lo") == F.col("from")) & (F.col("hi") == F.col("to")))
