@@ -51,10 +51,10 @@ KEYED_IN = r"(?i)^[\"'`(]*[\w.-]*(pass(word|wd)?|pwd|secret|token|api[_-]?key|ac
 HARMLESS = r"(?i)(example|sample|dummy|placeholder|changeme|your|xxxx|test|commit|sha\d*|md5|hash|checksum|digest|uuid|guid|version|build|rev|isbn|phone|tel|order|ticket|invoice)[=:]?$"
 KNOWN = r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_(live|test)_[A-Za-z0-9]{16,}$|^AIza[A-Za-z0-9_-]{30,}$|^eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"
 TRANSITION = r"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])|[a-z](?=[A-Z])|[A-Z](?=[a-z])|[A-Za-z0-9](?=[^A-Za-z0-9])"
-#: What stands for a value in code (types and constants, members, names, references), and masks.
+#: What stands for a value in code (types and constants, members, names, references), and masks. Repeated groups are possessive: others recurse once a repeat.
 TYPES = r"(?i)^[\[(]?(str|string|bytes|bool|boolean|int|integer|number|text|object|any|char|varchar|none|null|nil|true|false|undefined|void|optional|required|default|empty|unknown|disabled|enabled)\b[\[\](){}<>?!|.,;=]*[\w\[\]<>]*$"
-MEMBER = r"^[A-Za-z_]\w*((\.|::|->)[A-Za-z_]\w*)+[.,;]?$"
-NAME = r"^([A-Z]+(_[A-Z]+)+|[a-z]+(_[a-z]+)+|_[a-z_]+)[.,;]?$"
+MEMBER = r"^[A-Za-z_]\w*(?:(?:\.|::|->)[A-Za-z_]\w*)++[.,;]?$"
+NAME = r"^([A-Z]+(?:_[A-Z]+)++|[a-z]+(?:_[a-z]+)++|_[a-z_]+)[.,;]?$"
 REFERENCE = r"^[\"']?([$%@<{\[(]|!Ref|env:|vault:|secrets?\.)"
 MASK = r"^[\"']?(.)\1{2,}[\"',;.]*$|^[*x.#_\-\u2022]{3,}$|(?i)redacted|masked|\*{3,}|^\.\.\."
 #: Frequent words and word parts of four languages, and of file and variable names.
