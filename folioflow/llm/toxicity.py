@@ -3,19 +3,21 @@
 Terms (words, and stems that any ending may follow) are learned from labelled documents: those that occur in toxic
 ones so much more often than by chance that it holds for all the terms tried at once; the words that a stem stands for are
 in the trie with the stem's weight, so that their misspellings are met too. A word of a text matches a term
-exactly, by its stem, or within one edit, found by walking the trie with the word's Levenshtein automaton (terms of four letters
-match exactly or by their stems alone, as most words of four letters are within one edit of another). A match in quotation marks, else one
-addressed to someone, else one after a word of reporting counts by a factor of its context, learned from how toxic the labelled documents
+exactly, by its stem, or within one edit, found by walking the trie with the word's Levenshtein automaton. Terms whose neighbours within one
+edit are words of clean labelled documents match exactly alone; of terms under five letters one such document is enough, and terms of one or two
+letters have no misspellings, as any short word is one edit from them. A match in quotation marks (double ones, or single ones that are no
+apostrophes), else one addressed to someone, else one after a word of reporting counts by a factor of its context, learned from how toxic the labelled documents
 with such matches are and drawn towards a prior where few have them. The evidence of a
-text's matches is turned into a probability by a logistic curve fitted to the same labelled documents. The lexicon holds the MOST_TERMS terms
-that tell most.
+text's matches is turned into a probability by a logistic curve fitted to the same labelled documents. The lexicon holds all terms
+that tell; the bounded sample alone limits how many there are.
 
 Labels are read for fitting alone, from a bounded sample: of each class the PER_CLASS documents with the least hash of
 their doc_id. Scores depend on the text alone.
 
 Defined results: null and empty texts have no evidence and get the curve's value there; documents without a label
 score like others; of several labels of a doc_id the largest counts, null labels don't; if there is no label of
-one class all scores are 0; rows that repeat get equal scores; an empty table gives no rows; extra columns pass through.
+one class all scores are 0; rows that repeat get equal scores; of several terms near a word the first by code point counts; a text is one row of any
+length, scored in linear time; an empty table gives no rows; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ from .simhash import shingle_hashes, words_of
 
 #: Labelled documents of each class that a model is fitted to, at most.
 PER_CLASS = 6000
-#: Terms of a model that are learned, at most.
-MOST_TERMS = 2000
+#: Letters of the shortest term that has misspellings, and of the shortest that may have some in common with clean documents.
+LEAST_FUZZY, LEAST_SHARED = 3, 5
 #: Letters of a stem.
 STEMS = range(4, 8)
 #: Words before and after a match that make its context.
@@ -50,6 +52,8 @@ CONTEXTS, CONTEXT_PRIOR = (0.35, 0.5, 1.0, 1.25), 100
 REPORTING = frozenset("said says wrote writes quote quoted quotes word words term called reported dit écrit mot cité sagte schrieb wort zitat dijo escribió palabra cita".split())
 ADDRESS = frozenset("you your you're u are ur tu vous es êtes toi du dich bist ihr sie usted eres tú".split())
 QUOTES = "\"“”„«»"
+#: Single quotation marks around part of a line: an opening one follows no letter, a closing one precedes none, and those between two letters are apostrophes.
+_SINGLE = re.compile(r"(?<!\w)['‘‚](?=\S)(?:[^\n'’‘‚]|(?<=\w)['’](?=\w))*+['’‘](?!\w)")
 
 _TOKEN = re.compile(r"[^\W_](?:[\w@$*!]*[^\W_])?")
 _MEMO_MOST = 300_000
@@ -62,36 +66,39 @@ def tokens(text: str | None) -> list[str]:
 
 
 class LexiconTrie:
-    """Terms in a trie; find() walks it with the Levenshtein automaton of a word."""
+    """Terms in a trie; find() walks it with the Levenshtein automaton of a word. Terms in exact_only have no misspellings."""
 
-    def __init__(self, words: set[str], stems: set[str]):
+    def __init__(self, words: set[str], stems: set[str], exact_only: frozenset[str] = frozenset()):
         self.words, self.stems = words, stems
         self.root: dict = {}
-        for w in words:
+        met = [w for w in words if len(w) >= LEAST_FUZZY and w not in exact_only]
+        for w in met:
             node = self.root
             for c in w:
                 node = node.setdefault(c, {})
             node[""] = w
         self.stem_sizes = sorted({len(s) for s in stems}, reverse=True)
         # A word within one edit of a term shares with it itself or what is left of one of them, or of both, without one letter.
-        self.cores = {c for w in words if len(w) >= 5 for c in self._cores(w)}
-        self.shortest = min((len(w) for w in words if len(w) >= 5), default=0)
-        self.longest = max((len(w) for w in words), default=0)
+        self.cores = {c for w in met for c in self._cores(w)}
+        self.shortest = min(map(len, met), default=0)
+        self.longest = max(map(len, met), default=0)
 
     @staticmethod
     def _cores(word: str) -> list[str]:
         return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
 
-    def near(self, word: str) -> str | None:
-        """The least term of five letters or more within one edit of word.
+    def near(self, word: str) -> list[str]:
+        """The terms within one edit of word, by code points.
 
         A state is the automaton's row of distances, kept to 0, 1 or 2 (dead); branches whose row is dead are cut.
         """
+        if not self.shortest - 1 <= len(word) <= self.longest + 1 or self.cores.isdisjoint(self._cores(word)):
+            return []
         found = []
         stack = [(self.root, tuple(min(i, 2) for i in range(len(word) + 1)))]
         while stack:
             node, row = stack.pop()
-            if "" in node and row[-1] <= 1 and len(node[""]) >= 5:
+            if "" in node and row[-1] <= 1:
                 found.append(node[""])
             for c, child in node.items():
                 if c:
@@ -100,20 +107,21 @@ class LexiconTrie:
                         step.append(min(row[i] + (x != c), row[i + 1] + 1, step[i] + 1, 2))
                     if min(step) < 2:
                         stack.append((child, tuple(step)))
-        return min(found, default=None)
+        return sorted(found)
+
+    def exact(self, word: str) -> str | None:
+        """The term that word is, or whose stem it begins with."""
+        if word in self.words:
+            return word
+        return next((word[:n] + "*" for n in self.stem_sizes if len(word) > n and word[:n] in self.stems), None)
 
     def find(self, word: str) -> tuple[str, bool] | None:
         """The term that word matches, and whether exactly (or by its stem)."""
-        if word in self.words:
-            return word, True
-        for n in self.stem_sizes:
-            if len(word) > n and word[:n] in self.stems:
-                return word[:n] + "*", True
-        if self.shortest - 1 <= len(word) <= self.longest + 1 and not self.cores.isdisjoint(self._cores(word)):
-            term = self.near(word)
-            if term:
-                return term, False
-        return None
+        term = self.exact(word)
+        if term:
+            return term, True
+        near = self.near(word)
+        return (near[0], False) if near else None
 
 
 def _context(words: list[str], i: int, quoted: bool) -> int:
@@ -131,17 +139,12 @@ class Scorer:
         self.weights = model["weights"]
         self.curve = model["curve"]
         self.contexts = model.get("contexts", CONTEXTS)
-        self.trie = LexiconTrie({t for t in self.weights if not t.endswith("*")}, {t[:-1] for t in self.weights if t.endswith("*")})
-        self.exact_only = frozenset(model.get("exact_only", ()))
+        self.trie = LexiconTrie({t for t in self.weights if not t.endswith("*")}, {t[:-1] for t in self.weights if t.endswith("*")}, frozenset(model.get("exact_only", ())))
         self.memo: dict[str, tuple[str, bool] | None] = {}
 
-    def match(self, word: str) -> tuple[str, bool] | None:
-        found = self.trie.find(word)
-        return None if found and not found[1] and found[0] in self.exact_only else found
-
     def matches(self, text: str | None) -> list[tuple[str, str, bool, int]]:
         """Word, term, whether exactly and context of each match, in one pass over the text."""
-        words, memo, find, hit = tokens(text), self.memo, self.match, {}
+        words, memo, find, hit = tokens(text), self.memo, self.trie.find, {}
         for w in set(words):
             if w not in memo:
                 if len(memo) >= _MEMO_MOST:
@@ -152,13 +155,17 @@ class Scorer:
         if not hit:
             return []
         out, low, upto, quotes = [], text.lower(), 0, 0
+        singles = _SINGLE.finditer(low)
+        single = next(singles, None)
         for i, m in enumerate(_TOKEN.finditer(low)):
             if m[0] in hit:
                 # An odd number of quotation marks between the line's start and the match: it is inside of them.
                 start = low.rfind("\n", upto, m.start()) + 1
                 quotes = (0 if start else quotes) + sum(low.count(q, max(start, upto), m.start()) for q in QUOTES)
                 upto = m.start()
-                out.append((m[0], *hit[m[0]], _context(words, i, quotes % 2 == 1)))
+                while single and single.end() <= upto:
+                    single = next(singles, None)
+                out.append((m[0], *hit[m[0]], _context(words, i, quotes % 2 == 1 or (single is not None and single.start() < upto))))
         return out
 
     def evidence(self, text: str | None) -> tuple[float, list[str]]:
@@ -206,7 +213,7 @@ def _one_of_copies(sample: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = 5, per_class: int = PER_CLASS) -> dict:
-    """The model: weights of terms and the curve. Terms are MOST_TERMS at most, and the forms of their stems, of which the bounded sample has so many."""
+    """The model: weights of terms and the curve. Terms, and the forms of their stems, are words of the bounded sample."""
     small_batches(docs.sparkSession)
     sample = cut(_sample(docs, labels, id_col, text_col, held_out, per_class))
     share = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -240,31 +247,36 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     good = tried.filter((F.col("toxic") > 1) & (F.col("toxic") > both * prior)).withColumn("ratio", ratio).filter(F.col("ratio") > bar)
     # Nine in ten of the documents with it are toxic, if classes were equally frequent.
     good = good.filter((F.col("toxic") + 0.5) / (n_toxic + 1) > 9 * (F.col("clean") + 0.5) / (n_clean + 1))
-    rows = good.orderBy(F.desc("ratio"), "unit").limit(MOST_TERMS).collect()
+    rows = good.collect()
     weights: dict[str, float] = {}
-    words = [(r["unit"], r["toxic"]) for r in rows if not r["unit"].endswith("*")]
+    begun: dict[str, list[int]] = {}  # documents of the words by their beginnings
+    for r in rows:
+        if not r["unit"].endswith("*"):
+            for k in STEMS:
+                begun.setdefault(r["unit"][:k], []).append(r["toxic"])
     for r in sorted(rows, key=lambda r: (-r["ratio"], not r["unit"].endswith("*"), len(r["unit"]), r["unit"])):
         u = r["unit"]
         weight = min(6.0, math.log((r["toxic"] + 0.5) / (n_toxic + 1)) - math.log((r["clean"] + 0.5) / (n_clean + 1)))
         # A word or longer stem is left out if it tells little more than a stem that is in, as is a stem of one word alone.
         if any(weight < weights.get(u[:k] + "*", -9.0) + 0.7 for k in STEMS if len(u.rstrip("*")) > k and u[:k] + "*" in weights):
             continue
-        if u.endswith("*") and any(w.startswith(u[:-1]) and abs(n - r["toxic"]) <= 0.02 * r["toxic"] for w, n in words):
+        if u.endswith("*") and any(abs(x - r["toxic"]) <= 0.02 * r["toxic"] for x in begun.get(u[:-1], ())):
             continue
         weights[u] = weight
     weights |= _forms(tried, weights, prior)
     plain = {"weights": weights, "curve": (0.0, 1.0), "exact_only": []}
 
     def fuzzy(batches):
-        scorer, counts = Scorer(plain), (Counter(), Counter())
+        trie, counts = Scorer(plain).trie, (Counter(), Counter())
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts[y].update({m[0] for m in map(scorer.match, set(tokens(t))) if m and not m[1]})
+                counts[y].update({term for w in set(tokens(t)) if not trie.exact(w) for term in trie.near(w)})
         yield _counted(counts)
 
     # Terms whose neighbours within one edit are words of clean texts are matched exactly alone.
     beside = sample.mapInArrow(fuzzy, "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    plain["exact_only"] = sorted(r["unit"] for r in beside.filter((F.col("clean") > 1) & (F.col("clean") / n_clean > 0.1 * F.col("toxic") / n_toxic)).collect())
+    shared = (F.col("clean") > 1) & (F.col("clean") / n_clean > 0.1 * F.col("toxic") / n_toxic)
+    plain["exact_only"] = sorted(r["unit"] for r in beside.filter(shared | (F.col("clean") > 0) & (F.length("unit") < LEAST_SHARED)).collect())
 
     def contexts(batches):
         scorer, counts = Scorer(plain), (Counter(), Counter())

@@ -571,14 +571,14 @@ def test_op10_automaton_equals_edit_distance():
         return row[-1]
 
     rng = random.Random(2)
-    words = {"".join(rng.choice("abcd") for _ in range(rng.randint(5, 7))) for _ in range(60)}
-    trie = toxicity.LexiconTrie(words, set())
+    words = {"".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(60)}
+    alone = frozenset(sorted(words)[::3])
+    trie = toxicity.LexiconTrie(words, set(), alone)
     for _ in range(800):
-        w = "".join(rng.choice("abcd") for _ in range(rng.randint(4, 8)))
-        near = min((x for x in words if distance(w, x) <= 1), default=None)
+        w = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 8)))
+        near = sorted(x for x in words - alone if len(x) >= toxicity.LEAST_FUZZY and distance(w, x) <= 1)
         assert trie.near(w) == near
-        if w not in words:
-            assert trie.find(w) == ((near, False) if near else None)
+        assert trie.find(w) == ((w, True) if w in words else (near[0], False) if near else None)
 
 
 def test_op10_context_and_misspellings():
@@ -592,6 +592,32 @@ def test_op10_context_and_misspellings():
     assert [c for _, _, _, c in scorer.matches("\n".join(lines))] == [toxicity.PLAIN, toxicity.QUOTED, toxicity.PLAIN, toxicity.QUOTED]
 
 
+def test_op10_single_quotes_and_apostrophes():
+    scorer = toxicity.Scorer({"weights": {"moron": 6.0}, "curve": (-4.0, 1.0), "exact_only": []})
+    quoted = ["she put 'that moron' there", "‘a moron’ it read", "('moron')", "'i don't like a moron' was it", "then ‚moron‘ stood"]
+    plain = ["don't be a moron, isn't it", "the dogs' moron", "'x a moron", "'x' moron 'y'", "rock 'n roll moron", "'open\nmoron' end", "o'moron's moron"]
+    for lines, context in ((quoted, toxicity.QUOTED), (plain, toxicity.PLAIN)):
+        for line in lines:
+            assert {c for w, _, _, c in scorer.matches(line) if w == "moron"} == {context}, line
+    long = "'a moron " * 50_000 + "'" * 50_000
+    assert {c for _, _, _, c in scorer.matches(long)} <= {toxicity.PLAIN, toxicity.QUOTED}
+
+
+def test_op10_many_terms_and_short_ones(spark):
+    """More terms than any former cap, all kept; terms of four letters met misspelt unless clean texts hold a neighbour."""
+    codes = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(0, 17576, 6)]
+    terms = [f"{c}q{c[::-1]}{c[1]}" for c in codes]  # no two within one edit
+    rng = np.random.default_rng(3)
+    plain = [a + b for a in "bolder trast wendel quilt foster marpin".split() for b in "ade ine ous ith ly um".split()]
+    rows = [" ".join(rng.permutation(["krot", "vamp", *terms[i // 2 % 15 :: 15]] if i % 2 else [*plain[i % 7 :: 2], "camp"])) for i in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(1200)], "doc_id long, toxic int"), held_out=0)
+    scorer = toxicity.Scorer(model)
+    assert len(set(terms)) > 2900 and all(scorer.trie.exact(t) for t in terms)
+    assert scorer.trie.find("krotz") == ("krot", False) and scorer.trie.find("kr0t") == ("krot", False)
+    assert scorer.trie.exact("vamp") and "vamp" in model["exact_only"] and not scorer.trie.find("damp")
+
+
 def test_op10_context_factors_follow_labels():
     same = toxicity._factors({toxicity.PLAIN: (0.5, 0.01, 500), toxicity.QUOTED: (0.5, 0.01, 10_000)})
     less = toxicity._factors({toxicity.PLAIN: (0.5, 0.01, 500), toxicity.QUOTED: (0.01, 0.5, 10_000)})
