@@ -331,6 +331,20 @@ def plain_licences(texts):
     return out
 
 
+def test_op5_notices_tags_and_parts_of_texts(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal"
+    cases = [
+        ("Apache License, Version 2.0", "apache-2.0"), ("Released under the terms of the Mozilla Public License 2.0.", "mpl-2.0"), ("// SPDX-License-Identifier: MIT", "mit"),
+        ("# SPDX-License-Identifier: GPL-3.0-only", "gpl-3.0"), ("free software under the GPL v3", "gpl-3.0"), (mit, "mit"), ("BSD 3-Clause License", "bsd-3-clause"),
+        ("the GNU Affero General Public License", "agpl-3.0,gpl"), ("All rights reserved", "reserved"), ("a licence of the public, version 2", ""), ("spdx license mit identifier", ""),
+        ("\n".join(f"SPDX-License-Identifier: {x}" for x in license_scan.TAGGED), ",".join(sorted(["cc-by", *(x.lower() for x in license_scan.TAGGED)]))),
+        ("w" * 300_000, ""), ("license mit " * 20_000 + "SPDX-License-Identifier: ISC", "isc"),
+    ]
+    got = {r.i: r.labels for r in license_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i long, text string")).collect()}
+    for i, (text, labels) in enumerate(cases):
+        assert got[i] == labels, text[:80]
+
+
 def test_op5_labels_against_every_template_at_every_word(spark, sf, docs):
     templates = [t for _, _, t in license_scan.TEMPLATES]
     some = [*(f"x y. {t.title()}! z" for t in templates), *(p for _, p, _ in license_scan.TEMPLATES), " --- ".join(templates), " ".join(p for _, p, _ in license_scan.TEMPLATES)]
