@@ -8,7 +8,7 @@ import pytest
 
 from folioflow.functions import text as T
 from folioflow.operators import ordered, review
-from folioflow.plans import catalogue, files, rules, states  # noqa: F401
+from folioflow.plans import catalogue, entries, files, rules, states  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
