@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -235,46 +237,83 @@ def limited(rows: DataFrame, book: str, order: str, pages: str, most: int, sampl
     return numbered.filter(within | at).select(book, order, within.alias("within_limit"), at.alias("sample"))
 
 
-def union_area(boxes: np.ndarray) -> int:
-    """The area that boxes (rows of left, top, right, bottom; any whole numbers) cover together: a sweep over their left and right edges."""
-    edges = sorted({*boxes[:, 0].tolist(), *boxes[:, 2].tolist()})
-    total = 0
+def union_area(boxes: list[tuple[int, int, int, int]]) -> int:
+    """The area that boxes (left, top, right, bottom; any whole numbers) cover together: a sweep over their left and right edges."""
+    edges = sorted({x for box in boxes for x in (box[0], box[2])})
+    by_top, total = sorted(boxes, key=lambda box: box[1]), 0
     for left, right in zip(edges, edges[1:], strict=False):
         reach, covered = None, 0
-        for top, bottom in sorted(boxes[(boxes[:, 0] <= left) & (boxes[:, 2] >= right)][:, [1, 3]].tolist()):
-            if reach is None or top > reach:
-                covered, reach = covered + bottom - top, bottom
-            elif bottom > reach:
-                covered, reach = covered + bottom - reach, bottom
+        for own_left, top, own_right, bottom in by_top:
+            if own_left <= left and own_right >= right:
+                if reach is None or top > reach:
+                    covered, reach = covered + bottom - top, bottom
+                elif bottom > reach:
+                    covered, reach = covered + bottom - reach, bottom
         total += covered * (right - left)
     return total
 
 
+#: Kept boxes from which those that meet another one are looked up in an array.
+IN_ARRAY = 64
+
+
+def _suppressed(boxes: list[tuple[int, int, int, int]], order: list[int], share: float) -> list[int]:
+    """Those of order, places of boxes (left, top, right, bottom) by area, that are kept."""
+    kept, union, array, n = [], [], np.empty((0, 4), dtype=np.int64), 0
+    for i in order:
+        l, t, r, b = boxes[i]
+        near = union
+        if len(union) > IN_ARRAY:
+            if len(array) < len(union):
+                array = np.concatenate([array, np.empty((2 * len(union) - len(array), 4), dtype=np.int64)])
+            array[n : len(union)], n = union[n:], len(union)
+            have = array[:n]
+            near = [union[k] for k in np.flatnonzero((have[:, 0] < r) & (have[:, 2] > l) & (have[:, 1] < b) & (have[:, 3] > t))]
+        met = [(max(x, l), max(y, t), min(u, r), min(v, b)) for x, y, u, v in near if x < r and u > l and y < b and v > t]
+        area = (r - l) * (b - t)
+        if not met or union_area(met) <= share * area:
+            kept.append(i)
+            if area:
+                union.append(boxes[i])
+    return kept
+
+
 def overlap_suppressed(boxes: DataFrame, group: str, share: float = 0.25) -> DataFrame:
     """boxes (group, id, x, y, w, h) with kept: by area, a box goes if more than share of its own area lies in the union of the kept ones.
 
-    The union depends on what was kept before, so that a group, the boxes of one page, is one task's. Only kept boxes that meet the one at hand are looked
-    at, cut to it: work and memory follow the boxes, not the page's size, and boxes may lie anywhere. A box without area stays, and covers nothing.
+    The union depends on what was kept before, so that a group, the boxes of one page, is one task's; a task takes the groups of its sorted partition one after
+    another and holds the rows of an open one. Only kept boxes that meet the one at hand are looked at, cut to it: work and memory follow the boxes, not the
+    page's size, and boxes may lie anywhere. A box without area stays, and covers nothing.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        x, y, w, h = (np.array(table.column(c).to_pylist(), dtype=np.int64) for c in ("x", "y", "w", "h"))
-        all_ = np.stack([x, y, x + np.maximum(w, 0), y + np.maximum(h, 0)], 1)
-        area = [int(a) * int(b) for a, b in zip(np.maximum(w, 0), np.maximum(h, 0), strict=True)]
-        ids, kept, union = table.column("id").to_pylist(), [False] * table.num_rows, np.empty((table.num_rows, 4), dtype=np.int64)
-        n = 0
-        for i in sorted(range(table.num_rows), key=lambda i: (-area[i], ids[i])):
-            own, have = all_[i], union[:n]
-            met = have[(have[:, 0] < own[2]) & (have[:, 2] > own[0]) & (have[:, 1] < own[3]) & (have[:, 3] > own[1])]
-            cut_ = np.concatenate([np.maximum(met[:, :2], own[:2]), np.minimum(met[:, 2:], own[2:])], 1)
-            if not len(met) or union_area(cut_) <= share * area[i]:
+    def decided(parts: list[pa.RecordBatch], starts: list[int]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        ids, x, y, w, h = (table.column(c).to_pylist() for c in ("id", "x", "y", "w", "h"))
+        all_ = [(a, b, a + max(c, 0), b + max(d, 0)) for a, b, c, d in zip(x, y, w, h, strict=True)]
+        kept = [False] * len(all_)
+        for s, e in zip(starts, [*starts[1:], len(all_)], strict=True):
+            order = sorted(range(s, e), key=lambda i: (-max(w[i], 0) * max(h[i], 0), ids[i])) if e - s > 1 else [s]
+            for i in _suppressed(all_, order, share):
                 kept[i] = True
-                if area[i]:
-                    union[n] = own
-                    n += 1
-        return table.append_column("kept", pa.array(kept))
-
-    return boxes.groupBy(group).applyInArrow(run, T_.StructType([*boxes.schema.fields, T_.StructField("kept", T_.BooleanType())]))
+        yield from table.append_column("kept", pa.array(kept)).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, key = [], 0, None
+        for batch in batches:
+            keys = batch.column(group).to_pylist()
+            begins = [i for i, k in enumerate(keys) if k != (keys[i - 1] if i else key) or not (i or held)]
+            if begins:
+                if held or begins[-1]:
+                    yield from decided([*held, batch.slice(0, begins[-1])], [0, *(n + i for i in begins[:-1] if n + i)])
+                held, n = [batch.slice(begins[-1])], batch.num_rows - begins[-1]
+                key = keys[-1]
+            elif keys:
+                held, n = [*held, batch], n + batch.num_rows
+        if held:
+            yield from decided(held, [0])
+
+    rows = boxes.repartition(group).sortWithinPartitions(group)
+    return rows.mapInArrow(run, T_.StructType([*boxes.schema.fields, T_.StructField("kept", T_.BooleanType())]))
 
 
 def usage_labels(usage: DataFrame, part: str, model: str, cost: str) -> DataFrame:

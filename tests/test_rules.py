@@ -6,6 +6,7 @@ import io
 import json
 import random
 import re
+import time
 import zipfile
 import zlib
 
@@ -223,3 +224,23 @@ def test_queue_is_applied_then_acknowledged(spark, tmp_path):
     send("2.json", [(2, 5, 9, 1, "e")])
     assert waiting() == [(1, 1, "d"), (2, 0, "c"), (2, 1, "e")]
     assert sorted(p.name for p in (tmp_path / "state").iterdir() if p.name.startswith("batch=")) == ["batch=1", "batch=2"]
+
+
+def test_many_small_pages_are_suppressed_in_few_goes(spark):
+    r = random.Random(16)
+    boxes = [(page, i, r.randrange(30), r.randrange(30), r.randrange(1, 25), r.randrange(1, 25)) for page in [*range(40000), None] for i in range(r.randrange(1, 4))]
+    boxes += [(-1, i, r.randrange(900), r.randrange(900), r.randrange(1, 25), r.randrange(1, 25)) for i in range(300)]
+    df = spark.createDataFrame(boxes, "page int, id int, x int, y int, w int, h int").repartition(4)
+    began = time.monotonic()
+    got = {(b.page, b.id): b.kept for b in review.overlap_suppressed(df, "page").collect()}
+    assert time.monotonic() - began < 20  # a Python call for each page takes longer
+    pages = {}
+    for b in boxes:
+        pages.setdefault(b[0], []).append(b)
+    for page in [*range(0, 40000, 40), -1, None]:
+        union = set()
+        for _, i, x, y, w, h in sorted(pages[page], key=lambda b: (-b[4] * b[5], b[1])):
+            own = {(a, b) for a in range(x, x + w) for b in range(y, y + h)}
+            assert got[page, i] == (len(own & union) <= 0.25 * len(own))
+            union |= own if got[page, i] else set()
+    assert len(got) == len(boxes)
