@@ -266,7 +266,8 @@ def _suppressed(boxes: list[tuple[int, int, int, int]], order: list[int], share:
         if len(union) > IN_ARRAY:
             if len(array) < len(union):
                 array = np.concatenate([array, np.empty((2 * len(union) - len(array), 4), dtype=np.int64)])
-            array[n : len(union)], n = union[n:], len(union)
+            if n < len(union):
+                array[n : len(union)], n = union[n:], len(union)
             have = array[:n]
             near = [union[k] for k in np.flatnonzero((have[:, 0] < r) & (have[:, 2] > l) & (have[:, 1] < b) & (have[:, 3] > t))]
         met = [(max(x, l), max(y, t), min(u, r), min(v, b)) for x, y, u, v in near if x < r and u > l and y < b and v > t]
