@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ HEADING_MARK = "## "
 HEADING_MOST, CAPITALS_MOST = 60, 30
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, where c is computed once a row: named twice, or within a lambda, it would be computed as often, or anew for each element."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE))
 
@@ -86,7 +93,7 @@ def inline_html(c: Column) -> Column:
     shown = lambda x: F.when(x["k"] == "r", F.concat(style, F.ltrim(F.regexp_replace(x["x"], right, "")), F.lit("</span>"))).when(x["k"] == "b", "<br/><br/>").otherwise(x["x"])
     # A break stands between two lines of text that follow one another.
     before = lambda all_, i: F.when((i > 0) & (F.get(all_, i)["k"] == "t") & (F.get(all_, i - 1)["k"] == "t"), "<br/>").otherwise("")
-    return F.array_join(F.transform(lines, lambda x, i: F.concat(before(lines, i), shown(x))), "")
+    return bound(lines, lambda all_: F.array_join(F.transform(all_, lambda x, i: F.concat(before(all_, i), shown(x))), ""))
 
 
 def clean_source(c: Column) -> Column:
