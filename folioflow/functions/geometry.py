@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import bound
+
 # What a bubble's outline has to be like.
 BORDER, ASPECT, FILL, WHITE, TEXT, DARK_ROW, SOLIDITY = 3, (0.25, 5.0), 0.45, 0.55, (0.008, 0.35), 0.12, 0.78
 
@@ -15,9 +17,12 @@ def _cross(a: Column, b: Column, c: Column) -> Column:
 
 def polygon_area2(points: Column) -> Column:
     """Twice the area of a polygon given by its corners in order."""
-    n = F.size(points)
-    parts = F.transform(points, lambda p, i: p["x"] * F.get(points, (i + 1) % n)["y"] - p["y"] * F.get(points, (i + 1) % n)["x"])
-    return F.abs(F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x))
+
+    def area(of: Column) -> Column:
+        parts = F.transform(of, lambda p, i: p["x"] * F.get(of, (i + 1) % F.size(of))["y"] - p["y"] * F.get(of, (i + 1) % F.size(of))["x"])
+        return F.abs(F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x))
+
+    return bound(points, area)
 
 
 def _half_hull(points: Column) -> Column:
@@ -38,15 +43,13 @@ def _half_hull(points: Column) -> Column:
 def hull(points: Column) -> Column:
     """The corners of the convex hull, in order; fewer than three points are their own."""
     whole = F.array_sort(F.array_distinct(F.transform(points, lambda p: F.struct(p["x"].cast("long").alias("x"), p["y"].cast("long").alias("y")))))
-    low, high = _half_hull(whole), _half_hull(F.reverse(whole))
-    ends = lambda side: F.slice(side, F.lit(1), F.greatest(F.size(side) - 1, F.lit(0)))
-    return F.when(F.size(whole) < 3, whole).otherwise(F.concat(ends(low), ends(high)))
+    ends = lambda side: bound(side, lambda s: F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))))
+    return bound(whole, lambda w: F.when(F.size(w) < 3, w).otherwise(F.concat(ends(_half_hull(w)), ends(_half_hull(F.reverse(w))))))
 
 
 def solidity(points: Column) -> Column:
     """The share of a contour's area in its hull's; null if that has none."""
-    of = polygon_area2(hull(points))
-    return F.when(of > 0, polygon_area2(points) / of)
+    return bound(polygon_area2(hull(points)), lambda of: F.when(of > 0, polygon_area2(points) / of))
 
 
 def is_bubble(x: Column, y: Column, w: Column, h: Column, area: Column, white: Column, text: Column, peak: Column, contour: Column, page_w: Column, page_h: Column, least: Column | int) -> Column:

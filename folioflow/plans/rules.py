@@ -385,7 +385,7 @@ def bubble_score(spark, sf_dir):
     star = F.array(*[corner(i, dx, dy) for i, (dx, dy) in enumerate(zip((3, 2, 0, -2, -3, -2, 0, 2), (0, 2, 3, 2, 0, -2, -3, -2), strict=True))])
     of = lambda f, c: f(F.transform("star", lambda p: p[c]))
     box = {"x": of(F.array_min, "x"), "y": of(F.array_min, "y"), "w": of(F.array_max, "x") - of(F.array_min, "x") + 1, "h": of(F.array_max, "y") - of(F.array_min, "y") + 1, "a2": G.polygon_area2(C("star"))}
-    rows = read(spark, sf_dir, "part").select("p_partkey", star.alias("star")).withColumns(box).withColumn("area", F.expr("a2 div 2"))
+    rows = dealt(spark, read(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", star.alias("star")).withColumns(box).withColumn("area", F.expr("a2 div 2"))
     rows = rows.withColumns({"white": F.expr("area * (50 + p_partkey % 51) div 100"), "ink": F.expr("area * (p_partkey % 43) div 100"), "peak": F.expr("w * (p_partkey % 37) div 60"), "page_w": 560 - k % 9 * 20})
     bubble = G.is_bubble(C("x"), C("y"), C("w"), C("h"), C("area"), C("white"), C("ink"), C("peak"), C("star"), C("page_w"), F.lit(420), 400)
     return rows.select("p_partkey", "a2", G.polygon_area2(G.hull(C("star"))).alias("hull2"), bubble.alias("bubble"))

@@ -244,3 +244,17 @@ def test_many_small_pages_are_suppressed_in_few_goes(spark):
             assert got[page, i] == (len(own & union) <= 0.25 * len(own))
             union |= own if got[page, i] else set()
     assert len(got) == len(boxes)
+
+
+def test_hulls_and_lines_are_computed_once(spark):
+    """Expressions that are named twice, or stand in a lambda, are bound: of the input there is one in the plan."""
+    from folioflow.functions import geometry
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    points = spark.createDataFrame([([(0, 0), (4, 0), (1, 1), (4, 4), (0, 4)],)], "p array<struct<x:long,y:long>>")
+    area = points.select(geometry.polygon_area2(geometry.hull(F.col("p"))).alias("a"))
+    assert area.first().a == 32 and plan(area).count("array_sort") == 1
+    share = points.select(geometry.solidity(F.col("p")).alias("s"))
+    assert share.first().s == 20 / 32 and plan(share).count("array_sort") == 1
+    pages = spark.createDataFrame([("a\nb\n\n>> c",)], "t string").select(text.inline_html(F.col("t")).alias("h"))
+    assert pages.first().h == 'a<br/>b<br/><br/><span style="display:block;text-align:right;text-indent:0">c</span>' and plan(pages).count("split(") == 1
