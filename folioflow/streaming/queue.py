@@ -17,6 +17,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 #: What the queue is told: an edit, an acknowledgement (what of fp was applied, up to a place) or a wish to see the queue.
 EVENTS = "book long, seq long, kind string, fp long, idx long, text string, upto long"
 CHANGES = "book long, idx long, text string, fp long, seq long, change string"
+_CHANGE = Row("book", "idx", "text", "fp", "seq", "change")
 #: A listing is told again from its copy for so long, unless the queue changes.
 LIST_MS = 45_000
 #: Attempts at a request, and the wait before the next one: so many milliseconds times the attempts made.
@@ -41,33 +42,46 @@ class EditQueue(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "idx long", "text string, fp long, seq long")
         self.listing = handle.getValueState("listing", "n long, upto long", ttlDurationMs=self.list_ms)
 
-    def _gone(self, book: int, least: int | None = None) -> Iterator[Row]:
-        """Entries that leave the queue: all, or those up to a place."""
-        for (idx,), (text, fp, seq) in sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator()):
-            if least is None or seq <= least:
-                self.waiting.removeKey((idx,))
-                yield Row(book=book, idx=idx, text=text, fp=fp, seq=seq, change="gone")
-
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        """The queue is read once and what differs at the end is written: entries put and removed in turn would leave marks in the store that each later look passes over."""
         (book,) = key
-        for r in sorted(rows, key=lambda r: (r.seq, r.kind)):
-            stored = self.fence.get()[0] if self.fence.exists() else None
-            if r.kind == "list":
-                if not self.listing.exists():
-                    seqs = [v[2] for _, v in self.waiting.iterator()]
-                    self.listing.update((len(seqs), max(seqs, default=-1)))
-                n, upto = self.listing.get()
-                yield Row(book=book, idx=n, text=None, fp=stored, seq=upto, change="listed")
+        fence = self.fence.get()[0] if self.fence.exists() else None
+        before = {tuple(k)[0]: tuple(v) for k, v in self.waiting.iterator()}
+        waiting, fenced, changed = dict(before), False, False
+
+        def gone(least: int | None = None) -> Iterator[Row]:
+            """Entries that leave the queue: all, or those up to a place."""
+            for idx, (text, fp, seq) in sorted(waiting.items()):
+                if least is None or seq <= least:
+                    del waiting[idx]
+                    yield _CHANGE(book, idx, text, fp, seq, "gone")
+
+        for seq, kind, fp, idx, text, upto in sorted(((r.seq, r.kind, r.fp, r.idx, r.text, r.upto) for r in rows), key=lambda r: r[:2]):
+            if kind == "list":
+                if changed or not self.listing.exists():
+                    self.listing.update((len(waiting), max((v[2] for v in waiting.values()), default=-1)))
+                    changed = False
+                n, last = self.listing.get()
+                yield _CHANGE(book, n, None, fence, last, "listed")
                 continue
-            if r.kind == "edit":
-                if stored is not None and r.fp != stored:
-                    yield from self._gone(book)
-                self.fence.update((r.fp,))
-                self.waiting.updateValue((r.idx,), (r.text, r.fp, r.seq))
-                yield Row(book=book, idx=r.idx, text=r.text, fp=r.fp, seq=r.seq, change="set")
-            elif r.kind == "ack":
-                if stored is None or stored == r.fp:
-                    yield from self._gone(book, r.upto)
+            if kind == "edit":
+                if fence is not None and fp != fence:
+                    yield from gone()
+                fence, fenced = fp, True
+                waiting[idx] = (text, fp, seq)
+                yield _CHANGE(book, idx, text, fp, seq, "set")
+            elif kind == "ack":
+                if fence is None or fence == fp:
+                    yield from gone(upto)
+            changed = True
+        for idx in before.keys() - waiting.keys():
+            self.waiting.removeKey((idx,))
+        for idx, entry in waiting.items():
+            if before.get(idx) != entry:
+                self.waiting.updateValue((idx,), entry)
+        if fenced:
+            self.fence.update((fence,))
+        if changed:
             self.listing.clear()
 
     def close(self) -> None:

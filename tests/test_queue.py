@@ -83,3 +83,48 @@ def test_retries_by_the_answers_own_times(stream, tmp_path):
     assert ends(got) == ends(want) == {(1, 3, ms(1, 2), "done"), (2, 3, ms(2, 2), "failed"), (3, 1, ms(3, 0), "done"), (4, 1, ms(4, 0), "failed"), (5, 2, ms(5, 1), "done")}
     assert {x for x in want if x[3] == "due"} == {(1, 2, ms(1, 0) + 1300, "due"), (1, 3, ms(1, 1) + 2600, "due"), (2, 2, ms(2, 0) + 1300, "due"), (2, 3, ms(2, 1) + 2600, "due"), (5, 2, ms(5, 0) + 1300, "due")}
     assert {x for x in got if x[3] == "due"} <= {x for x in want if x[3] == "due"}
+
+
+def test_a_batch_touches_the_state_by_what_is_left_of_it():
+    """Generations that come and go within a micro-batch are told but neither put into the store nor removed from it."""
+    from pyspark.sql import Row
+
+    calls = []
+
+    class Held:
+        def __init__(self, name):
+            self.name, self.value, self.map = name, None, {}
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, v):
+            calls.append(self.name)
+            self.value = v
+
+        def clear(self):
+            calls.append(self.name)
+            self.value = None
+
+        def iterator(self):
+            return iter(list(self.map.items()))
+
+        def updateValue(self, k, v):
+            calls.append(self.name)
+            self.map[k] = v
+
+        def removeKey(self, k):
+            calls.append(self.name)
+            del self.map[k]
+
+    q = queue.EditQueue()
+    q.fence, q.waiting, q.listing = Held("fence"), Held("waiting"), Held("listing")
+    rows = [Row(**event(1, k, fp=k // 10, idx=k % 5, text=f"t{k}")) for k in range(1000)]
+    told = list(q.handleInputRows((1,), iter(rows[::-1]), None))
+    assert [x.change for x in told].count("set") == 1000 and [x.change for x in told].count("gone") == 99 * 5
+    assert q.waiting.map == {(k % 5,): (f"t{k}", 99, k) for k in range(995, 1000)} and q.fence.value == (99,) and len(calls) <= 10
+    told = list(q.handleInputRows((1,), iter([Row(**event(1, 1000, "ack", fp=99, upto=996)), Row(**event(1, 1001, "list"))]), None))
+    assert [(x.change, x.idx, x.seq) for x in told] == [("gone", 0, 995), ("gone", 1, 996), ("listed", 3, 999)] and sorted(q.waiting.map) == [(2,), (3,), (4,)]
