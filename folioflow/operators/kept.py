@@ -31,6 +31,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows that a task of a join or fold is dealt: their number sets that of the partitions, so that what a task holds does not grow with the tables.
+TASK_ROWS = 1 << 20
+
+
+def spread(rows: int, df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys in as many partitions as so many rows need, the cores' number at least; frames spread alike join without another exchange."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
+
+
 def sized(df: DataFrame, row_bytes: Column | int = 64) -> DataFrame:
     """df (already cut, or cheap) with a broadcast hint if its measured rows and bytes are under the bounds; else df as it is."""
     row_bytes = F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes

@@ -14,6 +14,7 @@ from folioflow.functions import rules as R
 from folioflow.functions import text as T
 from folioflow.operators import ordered as O
 from folioflow.operators import review as V
+from folioflow.operators.kept import spread
 from folioflow.plans.catalogue import dealt, docs, lines, query, read
 from folioflow.sinks import archives as A
 from folioflow.sinks import books as K
@@ -152,9 +153,10 @@ p AS (SELECT k FROM r WHERE k IN (SELECT k FROM f))
 SELECT k AS page, false AS locked, 0 AS part FROM p UNION ALL SELECT k, true, 1 FROM f WHERE k NOT IN (SELECT k FROM p)""")
 def review_pages(spark, sf_dir):
     """Pages that are done and have entries and a final image; then other finals, locked."""
-    orders = read(spark, sf_dir, "orders").select(C("o_orderkey").alias("page"), "o_orderstatus")
-    finals = orders.filter("page % 3 <> 0").select("page")
-    own = orders.filter("o_orderstatus = 'O'").select("page").join(read(spark, sf_dir, "lineitem").select(C("l_orderkey").alias("page")), "page", "left_semi").join(finals, "page", "left_semi")
+    orders, entries = read(spark, sf_dir, "orders").select(C("o_orderkey").alias("page"), "o_orderstatus"), read(spark, sf_dir, "lineitem").select(C("l_orderkey").alias("page"))
+    rows = orders.count() + entries.count()
+    finals = spread(rows, orders.filter("page % 3 <> 0").select("page"), "page")
+    own = spread(rows, orders.filter("o_orderstatus = 'O'").select("page"), "page").join(spread(rows, entries, "page"), "page", "left_semi").join(finals, "page", "left_semi")
     return V.with_unlisted(own, finals, "page")
 
 
