@@ -14,7 +14,7 @@ from folioflow.functions import rules as R
 from folioflow.functions import text as T
 from folioflow.operators import ordered as O
 from folioflow.operators import review as V
-from folioflow.operators.kept import spread
+from folioflow.operators.kept import cut, spread
 from folioflow.plans.catalogue import dealt, docs, lines, query, read
 from folioflow.sinks import archives as A
 from folioflow.sinks import books as K
@@ -276,7 +276,9 @@ UNION ALL SELECT a.page, CAST(t.top + row_number() OVER (PARTITION BY a.page ORD
 def rework_actions(spark, sf_dir):
     """Actions of all tags on the entries of pages, some of which are locked."""
     first = F.row_number().over(W.partitionBy("page", "id").orderBy("p", "s", "q", "tax", "text", "confidence"))
-    own = _entries(spark, sf_dir).withColumn("first", first).filter("first = 1")
+    rows = _entries(spark, sf_dir)
+    own = spread(rows.count(), rows, "page").withColumn("first", first).filter("first = 1")
+    own = cut(own.select("page", "id", "p", "s", "kind", "confidence", "text", "hand", "sfx"))  # once, by page: what follows needs no other exchange
     none = F.lit(None).cast("string")
     entries = own.select("page", "id", "text", none.alias("src"), "kind", "confidence", F.lit("ocr").alias("passes"), F.when(C("p") % 5 == 0, "F").alias("font"), none.alias("region"), (C("p") % 7 == 0).alias("clean"), "hand", "sfx")
     p, s = C("p"), C("s")

@@ -258,3 +258,14 @@ def test_hulls_and_lines_are_computed_once(spark):
     assert share.first().s == 20 / 32 and plan(share).count("array_sort") == 1
     pages = spark.createDataFrame([("a\nb\n\n>> c",)], "t string").select(text.inline_html(F.col("t")).alias("h"))
     assert pages.first().h == 'a<br/>b<br/><br/><span style="display:block;text-align:right;text-indent:0">c</span>' and plan(pages).count("split(") == 1
+
+
+def test_tasks_are_dealt_a_bounded_number_of_rows(spark, sf, monkeypatch):
+    """Partitions follow the rows, and what is spread by page is not exchanged again."""
+    from folioflow.operators import kept
+
+    monkeypatch.setattr(kept, "TASK_ROWS", 500)
+    rows = catalogue.read(spark, sf, "orders").count() + catalogue.read(spark, sf, "lineitem").count()
+    plan = queries.review_pages(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"hashpartitioning\(page#\d+L, {-(-rows // 500)}\)", plan)
+    assert queries.rework_actions(spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 0
