@@ -7,9 +7,9 @@ the complete distance is verified. Equal fingerprints are one table row, so copi
 Buckets of over CROWD fingerprints, where pairs would grow with the square, are linked without pairs: by shared
 points of small balls around the rest of the fingerprint (link), which finds the same components exactly.
 
-Near-duplicates of a stated Jaccard similarity (near_groups, one_of_each) are looked up by bands of minima, not by segments of such a fingerprint:
-at similarity 0.8 of the shingles a SimHash bit differs with probability 0.15, so that a segment that is selective among N texts (log2 N
-bits) agrees within one bit in 17 % of the pairs at 20 bits and in 2 % at 36, and the tables that find 99 % of the pairs grow from 24 to over 200 a text.
+Near-duplicates of a stated Jaccard similarity (near_groups, one_of_each) are found by the same method, with fingerprints of 192 bits in nine segments: at similarity
+0.8 of the shingles a bit differs with probability 0.15, so that whole balls would be too large. The bits that differ are those whose majority was narrow, and of each
+segment's ball the points that are likeliest by that are looked up. What meets there is held against the complete distance, and what passes against the exact similarity.
 
 Defined results: a null or wordless text has fingerprint zero and links as any other; equal texts link; a group's
 component_id is its smallest doc_id (null if all are null); rows that repeat get a row each (one_of_each keeps
@@ -163,39 +163,162 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 #: Near-duplicates share this part of their distinct five-word shingles or more.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Each band is a bucket key of so many minima of the hashed shingles. A minimum agrees in a pair as often as its similarity
-#: says, whatever the edits are: at 0.8 all bands miss in four pairs of 10000, at 0.85 in three of a million.
-BANDS, MINIMA = 20, 5
+#: Fingerprints have so many longs; each holds SEGMENTS segments of WIDTH bits.
+LONGS, SEGMENTS, WIDTH = 3, 3, 21
+#: Points of a segment's ball that are looked up, its own value among them, out of those that flip some of its so many narrowest bits.
+POINTS, NARROW = 18, 8
+#: Sets of so many shingles or fewer, where a shingle moves many bits at once, are looked up as they are without any one of them, too.
+FEW = 12
+#: Bits in which fingerprints may differ for their texts' exact similarity to be looked at: at similarity 0.8 of them differ 29 with a deviation of 5, without any 96 with one of 7.
+FAR = 56
+#: Rows from which buckets of the sorted lookup are taken together.
+SCANNED = 1 << 16
 #: Members and shingles of a block, in which all pairs are verified in one task; larger buckets are more blocks.
 MEMBERS, SHINGLES = 2048, 2_000_000
 #: Rounds in which a large bucket's unconnected parts are dealt into blocks anew, before all its blocks meet each other.
 ROUNDS = 2
 #: Shingles that this many members of a block share or fewer are counted pair by pair, others by products of matrices.
 RARE = 12
-_FACTORS, _MIX = (np.random.default_rng(42 + k).integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1) for k, n in enumerate((BANDS * MINIMA, MINIMA)))
-
-
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """The bands' keys of a set of hashes."""
-    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(hashes), BLOCK >> 6):
-        np.minimum(least, (hashes[i : i + (BLOCK >> 6), None] * _FACTORS).min(0), out=least)
-    return (_spread(least, 1).reshape(BANDS, MINIMA) * _MIX).sum(1, dtype=np.uint64).view(np.int64)
+_FLIPS = (np.arange(1 << NARROW)[:, None] >> np.arange(NARROW)) & 1
+
+
+def bit_counts(sets: list[np.ndarray], longs: int = LONGS) -> np.ndarray:
+    """Rows of longs x 64 counts: in how many of a set's hashes each bit is set. Sums of up to 255 hashes are taken eight bits at a time, in the bytes of a long."""
+    sizes = np.array([len(h) for h in sets], np.int64)
+    out = np.zeros((len(sets), longs * 64), np.int64)
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return out
+    flat = np.concatenate([sets[i] for i in some])
+    ends = np.cumsum(sizes[some])
+    cuts = np.concatenate([np.arange(e - n, e, 255) for e, n in zip(ends, sizes[some], strict=True)])
+    of = np.repeat(some, -(-sizes[some] // 255))
+    step = BLOCK // 255
+    for i in range(0, len(cuts), step):
+        at, own = cuts[i : i + step], of[i : i + step]
+        rows = flat[at[0] : cuts[i + step] if i + step < len(cuts) else len(flat)]
+        heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        for k in range(longs):
+            h = _spread(rows, k)
+            sums = np.stack([np.add.reduceat((h >> np.uint64(b)) & np.uint64(0x0101010101010101), at - at[0]).astype("<u8").view(np.uint8).reshape(-1, 8) for b in range(8)], axis=2)
+            out[own[heads], 64 * k : 64 * k + 64] += np.add.reduceat(sums.reshape(len(at), 64), heads, axis=0, dtype=np.int64)
+    return out
 
 
-def signatures(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs' ids with text_key (the text's hash), the bands' keys and the hashes of the distinct shingles."""
+def prints_and_points(sets: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sets' fingerprints (LONGS longs) and the values looked up for each, the number of the segment above their bits; a segment's own value is the first of its points."""
+    segment = np.arange(LONGS * SEGMENTS, dtype=np.int64) << WIDTH
+    parts = lambda x: x.reshape(-1, LONGS, 64)[:, :, : SEGMENTS * WIDTH].reshape(-1, LONGS * SEGMENTS, WIDTH)
+    values = lambda bits: parts(bits).astype(np.int64) @ (np.int64(1) << np.arange(WIDTH)) + segment
+    counts, sizes = bit_counts(sets), np.array([len(h) for h in sets], np.int64)[:, None]
+    bits = 2 * counts > sizes
+    # The odds that a bit does not differ at SIMILARITY, by how far its majority is from an even one: log odds of the normal distribution.
+    x = 1.94 * np.abs(2 * counts - sizes) / np.sqrt(np.maximum(sizes, 1))
+    odds = parts(1.5976 * x + 0.0706 * x**3)
+    narrow = np.argsort(odds, axis=2, kind="stable")[:, :, :NARROW]
+    best = np.argsort(np.take_along_axis(odds, narrow, 2) @ _FLIPS.T, axis=2, kind="stable")[:, :, :POINTS]
+    masks = np.take_along_axis((np.int64(1) << narrow) @ _FLIPS.T, best, 2)
+    points = list((values(bits)[:, :, None] ^ masks).reshape(len(sets), -1))
+    few = [i for i, h in enumerate(sets) if 1 < len(h) <= FEW]
+    less = [np.delete(sets[i], k) for i in few for k in range(len(sets[i]))]
+    if less:
+        own = values(2 * bit_counts(less) > np.array([len(h) for h in less])[:, None])
+        for i, more in zip(few, np.split(own, np.cumsum([len(sets[i]) for i in few])[:-1]), strict=True):
+            points[i] = np.concatenate([points[i], np.setdiff1d(more, points[i])])
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8"), points
+
+
+def _kind(h: np.ndarray) -> int:
+    """The name of a set of hashes."""
+    return xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), 42) - (1 << 63)
+
+
+def signatures(docs: DataFrame, text_col: str, columns: tuple[str, ...] = ("prints", "segs", "full")) -> DataFrame:
+    """docs' ids with text_key (the text's hash), kind (the name of its set of distinct shingles) and, of these, the columns asked for: prints (the
+    fingerprint's longs), segs (the values looked up, each at its place) and full (the hashes of the distinct shingles)."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-                full = [np.unique(shingle_hashes(words_of(t.as_py()), SHINGLE)) for t in part.column(2)]
-                segs = [band_keys(h) for h in full]
-                arrays = [pa.array([h.view(np.int64) for h in x], pa.list_(pa.int64())) for x in (segs, full)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=["id", "text_key", "segs", "full"])
+                sets = [np.unique(shingle_hashes(words_of(t.as_py()), SHINGLE)) for t in part.column(2)]
+                own = {"full": [h.view(np.int64) for h in sets]}
+                if "segs" in columns:
+                    prints, points = prints_and_points(sets)
+                    own |= {"prints": list(prints.view(np.int64)), "segs": points}
+                arrays = [pa.array([_kind(h) for h in sets], pa.int64()), *(pa.array(own[c], pa.list_(pa.int64())) for c in columns)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=["id", "text_key", "kind", *columns])
+
+    schema = ", ".join(["id long, text_key long, kind long", *(f"{c} array<long>" for c in columns)])
+    return docs.select("id", F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def near_in_buckets(keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """For rows sorted by bucket: the first row that steps of at most FAR bits between rows of its bucket reach, -1 if none is near. prints: a row of unsigned longs each."""
+    n = len(keys)
+    first, i = np.arange(n), np.arange(n)
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.append(starts, n))
+    met, crowded = np.zeros(n, bool), np.repeat(sizes > CROWD, sizes)
+    near, d, i = [], 1, i[~crowded]
+    while len(i):
+        i = i[i + d < n]
+        i = i[keys[i] == keys[i + d]]
+        near.append(np.stack([i, i + d])[:, np.bitwise_count(prints[i] ^ prints[i + d]).sum(1, dtype=np.int64) <= FAR])
+        d += 1
+    a, b = np.concatenate(near, axis=1) if near else np.zeros((2, 0), np.int64)
+    met[a] = met[b] = True
+    while (first[a] != first[b]).any():
+        least = np.minimum(first[a], first[b])
+        np.minimum.at(first, a, least)
+        np.minimum.at(first, b, least)
+    for s, m in zip(starts[sizes > CROWD], sizes[sizes > CROWD], strict=True):
+        left = np.arange(s, s + m)
+        while len(left):
+            head, reached, left = left[0], [left[0]], left[1:]
+            while reached and len(left):
+                close = np.bitwise_count(prints[left] ^ prints[reached.pop()]).sum(1, dtype=np.int64) <= FAR
+                new, left = left[close], left[~close]
+                first[new], met[new] = head, True
+                met[head] |= len(new) > 0
+                reached += new.tolist()
+    return np.where(met, first, -1)
 
-    return docs.select("id", F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, "id long, text_key long, segs array<long>, full array<long>")
+
+def met(kinds: DataFrame) -> DataFrame:
+    """Rows seg, key, kind: the groups (seg, key) of kinds (kind, prints, segs) that meet in a looked-up value and are within FAR bits there, or chains of them.
+
+    A group is named by its members, so that one which meets in several places is one. Rows lie sorted by value; a bucket's are held in one task, without their sets.
+    They are dealt by the values' upper bits, which most points of a segment share, so that a kind's rows lie side by side and compress.
+    """
+
+    def run(batches):
+        held = []
+
+        def groups(rows: list[np.ndarray]) -> pa.RecordBatch:
+            keys, names, *longs = np.concatenate(rows, axis=1)
+            first = near_in_buckets(keys, np.stack(longs, axis=1).view(np.uint64))
+            own = np.flatnonzero(first >= 0)
+            sums = np.zeros(len(keys), np.uint64)
+            np.add.at(sums, first[own], _spread(names[own].view(np.uint64), 1))
+            pairs = np.unique(np.stack([sums[first[own]].view(np.int64), names[own]]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["key", "kind"])
+
+        for b in batches:
+            rows = np.stack([c.to_numpy() for c in b.columns])
+            ends = np.flatnonzero(rows[0] != rows[0, -1]) if b.num_rows else []
+            if len(ends) and sum(r.shape[1] for r in held) >= SCANNED:
+                cut_at = ends[-1] + 1
+                yield groups([*held, rows[:, :cut_at]])
+                held, rows = [], rows[:, cut_at:]
+            if rows.shape[1]:
+                held.append(rows)
+        if held:
+            yield groups(held)
+
+    rows = kinds.select(F.explode("segs").alias("key"), "kind", *(F.col("prints")[k].alias(f"print{k}") for k in range(LONGS)))
+    dealt = rows.repartition(F.shiftright("key", WIDTH - 8)).sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "key long, kind long").distinct().select(F.lit(0).alias("seg"), "key", "kind")
 
 
 def common_shingles(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -279,44 +402,53 @@ def _edges(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar(kinds: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
-    """Edges a, b that connect exactly those of kinds (kind, segs) that share a band and have the similarity, and chains of them.
+    """Edges a, b that connect exactly those of kinds that share a bucket and have the similarity, and chains of them.
 
-    sets_of gives the rows kind, full of some kinds. A bucket is a block, or blocks of bounded size if it is a large one; all pairs of a block are
-    verified where it lies and only what connects them is a row. Parts of large buckets that are connected already become one member, which is dealt anew,
-    and at the end the blocks of buckets that still have several parts meet each other. Rounds change the work alone.
+    kinds: kind, segs, of which each place and value is a bucket; or seg, key, kind, a row for each bucket of a kind. sets_of gives the rows kind, full of some kinds.
+    A bucket is a block, or blocks of bounded size if it is a large one; all pairs of a block are verified where it lies and only what connects them is a row.
+    Each kind's largest bucket comes first, as the others of near copies are mostly parts of it: of those, only what still holds several parts is verified too.
+    Parts of large buckets that are connected already become one member, which is dealt anew,
+    and at the end the blocks of buckets that still have several parts meet each other. Rounds and order change the work alone.
     """
     small_batches(kinds.sparkSession)
-    table = kinds.select("kind", F.posexplode("segs").alias("seg", "key"))
+    table = cut(kinds.select("kind", F.posexplode("segs").alias("seg", "key")) if "segs" in kinds.columns else kinds)
     shared = cut(table.groupBy("seg", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seg", "key"))
     table = cut(table.join(shared, ["seg", "key"]))
     sets = cut(sets_of(table.select("kind").distinct()).select("kind", "full", F.size("full").alias("n")))
-    table = cut(table.join(sets.select("kind", "n"), "kind"))
+    table = table.join(sets.select("kind", "n"), "kind")
 
     def blocks_of(rows: DataFrame) -> DataFrame:
         """The blocks that the buckets of rows need."""
         n = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)), F.ceil(F.sum("n") / F.lit(SHINGLES)))
-        return rows.groupBy("seg", "key").agg(n.alias("blocks"))
+        return rows.groupBy("seg", "key").agg(n.alias("blocks"), F.count(F.lit(1)).alias("members"))
 
     def place(seed: int) -> Column:
         return F.pmod(F.xxhash64("kind", F.lit(seed)), F.col("blocks"))
 
+    def apart(members: DataFrame) -> DataFrame:
+        """The rows of buckets that hold several roots."""
+        several = members.groupBy("seg", "key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("seg", "key")
+        return cut(members.join(several, ["seg", "key"]))
+
     with_sets = lambda rows: rows.join(sets.select("kind", "full"), "kind")
-    size = blocks_of(table)
-    rows = table.join(size, ["seg", "key"]).select("kind", F.col("kind").alias("root"), F.xxhash64("seg", "key", place(0)).alias("block"))
-    edges = cut(_edges(with_sets(rows), similarity))
-    large = cut(size.filter("blocks > 1"))
-    if large.isEmpty():
+    in_blocks = lambda rows, root: rows.select("kind", root.alias("root"), F.xxhash64("seg", "key", place(0)).alias("block"))
+    table = cut(table.join(blocks_of(table), ["seg", "key"]))
+    largest = cut(table.groupBy("kind").agg(F.max(F.struct("members", F.xxhash64("seg", "key").alias("h"), "seg", "key")).alias("m")).select("m.seg", "m.key").distinct())
+    edges = cut(_edges(with_sets(in_blocks(table.join(largest, ["seg", "key"]), F.col("kind"))), similarity))
+    others = cut(table.join(largest, ["seg", "key"], "left_anti"))
+    if not others.isEmpty():
+        others = apart(_rooted(others, edges))
+        edges = cut(edges.unionByName(_edges(with_sets(in_blocks(others, F.col("root"))), similarity)))
+    many = cut(table.filter("blocks > 1").select("seg", "key", "kind", "n"))
+    if many.isEmpty():
         return edges
-    many = cut(table.join(large.select("seg", "key"), ["seg", "key"]))
     for k in range(1, rounds + 1):
         members = _rooted(many, edges)
         pick = F.min(F.struct(F.xxhash64("kind", F.lit(-k)).alias("h"), F.col("kind").alias("kind"), F.col("n").alias("n")))
         one = cut(members.groupBy("seg", "key", "root").agg(pick.alias("m")).select("seg", "key", "root", "m.kind", "m.n"))
         rows = one.join(blocks_of(one), ["seg", "key"]).select("kind", "root", F.xxhash64("seg", "key", place(k), F.lit(k)).alias("block"))
         edges = cut(edges.unionByName(_edges(with_sets(rows), similarity)))
-    members = _rooted(many, edges)
-    apart = members.groupBy("seg", "key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r < s").select("seg", "key")
-    left = cut(members.join(apart, ["seg", "key"]))
+    left = apart(_rooted(many, edges))
     own = left.join(blocks_of(left), ["seg", "key"]).withColumn("i", place(rounds + 1)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = own.select("kind", "root", F.xxhash64("seg", "key", F.least("i", "j"), F.greatest("i", "j"), F.lit(rounds + 1)).alias("block"))
     return cut(edges.unionByName(_edges(with_sets(rows), similarity)))
@@ -336,16 +468,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """Rows id, fp, component_id; text_key, the text's hash, tells the rows of one id apart."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    each = cut(signatures(rows, "text").select("id", "text_key", F.xxhash64("full").alias("fp"), "segs"))
-    kinds = cut(each.groupBy(F.col("fp").alias("kind")).agg(F.first("segs").alias("segs"), F.min(F.struct("text_key", "id")).alias("of")))
+    each = cut(signatures(rows, "text", ("prints", "segs")).withColumnRenamed("kind", "fp"))
+    kinds = cut(each.groupBy(F.col("fp").alias("kind")).agg(F.first("prints").alias("prints"), F.first("segs").alias("segs"), F.min(F.struct("text_key", "id")).alias("of")))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        """Of kinds that share a bucket alone, from one of their texts: whole sets take more room than the texts."""
+        """Of kinds that meet another alone, from one of their texts: whole sets take more room than the texts."""
         of = kinds.join(wanted, "kind").select(F.col("of.text_key").alias("own_key"), F.col("of.id").alias("own_id"))
         own = rows.join(of, (F.xxhash64("text") == F.col("own_key")) & F.col("id").eqNullSafe(F.col("own_id")), "left_semi")
-        return signatures(own, "text").select(F.xxhash64("full").alias("kind"), "full").dropDuplicates(["kind"])
+        return signatures(own, "text", ("full",)).select("kind", "full").dropDuplicates(["kind"])
 
-    return group(each.select("id", "text_key", "fp"), similar(kinds.select("kind", "segs"), sets_of, similarity))
+    return group(each.select("id", "text_key", "fp"), similar(met(kinds), sets_of, similarity))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
