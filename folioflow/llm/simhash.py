@@ -173,9 +173,11 @@ FEW = 12
 FAR = 56
 #: Rows from which buckets of the sorted lookup are taken together.
 SCANNED = 1 << 16
-#: Members and shingles of a block, in which all pairs are verified in one task; larger buckets are more blocks.
-MEMBERS, SHINGLES = 2048, 2_000_000
-#: Rounds in which a large bucket's unconnected parts are dealt into blocks anew, before all its blocks meet each other.
+#: Members and shingles of a block, in which all pairs are verified in one task; larger buckets are more blocks; blocks that meet each other have MEETING members.
+MEMBERS, MEETING, SHINGLES = 64, 256, 2_000_000
+#: Blocks of a bucket that all meet each other, so that no member is in more; of larger buckets members meet in their rarest shingles.
+MEETINGS = 16
+#: Rounds in which a large bucket's unconnected parts are dealt into blocks anew, before all its blocks or its members' rarest shingles meet.
 ROUNDS = 2
 #: Shingles that this many members of a block share or fewer are counted pair by pair, others by products of matrices.
 RARE = 12
@@ -285,10 +287,25 @@ def near_in_buckets(keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return np.where(met, first, -1)
 
 
+def spanned(first: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows and the first row that each reaches (-1: none): pairs of names, as few as connect what rows, and rows of one name, connect: each with the least that it reaches."""
+    own = np.flatnonzero(first >= 0)
+    known, at = np.unique(names[np.concatenate([first[own], own])], return_inverse=True)
+    a, b = np.split(at, 2)
+    least = np.arange(len(known))
+    while (least[a] != least[b]).any():
+        low = np.minimum(least[a], least[b])
+        for x in (a, b, least[a], least[b]):
+            np.minimum.at(least, x, low)
+        least = least[least]
+    far = np.flatnonzero(least != np.arange(len(known)))
+    return known[least[far]], known[far]
+
+
 def met(kinds: DataFrame) -> DataFrame:
-    """Rows seg, key, kind: the groups (seg, key) of kinds (kind, prints, segs) that meet in a looked-up value and are within FAR bits there, or chains of them.
+    """Rows seg, key, kind: the group (seg, key) of each of kinds (kind, prints, segs) that meets others in a looked-up value and is within FAR bits there, and of chains of them.
 
-    A group is named by its members, so that one which meets in several places is one. Rows lie sorted by value; a bucket's are held in one task, without their sets.
+    A kind is in one group, however many values it meets others in. Rows lie sorted by value; a bucket's are held in one task, without their sets, and only what spans its groups is a row.
     They are dealt by the values' upper bits, which most points of a segment share, so that a kind's rows lie side by side and compress.
     """
 
@@ -297,12 +314,8 @@ def met(kinds: DataFrame) -> DataFrame:
 
         def groups(rows: list[np.ndarray]) -> pa.RecordBatch:
             keys, names, *longs = np.concatenate(rows, axis=1)
-            first = near_in_buckets(keys, np.stack(longs, axis=1).view(np.uint64))
-            own = np.flatnonzero(first >= 0)
-            sums = np.zeros(len(keys), np.uint64)
-            np.add.at(sums, first[own], _spread(names[own].view(np.uint64), 1))
-            pairs = np.unique(np.stack([sums[first[own]].view(np.int64), names[own]]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["key", "kind"])
+            pairs = spanned(near_in_buckets(keys, np.stack(longs, axis=1).view(np.uint64)), names)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b"])
 
         for b in batches:
             rows = np.stack([c.to_numpy() for c in b.columns])
@@ -318,7 +331,7 @@ def met(kinds: DataFrame) -> DataFrame:
 
     rows = kinds.select(F.explode("segs").alias("key"), "kind", *(F.col("prints")[k].alias(f"print{k}") for k in range(LONGS)))
     dealt = rows.repartition(F.shiftright("key", WIDTH - 8)).sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "key long, kind long").distinct().select(F.lit(0).alias("seg"), "key", "kind")
+    return components(dealt.mapInArrow(run, "a long, b long")).select(F.lit(0).alias("seg"), F.col("root").alias("key"), F.col("node").alias("kind"))
 
 
 def common_shingles(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -401,14 +414,15 @@ def _edges(rows: DataFrame, similarity: float) -> DataFrame:
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar(kinds: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def similar(kinds: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float = SIMILARITY, rounds: int = ROUNDS, rarest: bool = False) -> DataFrame:
     """Edges a, b that connect exactly those of kinds that share a bucket and have the similarity, and chains of them.
 
     kinds: kind, segs, of which each place and value is a bucket; or seg, key, kind, a row for each bucket of a kind. sets_of gives the rows kind, full of some kinds.
     A bucket is a block, or blocks of bounded size if it is a large one; all pairs of a block are verified where it lies and only what connects them is a row.
     Each kind's largest bucket comes first, as the others of near copies are mostly parts of it: of those, only what still holds several parts is verified too.
     Parts of large buckets that are connected already become one member, which is dealt anew,
-    and at the end the blocks of buckets that still have several parts meet each other. Rounds and order change the work alone.
+    and at the end the blocks of buckets that still have several parts meet each other, if they are MEETINGS at most. Members of larger ones meet in the rarest of
+    their shingles instead (_rarest), where all blocks of a bucket meet (rarest). Rounds and order change the work alone.
     """
     small_batches(kinds.sparkSession)
     table = cut(kinds.select("kind", F.posexplode("segs").alias("seg", "key")) if "segs" in kinds.columns else kinds)
@@ -417,9 +431,9 @@ def similar(kinds: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similar
     sets = cut(sets_of(table.select("kind").distinct()).select("kind", "full", F.size("full").alias("n")))
     table = table.join(sets.select("kind", "n"), "kind")
 
-    def blocks_of(rows: DataFrame) -> DataFrame:
+    def blocks_of(rows: DataFrame, size: int) -> DataFrame:
         """The blocks that the buckets of rows need."""
-        n = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(MEMBERS)), F.ceil(F.sum("n") / F.lit(SHINGLES)))
+        n = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(size)), F.ceil(F.sum("n") / F.lit(SHINGLES)))
         return rows.groupBy("seg", "key").agg(n.alias("blocks"), F.count(F.lit(1)).alias("members"))
 
     def place(seed: int) -> Column:
@@ -432,7 +446,7 @@ def similar(kinds: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similar
 
     with_sets = lambda rows: rows.join(sets.select("kind", "full"), "kind")
     in_blocks = lambda rows, root: rows.select("kind", root.alias("root"), F.xxhash64("seg", "key", place(0)).alias("block"))
-    table = cut(table.join(blocks_of(table), ["seg", "key"]))
+    table = cut(table.join(blocks_of(table, MEMBERS), ["seg", "key"]))
     largest = cut(table.groupBy("kind").agg(F.max(F.struct("members", F.xxhash64("seg", "key").alias("h"), "seg", "key")).alias("m")).select("m.seg", "m.key").distinct())
     edges = cut(_edges(with_sets(in_blocks(table.join(largest, ["seg", "key"]), F.col("kind"))), similarity))
     others = cut(table.join(largest, ["seg", "key"], "left_anti"))
@@ -446,12 +460,32 @@ def similar(kinds: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similar
         members = _rooted(many, edges)
         pick = F.min(F.struct(F.xxhash64("kind", F.lit(-k)).alias("h"), F.col("kind").alias("kind"), F.col("n").alias("n")))
         one = cut(members.groupBy("seg", "key", "root").agg(pick.alias("m")).select("seg", "key", "root", "m.kind", "m.n"))
-        rows = one.join(blocks_of(one), ["seg", "key"]).select("kind", "root", F.xxhash64("seg", "key", place(k), F.lit(k)).alias("block"))
+        rows = one.join(blocks_of(one, MEMBERS), ["seg", "key"]).select("kind", "root", F.xxhash64("seg", "key", place(k), F.lit(k)).alias("block"))
         edges = cut(edges.unionByName(_edges(with_sets(rows), similarity)))
     left = apart(_rooted(many, edges))
-    own = left.join(blocks_of(left), ["seg", "key"]).withColumn("i", place(rounds + 1)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    left = cut(left.join(blocks_of(left, MEETING), ["seg", "key"]))
+    own = left if rarest else left.filter(F.col("blocks") <= MEETINGS)
+    own = own.withColumn("i", place(rounds + 1)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = own.select("kind", "root", F.xxhash64("seg", "key", F.least("i", "j"), F.greatest("i", "j"), F.lit(rounds + 1)).alias("block"))
-    return cut(edges.unionByName(_edges(with_sets(rows), similarity)))
+    edges = cut(edges.unionByName(_edges(with_sets(rows), similarity)))
+    left = left.filter(F.col("blocks") > MEETINGS)
+    if rarest or left.isEmpty():
+        return edges
+    left = apart(_rooted(_rarest(left, sets, similarity), edges))
+    return cut(edges.unionByName(similar(left.select("seg", "key", "kind"), lambda wanted: sets.join(wanted, "kind", "left_semi").select("kind", "full"), similarity, 0, True)))
+
+
+def _rarest(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Rows seg, key, kind: buckets in which all pairs of members (seg, key, kind) of the similarity meet. sets: kind, full, n.
+
+    Of two such sets, both ordered by how many members of the bucket hold a shingle, the first n - ceil(n x similarity) + 1 of each share one.
+    """
+    each = cut(members.select("seg", "key", "kind").join(sets, "kind").select("seg", "key", "kind", "n", F.explode("full").alias("shingle")))
+    often = each.groupBy("seg", "key", "shingle").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    met_again = each.join(often, ["seg", "key", "shingle"]).groupBy("seg", "key", "kind", "n").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("shared"))
+    first = F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1 - (F.col("n") - F.size("shared"))
+    rows = met_again.filter(first > 0).select("seg", "key", "kind", F.explode(F.slice("shared", F.lit(1), first.cast("int"))).alias("s"))
+    return cut(rows.select("seg", F.xxhash64("key", "s.shingle").alias("key"), "kind"))
 
 
 def _rooted(members: DataFrame, edges: DataFrame) -> DataFrame:

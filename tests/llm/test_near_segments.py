@@ -71,3 +71,63 @@ def test_groups_of_a_table_are_named_by_their_members(spark):
     for r in simhash.met(spark.createDataFrame(rows, "kind long, prints array<long>, segs array<long>")).collect():
         got.setdefault(r.key, set()).add(r.kind)
     assert sorted(map(sorted, got.values())) == [[3 * k, 3 * k + 1] for k in range(40)]
+
+
+def test_a_member_of_a_large_group_is_one_row(spark):
+    rng = np.random.default_rng(5)
+    own = hashes(rng, 100)
+    sets = [np.concatenate([np.delete(own, rng.integers(0, 100, 3)), hashes(rng, 3)]) for _ in range(200)] + [hashes(rng, 100) for _ in range(50)]
+    prints, points = simhash.prints_and_points(sets)
+    rows = [(i, p.tolist(), q.tolist()) for i, (p, q) in enumerate(zip(prints.view(np.int64), points, strict=True))]
+    got = simhash.met(spark.createDataFrame(rows, "kind long, prints array<long>, segs array<long>")).collect()
+    assert sorted(r.kind for r in got) == list(range(200)) and len({r.key for r in got}) == 1
+
+
+def test_pairs_span_what_rows_and_names_connect():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        names, first = rng.integers(0, 60, 80) * 7, np.full(80, -1)
+        for i in rng.choice(80, rng.integers(0, 60), replace=False):
+            first[i] = first[j] if first[j := rng.integers(0, i + 1)] >= 0 else j
+        want, got = (_Parts() for _ in range(2))
+        for i in np.flatnonzero(first >= 0):
+            want.join(int(names[first[i]]), int(names[i]))
+        pairs = list(zip(*(x.tolist() for x in simhash.spanned(first, names)), strict=True))
+        for a, b in pairs:
+            assert a < b
+            got.join(a, b)
+        assert want.parts() == got.parts() and len(pairs) == sum(len(p) - 1 for p in want.parts())
+
+
+class _Parts:
+    def __init__(self):
+        self.of = {}
+
+    def join(self, a, b):
+        both = self.of.get(a, {a}) | self.of.get(b, {b})
+        self.of |= dict.fromkeys(both, both)
+
+    def parts(self):
+        return {frozenset(p) for p in self.of.values() if len(p) > 1}
+
+
+@pytest.mark.parametrize("meetings", [1, 16])
+def test_a_large_group_of_unlike_members_keeps_its_links(spark, monkeypatch, meetings):
+    for name, value in (("MEMBERS", 8), ("MEETING", 8), ("MEETINGS", meetings)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(7)
+    common, rows = hashes(rng, 60).view(np.int64), []
+    for k in range(60):  # members share 0.6 at most, but for every third one's copy, which has 0.8 or just less
+        own = np.concatenate([common, hashes(rng, 30 + k % 5).view(np.int64)])
+        rows.append((2 * k, np.unique(own).tolist()))
+        if k % 3 == 0:
+            n = len(own)
+            lost = (n - -(-8 * 2 * n // 18)) + (k % 2)
+            rows.append((2 * k + 1, np.unique(np.concatenate([own[: n - lost], hashes(rng, lost).view(np.int64)])).tolist()))
+    sets = {k: set(v) for k, v in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert 5 < len(want) < 20 and all(b == a + 1 for a, b in want)
+    table = spark.createDataFrame(rows, "kind long, full array<long>")
+    members = table.selectExpr("0 as seg", "0L as key", "kind")
+    got = simhash.similar(members, lambda wanted: table.join(wanted, "kind"))
+    assert {(r.a, r.b) for r in got.collect()} == want
