@@ -7,8 +7,9 @@ the path of a part seen before is reused.
 
 Weights: in a model of merges the arc of a piece after another one is free if merging their joint surface gives just
 these two pieces, and infinite if not. Exactly one path through a lattice is finite, and it is the merges' own result;
-the tropical shortest path keeps, for each position, the one arc by which it can be reached. Costs of minus the
-pieces' scores, as in unigram models, would find other segmentations than merges do and are used for unigram models alone.
+one finite path at most leads to each position, so that the tropical shortest path is searched depth first, longest arcs
+first, and no position is left twice. Costs of minus the pieces' scores, as in unigram models, would find other
+segmentations than merges do and are used for unigram models alone.
 
 Defined results: a null text has null ids and no round trip; an empty text has no ids; U+2581 in a text decodes to a space, as in
 the format itself; rows that repeat are encoded alike; an empty table gives no rows; extra columns pass through.
@@ -28,29 +29,46 @@ from pyspark.sql import types as T
 from .common import fresh, small_batches
 
 META = "▁"
-#: Parts of texts whose paths a worker keeps, and the longest of them.
+#: Parts of texts whose paths a worker keeps in either half of a memo, and the longest of them.
 MEMO_MOST, MEMO_CHARS = 400_000, 64
+#: Pairs of pieces of which a worker keeps whether the one follows the other.
+PAIRS_MOST = 2_000_000
 #: Kinds of pieces in the model format, and kinds of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, MERGES = 1, 2
 
 
 class _Memo(dict):
-    """What make gives for a key, kept for short keys; it is emptied when it is full."""
+    """What make gives for a key, kept for short keys. A full memo becomes the old half, of which what is met again is kept on."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= MEMO_CHARS:
             if len(self) >= MEMO_MOST:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
+class _Followers(dict):
+    """Whether a piece follows seen, the piece before it."""
+
+    def __init__(self, follows, seen):
+        super().__init__()
+        self.follows, self.seen = follows, seen
+
+    def __missing__(self, piece):
+        ok = self[piece] = self.follows(self.seen, piece)
+        return ok
+
+
 class Transducer:
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2 as proto
@@ -79,12 +97,13 @@ class Transducer:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = p
-        # Two characters that stand side by side in no piece end one lattice and begin the next.
-        self.inside = {p[i : i + 2] for p in long for i in range(len(p) - 1)}
-        self.pairs: dict[str, dict[str, bool]] = {}
+        # The next shorter piece that a piece begins with; its first character in any case, as that has bytes at least.
+        self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 1, -1) if p[:n] in self.ids), p[0]) for p in long}
+        self.pairs: dict[str, _Followers] = {}
+        self.n_pairs = 0
         self.joins: dict[str, tuple[str, str] | None] = {}
+        self.coded = _Memo(self.code)
         self.memo = _Memo(self.emit)
-        self.memo_of_cuts = _Memo(self.emit_cut)
 
     def merge(self, chars: str) -> list[str]:
         """The merges' result on chars: the best scored pair that is a piece is joined first, of equals the leftmost. A heap of pairs keeps it n log n."""
@@ -151,43 +170,46 @@ class Transducer:
             return [part]
         if self.merges and META * 2 in part:
             return self.merge(part)  # runs of the meta symbol have equal scores, which pairs alone don't order
-        last = self._one_finite(part) if self.merges else self._cheapest(part)
-        out, j = [], len(part)
+        if self.merges:
+            return self._one_finite(part)
+        last, out, j = self._cheapest(part), [], len(part)
         while j:
             out.append(last[j])
             j -= len(last[j])
         return out[::-1]
 
+    def allowed(self, seen: str, piece: str) -> bool:
+        """Whether the arc of piece is free after seen, or at the start of a part."""
+        self.n_pairs += 1
+        return self.follows(seen, piece) if seen else len(piece) == 1 or self.halves(piece) is not None
+
     def _one_finite(self, part: str) -> list[str]:
-        """For each position the last arc of the one finite path to it."""
-        n, trie, pairs, seen = len(part), self.trie, self.pairs, ""
-        last = [""] * (n + 1)
-        for i in range(n):
-            free = pairs.get(seen)
-            if free is None:
-                if len(pairs) >= MEMO_MOST:
-                    pairs.clear()
-                free = pairs[seen] = {}
-            node, j = trie, i
-            for c in part[i : i + self.longest + 1]:
-                node, j = node.get(c), j + 1
+        """The one finite path. Where the arc of a piece is not free the next shorter piece is taken, and where there is none the piece before is given up."""
+        n, trie, longest, pairs, shorter = len(part), self.trie, self.longest, self.pairs, self.shorter
+        if self.n_pairs >= PAIRS_MOST:
+            pairs.clear()
+            self.n_pairs = 0
+        path, i, seen = [], 0, ""
+        while i < n:
+            node, piece = trie, part[i]
+            for c in part[i : i + longest]:
+                node = node.get(c)
                 if node is None:
-                    if j == i + 1 and not last[j]:
-                        last[j] = c  # no piece has it: byte fallback
                     break
-                piece = node.get("")
-                if piece is None:
-                    if j > i + 1:
-                        continue
-                    piece = c
-                if not last[j]:
-                    ok = free.get(piece)
-                    if ok is None:
-                        ok = free[piece] = self.follows(seen, piece) if seen else j == 1 or self.halves(piece) is not None
-                    if ok:
-                        last[j] = piece
-            seen = last[i + 1]
-        return last
+                piece = node.get("", piece)
+            free = pairs.get(seen)
+            if free is None:
+                free = pairs[seen] = _Followers(self.allowed, seen)
+            while not free[piece]:
+                piece = shorter.get(piece)
+                while piece is None:
+                    last = path.pop()
+                    i -= len(last)
+                    free, piece = pairs[path[-1] if path else ""], shorter.get(last)
+            path.append(piece)
+            i += len(piece)
+            seen = piece
+        return path
 
     def _cheapest(self, part: str) -> list[str]:
         """For each position the last arc of the path of least cost to it, minus the pieces' scores."""
@@ -207,26 +229,15 @@ class Transducer:
                     break
         return last
 
-    def emit_cut(self, part: str) -> bytes:
-        """The ids of a part that no border of lattices divides, as an array's bytes."""
-        out: list[int] = []
-        for p in self.path(part):
-            if p in self.ids:
-                out.append(self.ids[p])
-            elif self.bytes:
-                out += [self.bytes[b] for b in p.encode()]
-            else:
-                out.append(self.unknown)
-        return array("i", out).tobytes()
+    def code(self, piece: str) -> bytes:
+        """The ids of a piece, or of the bytes of a character that is none, as an array's bytes."""
+        if piece in self.ids:
+            return array("i", [self.ids[piece]]).tobytes()
+        return array("i", [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]).tobytes()
 
     def emit(self, part: str) -> bytes:
-        inside, cuts, start = self.inside, self.memo_of_cuts, 0
-        out: list[bytes] = []
-        for i in range(1, len(part)):
-            if part[i - 1 : i + 1] not in inside:
-                out.append(cuts[part[start:i]])
-                start = i
-        return b"".join([*out, cuts[part[start:]]])
+        """The ids of a part, as an array's bytes."""
+        return b"".join(map(self.coded.__getitem__, self.path(part)))
 
     def encode(self, text: str) -> array:
         ids = array("i")
